@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, minhash_dedup, mixing, quotation, sharding
+from .common import crc_mod, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.linked(table(spark, sf_dir, "conversations"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four arrivals of documents, by a hash of the id: a half, a quarter, and an eighth twice; then compaction. One row for each document: its shard."""
+    docs = table(spark, sf_dir, "documents")
+    shards = sharding.Shards(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    part = F.coalesce(crc_mod(F.col("doc_id"), 8), F.lit(7))
+    for low, high in ((0, 4), (4, 6), (6, 7), (7, 8)):
+        shards.append(docs.filter((part >= low) & (part < high)))
+    version = shards.compact(docs.schema)
+    live = shards.manifest(version).select(F.col("path").alias("_shard"), F.col("bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"), "tier")
+    rows = shards.read(docs.schema, version).select("doc_id", "_shard")
+    return rows.join(F.broadcast(live) if live.count() <= sharding.FILES_A_PASS else live, "_shard").select("doc_id", F.element_at(F.split("_shard", "/"), -1).alias("shard"), "shard_bytes", "shard_rows", "tier", F.lit(version).alias("version"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), mixing.Mix()).select("doc_id", "source", "_mix.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    found = [op2_chat_formatting, op5_sharding, op7_exact_dedup, op9_near_dedup, op10_mixing]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.SQL}
+    return {"op2_chat_formatting": quotation.SQL, "op7_exact_dedup": exact_dedup.SQL}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash_dedup, mixing, quotation, sharding
+from . import exact_dedup, language_id, minhash_dedup, mixing, quotation, sentencepiece_codec, sharding
 from .common import crc_mod, shared_dir
 
 
@@ -20,6 +20,19 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.linked(table(spark, sf_dir, "conversations"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece_codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_ids").alias("ids"), F.col("_n_pieces").alias("n_pieces"), F.col("_lossless").alias("lossless"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language_id.fit(docs.filter(~held_out))
+    found = language_id.predicted(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four arrivals of documents, by a hash of the id: a half, a quarter, and an eighth twice; then compaction. One row for each document: its shard."""
     docs = table(spark, sf_dir, "documents")
@@ -46,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_chat_formatting, op5_sharding, op7_exact_dedup, op9_near_dedup, op10_mixing]
+    found = [op2_chat_formatting, op3_sentencepiece, op4_language_id, op5_sharding, op7_exact_dedup, op9_near_dedup, op10_mixing]
     return {f.__name__: f for f in found}
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, minhash_dedup, mixing, quotation, sentencepiece_codec, sharding
+from . import exact_dedup, language_id, lattice_lm, lz_fingerprint, minhash_dedup, mixing, quotation, sentencepiece_codec, sharding
 from .common import crc_mod, shared_dir
 
 
@@ -46,10 +46,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(live) if live.count() <= sharding.FILES_A_PASS else live, "_shard").select("doc_id", F.element_at(F.split("_shard", "/"), -1).alias("shard"), "shard_bytes", "shard_rows", "tier", F.lit(version).alias("version"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
+    found = lattice_lm.scored(docs.select("doc_id", held_out.alias("held_out"), "text"), ~F.col("held_out"))
+    return found.select("doc_id", "held_out", "_lm.*")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -59,7 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_chat_formatting, op3_sentencepiece, op4_language_id, op5_sharding, op7_exact_dedup, op9_near_dedup, op10_mixing]
+    found = [op2_chat_formatting, op3_sentencepiece, op4_language_id, op5_sharding, op6_lm_scoring, op7_exact_dedup, op8_lz_fingerprint, op9_near_dedup, op10_mixing]
     return {f.__name__: f for f in found}
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lattice_lm, lz_fingerprint, minhash_dedup, mixing, quotation, sentencepiece_codec, sharding
+from . import exact_dedup, language_id, lattice_lm, lz_fingerprint, minhash_dedup, mixing, quotation, recompression, sentencepiece_codec, sharding
 from .common import crc_mod, shared_dir
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.linked(table(spark, sf_dir, "conversations"))
 
@@ -70,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_chat_formatting, op3_sentencepiece, op4_language_id, op5_sharding, op6_lm_scoring, op7_exact_dedup, op8_lz_fingerprint, op9_near_dedup, op10_mixing]
+    found = [op1_substring_dedup, op2_chat_formatting, op3_sentencepiece, op4_language_id, op5_sharding, op6_lm_scoring, op7_exact_dedup, op8_lz_fingerprint, op9_near_dedup, op10_mixing]
     return {f.__name__: f for f in found}
 
 

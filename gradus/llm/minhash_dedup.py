@@ -7,16 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import pieces, written
 
 #: Registers of a signature and the bands of consecutive registers made of it.
 REGISTERS, ROWS = 120, 4
 BANDS = REGISTERS // ROWS
-#: Estimates this far below the threshold are not verified: seven standard deviations of the estimate at the threshold.
-SLACK = 0.28
+#: Two bits a register make a sketch of four 64-bit integers. Pairs whose sketches estimate a likeness this far below the threshold are not
+#: compared in full: four and a half standard deviations of the estimate at 0.75, so one such link in 290,000 is lost.
+SLACK = 0.215
+LOW_BITS = 0x5555555555555555
+SKETCH = ["k0", "k1", "k2", "k3"]
 CHARS = 2_000_000
 
 
@@ -91,7 +95,7 @@ def superminhash(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.reshape(sets, REGISTERS)
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), *((k, pa.int64()) for k in SKETCH)])
 
 
 def sign(width: int):
@@ -109,8 +113,10 @@ def sign(width: int):
                     band = mix(band * np.uint64(0x9E3779B97F4A7C15) + registers[:, r::ROWS].astype(np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[sizes > 0].reshape(-1).view(np.int64)))
-                sig = pa.array([row.tobytes() for row in (mix(registers.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes), pa.array(fingerprint[0]), pa.array(fingerprint[1]), bands, sig], schema=SIGNED)
+                two = np.zeros((j - i, 128), np.uint64)
+                two[:, :REGISTERS] = mix(registers.astype(np.uint64)) >> np.uint64(62)
+                packed = np.bitwise_or.reduce(two.reshape(-1, 4, 32) << (2 * np.arange(32, dtype=np.uint64)), axis=2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes), pa.array(fingerprint[0]), pa.array(fingerprint[1]), bands, *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(4))], schema=SIGNED)
 
     return run
 
@@ -154,6 +160,12 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
+def unlike(left: list[Column], right: list[Column]) -> Column:
+    """The number of registers in which two sketches differ."""
+    both = [a.bitwiseXOR(b) for a, b in zip(left, right, strict=True)]
+    return sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(LOW_BITS))) for x in both[1:]), F.bit_count(both[0].bitwiseOR(F.shiftrightunsigned(both[0], 1)).bitwiseAND(F.lit(LOW_BITS))))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """One row for each document with the smallest id that it reaches over links of near-duplicates.
 
@@ -161,48 +173,62 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without words, or null, has an empty set and no link. Documents are linked when 100 * intersection >= percent * union.
 
     Documents of one set are one class from the start. Candidates are classes that share a band of their SuperMinHash
-    signature: at 0.75, (1 - 0.75 ** 4) ** 30, one link in 90,000, shares none. A bucket compares its members with one
-    of them, another in each band; links make groups; then members of one bucket that are still in different groups are
-    compared with each other. So a group of thousands of near copies costs a multiple of its size, and no comparison that
-    could still join two groups is left out. Every link is confirmed on the full sets.
+    signature (at 0.75, (1 - 0.75 ** 4) ** 30, one link in 90,000, shares none) and whose sketches are alike. First each bucket's
+    members are compared with one of them, another in each band; links make groups. Where groups meet in a bucket, prefix
+    filtering finds the pairs that could still join two of them: with a common order of shingles, the sets of a link
+    share one of their first n - ceil(0.75 n) + 1, and the order begins with shingles that only one group has. So a group of
+    thousands of near copies costs a multiple of its size, and no link between groups is left out. Every link is confirmed on the full sets.
 
     Returns (id, n_shingles, component_id, kept). A null id is left out of groups: its component_id is null and it is kept.
-    Rows that repeat an id are one document of the larger set. Other columns are ignored; an empty table gives an empty one.
+    Rows that repeat an id are one document of any of their texts. Other columns are ignored; an empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(docs.mapInArrow(sign(width), "doc_id long, n long, set_a long, set_b long, bands array<long>, sig binary"), "signed")
+    signed = written(docs.mapInArrow(sign(width), "doc_id long, n long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{k} long" for k in SKETCH)), "signed")
     key = ["n", "set_a", "set_b"]
     own = signed.filter("doc_id IS NOT NULL AND n > 0")
-    classes = own.groupBy(key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    member = written(own.select("doc_id", *key).join(classes, key).select("doc_id", "rep", "size"), "members")
-    reps = own.join(member.filter("doc_id = rep").select(F.col("doc_id"), F.lit(True).alias("is_rep")).distinct(), "doc_id").dropDuplicates(["doc_id"])
+    classes = own.groupBy(key).agg(F.min("doc_id").alias("rep"))
+    member = written(own.select("doc_id", *key).join(classes, key).select("doc_id", "rep"), "members")
+    reps = own.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = reps.select("doc_id", "n", F.explode("bands").alias("bucket"))
-    order = F.xxhash64("bucket", "doc_id")
-    full = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by(F.struct("doc_id", "n"), order).alias("lead")).filter("size > 1")
-    buckets = written(rows.join(full, "bucket").select("bucket", "doc_id", "n", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n")), "buckets")
+    full = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    buckets = written(rows.join(full, "bucket"), "buckets").join(signed.select("doc_id", *SKETCH).dropDuplicates(["doc_id"]), "doc_id")
     near = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Which of the pairs (a, b, n, other_n) are links."""
-        pairs = pairs.filter("a != b").filter(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        sigs = signed.filter("n > 0").select("doc_id", "sig")
-        like = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").mapInArrow(estimated, "a long, b long, likeness double")
-        like = written(like.filter(F.col("likeness") >= percent / 100 - SLACK).select("a", "b").distinct(), name)
-        ends = like.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = written(docs.join(ends, "doc_id", "left_semi").mapInArrow(sets_of(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), f"{name}-sets")
-        met = like.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    bound = REGISTERS * (1 - (percent / 100 - SLACK)) * 0.75
+    others = buckets.select(F.col("bucket").alias("in"), F.col("doc_id").alias("other"), F.col("n").alias("other_n"), *(F.col(k).alias(f"other_{k}") for k in SKETCH))
+    alike = (F.col("bucket") == F.col("in")) & (F.col("doc_id") != F.col("other")) & near & (unlike([F.col(k) for k in SKETCH], [F.col(f"other_{k}") for k in SKETCH]) <= bound)
+    buckets = written(buckets.join(others, alike, "left_semi").select("bucket", "doc_id", "n"), "alike")
+    some = buckets.select("doc_id").distinct()
+    sets = written(docs.join(some.hint("merge"), "doc_id", "left_semi").mapInArrow(sets_of(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Which of the pairs (a, b) are links."""
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        met = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
         met = met.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("sum"))
-        return written(met.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b"), f"{name}-links")
+        return written(met.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b"), name)
 
-    links = verified(buckets.select(F.col("doc_id").alias("a"), F.col("lead").alias("b"), "n", F.col("lead_n").alias("other_n")), "led")
+    turned = F.col("doc_id").bitwiseXOR(F.xxhash64("bucket"))
+    lead = buckets.groupBy("bucket").agg(F.min(turned).alias("low")).select("bucket", F.col("low").bitwiseXOR(F.xxhash64("bucket")).alias("lead"))
+    sizes = buckets.select("doc_id", "n").distinct()
+    led = buckets.join(lead, "bucket").filter("doc_id != lead").select("doc_id", "n", "lead").distinct().join(sizes.toDF("lead", "other_n"), "lead").filter(near)
+    links = confirmed(led.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")), "led-links")
     groups = components(links)
-    placed = buckets.select("bucket", "doc_id", "n").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
-    left = placed.join(mixed, "bucket", "left_semi")
-    right = left.select("bucket", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
-    rest = left.join(right, (left["bucket"] == right["bucket"]) & (left["root"] < right["other_root"]) & near)
-    more = verified(rest.select(F.col("doc_id").alias("a"), F.col("other").alias("b"), "n", "other_n"), "rest")
+
+    placed = written(buckets.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
+    torn = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+    open_docs = placed.join(torn, "bucket", "left_semi").select("doc_id", "n", "root").distinct()
+    held = written(open_docs.join(sets, "doc_id").select("doc_id", "n", "root", F.explode("shingles").alias("shingle")), "open")
+    shared = held.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("shingle", "docs")
+    in_doc = Window.partitionBy("doc_id")
+    first = held.join(shared, "shingle").withColumns({"own": F.count("*").over(in_doc), "rank": F.row_number().over(in_doc.orderBy("docs", "shingle"))})
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    first = written(first.filter(F.col("rank") <= prefix - (F.col("n") - F.col("own"))).select("shingle", "doc_id", "n", "root"), "prefixes")
+    still = first.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("shingle")
+    left = first.join(still, "shingle", "left_semi")
+    right = left.select(F.col("shingle").alias("same"), F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
+    rest = left.join(right, (F.col("shingle") == F.col("same")) & (F.col("root") < F.col("other_root")) & near)
+    more = confirmed(rest.select(F.col("doc_id").alias("a"), F.col("other").alias("b")), "rest-links")
+
     groups = components(links.unionByName(more))
     ends = member.join(groups.select(F.col("id").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root")).groupBy("doc_id").agg(F.min("root").alias("root"))
     return signed.select("doc_id", "n").join(ends, "doc_id", "left").select(
@@ -210,15 +236,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The share of registers in which the signatures of a pair agree."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())])
-    for batch in batches:
-        cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        sig = [np.frombuffer(b"".join(cols[c].to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("sig_a", "sig_b")]
-        yield pa.RecordBatch.from_arrays([cols["a"], cols["b"], pa.array((sig[0] == sig[1]).mean(axis=1) if len(sig[0]) else np.zeros(0))], schema=schema)
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """The documents of which none stays in their stead, with all their columns: one of each group."""
     gone = near_groups(docs, id_col, text_col, width, percent).filter("NOT kept").select(F.col(id_col).alias("_gone_id")).distinct()

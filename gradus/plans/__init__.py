@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational
+from . import relational, text
 
-MODULES = [relational]
+MODULES = [relational, text]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

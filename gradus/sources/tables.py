@@ -33,6 +33,12 @@ def table(spark: SparkSession, place: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{place}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes in fewer than half as many parts, as a small file does; large tables stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def results(spark: SparkSession, place: str) -> DataFrame:
     """All result documents of a folder, by one schema; fields that a document lacks are null."""
     return spark.read.schema(RESULT).option("multiLine", True).option("mode", "PERMISSIVE").json(place)

@@ -5,28 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, fresh
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
-    """One row for each document with the row that stands for its group of equal texts.
-
-    Texts are equal when they are identical after every character of [\\x20\\x09-\\x0D] is deleted; null counts as empty.
-    The row with the most code points in its original text stays, then the one with the smallest id (a null id comes last).
-
-    Rows are combined three times, each time by digest and full content: by Spark's map-side aggregation within a task,
-    then by digest and salt, so that a group of any size is spread over `salts` tasks, then over the few salt winners.
-    Winners meet the documents again over SHA-256, a second hash and the length, and a large group's documents can be
-    split there, as each has one winner.
-
-    Returns (id, keep_id, group_size, kept, text_sha256). Repeated rows with one id form a group of their own texts; of rows
-    that tie in everything, all have kept = true. An empty table gives an empty one. Other columns are ignored.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    norm = F.translate(text, SPACE, "")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(text).alias("n"), norm.alias("norm"))
+def _grouped(rows: DataFrame, salts: int) -> DataFrame:
+    """rows (row, doc_id, text) -> (row, doc_id, keep_id, group_size, kept, text_sha256)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).alias("n"), F.translate(text, SPACE, "").alias("norm"))
     rows = rows.withColumns({"sha": F.sha2("norm", 256), "check": F.xxhash64("norm"), "norm_n": F.char_length("norm")})
-    best = F.max(F.struct("n", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus_id")))
+    best = F.max(F.struct("n", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus_id"), (-F.col("row")).alias("minus_row")))
     salted = (
         rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         .groupBy("sha", "check", "norm_n", "norm", "salt")
@@ -35,26 +22,36 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     winners = (
         salted.groupBy("sha", "check", "norm_n", "norm")
         .agg(F.max("best").alias("best"), F.sum("size").alias("group_size"))
-        .select("sha", "check", "norm_n", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.n").alias("keep_n"), "group_size")
-    )
-    return (
-        rows.select("doc_id", "n", "sha", "check", "norm_n")
-        .join(winners, ["sha", "check", "norm_n"])
-        .select(
-            F.col("doc_id").alias(id_col),
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))).alias("kept"),
-            F.col("sha").alias("text_sha256"),
-        )
+        .select("sha", "check", "norm_n", (-F.col("best.minus_id")).alias("keep_id"), (-F.col("best.minus_row")).alias("keep_row"), "group_size")
     )
+    found = rows.select("row", "doc_id", "sha", "check", "norm_n").join(winners, ["sha", "check", "norm_n"])
+    return found.select("row", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+    """One row for each document with the row that stands for its group of equal texts.
+
+    Texts are equal when they are identical after every character of [\\x20\\x09-\\x0D] is deleted; null counts as empty.
+    The row with the most code points in its original text stays, then the one with the smallest id (a null id comes last);
+    of rows that tie in both, the first in the table.
+
+    Rows are combined three times, each time by digest and full content: by Spark's map-side aggregation within a task,
+    then by digest and salt, so that a group of any size is spread over `salts` tasks, then over the few salt winners.
+    Winners meet the documents again over SHA-256, a second hash and the length, and a large group's documents can be
+    split there, as each has one winner. docs must be a stored table, as it is read twice.
+
+    Returns (id, keep_id, group_size, kept, text_sha256). An empty table gives an empty one. Other columns are ignored.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _grouped(rows, salts).drop("row").withColumnRenamed("doc_id", id_col)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
-    """The documents that stay, with all their columns; of repeated rows with one id and one text, one stays."""
-    kept = exact_groups(docs, id_col, text_col, salts).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACE, ""), 256)
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (sha == F.col("_kept_sha")), "left_semi")
+    """The rows that stay, one of each group as in exact_groups, with all their columns."""
+    row = fresh(docs, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    kept = _grouped(numbered.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), salts).filter("kept").select(F.col("row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)
 
 
 SQL = """

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import fresh, pieces
 
 #: Fixed value: the answer for a text that is null or has no letter.
 UNKNOWN = "und"
@@ -137,5 +137,6 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         langs, share = scores([None if t is None else str(t) for t in texts], sent.value)
         return pd.DataFrame({"lang": langs, "score": share})
 
-    found = docs.withColumn("_lang", best(F.col(text_col)))
-    return found.withColumns({"_lang_pred": F.col("_lang.lang"), "_lang_score": F.col("_lang.score")}).drop("_lang")
+    both = fresh(docs, "_lang")
+    found = docs.withColumn(both, best(F.col(text_col)))
+    return found.withColumns({"_lang_pred": F.col(f"{both}.lang"), "_lang_score": F.col(f"{both}.score")}).drop(both)

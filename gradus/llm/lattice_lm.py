@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import fresh, pieces, written
 from .lattice import SPELLED, Vocabulary, build, codes_of, mix, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -142,7 +142,7 @@ def parts(sent, end_base: float, end_score: float, end_known: int):
 
 
 def scored(docs: DataFrame, training: Column, settings: Settings | None = None, text_col: str = "text") -> DataFrame:
-    """docs with a struct _lm: n_tokens, n_known, train_tokens, base_score, score.
+    """docs without their texts, with a struct _lm: n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words [^\\x20\\x09-\\x0D]+, A-Z lower-cased, and one end; null text is empty. base_score is the smoothed word unigram,
     log10((c + 0.5) / (N + 0.5 (V + 1))) summed over the tokens, of counts in the rows for which `training` holds (null: it doesn't).
@@ -181,8 +181,9 @@ def scored(docs: DataFrame, training: Column, settings: Settings | None = None,
     base = lambda n: float(np.log10((n + 0.5) / below))
     top = table.orderBy(F.col("n").desc(), "word").limit(settings.head).toArrow()
     head = {w.encode(): (int(n > 0), base(n), s) for w, n, s in zip(*(top[c].to_pylist() for c in ("word", "n", "score")), strict=True)}
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    part = rows.select(F.col("_row").alias("row"), text.alias("text")).mapInArrow(parts(context.broadcast(head), base(ends), float(np.log10(end_share)), int(ends > 0)), "row long, word string, times long, n_tokens long, n_known long, base double, score double")
+    row = fresh(docs, "_row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    part = rows.select(F.col(row).alias("row"), text.alias("text")).mapInArrow(parts(context.broadcast(head), base(ends), float(np.log10(end_share)), int(ends > 0)), "row long, word string, times long, n_tokens long, n_known long, base double, score double")
     found = part.join(table.select("word", "n", F.col("score").alias("of_word")), "word", "left")
     rest = F.coalesce(F.col("times") * F.log10((F.col("n") + 0.5) / below), F.lit(0.0))
     sums = found.groupBy("row").agg(
@@ -192,6 +193,6 @@ def scored(docs: DataFrame, training: Column, settings: Settings | None = None,
         F.sum(F.col("score") + F.coalesce(F.col("times") * F.col("of_word"), F.lit(0.0))).alias("score"),
     )
     lm = F.struct("n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
-    keep = [docs[c] for c in docs.columns if c != text_col]
-    return rows.select(*keep, "_row").join(sums.select(F.col("row").alias("_row"), lm.alias("_lm")), "_row").drop("_row")
+    keep = [c for c in docs.columns if c not in (text_col, "_lm")]
+    return rows.select(*keep, row).join(sums.select(F.col("row").alias(row), lm.alias("_lm")), row).select(*keep, "_lm")
 

@@ -239,4 +239,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """The documents of which none stays in their stead, with all their columns: one of each group."""
     gone = near_groups(docs, id_col, text_col, width, percent).filter("NOT kept").select(F.col(id_col).alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, written
+from .common import WORD, fresh, written
 
 #: Rows of a plan up to which it is broadcast (40 bytes a row); beyond it, the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -58,9 +58,12 @@ def solve_exponent(shares: list[float], mix: Mix, budget_share: float = 1.0) ->
     return high
 
 
-def _keys(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+def _keyed(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, list[str]]:
+    """docs with the source's key, the row's order in it and its block, and the names of these columns."""
+    names = [fresh(docs, n) for n in ("_source", "_order", "_block")]
     order = F.xxhash64(F.lit(mix.seed), F.col(id_col), F.col(text_col))
-    return {"_source": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")), "_order": order, "_block": F.pmod(order, F.lit(mix.blocks)).cast("int")}
+    source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
+    return docs.withColumns(dict(zip(names, [source, order, F.pmod(order, F.lit(mix.blocks)).cast("int")], strict=True))), names
 
 
 def plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -70,8 +73,9 @@ def plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "tex
     before that count once more in `whole`, and of the block in which it is reached, the rows whose order is up to `cutoff`.
     """
     spark = docs.sparkSession
-    tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    rows = written(docs.withColumns(_keys(docs, mix, id_col, text_col, source_col)).select("_source", "_block", "_order", tokens.alias("tokens")), "mix-rows")
+    keyed, names = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), mix, "doc_id", "text", "source")
+    tokens = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = written(keyed.select(*names, tokens.alias("tokens")), "mix-rows")
     blocks = written(rows.groupBy("_source", "_block").agg(F.sum("tokens").alias("tokens")), "mix-blocks")
     totals = blocks.groupBy("_source").agg(F.sum("tokens").alias("tokens")).orderBy("_source").limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -115,16 +119,19 @@ def mixed(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_
     laid = plan(docs, mix, id_col, text_col, source_col)
     if laid.count() <= BROADCAST_ROWS:
         laid = F.broadcast(laid)
-    laid = laid.toDF("_source", "_block", "_weight", "_exponent", "_whole", "_cutoff", "_block_key")
-    copies = F.col("_whole") + (F.col("_order") <= F.col("_cutoff")).cast("int")
-    copies = F.coalesce(copies, F.col("_whole"))
-    drawn = docs.withColumns(_keys(docs, mix, id_col, text_col, source_col)).join(laid, ["_source", "_block"]).filter(copies > 0)
-    drawn = drawn.withColumn("_epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
+    keyed, names = _keyed(docs, mix, id_col, text_col, source_col)
+    own = [fresh(keyed, f"_plan{i}") for i in range(7)]
+    source, block, weight, exponent, whole, cutoff, block_key = own
+    laid = laid.toDF(*own)
+    copies = F.coalesce(F.col(whole) + (F.col(names[1]) <= F.col(cutoff)).cast("int"), F.col(whole))
+    drawn = keyed.join(laid, (F.col(names[0]) == F.col(source)) & (F.col(names[2]) == F.col(block))).filter(copies > 0)
+    epoch = fresh(drawn, "_epoch")
+    drawn = drawn.withColumn(epoch, F.explode(F.sequence(F.lit(0), copies - 1)))
     keys = F.struct(
-        F.col("_epoch").alias("epoch"),
-        F.col("_weight").alias("weight"),
-        F.col("_exponent").alias("exponent"),
-        F.xxhash64("_block_key", "_epoch").alias("block_key"),
-        F.xxhash64("_order", "_epoch").alias("row_key"),
+        F.col(epoch).alias("epoch"),
+        F.col(weight).alias("weight"),
+        F.col(exponent).alias("exponent"),
+        F.xxhash64(block_key, epoch).alias("block_key"),
+        F.xxhash64(names[1], epoch).alias("row_key"),
     )
-    return drawn.select(*[docs[c] for c in docs.columns], keys.alias("_mix"))
+    return drawn.select(*[c for c in docs.columns if c != "_mix"], keys.alias("_mix"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import fresh
+
 #: Files that one merging pass takes at most: their names are broadcast (about 200 bytes each). The rest follow in further passes.
 FILES_A_PASS = 50_000
 ENTRY = "path string, bytes long, n_rows long, checksum long, tier int"
@@ -124,8 +126,9 @@ class Shards:
                 return base
             group = F.broadcast(self.spark.createDataFrame(pairs, "path string, _merge int"))
             rows = self.spark.read.schema(schema).parquet(*[p for p, _ in pairs])
-            merged = rows.withColumn("path", F.col("_metadata.file_path")).join(group, "path").repartitionById(len(names), F.col("_merge")).drop("path", "_merge")
-            new = self._write(merged)
+            place, merge = fresh(rows, "_place"), fresh(rows, "_merge")
+            merged = rows.withColumn(place, F.col("_metadata.file_path")).join(group.toDF(place, merge), place).repartitionById(len(names), F.col(merge))
+            new = self._write(merged.select([F.col(f"`{c}`") for c in rows.columns]))
             old = entries.join(group, "path", "left_semi")
             total = [F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.bit_xor("checksum"), F.lit(0))]
             if tuple(new.agg(*total).first()) != tuple(old.agg(*total).first()):

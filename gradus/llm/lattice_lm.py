@@ -64,26 +64,26 @@ def word_lattice(words: list[str], vocab: Vocabulary):
 
 
 def piece_counts(sent):
-    """(word, n) -> (piece, n): pieces of one segmentation of each word, drawn with the probability that the weights give it."""
+    """(word, seed) -> (piece, n): pieces of one segmentation of each word, drawn with the probability that the weights give it."""
     schema = pa.schema([("piece", pa.int32()), ("n", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = sent.value.prepare()
         total = np.zeros(len(vocab.pieces))
         for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            words, seeds = batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64)
             for i, j in pieces([len(w) + 1 for w in words], CHARS):
                 lattice, first, node = word_lattice(words[i:j], vocab)
-                at, seed, step = np.arange(j - i), mix(batch.column(2).to_numpy()[i:j].view(np.uint64)), 0
+                at, seed, step = np.arange(j - i), mix(seeds[i:j]), 0
                 while len(at):
                     chance = (mix(seed[at] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
                     arc = np.searchsorted(lattice.upto, node + chance * (1 - 1e-9), side="right")
-                    piece, times = lattice.piece[arc], n[i:j][at]
+                    piece = lattice.piece[arc]
                     plain = piece < SPELLED
-                    total += np.bincount(piece[plain], times[plain], minlength=len(total))
+                    total += np.bincount(piece[plain], minlength=len(total))
                     cols, size = utf8(piece[~plain] - SPELLED)
                     for k in range(4):
-                        total += np.bincount(vocab.byte_ids[cols[size > k, k]], times[~plain][size > k], minlength=len(total))
+                        total += np.bincount(vocab.byte_ids[cols[size > k, k]], minlength=len(total))
                     node = lattice.source[arc]
                     left = node != first[at]
                     node, at, step = node[left], at[left], step + 1
@@ -93,8 +93,9 @@ def piece_counts(sent):
     return run
 
 
-def word_scores(sent):
-    """(word, n) -> (word, n, score): score is the log10 of the word's marginal probability."""
+def word_scores(sent, tokens: int, kinds: int):
+    """(word, n) -> (word, n, score): score is the log10 of the word's marginal probability. Besides those of pieces there is an arc over the whole word for its n of the training tokens; the lattice of
+    pieces has the share of kinds / (tokens + kinds), as much as new words are to be expected."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +104,11 @@ def word_scores(sent):
             words = batch.column(0).to_pylist()
             for i, j in pieces([len(w) + 1 for w in words], CHARS):
                 lattice, _, last = word_lattice(words[i:j], vocab)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(lattice.alpha[last] / LN10)], schema=schema)
+                score = lattice.alpha[last] + np.log(0.5)
+                if tokens:
+                    with np.errstate(divide="ignore"):
+                        score = np.logaddexp(np.log(batch.column(1).to_numpy()[i:j]), np.log(kinds) + lattice.alpha[last]) - np.log(tokens + kinds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(score / LN10)], schema=schema)
 
     return run
 
@@ -147,10 +152,10 @@ def scored(docs: DataFrame, training: Column, settings: Settings | None = None,
     Tokens are words [^\\x20\\x09-\\x0D]+, A-Z lower-cased, and one end; null text is empty. base_score is the smoothed word unigram,
     log10((c + 0.5) / (N + 0.5 (V + 1))) summed over the tokens, of counts in the rows for which `training` holds (null: it doesn't).
 
-    score is log10 of the text's probability under pieces: each word is a space mark and its characters, and the forward recursion adds up
-    all segmentations into pieces of an existing vocabulary, characters that are no piece spelled in bytes. As no piece has a
-    space mark inside, the lattice of the text is that of its words in a row, so each distinct word is scored once. The weights begin as the existing
-    scores' and are re-estimated on the counts of all training words, by drawn segmentations; the end is one more piece.
+    score is log10 of the text's probability: each word is a space mark and its characters, and the forward recursion adds up
+    all segmentations into pieces of an existing vocabulary, characters that are no piece spelled in bytes, and the arc over the whole word if training texts have it. As no piece has a
+    space mark inside, the lattice of the text is that of its words in a row, so each distinct word is scored once. The pieces' weights begin as the existing
+    scores' and are re-estimated on all distinct training words, by drawn segmentations; the end is a word of its own.
 
     The frequent words' scores, of a bounded number, are broadcast; the others' are joined, so no word's rows meet in a task uncounted. With no training
     rows the existing weights stand and the end has probability 0.5. An empty table gives an empty one; repeated rows get equal scores.
@@ -167,16 +172,15 @@ def scored(docs: DataFrame, training: Column, settings: Settings | None = None,
     tokens, kinds = total + ends, distinct + (ends > 0)
     vocab = Vocabulary.load(settings.model)
     prior = np.exp(vocab.log_w)
-    end_share = 0.5
     for _ in range(settings.rounds if tokens else 0):
         sent = context.broadcast(vocab)
-        seen = words.filter("n > 0").select("word", "n", F.xxhash64("word").alias("seed")).mapInArrow(piece_counts(sent), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        seen = words.filter("n > 0").select("word", F.xxhash64("word").alias("seed")).mapInArrow(piece_counts(sent), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
         counts = settings.prior * prior
         counts[seen["piece"].to_numpy()] += seen["n"].to_numpy()
         with np.errstate(divide="ignore"):
-            vocab = Vocabulary(vocab.pieces, vocab.byte_ids, np.log(counts / (counts.sum() + ends)))
-        end_share = ends / (counts.sum() + ends)
-    table = written(words.mapInArrow(word_scores(context.broadcast(vocab)), "word string, n long, score double"), "lm-scores")
+            vocab = Vocabulary(vocab.pieces, vocab.byte_ids, np.log(counts / counts.sum()))
+    end_share = ends / (tokens + kinds) if tokens else 0.5
+    table = written(words.mapInArrow(word_scores(context.broadcast(vocab), tokens, kinds), "word string, n long, score double"), "lm-scores")
     below = tokens + 0.5 * (kinds + 1)
     base = lambda n: float(np.log10((n + 0.5) / below))
     top = table.orderBy(F.col("n").desc(), "word").limit(settings.head).toArrow()
@@ -193,6 +197,6 @@ def scored(docs: DataFrame, training: Column, settings: Settings | None = None,
         F.sum(F.col("score") + F.coalesce(F.col("times") * F.col("of_word"), F.lit(0.0))).alias("score"),
     )
     lm = F.struct("n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
-    keep = [c for c in docs.columns if c not in (text_col, "_lm")]
+    keep = [f"`{c}`" for c in docs.columns if c not in (text_col, "_lm")]
     return rows.select(*keep, row).join(sums.select(F.col("row").alias(row), lm.alias("_lm")), row).select(*keep, "_lm")
 

@@ -134,4 +134,4 @@ def mixed(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_
         F.xxhash64(block_key, epoch).alias("block_key"),
         F.xxhash64(names[1], epoch).alias("row_key"),
     )
-    return drawn.select(*[c for c in docs.columns if c != "_mix"], keys.alias("_mix"))
+    return drawn.select(*[f"`{c}`" for c in docs.columns if c != "_mix"], keys.alias("_mix"))

@@ -1,0 +1,64 @@
+"""The registered queries and the pipeline on the small tables."""
+
+import hashlib
+from collections import Counter
+
+import corpus_pipeline
+import duckdb
+from gradus.llm import queries
+from pyspark.sql import functions as F
+
+
+def test_queries_equal_their_sql(spark, small):
+    con = duckdb.connect()
+    for name in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        want = con.sql(sql)
+        got = queries.queries()[name](spark, small).select(want.columns)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str), name
+
+
+def test_query_columns(spark, small):
+    n = spark.read.parquet(f"{small}/documents.parquet").count()
+    for name, columns in {
+        "op1_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
+        "op3_sentencepiece": ["doc_id", "ids", "n_pieces", "lossless"],
+        "op4_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+        "op5_sharding": ["doc_id", "shard"],
+        "op6_lm_scoring": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        "op8_lz_fingerprint": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        "op9_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"],
+    }.items():
+        found = queries.queries()[name](spark, small)
+        assert set(columns) <= set(found.columns) and found.count() == n, name
+    lm = queries.op6_lm_scoring(spark, small).filter("held_out").agg(F.avg(F.col("score") / F.col("n_tokens")), F.avg(F.col("base_score") / F.col("n_tokens"))).first()
+    assert 1.15 * lm[1] < lm[0] < 0
+    lz = queries.op8_lz_fingerprint(spark, small).agg(F.avg("near_edited"), F.avg("near_next")).first()
+    assert lz[0] > lz[1] + 0.2
+
+
+def test_pipeline(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    columns = docs.columns
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "sentencepiece"]
+    sizes = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, small).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        sizes.append(docs.count())
+        if name != "sentencepiece":
+            assert docs.columns == columns
+        if name == "exact_dedup":
+            texts = [hashlib.sha256("".join(r.text.split()).encode()).digest() for r in docs.collect()]
+            assert max(Counter(texts).values()) == 1
+    assert sizes[0] == sizes[1] > sizes[2] >= sizes[3] > 0
+    assert docs.filter("NOT lossless").count() == 0
+    assert corpus_pipeline.run(spark, small).count() == sizes[-1]
+
+
+def test_pipeline_drops_texts_without_language(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    odd = spark.createDataFrame([(-1, None, "en", "x", 0), (-2, "123 456", None, None, None)], docs.schema)
+    left = corpus_pipeline.identify(spark, docs.unionByName(odd), small)
+    assert left.count() == docs.count()

@@ -88,8 +88,11 @@ class Vocabulary:
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece with this hash; -1: a prefix only, -2: neither."""
         slot = (mix(h) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.where(self.keys[slot] == h, self.values[slot], -2)
-        left = np.nonzero((out == -2) & (self.keys[slot] != 0))[0]
+        key = self.keys[slot]
+        hit = key == h
+        out = np.full(len(h), -2, np.int32)
+        out[hit] = self.values[slot[hit]]
+        left = np.nonzero(~hit & (key != 0))[0]
         for d in range(1, self.probes):
             if not len(left):
                 break
@@ -159,22 +162,24 @@ def build(code: np.ndarray, starts: np.ndarray, sizes: np.ndarray, vocab: Vocabu
     source, target, piece, weight = map(np.concatenate, (source, target, piece, weight))
     nodes = total + chunks
     first = starts + np.arange(chunks)
-    depth = np.zeros(nodes, np.int64)
-    depth[node + 1] = np.arange(total) - np.repeat(starts, sizes) + 1
-    order = np.lexsort((source, target, depth[target]))
+    order = np.argsort(target, kind="stable")  # quick, as the arcs of each length are in order already
     source, target, piece, weight = source[order], target[order], piece[order], weight[order]
+    depth = np.zeros(nodes, np.int32)
+    depth[node + 1] = np.arange(total) - np.repeat(starts, sizes) + 1
+    deepest = int(depth.max(initial=0))
+    level = depth[target].astype(np.int16 if deepest < 1 << 15 else np.int32)
+    order = np.argsort(level, kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(level, minlength=deepest + 1))])
+    froms, tos, weights = source[order], target[order], weight[order]
     alpha = np.full(nodes, -np.inf)
     alpha[first] = 0
-    bounds = np.searchsorted(depth[target], np.arange(1, depth.max(initial=0) + 2))
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+    for lo, hi in zip(bounds[1:-1], bounds[2:], strict=True):
         if lo == hi:
             continue
-        value = alpha[source[lo:hi]] + weight[lo:hi]
-        head = np.nonzero(np.diff(target[lo:hi], prepend=-1))[0]
+        value, to = alpha[froms[lo:hi]] + weights[lo:hi], tos[lo:hi]
+        head = np.nonzero(np.diff(to, prepend=-1))[0]
         top = np.maximum.reduceat(value, head)
-        alpha[target[lo + head]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(head, append=hi - lo))), head))
-    order = np.argsort(target, kind="stable")
-    source, target, piece, weight = source[order], target[order], piece[order], weight[order]
+        alpha[to[head]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(head, append=hi - lo))), head))
     share = np.exp(alpha[source] + weight - alpha[target])
     run = np.cumsum(share)
     head = np.nonzero(np.diff(target, prepend=-1))[0]

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import fresh, pieces
 from .lattice import SPELLED, Vocabulary, build, chunk_hashes, chunk_starts, codes_of, mix, taken, utf8
 
-CHARS = 500_000
+CHARS = 1_000_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -31,7 +29,8 @@ def sample(texts: list[str], keys: np.ndarray, vocab: Vocabulary) -> tuple[np.nd
     text = np.repeat(np.arange(len(texts)), lengths)[starts]
     place = np.arange(len(starts)) - np.searchsorted(text, text)
     seed = mix(keys[text] + mix(place.astype(np.uint64)))
-    node, goal, at = (zero + own_sizes)[which], zero[which], np.arange(len(starts))
+    at = np.argsort(which, kind="stable")  # equal chunks together: their arcs are near each other
+    node, goal = (zero + own_sizes)[which[at]], zero[which[at]]
     steps, count = [], np.zeros(len(starts), np.int64)
     step = 0
     while len(at):
@@ -72,6 +71,24 @@ def joined(ids: np.ndarray, counts: np.ndarray, vocab: Vocabulary) -> list[str]:
     return [raw[i:j].decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def drawn(texts: pa.Array, keys: pa.Array, vocab: Vocabulary, check: bool) -> tuple[pa.Array, pa.Array]:
+    """Ids of each text (null for null) and, with check, whether they spell the text again."""
+    ids, counts, same = [], [], []
+    seeds = mix(keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+    for i, j in pieces(sizes, CHARS):
+        part = [t or "" for t in texts.slice(i, j - i).to_pylist()]
+        found, n = sample(part, seeds[i:j], vocab)
+        ids.append(found)
+        counts.append(n)
+        if check:
+            same += [a == b for a, b in zip(joined(found, n, vocab), part, strict=True)]
+    null = texts.is_null()
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts) if counts else np.zeros(0, np.int64))]).astype(np.int32)
+    values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=null), pc.if_else(null, None, pa.array(same, pa.bool_())) if check else null
+
+
 def encode(spark, text: Column, key: Column, model: str = MODEL, vocab: Vocabulary | None = None) -> Column:
     """array<int>: piece ids of a segmentation, drawn with the probability that the vocabulary's weights give it among all of them.
 
@@ -81,17 +98,9 @@ def encode(spark, text: Column, key: Column, model: str = MODEL, vocab: Vocabula
     """
     sent = spark.sparkContext.broadcast(vocab or Vocabulary.load(model))
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        known = sent.value.prepare()
-        values = [None if t is None else t for t in texts]
-        seeds = mix(keys.fillna(0).to_numpy(np.int64).view(np.uint64))
-        out: list = []
-        for i, j in pieces([len(t or "") for t in values], CHARS):
-            ids, counts = sample([t or "" for t in values[i:j]], seeds[i:j], known)
-            parts = np.split(ids, np.cumsum(counts)[:-1])
-            out += [None if t is None else p for t, p in zip(values[i:j], parts, strict=True)]
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        return drawn(texts, keys, sent.value.prepare(), False)[0]
 
     return run(text, F.xxhash64(key))
 
@@ -100,22 +109,28 @@ def decode(spark, ids: Column, model: str = MODEL, vocab: Vocabulary | None = No
     """The text of piece ids; null gives null. Ids of control pieces spell nothing; bytes that are no UTF-8 become U+FFFD, which encode() never gives."""
     sent = spark.sparkContext.broadcast(vocab or Vocabulary.load(model))
 
-    @F.pandas_udf("string")
-    def run(rows: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(rows: pa.Array) -> pa.Array:
         known = sent.value.prepare()
-        out: list = []
-        for i, j in pieces([0 if r is None else len(r) for r in rows], CHARS):
-            part = [np.zeros(0, np.int64) if r is None else np.asarray(r, np.int64) for r in rows.iloc[i:j]]
-            texts = joined(np.concatenate(part), np.array([len(p) for p in part]), known)
-            out += [None if r is None else t for r, t in zip(rows.iloc[i:j], texts, strict=True)]
-        return pd.Series(out, dtype=object)
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out: list[str] = []
+        for i, j in pieces(sizes.tolist(), CHARS):
+            out += joined(pc.list_flatten(rows.slice(i, j - i)).to_numpy(zero_copy_only=False).astype(np.int64), sizes[i:j], known)
+        return pc.if_else(rows.is_null(), None, pa.array(out, pa.string()))
 
     return run(ids)
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """docs with _ids, _n_pieces and _lossless (whether the decoded ids are the text; null for null). An empty table gives an empty one; repeated rows get equal ids."""
-    spark = docs.sparkSession
-    vocab = Vocabulary.load(model)
-    with_ids = docs.withColumn("_ids", encode(spark, F.col(text_col), F.col(id_col), vocab=vocab))
-    return with_ids.withColumns({"_n_pieces": F.when(F.col("_ids").isNotNull(), F.size("_ids")), "_lossless": decode(spark, F.col("_ids"), vocab=vocab) == F.col(text_col)})
+    """docs with _ids, _n_pieces and _lossless (whether the decoded ids are the text; null for null), from one pass. An empty table gives an empty one; repeated rows get equal ids."""
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+
+    @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        ids, same = drawn(texts, keys, sent.value.prepare(), True)
+        return pa.StructArray.from_arrays([ids, same], ["ids", "lossless"])
+
+    both = fresh(docs, "_both")
+    found = docs.withColumn(both, run(F.col(text_col).cast("string"), F.xxhash64(id_col)))
+    ids = F.col(f"{both}.ids")
+    return found.withColumns({"_ids": ids, "_n_pieces": F.when(ids.isNotNull(), F.size(ids)), "_lossless": F.col(f"{both}.lossless")}).drop(both)

@@ -41,6 +41,15 @@ SEQUENTIAL = r"\b(first|firstly|second|secondly|third|thirdly|next|then|finally|
 STRUCTURE_WEIGHTS = {"intro": 0.15, "body": 0.25, "conclusion": 0.10, "lists": 0.15, "definitions": 0.10, "examples": 0.10, "coherence": 0.15}
 STRUCTURE_BONUS = 0.08
 
+# What a sentence does, in the order of precedence, and how much that weighs.
+ROLE_CUES = [
+    ("definition", r"\b(is defined as|refers to|is the process|means that|can be defined|is known as|is called|denotes|is a |are the |consists of|comprises)\b"),
+    ("example", r"\b(for example|for instance|such as|e\.g\.|consider the|like |an example|illustrat)\b"),
+    ("transition", r"^(however|moreover|furthermore|in addition|on the other hand|therefore|thus|hence|in conclusion|to summarize|overall|additionally|consequently|as a result|in summary)\b"),
+    ("key_fact", r"\b(must|always|never|important|critical|essential|key |primary|fundamental|significant|crucial|main |major |necessary|required)\b"),
+]
+ROLE_WEIGHTS = {"definition": 1.5, "key_fact": 1.5, "explanation": 1.3, "example": 0.5, "transition": 0.3, "general": 1.0}
+
 # Padding.
 FILLERS = r"\b(it is important to note that|it should be noted that|it is worth mentioning that|as we all know|as everyone knows|needless to say|it goes without saying|in today's world|in the modern world|in today's society|since the beginning of time|from time immemorial|in this day and age|at the end of the day|when all is said and done|last but not least|each and every|first and foremost|the fact that|due to the fact that|in spite of the fact that|as a matter of fact|for all intents and purposes|it can be said that|it is well known that|basically|essentially|actually|literally|very very|really really)\b"
 HEDGES = r"\b(perhaps|maybe|possibly|arguably|somewhat|sort of|kind of|more or less|to some extent|in a way|in some sense|it seems|it appears)\b"

@@ -14,6 +14,7 @@ from gradus.functions import ocr as O
 from gradus.functions import scoring as G
 from gradus.functions import similarity as S
 from gradus.functions import text as T
+from gradus.operators import alignment as N
 from gradus.operators import answers as A
 from gradus.sources.tables import spread, table
 
@@ -363,3 +364,38 @@ def sentence_alignment(spark, d):
 @query()
 def folded_lines(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", A.folded(F.col("text")).alias("text"))
+
+
+def _role_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN {has(x, p)} THEN {q(n)}" for n, p in L.ROLE_CUES) + f" WHEN len({w(x)}) >= 8 THEN 'explanation' ELSE 'general' END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, {sents('text', 2)} AS ss FROM documents), y AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS s, unnest(range(0, len(ss))) AS place FROM x), z AS (SELECT *, {_role_sql('s')} AS role FROM y)
+ SELECT doc_id, place, role, round(greatest(0.3, least(2.0, 0.35 * (CASE role {' '.join(f"WHEN {q(k)} THEN {v}" for k, v in L.ROLE_WEIGHTS.items())} END) + 0.25 + 0.15 * (CASE WHEN place = 0 THEN 1.4 WHEN place = n - 1 THEN 1.2 WHEN place <= 2 THEN 1.1 ELSE 1.0 END) + 0.075))::DOUBLE, 6) AS importance FROM z""")
+def sentence_roles(spark, d):
+    x = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.sentences(F.col("text"), 2).alias("ss"))
+    y = x.select("doc_id", F.size("ss").alias("n"), F.posexplode("ss").alias("place", "s"))
+    return y.select("doc_id", "place", N.role(F.col("s")).alias("role"), r6(N.importance(F.col("s"), F.col("place"), F.col("n"))).alias("importance"))
+
+
+@query()
+def alignment_scores(spark, d):
+    x = N.aligned(turns(spark, d))
+    return x.select("conv_id", "turn", *[r6(F.col(c)).alias(c) for c in ("alignment", "coverage", "order", "depth", "gap", "combined")], "strong", "partial", "weak", "missing", "orphans")
+
+
+@query()
+def concept_coverage(spark, d):
+    x = N.concept_scores(turns(spark, d))
+    return x.select("conv_id", "turn", "n_concepts", "n_covered", "n_partial", F.size("missing").alias("n_missing"), *[r6(F.col(c)).alias(c) for c in ("coverage", "depth", "relevance", "verbosity", "copying", "density", "combined")])
+
+
+@query()
+def proposition_counts(spark, d):
+    x = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return x.select("doc_id", F.explode(N.propositions(F.col("text"))).alias("p")).groupBy("p.predicate").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query()
+def tfidf_pairs(spark, d):
+    return N.tfidf_cosine(pairs(spark, d), "doc_id").select("doc_id", r6(F.col("similarity")).alias("similarity"))

@@ -8,7 +8,7 @@ import pytest
 from gradus.functions import detectors as D
 from gradus.functions import lexicons as L
 from gradus.functions import ocr, scoring, similarity, text
-from gradus.operators import answers
+from gradus.operators import alignment, answers
 from pyspark.sql import functions as F
 
 
@@ -218,3 +218,43 @@ def test_folds(spark):
     assert answers.joined_lines("a broken wo\nrd here.\nNext") == "a broken word here.\nNext"
     assert answers.without_echoes("The same line\nThe same line!\nother\n\nmore text\nThe same line") == "The same line\nother\n\nmore text\nThe same line"
     assert of(spark, answers.folded, "x y\nX Y") == "x y"
+
+
+def test_roles_and_importance(spark):
+    for sentence, want in [("A cell is a unit.", "definition"), ("Take plants, for example.", "example"), ("However it fails.", "transition"), ("It must work.", "key_fact"), ("Roots take up water from soil during the night.", "explanation"), ("Roots drink.", "general")]:
+        assert of(spark, alignment.role, sentence) == want
+    assert value(spark, alignment.importance(F.col("s"), F.lit(0), F.lit(3)), s="A cell is a unit.") == pytest.approx(0.35 * 1.5 + 0.25 + 0.15 * 1.4 + 0.075)
+
+
+@pytest.mark.parametrize(("places", "want"), [([1, 2, 3], 1.0), ([3, 2, 1], 0.0), ([1], 1.0), ([2, 2], 0.5), ([1, 3, 2], 2 / 3)])
+def test_order_score(spark, places, want):
+    assert value(spark, alignment.order_score(F.col("p")), p=places) == pytest.approx(want)
+
+
+def test_aligned_answers(spark):
+    model = "Plants need light to grow. Roots take water in."
+    rows = [(1, model, "Plants need light to grow. Roots take water in."), (2, model, "Roots take water in. Plants need light to grow."), (3, model, "Football is fun today."), (4, model, ""), (5, None, "x y z")]
+    got = {r.id: r for r in alignment.aligned(spark.createDataFrame(rows, "id int, model string, student string")).collect()}
+    assert got[1].combined == pytest.approx(1.0) and got[1].strong == 2 and got[1].matched == [0, 1]
+    assert got[2].matched == [1, 0] and got[2].order == 0.0 and got[2].combined < got[1].combined
+    assert got[3].missing == 2 and got[3].combined < 0.2 and got[3].gap == pytest.approx(min(0.2, 0.08 * 2 * 0.9), abs=0.06)
+    assert (got[4].combined, got[5].combined, got[5].orphans) == (0.0, 0.0, 1)
+
+
+def test_concepts(spark):
+    assert alignment.triples("The kernel manages the memory. It runs. The kernel manages the memory.") == [("The kernel", "manages", "the memory")]
+    assert alignment.triples(None) == []
+    assert of(spark, alignment.phrases, "Red Blood Cells carry oxygen. Oxygen feeds muscle and muscle burns oxygen.") == ["red blood cells", "oxygen", "muscle"]
+    model = "Stacks store items. Stacks push items. Queues store items. Queues wait."
+    rows = [(1, model, model), (2, model, "Football football goals goals."), (3, "", "x")]
+    got = {r.id: r for r in alignment.concept_scores(spark.createDataFrame(rows, "id int, model string, student string")).collect()}
+    assert got[1].n_covered == got[1].n_concepts and got[1].coverage == 1.0 and got[1].copying == 0.20
+    assert got[2].coverage == 0.0 and got[2].relevance <= 0.5 and set(got[2].missing) == {"stacks", "items", "store", "queues"}
+    assert got[3].combined == 0.5
+
+
+def test_tfidf(spark):
+    frame = spark.createDataFrame([(1, "cell wall", "cell wall"), (2, "cell wall", "root hair"), (3, "", "x"), (4, "cell wall", "cell hair")], "id int, model string, student string")
+    got = {r.id: r.similarity for r in alignment.tfidf_cosine(frame, "id").collect()}
+    rare = (np.log(3 / 2) + 1) ** 2
+    assert got[1] == pytest.approx(1.0) and got[2] == 0.0 and got[3] == 0.0 and got[4] == pytest.approx(1 / (1 + 2 * rare))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradus.functions import detectors as D
+from gradus.functions import feedback as B
 from gradus.functions import lexicons as L
 from gradus.functions import ocr as O
 from gradus.functions import scoring as G
@@ -16,6 +17,7 @@ from gradus.functions import similarity as S
 from gradus.functions import text as T
 from gradus.operators import alignment as N
 from gradus.operators import answers as A
+from gradus.operators import spelling as Z
 from gradus.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -399,3 +401,30 @@ def proposition_counts(spark, d):
 @query()
 def tfidf_pairs(spark, d):
     return N.tfidf_cosine(pairs(spark, d), "doc_id").select("doc_id", r6(F.col("similarity")).alias("similarity"))
+
+
+@query(f"""WITH {_GAMING}, p AS (SELECT conv_id, turn, repetition, irrelevance, copy_shuffle, {sents('student', 3)} AS s3, {hits('student', L.FILLERS)} AS f, {hits('student', L.HEDGES)} AS h, {content(f"coalesce({sents('student', 3)}[1], '')")} AS a1, {content(f"coalesce({sents('student', 3)}[-1], '')")} AS z1 FROM z),
+ c AS (SELECT *, list_sum(list_transform(s3, lambda s: len(list_filter({w('s')}, lambda x: regexp_matches(x, '^\\p{{L}}+$') AND NOT list_contains({STOP}, x))))) AS content FROM p),
+ r AS (SELECT conv_id, turn, repetition, irrelevance, copy_shuffle, (CASE WHEN len(s3) < 2 THEN 0.0 ELSE least(CASE WHEN f >= 3 THEN least(f * 0.02, 0.08) WHEN f >= 2 THEN 0.03 ELSE 0 END + CASE WHEN h / len(s3) > 0.8 THEN 0.05 ELSE 0 END
+  + CASE WHEN len(s3) >= 4 AND {div('len(list_intersect(a1, z1))', 'least(len(a1), len(z1))')} > 0.7 THEN 0.05 ELSE 0 END + CASE WHEN len(s3) >= 3 AND content / len(s3) < 2 THEN 0.04 ELSE 0 END, 0.15) END)::DOUBLE AS padding FROM c)
+ SELECT conv_id, turn, round(least(repetition + irrelevance + padding + copy_shuffle, 0.40), 6) AS gaming_penalty, list_filter([CASE WHEN repetition >= 0.12 THEN 'repetition' END, CASE WHEN irrelevance >= 0.15 THEN 'irrelevance' END, CASE WHEN padding >= 0.08 THEN 'padding' END, CASE WHEN copy_shuffle >= 0.08 THEN 'copy_shuffle' END], lambda x: x IS NOT NULL) AS flags FROM r""")
+def gaming_report(spark, d):
+    s, m = F.col("student"), F.col("model")
+    x = turns(spark, d).select("conv_id", "turn", D.repetition(s).alias("repetition"), D.irrelevance(s, m).alias("irrelevance"), D.padding(s).alias("padding"), D.copy_shuffle(s, m).alias("copy_shuffle"))
+    report = B.gaming({n: F.col(n) for n in ("repetition", "irrelevance", "padding", "copy_shuffle")})
+    return x.select("conv_id", "turn", r6(report["gaming_penalty"]).alias("gaming_penalty"), report["flags"].alias("flags"))
+
+
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,12}')) AS word FROM documents), k AS (SELECT word, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 20), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,12}')) AS word FROM benchmark),
+ u AS (SELECT word FROM b WHERE word NOT IN (SELECT word FROM k)) SELECT u.word, k.word AS candidate, n, levenshtein(u.word, k.word) AS edits FROM u JOIN k ON abs(length(u.word) - length(k.word)) <= 1 AND levenshtein(u.word, k.word) <= 1""")
+def spelling_candidates(spark, d):
+    found = lambda t: table(spark, d, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,12})"), F.lit(1))).alias("word"))
+    known = found("documents").groupBy("word").agg(F.count("*").alias("n")).filter("n >= 20")
+    unknown = found("benchmark").distinct().join(known, "word", "left_anti")
+    return Z.candidates(unknown, known, 1)
+
+
+@query()
+def feedback(spark, d):
+    x = scores(spark, d).withColumn("grade", G.grade(F.col("semantic")))
+    return x.select("doc_id", "grade", B.suggestions(F.col("grade"), S.ratio(F.col("chars"), F.col("model_chars")), F.array().cast("array<string>")).alias("suggestions"))

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from gradus.functions import detectors as D
 from gradus.functions import lexicons as L
-from gradus.functions import ocr, scoring, similarity, text
-from gradus.operators import alignment, answers
+from gradus.functions import feedback, ocr, scoring, similarity, text
+from gradus.operators import alignment, answers, spelling
 from pyspark.sql import functions as F
 
 
@@ -258,3 +258,23 @@ def test_tfidf(spark):
     got = {r.id: r.similarity for r in alignment.tfidf_cosine(frame, "id").collect()}
     rare = (np.log(3 / 2) + 1) ** 2
     assert got[1] == pytest.approx(1.0) and got[2] == 0.0 and got[3] == 0.0 and got[4] == pytest.approx(1 / (1 + 2 * rare))
+
+
+def test_spelling(spark):
+    known = spark.createDataFrame([("word", 9), ("ward", 2), ("sword", 5), ("the", 50)], "word string, n int")
+    asked = spark.createDataFrame([("wrod",), ("woord",), ("the",), ("xyzzy",), ("wird",)], "word string")
+    got = {(r.word, r.candidate): r.edits for r in spelling.candidates(asked, known).collect()}
+    assert got["wrod", "word"] == 2 and got["woord", "word"] == 1 and got["woord", "sword"] == 2 and ("xyzzy", "the") not in got
+    assert {r.word: r.correction for r in spelling.corrected(asked, known).collect()} == {"wrod": "word", "woord": "word", "the": "the", "xyzzy": "xyzzy", "wird": "word"}
+    assert "modem" in of(spark, spelling.spellings, "modern") and "word" in of(spark, spelling.spellings, "vvord") + of(spark, spelling.spellings, "w0rd")
+    case = lambda a, b: value(spark, spelling.case_like(F.col("a"), F.col("b")), a=a, b=b)
+    assert (case("word", "WROD"), case("word", "Wrod"), case("word", "wrod")) == ("WORD", "Word", "word")
+
+
+def test_reports(spark):
+    got = feedback.gaming({"repetition": F.lit(0.2), "padding": F.lit(0.05), "gibberish": F.lit(0.3)})
+    assert value(spark, got["gaming_penalty"]) == 0.40 and value(spark, got["flags"]) == ["repetition", "gibberish"] and value(spark, got["warnings"]) == ["padding"]
+    assert value(spark, feedback.explanation(F.lit("good"), F.lit(3), F.lit(4))) == "Most of what was asked is there: 3 of 4 keywords."
+    tips = value(spark, feedback.suggestions(F.lit("poor"), F.lit(0.3), F.array(F.lit("cell"))))
+    assert len(tips) == 3 and tips[1] == "Mention cell."
+    assert value(spark, feedback.level_feedback(F.lit(4), F.lit(1))) == "The question asks to analyse; the answer comes to remember."

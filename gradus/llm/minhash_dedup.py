@@ -9,7 +9,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import pieces, written
 
@@ -21,6 +20,8 @@ BANDS = REGISTERS // ROWS
 SLACK = 0.215
 LOW_BITS = 0x5555555555555555
 SKETCH = ["k0", "k1", "k2", "k3"]
+#: Documents of a block, and shingles that are counted at once, when groups that meet in a bucket are compared.
+BLOCK, COLUMNS = 256, 4096
 CHARS = 2_000_000
 
 
@@ -166,6 +167,32 @@ def unlike(left: list[Column], right: list[Column]) -> Column:
     return sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(LOW_BITS))) for x in both[1:]), F.bit_count(both[0].bitwiseOR(F.shiftrightunsigned(both[0], 1)).bitwiseAND(F.lit(LOW_BITS))))
 
 
+def block_links(percent: int):
+    """Links between different groups among the documents of two blocks, one for each two groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, root, block = (table.column(c).to_numpy() for c in ("doc_id", "root", "block"))
+        lists = table.column("shingles").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        values, kind = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(len(ids)), size)
+        common = np.zeros((len(ids), len(ids)), np.float32)
+        order = np.argsort(kind, kind="stable")
+        kind, owner = kind[order], owner[order]
+        cuts = np.searchsorted(kind, np.arange(0, len(values) + COLUMNS, COLUMNS))
+        for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            part = np.zeros((len(ids), COLUMNS), np.float32)
+            part[owner[i:j], kind[i:j] - k * COLUMNS] = 1
+            common += part @ part.T
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        linked &= (root[:, None] != root[None, :]) & ((block[:, None] != block[None, :]) | (block.min() == block.max()))
+        x, y = np.nonzero(np.triu(linked, 1))
+        _, once = np.unique(np.stack([np.minimum(root[x], root[y]), np.maximum(root[x], root[y])], axis=1), axis=0, return_index=True)
+        return pa.table({"a": ids[x[once]], "b": ids[y[once]]})
+
+    return run
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """One row for each document with the smallest id that it reaches over links of near-duplicates.
 
@@ -174,10 +201,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents of one set are one class from the start. Candidates are classes that share a band of their SuperMinHash
     signature (at 0.75, (1 - 0.75 ** 4) ** 30, one link in 90,000, shares none) and whose sketches are alike. First each bucket's
-    members are compared with one of them, another in each band; links make groups. Where groups meet in a bucket, prefix
-    filtering finds the pairs that could still join two of them: with a common order of shingles, the sets of a link
-    share one of their first n - ceil(0.75 n) + 1, and the order begins with shingles that only one group has. So a group of
-    thousands of near copies costs a multiple of its size, and no link between groups is left out. Every link is confirmed on the full sets.
+    members are compared with one of them, another in each band; links make groups, and a group of copies costs a multiple of its
+    size. Where different groups meet in a bucket, the buckets' members are dealt into blocks, and each two blocks of a
+    cluster are compared whole, in a task of 512 documents at most. So no link between groups is left out, and
+    no pair becomes a row but a link. Every link is counted on the full sets.
 
     Returns (id, n_shingles, component_id, kept). A null id is left out of groups: its component_id is null and it is kept.
     Rows that repeat an id are one document of any of their texts. Other columns are ignored; an empty table gives an empty one.
@@ -215,19 +242,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = components(links)
 
     placed = written(buckets.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
-    torn = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
-    open_docs = placed.join(torn, "bucket", "left_semi").select("doc_id", "n", "root").distinct()
-    held = written(open_docs.join(sets, "doc_id").select("doc_id", "n", "root", F.explode("shingles").alias("shingle")), "open")
-    shared = held.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("shingle", "docs")
-    in_doc = Window.partitionBy("doc_id")
-    first = held.join(shared, "shingle").withColumns({"own": F.count("*").over(in_doc), "rank": F.row_number().over(in_doc.orderBy("docs", "shingle"))})
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    first = written(first.filter(F.col("rank") <= prefix - (F.col("n") - F.col("own"))).select("shingle", "doc_id", "n", "root"), "prefixes")
-    still = first.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("shingle")
-    left = first.join(still, "shingle", "left_semi")
-    right = left.select(F.col("shingle").alias("same"), F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
-    rest = left.join(right, (F.col("shingle") == F.col("same")) & (F.col("root") < F.col("other_root")) & near)
-    more = confirmed(rest.select(F.col("doc_id").alias("a"), F.col("other").alias("b")), "rest-links")
+    torn = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("doc_id").alias("first")).filter("low != high")
+    torn_rows = written(placed.join(torn.select("bucket", "first"), "bucket").select("doc_id", "root", "first"), "torn")
+    clusters = components(torn_rows.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    open_docs = torn_rows.select("doc_id", "root").distinct().join(clusters.select(F.col("id").alias("doc_id"), F.col("root").alias("cluster")), "doc_id")
+    count = open_docs.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = open_docs.join(count, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    met = dealt.join(sets, "doc_id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("cluster", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "doc_id", "root", "shingles")
+    more = written(met.groupBy("cluster", "low", "high").applyInArrow(block_links(percent), "a long, b long"), "rest-links")
 
     groups = components(links.unionByName(more))
     ends = member.join(groups.select(F.col("id").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root")).groupBy("doc_id").agg(F.min("root").alias("root"))

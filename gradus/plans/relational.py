@@ -124,12 +124,12 @@ def role_scoped_list(spark, d):
     return scoped("teacher", cases).unionByName(scoped("student", cases)).unionByName(scoped("admin", cases.filter("o_orderpriority = '2-HIGH'")))
 
 
-@query("""SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) FILTER (o_orderstatus = 'F') AS n_resolved, count(*) FILTER (o_orderstatus = 'P') AS n_escalated,
- count(*) FILTER (o_orderpriority = '1-URGENT') AS n_urgent, count(*) FILTER (o_orderpriority = '2-HIGH') AS n_high, count(*) FILTER (o_orderpriority = '5-LOW') AS n_low FROM orders WHERE o_custkey % 10 = 3""")
+@query("""SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) FILTER (o_orderstatus = 'F') AS n_resolved, count(*) FILTER (o_orderstatus = 'P') AS n_escalated,
+ count(*) FILTER (o_orderpriority = '1-URGENT') AS n_urgent, count(*) FILTER (o_orderpriority = '2-HIGH') AS n_high, count(*) FILTER (o_orderpriority = '5-LOW') AS n_low FROM orders GROUP BY 1""")
 def case_stats(spark, d):
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     conditions = {"total": F.lit(True), "n_open": status == "O", "n_resolved": status == "F", "n_escalated": status == "P", "n_urgent": priority == "1-URGENT", "n_high": priority == "2-HIGH", "n_low": priority == "5-LOW"}
-    return R.counted_where(table(spark, d, "orders").filter("o_custkey % 10 = 3"), [], conditions)
+    return R.counted_where(table(spark, d, "orders"), ["o_custkey"], conditions)
 
 
 @query("SELECT category, count(*) AS n FROM (SELECT nullif(nullif(o_orderpriority, '5-LOW'), '') AS category FROM orders) WHERE category IS NOT NULL GROUP BY 1")
@@ -179,10 +179,10 @@ def day_summary(spark, d):
     return table(spark, d, "events").filter((ts >= F.lit("2024-01-15").cast("timestamp_ntz")) & (ts < F.lit("2024-01-16").cast("timestamp_ntz"))).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY AND user_id = 8")
+@query("SELECT user_id, event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")
 def metric_trailing_days(spark, d):
     since = F.lit(NOW).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")
-    return table(spark, d, "events").filter((F.col("ts").cast("timestamp_ntz") >= since) & (F.col("user_id") == 8)).select("event_id", "value")
+    return table(spark, d, "events").filter(F.col("ts").cast("timestamp_ntz") >= since).select("user_id", "event_id", "value")
 
 
 @query("""WITH b AS (SELECT c_custkey AS row_no, 'mail' || (c_custkey // 2) AS email, 'r' || (c_custkey % 400) AS roll_no, c_nationkey AS class_id FROM customer),
@@ -196,10 +196,10 @@ def bulk_accept_reject(spark, d):
     return R.accepted(batch, there, [["email"], ["roll_no", "class_id"]], ["row_no"]).select("row_no", "reason")
 
 
-@query("""SELECT 'ai' AS kind, o_orderkey AS id, o_custkey AS student, o_totalprice AS score, o_orderdate AS at FROM orders WHERE o_custkey = 11
- UNION ALL SELECT 'manual', l_orderkey, o_custkey, l_extendedprice, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 11""")
+@query("""SELECT 'ai' AS kind, o_orderkey AS id, o_custkey AS student, o_totalprice AS score, o_orderdate AS at FROM orders
+ UNION ALL SELECT 'manual', l_orderkey, o_custkey, l_extendedprice, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def evaluations_union(spark, d):
-    o = table(spark, d, "orders").filter("o_custkey = 11")
+    o = table(spark, d, "orders")
     ai = o.select(F.lit("ai").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("student"), F.col("o_totalprice").alias("score"), F.col("o_orderdate").alias("at"))
     manual = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit("manual").alias("kind"), F.col("l_orderkey").alias("id"), F.col("o_custkey").alias("student"), F.col("l_extendedprice").alias("score"), F.col("l_shipdate").alias("at"))
     return ai.unionByName(manual)
@@ -212,14 +212,14 @@ def full_align(spark, d):
     return R.full_aligned(m.filter("role = 'user'"), m.filter("role = 'assistant'"), ["conv_id", "number"], "chars", ("model", "student"), "turn")
 
 
-@query("""WITH w AS (SELECT range AS id FROM range(0, 200)), m AS (SELECT c_custkey AS id, c_acctbal > 0 AS active FROM customer WHERE c_custkey % 3 = 0), k AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 150)
- SELECT w.id, CASE WHEN k.id IS NULL THEN 'not_found' WHEN m.id IS NULL THEN 'added' WHEN m.active THEN 'already' ELSE 'reactivated' END AS outcome FROM w LEFT JOIN k ON k.id = w.id LEFT JOIN m ON m.id = w.id
- WHERE w.id <= (SELECT max(c_custkey) FROM customer) + 50""")
+@query("""WITH w AS (SELECT DISTINCT user_id AS id FROM events UNION SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'), m AS (SELECT c_custkey AS id, c_acctbal > 0 AS active FROM customer WHERE c_mktsegment = 'MACHINERY'), k AS (SELECT c_custkey AS id FROM customer)
+ SELECT w.id, CASE WHEN k.id IS NULL THEN 'not_found' WHEN m.id IS NULL THEN 'added' WHEN m.active THEN 'already' ELSE 'reactivated' END AS outcome FROM w LEFT JOIN k ON k.id = w.id LEFT JOIN m ON m.id = w.id""")
 def member_upsert(spark, d):
     c = table(spark, d, "customer")
-    known = c.filter("c_custkey < 150").select(F.col("c_custkey").alias("id"), F.lit(True).alias("known"))
-    members = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("active"))
-    wanted = spark.range(200).crossJoin(F.broadcast(c.agg(F.max("c_custkey").alias("last")))).filter("id <= last + 50").select("id")
+    known = c.select(F.col("c_custkey").alias("id"), F.lit(True).alias("known"))
+    members = c.filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("active"))
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+    wanted = table(spark, d, "events").select(F.col("user_id").alias("id")).unionByName(urgent).distinct()
     outcome = F.when(F.col("known").isNull(), "not_found").when(F.col("active").isNull(), "added").when(F.col("active"), "already").otherwise("reactivated")
     return wanted.join(known, "id", "left").join(members, "id", "left").select("id", outcome.alias("outcome"))
 
@@ -259,10 +259,10 @@ def response_counts(spark, d):
     return R.with_child_count(table(spark, d, "orders").select("o_orderkey"), child, "o_orderkey", "l_orderkey", "responses")
 
 
-@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END, 0) AS score FROM orders WHERE coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END, 0) BETWEEN 0 AND 250000 AND lower(o_orderstatus) = 'f'
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END, 0) AS score FROM orders WHERE coalesce(CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END, 0) BETWEEN 0 AND 250000 AND lower(o_orderstatus) = 'f'
  ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
 def score_range_list(spark, d):
-    o = table(spark, d, "orders").withColumn("score", F.coalesce(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")), F.lit(0.0)))
+    o = table(spark, d, "orders").withColumn("score", F.coalesce(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")), F.lit(0.0)))
     found = o.filter(F.col("score").between(0, 250000) & (F.lower("o_orderstatus") == "f"))
     return found.orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(50).select("o_orderkey", "score")
 
@@ -344,9 +344,9 @@ def sequence_confidence(spark, d):
     return y.select("conv_id", confidence.alias("confidence"))
 
 
-@query("""SELECT DISTINCT n_nationkey, n_name FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 50 = 4 WHERE n_regionkey = 2 OR (c_custkey IS NOT NULL AND c_acctbal > 0)""")
+@query("""SELECT DISTINCT n_nationkey, n_name FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = 'MACHINERY' WHERE n_regionkey = 2 OR (c_custkey IS NOT NULL AND c_acctbal > 9800)""")
 def my_communities(spark, d):
-    member = table(spark, d, "customer").filter("c_custkey % 50 = 4 AND c_acctbal > 0").select(F.col("c_nationkey").alias("n_nationkey")).distinct().withColumn("member", F.lit(True))
+    member = table(spark, d, "customer").filter("c_mktsegment = 'MACHINERY' AND c_acctbal > 9800").select(F.col("c_nationkey").alias("n_nationkey")).distinct().withColumn("member", F.lit(True))
     return table(spark, d, "nation").join(member, "n_nationkey", "left").filter((F.col("n_regionkey") == 2) | F.col("member")).select("n_nationkey", "n_name")
 
 

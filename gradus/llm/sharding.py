@@ -27,6 +27,9 @@ class Shards:
     A manifest is a table of the live shards (path, bytes, n_rows, checksum, tier). Version n is committed by renaming one
     small file to versions/n.json, which fails if it is there: readers see a version whole or not at all, and of two
     writers one gets Conflict and may begin anew. Old shards and manifests stay, so readers of old versions go on.
+
+    Rows are kept as they are, with nulls, empty and very long texts, ties and repeats; columns may have any names but can't be
+    maps, which have no hash. An arrival without rows commits a version with the same shards; compacting an empty table does nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 64 << 20, fan: int = 4, rows_a_shard: int = 1000):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .similarity import overlap_first, overlap_smaller, ratio
-from .text import content_words, hits, let, paragraphs, sentences, type_token_ratio, words
+from .text import content_words, hits, let, paragraphs, sentences, strip, type_token_ratio, words
 
 
 def steps(value: Column, *cuts: tuple[float, float]) -> Column:
@@ -118,6 +121,38 @@ def repetition(text: Column) -> Column:
     return let(F.transform(sentences(text, 3), content_words), penalty)
 
 
+def twins(sets: list[list[str]], like: float = 0.85) -> int:
+    """How many sentences, given as distinct words, share that part of the smaller one's words with another.
+
+    Equal sets are compared once. A set meets only those that have one of its rarest words, as many as it may miss and one more: who shares enough has one.
+    """
+    times = Counter(frozenset(s) for s in sets if len(s))
+    kinds = list(times)
+    found = [times[s] > 1 for s in kinds]
+    places: dict[str, list[int]] = {}
+    for i, s in enumerate(kinds):
+        for word in s:
+            places.setdefault(word, []).append(i)
+    for i, s in enumerate(kinds):
+        least = next(m for m in range(1, len(s) + 1) if m / len(s) >= like)
+        for word in sorted(s, key=lambda w: len(places[w]))[: len(s) - least + 1]:
+            for j in places[word]:
+                if i != j and len(kinds[j]) >= len(s) and not (found[i] and found[j]) and len(s & kinds[j]) >= least:
+                    found[i] = found[j] = True
+    return sum(times[s] for s, f in zip(kinds, found, strict=True) if f)
+
+
+def repetition_of_many(text: Column) -> Column:
+    """repetition() for texts of any number of sentences, without comparing all pairs."""
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([0 if t is None else twins(t) for t in texts], dtype="int32")
+
+    sets = F.transform(sentences(text, 3), content_words)
+    return F.when(F.size(sets) < 2, 0.0).otherwise(F.least(ratio(run(sets), F.size(sets)) * 0.35, F.lit(0.20)))
+
+
 def irrelevant(student: Column, model: Column) -> Column:
     """Places of sentences, from 0, that share less than a tenth of their words with any sentence of the model."""
     own, other = F.transform(sentences(student, 3), content_words), F.transform(sentences(model, 3), content_words)
@@ -172,9 +207,9 @@ def gibberish(text: Column, entropy: Column, vocabulary: list[str] | None = None
     """Entropy of letters, known words, vowels, odd characters and variety. vocabulary: words that count as known, stop words and more."""
     text = F.coalesce(text, F.lit(""))
     ws = words(text)
-    known = F.array(*[F.lit(w) for w in (vocabulary or L.STOP_WORDS)])
+    known = vocabulary or L.STOP_WORDS
     letters = F.filter(ws, lambda w: w.rlike(r"^\p{L}+$"))
-    real = ratio(F.size(F.filter(letters, lambda w: F.array_contains(known, w))), F.size(letters))
+    real = ratio(F.size(F.filter(letters, lambda w: w.isin(known))), F.size(letters))
     plain = F.regexp_replace(F.lower(text), "[^a-z]", "")
     vowels = F.regexp_count(plain, F.lit("[aeiou]"))
     balance = ratio(vowels, F.greatest(F.char_length(plain) - vowels, F.lit(1)))
@@ -187,6 +222,17 @@ def gibberish(text: Column, entropy: Column, vocabulary: list[str] | None = None
     return F.when(F.char_length(F.trim(text)) < 15, 0.0).otherwise(F.least(penalty, F.lit(0.30)))
 
 
+def entropy(text: Column) -> Column:
+    """Entropy in bits of a text's characters, in lower case; 0 for none."""
+
+    def bits(t: Column) -> Column:
+        n = F.char_length(t)
+        counts = F.transform(F.filter(F.array_distinct(F.split(t, "")), lambda c: c != ""), lambda c: (n - F.char_length(F.replace(t, c, F.lit("")))).cast("double"))
+        return F.coalesce(F.log2(n) - F.try_divide(F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * F.log2(k)), n), F.lit(0.0))
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), bits)
+
+
 def padding(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     sents = sentences(text, 3)
@@ -203,6 +249,23 @@ def padding(text: Column) -> Column:
     return F.when(n < 2, 0.0).otherwise(F.least(penalty, F.lit(0.15)))
 
 
+def gaming(student: Column, model: Column, keyword: Column, semantic: Column, found: Column) -> dict[str, Column]:
+    """The penalties of all six detectors; 0 where the answer or the model has fewer than ten characters.
+
+    keyword: coverage; semantic: likeness of meaning; found: the model's keywords that the answer has.
+    """
+    penalties = {
+        "repetition": repetition_of_many(student),
+        "irrelevance": irrelevance(student, model),
+        "stuffing": stuffing(student, model, keyword, semantic, found),
+        "gibberish": gibberish(student, entropy(student), L.STOP_WORDS + L.COMMON_WORDS),
+        "padding": padding(student),
+        "copy_shuffle": copy_shuffle(student, model),
+    }
+    long = (F.char_length(strip(student)) >= 10) & (F.char_length(strip(model)) >= 10)
+    return {n: F.when(long, p).otherwise(0.0) for n, p in penalties.items()}
+
+
 def level(text: Column, cues: list[list[str]]) -> Column:
     """(level, confidence, hits): the cognitive level with the greatest weighted number of cues, the lowest of equals, and how sure that is; (2, 0.3) without a cue."""
     counts = F.array(*[sum((hits(text, p) for p in group[1:]), hits(text, group[0])) for group in cues])

@@ -8,6 +8,21 @@ if when which who whom what where how all each every both few more most other so
 just about up down here there any
 """.split()
 
+# Besides stop words, what counts as a known word where gibberish is looked for.
+COMMON_WORDS = """
+also back because been call come day did even find first get give go good great hand help high keep know large last let life like line long look made
+make many much name need new next number old one open order part people place point right said same say set show small start state still take tell
+think three time turn two use used want way well work world year data system process computer program software method function class object type value
+code example different important information result problem question answer student learning define defined definition means refers concept theory
+based include includes including following given called known describes description explain provides using however therefore thus hence since although
+while where when which between through during other another such each every these those there here most after before above below under over specific
+general particular certain various main primary major key basic simple complex structure form level step stage phase memory network database server
+client user input output file table list array queue stack tree graph node edge path algorithm sort search binary linear recursive loop variable
+constant parameter argument return language model test case error exception handle manage control operate perform execute create delete update read
+write access public private protected static final abstract interface implement extend inherit override application service component module package
+library framework platform environment tool
+""".split()
+
 # Structure of an answer; all ignore case.
 INTRO = r"^(.*?\b(is defined as|refers to|is the process|is a |are the |means that|can be described|is known as|denotes|consists of|comprises)\b|(in this context|generally|broadly|fundamentally|essentially|to understand|to begin with|the concept of|the term)\b)"
 CONTEXT = r"^(in computing|in biology|in physics|in chemistry|in mathematics|in software engineering|in economics|in the field of|according to|the term|the concept|a |an )\b"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -319,13 +319,20 @@ def frequent_concepts(spark, d):
     return n.withColumn("place", F.row_number().over(w)).filter("place <= 40")
 
 
+def covered(model: str, matched: str) -> Column:
+    """S.coverage of distinct keywords whose matched ones are known."""
+    return F.when(F.size(model) == 0, 1.0).otherwise(S.ratio(F.size(matched), F.size(model)))
+
+
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    """Component scores of each document against its item: word overlap stands for meaning, keywords, structure and gaming as they are."""
+    """Component scores of each document against its item: word overlap stands for meaning, keywords and structure as they are, gaming is the capped sum of all six detectors."""
     s, m = F.col("student"), F.col("model")
     x = pairs(spark, d).withColumns({"sw": F.array_distinct(T.words(s)), "mw": F.array_distinct(T.words(m)), "sk": T.keywords(s), "mk": T.keywords(m)})
-    structure = D.structure(s)
+    x = x.withColumns({"semantic": S.overlap_smaller(F.col("sw"), F.col("mw")), "matched": S.matched(F.col("mk"), F.col("sk"))}).withColumn("keyword", covered("mk", "matched"))
+    x = x.withColumns(D.gaming(s, m, F.col("keyword"), F.col("semantic"), F.col("matched")))
+    structure, gaming = D.structure(s), B.gaming({n: F.col(n) for n in B.GAMING_CAPS})
     kind = F.array(*[F.lit(k) for k in L.QUESTION_WEIGHTS])
-    return x.select("doc_id", F.char_length("student").alias("chars"), F.char_length("model").alias("model_chars"), F.get(kind, (F.col("doc_id") % 4).cast("int")).alias("kind"), S.overlap_smaller(F.col("sw"), F.col("mw")).alias("semantic"), S.coverage(F.col("mk"), F.col("sk")).alias("keyword"), S.jaccard(F.col("sw"), F.col("mw")).alias("graph"), structure["structural_score"].alias("structural"), structure["structure_bonus"].alias("bonus"), S.length_penalty(s, m).alias("length_penalty"), D.padding(s).alias("gaming"))
+    return x.select("doc_id", F.char_length("student").alias("chars"), F.char_length("model").alias("model_chars"), F.get(kind, (F.col("doc_id") % 4).cast("int")).alias("kind"), "semantic", "keyword", S.jaccard(F.col("sw"), F.col("mw")).alias("graph"), structure["structural_score"].alias("structural"), structure["structure_bonus"].alias("bonus"), S.length_penalty(s, m).alias("length_penalty"), gaming["gaming_penalty"].alias("gaming"))
 
 
 @query()
@@ -415,6 +422,42 @@ def gaming_report(spark, d):
     return x.select("conv_id", "turn", r6(report["gaming_penalty"]).alias("gaming_penalty"), report["flags"].alias("flags"))
 
 
+def _gaming_all_sql() -> str:
+    known = "[" + ", ".join(q(x) for x in L.STOP_WORDS + L.COMMON_WORDS) + "]"
+    keys = lambda c: f"list_filter(list_transform({w(c)}, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: length(x) >= 3 AND NOT list_contains({STOP}, x))"
+    six = list(B.GAMING_CAPS)
+    high = ", ".join(f"CASE WHEN {n} >= {B.SEVERITY[n][1]} THEN '{n}' END" for n in six)
+    medium = ", ".join(f"CASE WHEN {n} >= {B.SEVERITY[n][0]} AND {n} < {B.SEVERITY[n][1]} THEN '{n}' END" for n in six)
+    return f"""WITH {_GAMING}, p AS (SELECT *, {sents('student', 3)} AS s3, {hits('student', L.FILLERS)} AS f, {hits('student', L.HEDGES)} AS h, {w('student')} AS sw, {w('model')} AS mw, {keys('student')} AS sk, {keys('model')} AS mk,
+ regexp_replace(lower(student), '[^a-z]', '', 'g') AS plain, list_filter({w('student')}, lambda x: regexp_matches(x, '^\\p{{L}}+$')) AS ls, map_values(list_histogram(list_filter(string_split(lower(student), ''), lambda c: c <> ''))) AS hist FROM z),
+ k AS (SELECT *, list_filter(sk, lambda x, i: list_position(sk, x) = i)[1:10] AS s, list_filter(mk, lambda x, i: list_position(mk, x) = i)[1:10] AS m, {content("coalesce(s3[1], '')")} AS a1, {content("coalesce(s3[-1], '')")} AS z1,
+  list_sum(list_transform(s3, lambda t: len(list_filter({w('t')}, lambda x: regexp_matches(x, '^\\p{{L}}+$') AND NOT list_contains({STOP}, x))))) AS content, log2(list_sum(hist)) - list_sum(list_transform(hist, lambda n: n * log2(n))) / list_sum(hist) AS entropy,
+  {div(f'len(list_filter(ls, lambda x: list_contains({known}, x)))', 'len(ls)')} AS real, len(regexp_extract_all(plain, '[aeiou]')) AS v, {div("len(regexp_extract_all(student, '[^\\p{L}\\p{N}\\s]'))", 'length(student)')} AS odd, {div('len(list_intersect(sw, mw))', 'least(len(list_distinct(sw)), len(list_distinct(mw)))')} AS semantic FROM p),
+ r AS (SELECT *, list_filter(m, lambda a: len(list_filter(s, lambda b: a = b OR contains(a, b) OR contains(b, a) OR 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.8)) > 0) AS found FROM k),
+ t AS (SELECT *, CASE WHEN len(m) = 0 THEN 1.0 ELSE len(found)::DOUBLE / len(m) END - semantic AS gap, {div('len(list_filter(sw, lambda x: list_contains(found, x)))', 'len(sw)')} AS da, {div('len(list_filter(mw, lambda x: list_contains(found, x)))', 'len(mw)')} AS db FROM r),
+ g AS (SELECT conv_id, turn, repetition, irrelevance, copy_shuffle, length({strip('student')}) >= 10 AND length({strip('model')}) >= 10 AS long,
+  (CASE WHEN len(sw) < 5 THEN 0.0 ELSE least(CASE WHEN gap > 0.30 THEN least((gap - 0.30) * 0.5, 0.10) ELSE 0 END + CASE WHEN len(found) = 0 THEN 0 ELSE CASE WHEN db > 0 AND da > db * 2.5 THEN least((da / greatest(db, 0.001) - 2.5) * 0.04, 0.08) ELSE 0 END
+   + CASE WHEN len(sw) / greatest(len(s3), 1) < 4 AND len(found) >= 3 THEN 0.06 ELSE 0 END END, 0.20) END)::DOUBLE AS stuffing,
+  (CASE WHEN length(trim(student)) < 15 THEN 0.0 ELSE least(CASE WHEN entropy > 4.8 THEN least((entropy - 4.8) * 0.15, 0.10) ELSE 0 END + CASE WHEN len(ls) >= 8 AND real < 0.40 THEN least((0.40 - real) * 0.5, 0.12) ELSE 0 END
+   + CASE WHEN length(plain) >= 20 AND (v / greatest(length(plain) - v, 1) < 0.2 OR v / greatest(length(plain) - v, 1) > 1.5) THEN 0.08 ELSE 0 END + CASE WHEN odd > 0.15 THEN least(odd * 0.3, 0.08) ELSE 0 END
+   + CASE WHEN len(sw) BETWEEN 5 AND 50 AND {div('len(list_distinct(sw))', 'len(sw)')} < 0.30 THEN 0.06 ELSE 0 END, 0.30) END)::DOUBLE AS gibberish,
+  (CASE WHEN len(s3) < 2 THEN 0.0 ELSE least(CASE WHEN f >= 3 THEN least(f * 0.02, 0.08) WHEN f >= 2 THEN 0.03 ELSE 0 END + CASE WHEN h / len(s3) > 0.8 THEN 0.05 ELSE 0 END
+   + CASE WHEN len(s3) >= 4 AND {div('len(list_intersect(a1, z1))', 'least(len(a1), len(z1))')} > 0.7 THEN 0.05 ELSE 0 END + CASE WHEN len(s3) >= 3 AND content / len(s3) < 2 THEN 0.04 ELSE 0 END, 0.15) END)::DOUBLE AS padding FROM t),
+ e AS (SELECT conv_id, turn, {', '.join(f'CASE WHEN long THEN {n} ELSE 0.0 END AS {n}' for n in six)} FROM g)
+ SELECT conv_id, turn, {', '.join(f'round({n}, 6) AS {n}' for n in six)}, round(least({' + '.join(six)}, {B.GAMING_CAP}), 6) AS gaming_penalty, list_filter([{high}], lambda x: x IS NOT NULL) AS flags, list_filter([{medium}], lambda x: x IS NOT NULL) AS warnings FROM e"""
+
+
+@query(_gaming_all_sql())
+def gaming_report_all(spark, d):
+    """All six detectors, as final_grade takes them; gaming_report has the four that look at sentences."""
+    s, m = F.col("student"), F.col("model")
+    x = turns(spark, d).withColumns({"mk": T.keywords(m), "sk": T.keywords(s), "semantic": S.overlap_smaller(F.array_distinct(T.words(s)), F.array_distinct(T.words(m)))})
+    x = x.withColumn("matched", S.matched(F.col("mk"), F.col("sk"))).withColumn("keyword", covered("mk", "matched"))
+    x = x.select("conv_id", "turn", *[p.alias(n) for n, p in D.gaming(s, m, F.col("keyword"), F.col("semantic"), F.col("matched")).items()])
+    report = B.gaming({n: F.col(n) for n in B.GAMING_CAPS})
+    return x.select("conv_id", "turn", *[r6(F.col(n)).alias(n) for n in B.GAMING_CAPS], r6(report["gaming_penalty"]).alias("gaming_penalty"), report["flags"].alias("flags"), report["warnings"].alias("warnings"))
+
+
 @query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,12}')) AS word FROM documents), k AS (SELECT word, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 20), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,12}')) AS word FROM benchmark),
  u AS (SELECT word FROM b WHERE word NOT IN (SELECT word FROM k)) SELECT u.word, k.word AS candidate, n, levenshtein(u.word, k.word) AS edits FROM u JOIN k ON abs(length(u.word) - length(k.word)) <= 1 AND levenshtein(u.word, k.word) <= 1""")
 def spelling_candidates(spark, d):

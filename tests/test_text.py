@@ -5,10 +5,12 @@ import random
 
 import numpy as np
 import pytest
+from gradus import plans
 from gradus.functions import detectors as D
 from gradus.functions import lexicons as L
 from gradus.functions import feedback, ocr, scoring, similarity, text
 from gradus.operators import alignment, answers, spelling
+from gradus.plans import text as text_plans
 from pyspark.sql import functions as F
 
 
@@ -106,6 +108,32 @@ def test_gaming(spark):
     assert value(spark, D.gibberish(F.col("s"), F.lit(5.2)), s="xkcd zzqr bvnm qwrt plkj hgfd zxcv mnbq wrtp") > 0.2
 
 
+def test_twins_equal_all_pairs():
+    rnd = random.Random(3)
+    for n in (1, 2, 9):
+        sets = [list({rnd.choice("abcdefg") for _ in range(rnd.randint(0, n))}) for _ in range(60)]
+        pair = lambda a, b: a and b and len(set(a) & set(b)) / min(len(a), len(b)) >= 0.85
+        assert D.twins(sets) == sum(any(i != j and pair(a, b) for j, b in enumerate(sets)) for i, a in enumerate(sets))
+
+
+def test_entropy(spark):
+    assert of(spark, D.entropy, "aabB") == pytest.approx(1.0) and of(spark, D.entropy, "") == 0.0 and of(spark, D.entropy, None) == 0.0 and of(spark, D.entropy, "😀é") == pytest.approx(1.0)
+
+
+def test_all_six_detectors_reach_the_grade(spark, tmp_path):
+    model = "The cell membrane keeps the nucleus and controls transport of water between tissues."
+    odd = "xkcd zzqr bvnm qwrt plkj hgfd zxcv mnbq wrtp"
+    stuffed = "cell cell membrane. cell nucleus. cell transport. cell membrane cell."
+    spark.createDataFrame([(0, odd), (1, stuffed), (2, model)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, model)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    chat = [(c, t, r, x) for c, a in enumerate((odd, stuffed, model)) for t, r, x in ((0, "user", model), (1, "assistant", a))]
+    spark.createDataFrame(chat, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    report = {r.conv_id: r for r in plans.queries()["gaming_report_all"](spark, str(tmp_path)).collect()}
+    assert "gibberish" in report[0].flags and report[0].irrelevance > 0 and report[1].stuffing > 0 and report[2].gibberish == report[2].stuffing == 0
+    used = {r.doc_id: r.gaming for r in text_plans.scores(spark, str(tmp_path)).collect()}
+    assert used == pytest.approx({c: r.gaming_penalty for c, r in report.items()}, abs=1e-6) and used[0] == 0.40
+
+
 @pytest.mark.parametrize(("penalty", "want"), [(0.0, "none"), (0.049, "low"), (0.05, "medium"), (0.12, "high")])
 def test_severity(spark, penalty, want):
     assert value(spark, D.severity(F.col("p"), 0.05, 0.12), p=penalty) == want

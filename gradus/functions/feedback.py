@@ -30,7 +30,7 @@ def suggestions(grade: Column, length_ratio: Column, missing: Column, structure:
     """What would help, most important first."""
     tips = [
         F.when(length_ratio < 0.5, F.lit("Write more: the answer is less than half as long as expected.")),
-        F.when(length_ratio > 3.0, F.lit("Be brief: the answer is more than three times as long as expected.")),
+        F.when(length_ratio > 2.0, F.lit("Be brief: the answer is more than twice as long as expected.")),
         F.when(F.size(missing) > 0, F.concat(F.lit("Mention "), F.array_join(F.slice(missing, 1, 5), ", "), F.lit("."))),
         F.when(grade.isin("poor", "average"), F.lit("Go over the topic again.")),
     ]

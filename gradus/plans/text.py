@@ -332,16 +332,22 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     x = x.withColumns(D.gaming(s, m, F.col("keyword"), F.col("semantic"), F.col("matched")))
     structure, gaming = D.structure(s), B.gaming({n: F.col(n) for n in B.GAMING_CAPS})
     kind = F.array(*[F.lit(k) for k in L.QUESTION_WEIGHTS])
-    return x.select("doc_id", F.char_length("student").alias("chars"), F.char_length("model").alias("model_chars"), F.get(kind, (F.col("doc_id") % 4).cast("int")).alias("kind"), "semantic", "keyword", S.jaccard(F.col("sw"), F.col("mw")).alias("graph"), structure["structural_score"].alias("structural"), structure["structure_bonus"].alias("bonus"), S.length_penalty(s, m).alias("length_penalty"), gaming["gaming_penalty"].alias("gaming"))
+    return x.select("doc_id", F.array_except("mk", "matched").alias("missing"), F.char_length("student").alias("chars"), F.char_length("model").alias("model_chars"), F.get(kind, (F.col("doc_id") % 4).cast("int")).alias("kind"), "semantic", "keyword", S.jaccard(F.col("sw"), F.col("mw")).alias("graph"), structure["structural_score"].alias("structural"), structure["structure_bonus"].alias("bonus"), S.length_penalty(s, m).alias("length_penalty"), gaming["gaming_penalty"].alias("gaming"))
 
 
-@query()
-def final_grade(spark, d):
+def graded(spark: SparkSession, d: str) -> DataFrame:
+    """scores() with the weighted mean, the final score and its grade."""
     x = scores(spark, d)
     none = F.lit(None).cast("double")
     weighted = G.redistributed(F.col("kind"), {"semantic": F.col("semantic"), "concept_graph": F.col("graph"), "sentence_alignment": none, "keyword": F.col("keyword"), "diagram": none})
     x = x.withColumn("weighted", weighted).withColumn("score", G.final(F.col("weighted"), F.col("length_penalty"), F.col("bonus"), F.col("gaming")))
-    return x.select("doc_id", "kind", r6(F.col("weighted")).alias("weighted"), r6(F.col("score")).alias("score"), F.round(F.col("score") * 10, 2).alias("marks"), G.grade(F.col("score")).alias("grade"))
+    return x.withColumn("grade", G.grade(F.col("score")))
+
+
+@query()
+def final_grade(spark, d):
+    x = graded(spark, d)
+    return x.select("doc_id", "kind", r6(F.col("weighted")).alias("weighted"), r6(F.col("score")).alias("score"), F.round(F.col("score") * 10, 2).alias("marks"), "grade")
 
 
 @query()
@@ -469,5 +475,5 @@ def spelling_candidates(spark, d):
 
 @query()
 def feedback(spark, d):
-    x = scores(spark, d).withColumn("grade", G.grade(F.col("semantic")))
-    return x.select("doc_id", "grade", B.suggestions(F.col("grade"), S.ratio(F.col("chars"), F.col("model_chars")), F.array().cast("array<string>")).alias("suggestions"))
+    x = graded(spark, d)
+    return x.select("doc_id", "grade", B.suggestions(F.col("grade"), S.ratio(F.col("chars"), F.col("model_chars")), F.col("missing")).alias("suggestions"))

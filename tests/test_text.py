@@ -306,3 +306,20 @@ def test_reports(spark):
     tips = value(spark, feedback.suggestions(F.lit("poor"), F.lit(0.3), F.array(F.lit("cell"))))
     assert len(tips) == 3 and tips[1] == "Mention cell."
     assert value(spark, feedback.level_feedback(F.lit(4), F.lit(1))) == "The question asks to analyse; the answer comes to remember."
+
+
+def test_feedback_equals_brute_force(spark, tmp_path):
+    """Rows of the query from the model's keywords, the lengths and final_grade's grade."""
+    model = "Membrane nucleus transport tissue keep water."
+    given = ["nucleus water", "Membrane nucleus transport tissue keep water.", "Membrane words " + "go on and on " * 12, ""]
+    spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, model)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    grades = {r.doc_id: r.grade for r in plans.queries()["final_grade"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r for r in plans.queries()["feedback"](spark, str(tmp_path)).collect()}
+    keys = ["membrane", "nucleus", "transport", "tissue", "keep", "water"]
+    for i, t in enumerate(given):
+        missing = [k for k in keys if k not in t.lower()][:5]
+        tips = ["Write more: the answer is less than half as long as expected."] * (len(t) / len(model) < 0.5) + ["Be brief: the answer is more than twice as long as expected."] * (len(t) / len(model) > 2)
+        tips += [f"Mention {', '.join(missing)}."] * bool(missing) + ["Go over the topic again."] * (grades[i] in ("poor", "average"))
+        assert (got[i].grade, got[i].suggestions) == (grades[i], tips)
+    assert value(spark, feedback.suggestions(F.lit("good"), F.lit(2.5), F.array().cast("array<string>"))) == ["Be brief: the answer is more than twice as long as expected."]

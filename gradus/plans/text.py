@@ -335,6 +335,34 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.array_except("mk", "matched").alias("missing"), F.char_length("student").alias("chars"), F.char_length("model").alias("model_chars"), F.get(kind, (F.col("doc_id") % 4).cast("int")).alias("kind"), "semantic", "keyword", S.jaccard(F.col("sw"), F.col("mw")).alias("graph"), structure["structural_score"].alias("structural"), structure["structure_bonus"].alias("bonus"), S.length_penalty(s, m).alias("length_penalty"), gaming["gaming_penalty"].alias("gaming"))
 
 
+#: A dictionary word stands this often in a million words, twice at least.
+KNOWN_A_MILLION = 1
+
+
+def vocabularies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(word) of the benchmark that the dictionary doesn't have, and the dictionary (word, n) of the documents.
+
+    Words are whole: letters of any script with the apostrophes between them, of any length. As in the reference, single letters, words with an apostrophe and words in capitals are not corrected.
+    """
+    found = lambda t: table(spark, d, t).select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}[\p{L}\p{M}]*(?:'[\p{L}\p{M}]+)*)"), F.lit(1))).alias("own")).withColumn("word", F.lower("own"))
+    counts = found("documents").groupBy("word").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    known = counts.filter("n >= 2").crossJoin(F.broadcast(total)).filter(F.col("n") * 1e6 >= F.col("total") * KNOWN_A_MILLION).select("word", "n")
+    asked = found("benchmark").filter((F.char_length("word") > 1) & ~F.contains("word", F.lit("'")) & ~((F.upper("own") == F.col("own")) & (F.col("word") != F.col("own"))))
+    return asked.select("word").distinct().join(known, "word", "left_anti"), known
+
+
+@query()
+def word_candidates(spark, d):
+    """Dictionary words within two edits of each unknown word; spelling_candidates has those within one, of runs of 4 to 12 letters."""
+    return Z.candidates(*vocabularies(spark, d))
+
+
+@query()
+def word_corrections(spark, d):
+    return Z.corrected(*vocabularies(spark, d))
+
+
 def graded(spark: SparkSession, d: str) -> DataFrame:
     """scores() with the weighted mean, the final score and its grade."""
     x = scores(spark, d)

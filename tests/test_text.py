@@ -299,6 +299,43 @@ def test_spelling(spark):
     assert (case("word", "WROD"), case("word", "Wrod"), case("word", "wrod")) == ("WORD", "Word", "word")
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_candidates_equal_brute_force(spark):
+    """Words around the length where pieces take over, with up to three edits."""
+    rnd = random.Random(5)
+    known = {"".join(rnd.choices("abé", k=n)) for n in [*range(1, 24), 14, 15, 16, 17, 18, 19, 40, 90] for _ in range(4)}
+    asked = set()
+    for k in known:
+        for _ in range(3):
+            w = list(k)
+            for _ in range(rnd.randint(0, 3)):
+                at = rnd.randrange(len(w) + 1)
+                w[at : at + rnd.randint(0, 1)] = rnd.choices("abé", k=rnd.randint(0, 1))
+            asked.add("".join(w) or "a")
+    want = {(a, k): n for a in asked for k in known if (n := edits(a, k)) <= 2}
+    frame = lambda ws: spark.createDataFrame([(w, 3) for w in sorted(ws)], "word string, n int")
+    assert {(r.word, r.candidate): r.edits for r in spelling.candidates(frame(asked), frame(known)).collect()} == want
+
+
+def test_whole_words_are_corrected(spark, tmp_path):
+    long = "internationalisation"
+    docs = [(i, f"{long} naïveté don't water") for i in range(2)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "Internatonalisatoin naivete d'accord NASA watre, water x")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.word: r.correction for r in plans.queries()["word_corrections"](spark, str(tmp_path)).collect()}
+    assert got == {"internatonalisatoin": "internatonalisatoin", "naivete": "naïveté", "watre": "water"}
+    found = {(r.word, r.candidate, r.edits) for r in plans.queries()["word_candidates"](spark, str(tmp_path)).collect()}
+    assert found == {("naivete", "naïveté", 2), ("watre", "water", 2)} and edits("internatonalisatoin", long) == 3
+
+
 def test_reports(spark):
     got = feedback.gaming({"repetition": F.lit(0.2), "padding": F.lit(0.05), "gibberish": F.lit(0.3)})
     assert value(spark, got["gaming_penalty"]) == 0.40 and value(spark, got["flags"]) == ["repetition", "gibberish"] and value(spark, got["warnings"]) == ["padding"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,48 @@ def normalised(content: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(content), r"\s+", " "))
 
 
+#: Where a sentence of a normalised passage ends.
+ENDS = r"(?<=[.!?…][\"')\]”’]?) |(?<=[。！？])"
+
+
+def passages(lines: Column, kept: Callable[[Column], Column]) -> Column:
+    """(level, passage): consecutive kept lines of a level as one normalised text, whatever their line ends; blank lines and others part them."""
+    marked = F.transform(lines, lambda x: F.when(kept(x) & (normalised(x["content"]) != ""), x["level"]))
+    plain = lambda x: F.regexp_replace(x["content"], "[\x01\x02]", " ")
+    goes_on = lambda levels, i: (i > 0) & F.get(levels, i - 1).eqNullSafe(F.get(levels, i))
+    text = lambda levels: F.array_join(F.transform(lines, lambda x, i: F.when(F.get(levels, i).isNull(), "").when(goes_on(levels, i), F.concat(F.lit("\n"), plain(x))).otherwise(F.concat(F.lit("\x01"), x["level"].cast("string"), F.lit("\x02"), plain(x)))), "")
+    parts = F.get(F.transform(F.array(marked), lambda levels: F.split(text(levels), "\x01", -1)), 0)
+    return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(F.substring_index(p, "\x02", 1).cast("int").alias("level"), normalised(F.substring_index(p, "\x02", -1)).alias("passage")))
+
+
+def sentences(passage: Column) -> Column:
+    return F.filter(F.transform(F.split(passage, ENDS), F.trim), lambda s: s != "")
+
+
+def quoted_sentences(base: DataFrame, quotes: DataFrame, met: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, hash, parent) of sentences in the quoted lines that met no whole line, with the first message that has the sentence, within a line or over line ends."""
+    whole = met.groupBy("conv_id", "turn").agg(F.collect_set(F.struct("level", "hash")).alias("whole"))
+    known = lambda x: F.array_contains(F.coalesce("whole", F.array().cast("array<struct<level:int,hash:string>>")), F.struct(x["level"].alias("level"), F.sha2(normalised(x["content"]), 256).alias("hash")))
+    found = quotes.join(whole, ["conv_id", "turn"], "left").select("conv_id", "turn", F.explode(passages(F.col("lines"), lambda x: (x["level"] > 0) & ~known(x))).alias("p"))
+    found = found.select("conv_id", "turn", "p.level", F.explode(sentences(F.col("p.passage"))).alias("sentence"))
+    wanted = written(found.select("conv_id", "turn", "level", F.sha2("sentence", 256).alias("hash")).distinct(), "quoted")
+    if wanted.isEmpty():
+        return wanted.withColumn("parent", F.lit(None).cast("long"))
+    own = base.filter("conv_id IS NOT NULL AND turn IS NOT NULL").join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
+    lines = F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: normalised(x["content"]))
+    blocks = F.transform(passages(F.col("lines"), lambda x: x["level"] == 0), lambda p: p["passage"])
+    originals = own.select("conv_id", "turn", F.explode(F.array_distinct(F.flatten(F.transform(F.concat(lines, blocks), sentences)))).alias("sentence")).select("conv_id", "turn", F.sha2("sentence", 256).alias("hash"))
+    first = originals.join(wanted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("parent"))
+    return wanted.join(first, ["conv_id", "hash"]).filter("parent < turn").select("conv_id", "turn", "level", "hash", "parent")
+
+
 def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each message with its place in its conversation and its text without quotes.
 
     Lines are parsed into quotation levels; each quoted line is normalised and hashed, and meets the first message of the same
-    conversation that has it as a line of its own. A message replies to the message that most of its quoted lines of the lowest
+    conversation that has it as a line of its own. Quoted lines that meet none are joined with their neighbours of the level, and the
+    sentences of that passage meet the first message that has them, within a line or over line ends: so re-wrapped and partial quotes count too,
+    by the sentence. A message replies to the message that most of its quoted lines and sentences of the lowest
     level come from (then the latest), if that came before. Replies of replies are followed to the first message of their thread.
     Sorted by (conv_id, thread_turn, turn), each message follows what it replies to.
 
@@ -53,7 +92,8 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     originals = base.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(F.filter("lines", lambda x: x["level"] == 0)).alias("line"))
     originals = originals.select("conv_id", "turn", normalised(F.col("line.content")).alias("passage")).filter("passage != ''").select("conv_id", "turn", F.sha2("passage", 256).alias("hash"))
     first = originals.join(wanted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("parent"))
-    met = wanted.join(first, ["conv_id", "hash"]).filter("parent < turn")
+    met = written(wanted.join(first, ["conv_id", "hash"]).filter("parent < turn").select("conv_id", "turn", "level", "hash", "parent"), "met")
+    met = met.unionByName(quoted_sentences(base, quotes, met))
     votes = met.groupBy("conv_id", "turn", "level", "parent").agg(F.count("*").alias("found"))
     best = F.max(F.struct((-F.col("level")).alias("nearest"), "found", "parent"))
     parents = votes.groupBy("conv_id", "turn").agg(best.alias("best")).select("conv_id", "turn", F.col("best.parent").alias("parent"))

@@ -101,6 +101,22 @@ def test_quotation_linking(spark):
     assert quotation.linked(found.sparkSession.createDataFrame([], "conv_id long, turn long, role string, text string, lines int")).count() == 0
 
 
+def test_quotation_of_rewrapped_and_partial_passages(spark):
+    chat = [
+        (1, 0, "The station is near. It was built in stone and it has\ntwo platforms. Trains leave hourly."),
+        (1, 1, "Something else was said here. Nobody knows why."),
+        (1, 2, "> It was built in\n> stone and it has two\n> platforms.\nGood."),
+        (1, 3, "> Nobody knows why.\nI do."),
+        (1, 4, "> Trains leave   HOURLY.\n> > Something else was\n> > said here.\nNot on Sundays."),
+        (1, 5, "> Not a sentence of\n> this conversation.\nOh."),
+        (1, 6, "> Good.\n> It was built in stone and it has two platforms. The\n> station is near.\nBoth."),
+        (2, 0, "> Nobody knows why.\nAnother conversation."),
+    ]
+    rows = [(c, t, "user", x) for c, t, x in chat]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.thread_turn) for r in quotation.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(1, 0): (None, 0), (1, 1): (None, 1), (1, 2): (0, 0), (1, 3): (1, 1), (1, 4): (0, 0), (1, 5): (None, 5), (1, 6): (0, 0), (2, 0): (None, 0)}
+
+
 def test_quotation_linking_equals_sql(spark):
     import duckdb
     import pandas as pd

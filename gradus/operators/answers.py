@@ -18,7 +18,7 @@ MARKERS = {
     "answer_number": r"^[ \t]*[Aa]ns(?:wer)?[ \t]*\.?[ \t]*(\d+)[ \t]*[.):\-]*[ \t]*",
     "plain_number": r"^[ \t]*(\d{1,2})[.)][ \t]+",
 }
-MARKS = re.compile(r"[\[(](\d+)\s*marks?[\])]\s*$", re.I)
+MARKS = re.compile(r"(?:[\[(]\s*(\d+)\s*marks?|(?<![\d.,])(\d{1,3})\s*(?:marks?|m))\s*[\])]*\s*$", re.I)
 PARTS = re.compile(r"^[ \t]*(?:\(([a-z]|[ivx]+)\)|([a-z]|[ivx]+)\))[ \t]*", re.M)
 SEGMENTS = "doc_id long, position int, number int, method string, confidence double, start int, text string, marks int, parts array<string>"
 
@@ -54,9 +54,9 @@ def segments(text: str | None) -> list[tuple]:
     out = []
     for i, (number, start, end) in enumerate(cuts):
         piece = text[start:end].strip()
-        marks = MARKS.search(piece.split("\n")[0][:60])
+        marks = MARKS.search(piece.split("\n")[0])
         parts = [m[1] or m[2] for m in PARTS.finditer(piece)]
-        out.append((i, number, name, sure, start, piece, int(marks[1]) if marks else None, parts if len(parts) >= 2 else []))
+        out.append((i, number, name, sure, start, piece, int(marks[1] or marks[2]) if marks else None, parts if len(parts) >= 2 else []))
     return out
 
 

@@ -213,6 +213,11 @@ def test_segments(given, method, numbers):
     assert [s[1] for s in found] == numbers and {s[2] for s in found} == {method}
 
 
+@pytest.mark.parametrize(("line", "want"), [("Stacks [5M]", 5), ("Stacks 5 m", 5), ("Stacks 5 marks", 5), ("Stacks (10 Marks) ", 10), ("Describe how a stack differs from a queue, and where each of the two is used [12 marks]", 12), ("Stacks [1000 marks]", 1000), ("A run of 1500 m", None), ("Forms", None), ("Plan 5 marks ahead", None)])
+def test_marks(line, want):
+    assert [s[6] for s in answers.segments(f"Q1. {line}\nText 7 marks\nQ2. Queues")] == [want, None]
+
+
 def test_segment_details(spark):
     found = answers.segments("Q1. Stacks [5 marks]\n(a) push\n(b) pop\nQ2. Queues")
     assert found[0][6] == 5 and found[0][7] == ["a", "b"] and found[1][6] is None

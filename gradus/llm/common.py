@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,22 +17,67 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, which driver and executors share; a temporary one where it is unset, as in tests."""
+    """The folder of `spark.checkpoint.dir`, which driver and executors share. Where it is unset, a temporary one in local mode, as in tests; on a cluster, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", found)
     spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: the lineage ends there, and a lost executor takes nothing along."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables that an operator writes into the shared folder on its way. A table that is written ends the lineage: a lost executor takes nothing along."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df as Parquet and reads it back. The files go when the application ends, if close() doesn't delete them before."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        fs, at = self._files(path)
+        fs.deleteOnExit(at)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((path, back))
+        return back
+
+    def close(self, *kept: DataFrame) -> None:
+        """Deletes all tables but these: what the operator's result still reads."""
+        for path, table in self.tables:
+            if not any(table is k for k in kept):
+                fs, at = self._files(path)
+                fs.delete(at, True)
+        self.tables = [(p, t) for p, t in self.tables if any(t is k for k in kept)]
+
+
+def stored_rows(df: DataFrame) -> list[Column] | None:
+    """Two columns that tell rows of stored files apart, the same at each reading: the file's hash and the row's place in it. None where df isn't rows of files as they are."""
+    if re.search(r"\b(Generate|Expand|Join|Union)\b", df._jdf.queryExecution().analyzed().toString()):
+        return None
+    try:
+        meta = df.metadataColumn("_metadata")
+        found = [F.xxhash64(meta.getField("file_path")), meta.getField("row_index")]
+        df.select(*found).schema  # noqa: B018
+        return found
+    except AnalysisException:
+        return None
+
+
+def numbered(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[str]]:
+    """df with two more columns that tell its rows apart, the same at each reading, and their names. Rows that are not rows of files as they are, are written first."""
+    names = [fresh(df, n) for n in ("_file", "_place")]
+    found = stored_rows(df)
+    if found is not None:
+        return df.withColumns(dict(zip(names, found, strict=True))), names
+    return scratch.written(df.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.monotonically_increasing_id()}), "rows"), names
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -129,6 +129,20 @@ class Lattice:
     piece: np.ndarray
     upto: np.ndarray  # number of the end node + share of the arcs into it up to this one
     alpha: np.ndarray  # log weight of all ways from the chunk's start to the node
+    target: np.ndarray
+    share: np.ndarray  # share of the arc in all ways into its end node
+    order: np.ndarray  # arcs by the depth of their end node
+    bounds: np.ndarray  # where each depth begins in order
+
+    def expected(self, ends: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """How often each arc is passed, on average over all segmentations, if the chunk that ends in each of the nodes comes so many times: the backward recursion."""
+        flow, passed = np.zeros(len(self.alpha)), np.zeros(len(self.source))
+        flow[ends] = times
+        for lo, hi in zip(self.bounds[-2:0:-1], self.bounds[:1:-1], strict=True):
+            arc = self.order[lo:hi]
+            passed[arc] = flow[self.target[arc]] * self.share[arc]
+            np.add.at(flow, self.source[arc], passed[arc])
+        return passed
 
 
 def build(code: np.ndarray, starts: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> Lattice:
@@ -187,7 +201,7 @@ def build(code: np.ndarray, starts: np.ndarray, sizes: np.ndarray, vocab: Vocabu
     before = np.repeat(run[head] - share[head], counts)
     inside = np.minimum(run - before, 1.0)
     inside[head + counts - 1] = 1.0
-    return Lattice(source, piece, target + inside, alpha)
+    return Lattice(source, piece, target + inside, alpha, target, share, order, bounds)
 
 
 def chunk_starts(code: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> np.ndarray:

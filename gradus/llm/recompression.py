@@ -92,9 +92,7 @@ class Parsed:
         level = Level(name, np.arange(total), np.arange(total), np.arange(1, total + 1), wall)
         levels = [level]
         for turn in range(ROUNDS if len(at) else 0):
-            if turn == 1:
-                level = name_runs(level)
-            level = name_pairs(level, turn)
+            level = name_pairs(name_runs(level) if turn else level, turn)
             levels.append(level)
         self.symbol, self.anchor = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
         left = np.arange(len(at))
@@ -116,32 +114,32 @@ class Parsed:
         text = self.text[first]
         return self.symbol[first], text, self.anchor[first] - self.begins[text] * (ROUNDS + 1)
 
-    def candidates(self, lone: list[list[int] | None]) -> np.ndarray:
+    def candidates(self, lone: list[np.ndarray | None]) -> np.ndarray:
         """Which windows have a symbol that stands elsewhere too. lone: each text's places of symbols that don't."""
         return ~self.listed(self.anchor - self.begins[self.text] * (ROUNDS + 1), lone)
 
-    def listed(self, place: np.ndarray, lists: list[list[int] | None]) -> np.ndarray:
+    def listed(self, place: np.ndarray, lists: list[np.ndarray | None]) -> np.ndarray:
         """Which of the windows' places are in their text's list."""
         sizes = np.array([0 if x is None else len(x) for x in lists], np.int64)
         if not sizes.sum() or not len(place):
             return np.zeros(len(place), bool)
         span = int(self.counts.max() + 1) * (ROUNDS + 1)
-        keys = np.repeat(np.arange(len(lists)), sizes) * span + np.concatenate([np.asarray(x, np.int64) for x in lists if x is not None and len(x)])
+        keys = np.repeat(np.arange(len(lists)), sizes) * span + np.concatenate([x for x in lists if x is not None and len(x)])
         keys.sort()
         own = self.text * span + place
         return keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
 
-    def window_hashes(self, which: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the words of each chosen window, by differences of sums of powers; 35 multiplications a window are not needed."""
-        power = np.full(len(self.names) + 1, 0xD6E8FEB86659FD93, np.uint64)
-        power[0] = 1
-        power = np.cumprod(power)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.names * power[:-1])])
+    def window_hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits of the words of each chosen window, each by differences of sums of powers of its own base: 35 multiplications a window are not needed."""
         at = (self.begins[self.text] + self.place)[which]
-        back = np.full(len(self.names) + 1, pow(0xD6E8FEB86659FD93, -1, 1 << 64), np.uint64)
-        back[0] = 1
-        back = np.cumprod(back)
-        return mix((sums[at + self.width] - sums[at]) * back[at])
+        out = []
+        for base, names in ((0xD6E8FEB86659FD93, self.names), (0xA0761D6478BD642F, mix(self.names + ODD))):
+            power, back = (np.full(len(names) + 1, b, np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+            power[0] = back[0] = 1
+            power, back = np.cumprod(power), np.cumprod(back)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(names * power[:-1])])
+            out.append(mix((sums[at + self.width] - sums[at]) * back[at]))
+        return out[0], (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def cleaned(self, repeated: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """Words removed from each text, and what is left of it."""
@@ -158,22 +156,31 @@ class Parsed:
         return gone, kept
 
 
+def own_places(spots: pa.Array, checks: np.ndarray) -> list[np.ndarray | None]:
+    """The places in each row's list that carry the row's own check: see without_repeats()."""
+    lists = [x.values if x.is_valid else None for x in spots]
+    found = [None if x is None else x.to_numpy() for x in lists]
+    return [None if x is None else (x & 0xFFFFFFFF)[x >> 32 == check] for x, check in zip(found, checks, strict=True)]
+
+
 def emitted(width: int, windows: bool):
-    """(row, text[, lone]) -> (hash, row, place) of symbols, or of candidate windows."""
-    schema = pa.schema([("hash", pa.int64()), ("row", pa.int64()), ("place", pa.int32())])
+    """(row, check, text[, lone]) -> (hash[, hash2], row, spot) of symbols, or of candidate windows."""
+    schema = pa.schema([("hash", pa.int64()), *[("hash2", pa.int32())] * windows, ("row", pa.int64()), ("spot", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            rows, texts = cols["row"].to_numpy(), cols["text"].to_pylist()
+            rows, checks, texts = cols["row"].to_numpy(), cols["check"].to_numpy().astype(np.int64), cols["text"].to_pylist()
             for i, j in pieces([len(t or "") for t in texts], CHARS):
                 parsed = Parsed(texts[i:j], width)
                 if windows:
-                    which = np.nonzero(parsed.candidates([x.as_py() for x in cols["lone"].slice(i, j - i)]))[0]
-                    name, text, place = parsed.window_hashes(which), parsed.text[which], parsed.place[which]
+                    which = np.nonzero(parsed.candidates(own_places(cols["lone"].slice(i, j - i), checks[i:j])))[0]
+                    name, second = parsed.window_hashes(which)
+                    text, place = parsed.text[which], parsed.place[which]
                 else:
                     name, text, place = parsed.anchors()
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(rows[i:j][text]), pa.array(place.astype(np.int32))], schema=schema)
+                spot = checks[i:j][text] << 32 | place
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *([pa.array(second)] if windows else []), pa.array(rows[i:j][text]), pa.array(spot)], schema=schema)
 
     return run
 
@@ -184,10 +191,10 @@ def finished(width: int, texts_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            texts = cols["text"].to_pylist()
+            texts, checks = cols["text"].to_pylist(), cols["check"].to_numpy().astype(np.int64)
             for i, j in pieces([len(t or "") for t in texts], CHARS):
                 parsed = Parsed(texts[i:j], width)
-                lone, once = ([x.as_py() for x in cols[c].slice(i, j - i)] for c in ("lone", "once"))
+                lone, once = (own_places(cols[c].slice(i, j - i), checks[i:j]) for c in ("lone", "once"))
                 repeated = np.nonzero(parsed.candidates(lone) & ~parsed.listed(parsed.place, once))[0]
                 gone, kept = parsed.cleaned(repeated)
                 out = [cols["doc_id"].slice(i, j - i), pa.array(parsed.counts), pa.array(gone), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
@@ -201,24 +208,27 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. Recompression names runs and pairs of symbols, round after round. A name is a hash of
     what it names, so that all tasks give equal names to equal passages without asking each other. Each window has one symbol (see
-    Parsed), of several words on average. Spark counts symbols over all texts; windows of symbols that stand once can't repeat. The rest are compared by the hash of their words, again by a count over all
-    texts. Both counts combine within tasks first and return what was counted once, so a passage in a third of all texts costs its task one row. Different windows of one 64-bit hash would be taken for equal.
+    Parsed), of several words on average. Spark counts symbols over all texts; windows of symbols that stand once can't repeat. The rest are verified by the content of
+    their words, as 96 bits of two hashes, again by a count over all texts: of 1e13 windows, two different ones are taken for equal with a chance of
+    one in 1,500. Both counts combine within tasks first and return what was counted once, so a passage in a third of all texts costs its task one row.
 
-    docs must be a stored table, as it is read twice: rows are told apart by their place in it. Null text has no words; repeated rows
-    repeat each other, and with 35 words or more both lose them. Other columns are ignored; an empty table gives an empty one.
+    What was counted once comes back to its text by a hash of id and text, with 32 bits of another one in each place; rows of one id and text have
+    nothing that stands once, so no numbers of rows are needed and any table that reads alike each time will do. Null text has no words; repeated rows
+    repeat each other, and with 35 words or more both lose them. A text of any length is parsed whole, by one task; longer ones than CHARS make a batch of their
+    own. Other columns are ignored; an empty table gives an empty one.
 
     Returns (id, n_words, n_removed, kept_sha256 of the rest joined by single spaces), and the rest itself as kept_text on demand.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted = [F.count("*").alias("n"), F.max("row").alias("row"), F.max("place").alias("place")]
-    schema = "hash long, row long, place int"
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("row"), F.hash("text").alias("check"), "doc_id", "text")
+    counted = [F.count("*").alias("n"), F.max("row").alias("row"), F.max("spot").alias("spot")]
 
-    def once(found: DataFrame, name: str) -> DataFrame:
-        alone = found.groupBy("hash").agg(*counted).filter("n = 1")
-        return alone.groupBy("row").agg(F.collect_list("place").alias(name))
+    def once(found: DataFrame, keys: list[str], name: str) -> DataFrame:
+        alone = found.groupBy(*keys).agg(*counted).filter("n = 1")
+        return alone.groupBy("row").agg(F.collect_list("spot").alias(name))
 
-    lone = once(rows.select("row", "text").mapInArrow(emitted(width, False), schema), "lone")
+    lone = once(rows.select("row", "check", "text").mapInArrow(emitted(width, False), "hash long, row long, spot long"), ["hash"], "lone")
     known = rows.join(lone, "row", "left")
-    single = once(known.mapInArrow(emitted(width, True), schema), "once")
+    single = once(known.mapInArrow(emitted(width, True), "hash long, hash2 int, row long, spot long"), ["hash", "hash2"], "once")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts_too
     return known.join(single, "row", "left").mapInArrow(finished(width, texts_too), out).withColumnRenamed("doc_id", id_col)

@@ -101,36 +101,63 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
+#: Characters of a range at most, on average.
+RANGE_CHARS = 1 << 30
+
+
+def cuts_of(rows: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids at which ranges begin, ascending; how many ranges each of these ids itself fills (0: it shares one); how many the null ids fill."""
+    total, known = rows.agg(F.count("*"), F.count("doc_id")).first()
+    points = rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    cuts, times = np.unique(np.clip(np.array(points, np.float64), -(2.0**63), 2.0**63 - 1024).astype(np.int64), return_counts=True)
+    return cuts, np.where(times > 1, times, 0), max(1, -(-(total - known) * ranges // max(1, total)))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how like they are to each other and to the next document's.
 
     A text (null: empty) is parsed into LZ78 phrases; its fingerprint holds the smallest 32-bit hashes of the phrase set, in hex. The next
-    document follows in descending id (a null id comes last, equal ids by text), after the last comes the first; one document is its own next. The
+    document follows in descending id (a null id comes last, equal ids by a hash of the text and then the text), after the last comes the first; one document is its own next. The
     edited text has the last floor(n / 2) of its n code points replaced by the first as many (or all) of the next document's.
 
-    Ids are cut into ranges of about as many rows, and a range's tasks get one row more: the first of the range that follows. The driver
-    holds the cuts and the first id of each range. Null ids share a range. Other columns are ignored; an empty table gives an empty one.
+    Ids are cut into ranges of about as many rows, and a range's tasks get one row more: the first of the range that follows. An id, or null, with more rows than a
+    range is cut by the texts' hashes; only rows alike in id and text stay together. There are as many ranges as shuffle partitions, or as the texts' characters need. The driver
+    holds the cuts and the first id of each range. A text of any length is parsed whole, in one task, two texts at a time. Other columns are ignored; an empty table gives an empty one.
 
     Returns (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
     """
     spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cuts = np.unique(np.array(rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else [], np.float64)).astype(np.int64)[::-1]
-    last = len(cuts) + 1
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.full(len(ids), last)
-        out[known] = len(cuts) - np.searchsorted(cuts[::-1], ids[known].to_numpy(np.int64), side="right")
-        return pd.Series(out)
-
-    placed = rows.withColumn("range", range_of("doc_id"))
-    firsts = sorted((r["range"], r["first"]) for r in placed.select("range", "doc_id").groupBy("range").agg(F.max("doc_id").alias("first")).collect())
+    if ranges is None:
+        chars = rows.agg(F.sum(F.char_length("text").cast("long"))).first()[0] or 0
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // RANGE_CHARS)
+    cuts, own, nulls = cuts_of(rows, ranges)
+    # In descending order: ids above a cut's, the cut's own where it fills ranges, and so on; null ids last.
+    begin = np.concatenate([[0], np.cumsum(1 + own[::-1])])
+    last = int(begin[-1]) + 1
+
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        part = (hashes.to_numpy(zero_copy_only=False).astype(np.int64) >> 32) + (1 << 31)
+        out = last + (part * nulls >> 32)
+        value = ids.drop_null().to_numpy().astype(np.int64)
+        place = np.searchsorted(cuts, value, side="right")
+        at = begin[len(cuts) - place]
+        if len(cuts):
+            cut = np.maximum(place - 1, 0)
+            inside = (place > 0) & (cuts[cut] == value) & (own[cut] > 0)
+            at = at + np.where(inside, 1 + (part[known] * own[cut] >> 32), 0)
+        out[known] = at
+        return pa.array(out.astype(np.int32))
+
+    order = [F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("id"), F.col("h").alias("h")]
+    placed = rows.withColumn("h", F.xxhash64("text")).withColumn("range", range_of("doc_id", "h"))
+    firsts = sorted((r["range"], r["first"]) for r in placed.groupBy("range").agg(F.min(F.struct(*order)).alias("first")).collect())
     after = [(firsts[(i + 1) % len(firsts)][1], r) for i, (r, _) in enumerate(firsts)]
-    extra = spark.createDataFrame(after, "first long, range int")
-    more = rows.join(F.broadcast(extra), F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "range", F.lit(True).alias("extra"))
+    extra = spark.createDataFrame([(None if f["none"] else ~f["id"], f["h"], r) for f, r in after], "first long, first_h long, range int")
+    met = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(extra), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("first_h")))
+    more = met.groupBy("range").agg(F.min(F.struct("doc_id", F.col("text").isNotNull(), "text", "h")).alias("row")).select("row.doc_id", "row.text", "row.h", "range", F.lit(True).alias("extra"))
     both = placed.withColumn("extra", F.lit(False)).unionByName(more)
-    laid = both.repartitionById(last + 1, F.col("range")).sortWithinPartitions(F.col("extra"), F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    laid = both.repartitionById(last + nulls, F.col("range")).sortWithinPartitions("extra", F.col("doc_id").desc_nulls_last(), "h", F.col("text").asc_nulls_first())
     return laid.select("doc_id", "text", "extra").mapInArrow(compared, SCHEMA).withColumnRenamed("doc_id", id_col)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ class Shards:
     small file to versions/n.json, which fails if it is there: readers see a version whole or not at all, and of two
     writers one gets Conflict and may begin anew. Old shards and manifests stay, so readers of old versions go on.
 
-    Rows are kept as they are, with nulls, empty and very long texts, ties and repeats; columns may have any names but can't be
+    Rows are kept as they are, with nulls, empty and very long texts, ties and repeats; columns may have any names, _metadata included, but can't be
     maps, which have no hash. An arrival without rows commits a version with the same shards; compacting an empty table does nothing.
     """
 
@@ -71,15 +72,15 @@ class Shards:
             raise Conflict(f"version {base + 1} is there already") from e
         return base + 1
 
-    def _write(self, df: DataFrame) -> DataFrame:
-        """Writes new shards; returns their entries, read back from the files."""
+    def _write(self, df: DataFrame, rows_a_file: int = 0) -> DataFrame:
+        """Writes new shards, of so many rows at most (0: of any number, whatever the session says); returns their entries, read back from the files."""
         place = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(place)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).parquet(place)
         return self._entries(self.spark.read.schema(df.schema).parquet(place))
 
     def _entries(self, df: DataFrame) -> DataFrame:
-        row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-        found = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), row.alias("row"))
+        row, file = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), df.metadataColumn("_metadata")
+        found = df.select(file.getField("file_path").alias("path"), file.getField("file_size").alias("bytes"), row.alias("row"))
         found = found.groupBy("path", "bytes").agg(F.count("*").alias("n_rows"), F.bit_xor("row").alias("checksum"))
         tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / 65536) / math.log(self.fan))).cast("int")
         return found.withColumn("tier", tier)
@@ -87,14 +88,7 @@ class Shards:
     def append(self, df: DataFrame) -> int:
         """Adds an arrival as small shards, without a shuffle, and commits; an arrival without rows adds no shard."""
         base = self.version()
-        spark = df.sparkSession
-        before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
-        spark.conf.set("spark.sql.files.maxRecordsPerFile", self.rows)
-        try:
-            entries = self._write(df)
-        finally:
-            spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
-        return self._commit(self.manifest(base).unionByName(entries), base)
+        return self._commit(self.manifest(base).unionByName(self._write(df, self.rows)), base)
 
     def merges(self, entries: DataFrame) -> DataFrame:
         """(path, merge) of shards to merge: those of a tier, packed by size up to the target; a lone shard and one of half the target stay."""
@@ -130,7 +124,7 @@ class Shards:
             group = F.broadcast(self.spark.createDataFrame(pairs, "path string, _merge int"))
             rows = self.spark.read.schema(schema).parquet(*[p for p, _ in pairs])
             place, merge = fresh(rows, "_place"), fresh(rows, "_merge")
-            merged = rows.withColumn(place, F.col("_metadata.file_path")).join(group.toDF(place, merge), place).repartitionById(len(names), F.col(merge))
+            merged = rows.withColumn(place, rows.metadataColumn("_metadata").getField("file_path")).join(group.toDF(place, merge), place).repartitionById(len(names), F.col(merge))
             new = self._write(merged.select([F.col(f"`{c}`") for c in rows.columns]))
             old = entries.join(group, "path", "left_semi")
             total = [F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.bit_xor("checksum"), F.lit(0))]
@@ -139,8 +133,11 @@ class Shards:
             self._commit(entries.join(group, "path", "left_anti").unionByName(new), base)
 
     def read(self, schema, version: int | None = None) -> DataFrame:
-        """The rows of a version's live shards, with the shard's path as _shard."""
-        paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
-        if not paths:
-            return self.spark.createDataFrame([], schema).withColumn("_shard", F.lit(None).cast("string"))
-        return self.spark.read.schema(schema).parquet(*paths).withColumn("_shard", F.col("_metadata.file_path"))
+        """The rows of a version's live shards, with the shard's path as _shard. Shards are named to Spark in pages of FILES_A_PASS; its own list of files is all that the driver holds of them."""
+        paths = (r["path"] for r in self.manifest(version).select("path").toLocalIterator())
+        found = None
+        while page := list(islice(paths, FILES_A_PASS)):
+            rows = self.spark.read.schema(schema).parquet(*page)
+            rows = rows.withColumn("_shard", rows.metadataColumn("_metadata").getField("file_path"))
+            found = rows if found is None else found.unionByName(rows)
+        return self.spark.createDataFrame([], schema).withColumn("_shard", F.lit(None).cast("string")) if found is None else found

@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +23,13 @@ CHARS = 1_000_000
 @dataclass(frozen=True)
 class Settings:
     """orders: lengths of the n-grams. bits: log2 of the hash buckets. docs_a_language: labelled rows to learn each language from, about
-    that many are chosen by a hash of their id (all where there are fewer). max_languages: the model's size is languages * 2 ** bits * 8 bytes at most.
+    that many are chosen by a hash of their id (all where there are fewer). languages_a_part: a matrix that is broadcast has so many columns at most, of 2 ** bits * 4 bytes; more languages make more matrices.
     length_scale: evidence of longer texts is scaled down to that of so many n-grams, or every score would be 0 or 1."""
 
     orders: tuple[int, ...] = (1, 2, 3, 4)
     bits: int = 15
     docs_a_language: int = 3000
-    max_languages: int = 256
+    languages_a_part: int = 256
     alpha: float = 0.1
     length_scale: float = 200.0
 
@@ -83,60 +84,82 @@ def counted(settings: Settings):
 
 
 @dataclass(frozen=True)
-class Model:
+class Part:
+    """The log probabilities of the n-gram buckets in some of the languages."""
+
     languages: tuple[str, ...]
     log_p: np.ndarray
     settings: Settings
 
 
+@dataclass(frozen=True)
+class Model:
+    """Broadcast parts. The driver keeps the names of the languages only."""
+
+    languages: tuple[str, ...]
+    parts: tuple[Broadcast, ...]
+
+
 def fit(labelled: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts n-grams of a bounded, hash-chosen sample of each language, on the executors; languages weigh the same. Rows without a language or a text don't count."""
+    """Counts n-grams of a bounded, hash-chosen sample of each language, on the executors; languages weigh the same. Rows without a language or a text don't count; without any
+    row that counts, the model knows no language. Of repeated rows all or none are chosen. Texts of any length count whole."""
     settings = settings or Settings()
+    spark = labelled.sparkSession
     rows = labelled.select(F.xxhash64(id_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy("lang").limit(settings.max_languages + 1).collect()
-    if len(sizes) > settings.max_languages:
-        raise ValueError(f"more than {settings.max_languages} languages")
-    languages = tuple(r["lang"] for r in sizes)
-    table = np.full((1 << settings.bits, len(languages)), settings.alpha)
-    if languages:
-        share = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, settings.docs_a_language / r["count"])) for r in sizes], "lang string, share double")
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()
+    parts = []
+    for start in range(0, len(sizes), settings.languages_a_part):
+        some = sizes[start : start + settings.languages_a_part]
+        at = {r["lang"]: i for i, r in enumerate(some)}
+        share = spark.createDataFrame([(r["lang"], min(1.0, settings.docs_a_language / r["count"])) for r in some], "lang string, share double")
         chosen = rows.join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
         counts = chosen.mapInArrow(counted(settings), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-        at = {lang: i for i, lang in enumerate(languages)}
+        table = np.full((1 << settings.bits, len(some)), settings.alpha)
         table[counts["bucket"].to_numpy(), [at[x] for x in counts["lang"].to_pylist()]] += counts["n"].to_numpy()
-    return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32), settings)
+        parts.append(spark.sparkContext.broadcast(Part(tuple(at), np.log(table / table.sum(axis=0)).astype(np.float32), settings)))
+    return Model(tuple(r["lang"] for r in sizes), tuple(parts))
 
 
-def scores(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
-    """The likeliest language of each text and its share among the languages."""
-    langs, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    if not model.languages:
-        return langs, best
+def evidence(texts: list[str | None], part: Part) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The likeliest of the part's languages for each text, its scaled log likelihood, and the logarithm of the sum of all its languages' likelihoods. UNKNOWN for a text without a letter."""
+    langs, best, whole = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     for i, j in pieces([len(t or "") for t in texts], CHARS):
-        bucket, own, has = grams(texts[i:j], model.settings)
+        bucket, own, has = grams(texts[i:j], part.settings)
         n = np.bincount(own, minlength=j - i)
-        total = np.stack([np.bincount(own, model.log_p[:, k][bucket], minlength=j - i) for k in range(len(model.languages))], axis=1)
-        total *= np.minimum(1.0, model.settings.length_scale / np.maximum(n, 1))[:, None]
-        share = np.exp(total - total.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
-        top = share.argmax(axis=1)
+        total = np.stack([np.bincount(own, part.log_p[:, k][bucket], minlength=j - i) for k in range(len(part.languages))], axis=1)
+        total *= np.minimum(1.0, part.settings.length_scale / np.maximum(n, 1))[:, None]
+        top = total.argmax(axis=1)
+        best[i:j] = total[np.arange(j - i), top]
+        whole[i:j] = best[i:j] + np.log(np.exp(total - best[i:j, None]).sum(axis=1))
         for k in np.nonzero(has)[0]:
-            langs[i + k], best[i + k] = model.languages[top[k]], share[k, top[k]]
-    return langs, best
+            langs[i + k] = part.languages[top[k]]
+    return langs, best, whole
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with _lang_pred (a learned language; `und` for a text that is null or without letters, or if nothing was learned) and _lang_score (0 to 1; 0 for `und`).
 
-    Ties go to the language that is first in order. The model is broadcast; its size is bounded by its settings.
+    Ties go to the language that is first in order. Each part of the model is broadcast; a text meets one after the other. Columns may have any names; one called _lang_pred or
+    _lang_score is replaced. A text of any length is read whole, in one task; repeated rows get the same answer; an empty table gives an empty one.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang string, score double")
-    def best(texts: pd.Series) -> pd.DataFrame:
-        langs, share = scores([None if t is None else str(t) for t in texts], sent.value)
-        return pd.DataFrame({"lang": langs, "score": share})
-
     both = fresh(docs, "_lang")
-    found = docs.withColumn(both, best(F.col(text_col)))
-    return found.withColumns({"_lang_pred": F.col(f"{both}.lang"), "_lang_score": F.col(f"{both}.score")}).drop(both)
+    found = docs.withColumn(both, F.lit(None).cast("struct<lang:string,best:double,whole:double>"))
+
+    def better_of(sent: Broadcast):
+        @F.pandas_udf("lang string, best double, whole double")
+        def better(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
+            langs, best, whole = evidence([None if t is None else str(t) for t in texts], sent.value)
+            out = pd.DataFrame({"lang": langs, "best": best, "whole": whole})
+            known = before["lang"].notna().to_numpy()
+            out["whole"] = np.where(known, np.logaddexp(before["whole"].fillna(-np.inf), out["whole"]), out["whole"])
+            stays = known & (before["best"] >= out["best"]).to_numpy()
+            out.loc[stays, ["lang", "best"]] = before.loc[stays, ["lang", "best"]].to_numpy()
+            return out
+
+        return better
+
+    for sent in model.parts:
+        found = found.withColumn(both, better_of(sent)(F.col(text_col), F.col(both)))
+    lang = F.coalesce(F.col(f"{both}.lang"), F.lit(UNKNOWN))
+    score = F.when(lang == UNKNOWN, 0.0).otherwise(F.exp(F.col(f"{both}.best") - F.col(f"{both}.whole")))
+    return found.withColumns({"_lang_pred": lang, "_lang_score": score}).drop(both)

@@ -24,6 +24,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.linked(table(spark, sf_dir, "conversations"))
 
 
+def chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2 where messages quote: to each message of the table, passages of the two before it are added as with_quotes() states."""
+    return quotation.linked(quotation.with_quotes(table(spark, sf_dir, "conversations")))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentencepiece_codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("_ids").alias("ids"), F.col("_n_pieces").alias("n_pieces"), F.col("_lossless").alias("lossless"))
@@ -74,9 +79,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op2_chat_formatting, op3_sentencepiece, op4_language_id, op5_sharding, op6_lm_scoring, op7_exact_dedup, op8_lz_fingerprint, op9_near_dedup, op10_mixing]
+    found = [op1_substring_dedup, op2_chat_formatting, chat_quotes, op3_sentencepiece, op4_language_id, op5_sharding, op6_lm_scoring, op7_exact_dedup, op8_lz_fingerprint, op9_near_dedup, op10_mixing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": quotation.SQL, "op7_exact_dedup": exact_dedup.SQL}
+    return {"op2_chat_formatting": quotation.SQL, "chat_quotes": quotation.SQL_OF_QUOTES, "op7_exact_dedup": exact_dedup.SQL}

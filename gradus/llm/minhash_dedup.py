@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import Scratch, pieces
 
 #: Registers of a signature and the bands of consecutive registers made of it.
 REGISTERS, ROWS = 120, 4
@@ -22,6 +22,8 @@ LOW_BITS = 0x5555555555555555
 SKETCH = ["k0", "k1", "k2", "k3"]
 #: Documents of a block, and shingles that are counted at once, when groups that meet in a bucket are compared.
 BLOCK, COLUMNS = 256, 4096
+#: A cluster of more blocks is compared bucket by bucket; members of a bucket that one task compares with all of it by their sketches.
+WHOLE, SHARE = 8, 4096
 CHARS = 2_000_000
 
 
@@ -96,6 +98,13 @@ def superminhash(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.reshape(sets, REGISTERS)
 
 
+def fingerprints(elements: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums that tell sets apart."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(elements ^ np.uint64(key)))]) for key in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+    return [(s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums]
+
+
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), *((k, pa.int64()) for k in SKETCH)])
 
 
@@ -105,9 +114,7 @@ def sign(width: int):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for i, j in pieces([len(t or "") for t in texts], CHARS):
                 elements, sizes = shingle_sets(texts[i:j], width)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(elements ^ np.uint64(key)))]) for key in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                fingerprint = [(s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums]
+                fingerprint = fingerprints(elements, sizes)
                 registers = superminhash(elements, sizes)
                 band = np.full((j - i, BANDS), 0, np.uint64)
                 for r in range(ROWS):
@@ -123,7 +130,7 @@ def sign(width: int):
 
 
 def sets_of(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("set_a", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,34 +138,42 @@ def sets_of(width: int):
             for i, j in pieces([len(t or "") for t in texts], CHARS):
                 elements, sizes = shingle_sets(texts[i:j], width)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(elements.view(np.int64)))], schema=schema)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(elements.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fingerprints(elements, sizes)[0]), lists], schema=schema)
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Union-find over a table of edges (a, b): one row (id, root) for each end, root the smallest id that it reaches.
 
     Each round hangs every id below its smallest neighbour, halves the paths, and contracts the edges to the roots; the
-    number of rounds is logarithmic. Each round is written to the shared folder.
+    number of rounds is logarithmic. Each round is written to the shared folder, and what it replaces is deleted.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    own = Scratch(edges.sparkSession)
+    edges = own.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     labels = None
     while not edges.isEmpty():
         low = edges.select(F.col("a").alias("id"), F.col("b").alias("up")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("up"))).groupBy("id").agg(F.min("up").alias("up"))
-        step = written(low, "parents")
+        step = own.written(low, "parents")
         for _ in range(2):
             step = step.join(step.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up"))
-        step = written(step, "parents")
+        step = own.written(step, "parents")
         if labels is None:
             labels = step.select("id", F.col("up").alias("root"))
         else:
             labels = labels.join(step.select(F.col("id").alias("root"), "up"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
-        labels = written(labels, "labels")
+        labels = own.written(labels, "labels")
         ends = [step.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab"]
         moved = edges.join(ends[0], "a").join(ends[1], "b").select(F.greatest("a_up", "b_up").alias("a"), F.least("a_up", "b_up").alias("b"))
-        edges = written(moved.filter("a != b").distinct(), "edges")
-    return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        edges = own.written(moved.filter("a != b").distinct(), "edges")
+        own.close(labels, edges)
+    if labels is None:
+        labels = own.written(edges.select(F.col("a").alias("id"), F.col("b").alias("root")), "labels")
+    own.close(labels)
+    if scratch:
+        scratch.tables += own.tables
+    return labels
 
 
 def unlike(left: list[Column], right: list[Column]) -> Column:
@@ -202,30 +217,40 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents of one set are one class from the start. Candidates are classes that share a band of their SuperMinHash
     signature (at 0.75, (1 - 0.75 ** 4) ** 30, one link in 90,000, shares none) and whose sketches are alike. First each bucket's
     members are compared with one of them, another in each band; links make groups, and a group of copies costs a multiple of its
-    size. Where different groups meet in a bucket, the buckets' members are dealt into blocks, and each two blocks of a
-    cluster are compared whole, in a task of 512 documents at most. So no link between groups is left out, and
-    no pair becomes a row but a link. Every link is counted on the full sets.
+    size. Where different groups meet in a bucket, the members of all such buckets that hang together are dealt into blocks, and each two blocks are
+    compared whole, in a task of 512 documents at most. Of clusters of more than WHOLE blocks, each bucket is compared by itself, small ones together, so that no blocks
+    meet which share no band. So no link between groups is left out, and no pair becomes a row but a link. Every link is counted on the full sets.
 
     Returns (id, n_shingles, component_id, kept). A null id is left out of groups: its component_id is null and it is kept.
-    Rows that repeat an id are one document of any of their texts. Other columns are ignored; an empty table gives an empty one.
+    Rows that repeat an id are one document, whose set is the smallest of theirs (of as small ones that of the lowest hash); n_shingles is the row's own. A text of any
+    length is taken whole, in one task. Other columns are ignored; an empty table gives an empty one.
     """
+    scratch = Scratch(docs.sparkSession)
+    written = scratch.written
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(docs.mapInArrow(sign(width), "doc_id long, n long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{k} long" for k in SKETCH)), "signed")
     key = ["n", "set_a", "set_b"]
     own = signed.filter("doc_id IS NOT NULL AND n > 0")
+    several = written(own.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("one"), F.count("*").alias("times")).filter("times > 1").select("doc_id", "one"), "several")
+    own = own.join(several, "doc_id", "left").filter(F.col("one").isNull() | (F.col("one") == F.struct(*key))).drop("one")
     classes = own.groupBy(key).agg(F.min("doc_id").alias("rep"))
     member = written(own.select("doc_id", *key).join(classes, key).select("doc_id", "rep"), "members")
     reps = own.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = reps.select("doc_id", "n", F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    buckets = written(rows.join(full, "bucket"), "buckets").join(signed.select("doc_id", *SKETCH).dropDuplicates(["doc_id"]), "doc_id")
+    full = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = written(rows.join(full, "bucket"), "buckets")
+    buckets = buckets.join(own.select("doc_id", *SKETCH).dropDuplicates(["doc_id"]), "doc_id")
     near = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
     bound = REGISTERS * (1 - (percent / 100 - SLACK)) * 0.75
-    others = buckets.select(F.col("bucket").alias("in"), F.col("doc_id").alias("other"), F.col("n").alias("other_n"), *(F.col(k).alias(f"other_{k}") for k in SKETCH))
-    alike = (F.col("bucket") == F.col("in")) & (F.col("doc_id") != F.col("other")) & near & (unlike([F.col(k) for k in SKETCH], [F.col(f"other_{k}") for k in SKETCH]) <= bound)
-    buckets = written(buckets.join(others, alike, "left_semi").select("bucket", "doc_id", "n"), "alike")
+    shares = F.ceil(F.col("size") / SHARE).cast("int")
+    others = buckets.select(F.col("bucket").alias("in"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("of_share"), F.col("doc_id").alias("other"), F.col("n").alias("other_n"), *(F.col(k).alias(f"other_{k}") for k in SKETCH))
+    alike = (F.col("bucket") == F.col("in")) & (F.col("share") == F.col("of_share")) & (F.col("doc_id") != F.col("other")) & near & (unlike([F.col(k) for k in SKETCH], [F.col(f"other_{k}") for k in SKETCH]) <= bound)
+    dealt_out = buckets.withColumn("share", F.pmod(F.xxhash64("doc_id"), shares).cast("int"))
+    buckets = written(dealt_out.join(others, alike, "left_semi").select("bucket", "doc_id", "n"), "alike")
     some = buckets.select("doc_id").distinct()
-    sets = written(docs.join(some.hint("merge"), "doc_id", "left_semi").mapInArrow(sets_of(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    sets = docs.join(some.hint("merge"), "doc_id", "left_semi").mapInArrow(sets_of(width), "doc_id long, set_a long, shingles array<long>")
+    sets = sets.join(several, "doc_id", "left").filter(F.col("one").isNull() | ((F.col("one.n") == F.size("shingles")) & (F.col("one.set_a") == F.col("set_a"))))
+    sets = written(sets.select("doc_id", "shingles").dropDuplicates(["doc_id"]), "sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Which of the pairs (a, b) are links."""
@@ -239,24 +264,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = buckets.select("doc_id", "n").distinct()
     led = buckets.join(lead, "bucket").filter("doc_id != lead").select("doc_id", "n", "lead").distinct().join(sizes.toDF("lead", "other_n"), "lead").filter(near)
     links = confirmed(led.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")), "led-links")
-    groups = components(links)
+    groups = components(links, scratch)
 
     placed = written(buckets.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
-    torn = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("doc_id").alias("first")).filter("low != high")
-    torn_rows = written(placed.join(torn.select("bucket", "first"), "bucket").select("doc_id", "root", "first"), "torn")
-    clusters = components(torn_rows.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    open_docs = torn_rows.select("doc_id", "root").distinct().join(clusters.select(F.col("id").alias("doc_id"), F.col("root").alias("cluster")), "doc_id")
-    count = open_docs.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = open_docs.join(count, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    torn = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("doc_id").alias("first"), F.count("*").alias("size")).filter("low != high")
+    torn_rows = written(placed.join(torn.select("bucket", "first", "size"), "bucket").select("bucket", "size", "doc_id", "root", "first"), "torn")
+    clusters = components(torn_rows.select(F.col("doc_id").alias("a"), F.col("first").alias("b")), scratch)
+    clusters = clusters.select(F.col("id").alias("doc_id"), F.col("root").alias("cluster"))
+    count = clusters.groupBy("cluster").agg(F.count("*").alias("docs"))
+    many = F.col("docs") > WHOLE * BLOCK
+    unit = F.when(~many, 0).when(F.col("size") > BLOCK, F.col("bucket")).otherwise(F.pmod("bucket", F.ceil(F.col("docs") / BLOCK)))
+    blocks = F.when(~many, F.ceil(F.col("docs") / BLOCK)).when(F.col("size") > BLOCK, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("int")
+    dealt = torn_rows.join(clusters, "doc_id").join(count, "cluster").select("cluster", unit.alias("unit"), blocks.alias("blocks"), "doc_id", "root").distinct()
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     met = dealt.join(sets, "doc_id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("cluster", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "doc_id", "root", "shingles")
-    more = written(met.groupBy("cluster", "low", "high").applyInArrow(block_links(percent), "a long, b long"), "rest-links")
-
-    groups = components(links.unionByName(more))
-    ends = member.join(groups.select(F.col("id").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root")).groupBy("doc_id").agg(F.min("root").alias("root"))
-    return signed.select("doc_id", "n").join(ends, "doc_id", "left").select(
-        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("root", "doc_id"))).alias("kept")
-    )
+    met = met.select("cluster", "unit", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "doc_id", "root", "shingles")
+    more = written(met.groupBy("cluster", "unit", "low", "high").applyInArrow(block_links(percent), "a long, b long"), "rest-links")
+
+    groups = components(links.unionByName(more), scratch)
+    ends = member.join(groups.select(F.col("id").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root")).distinct()
+    found = written(signed.select("doc_id", "n").join(ends, "doc_id", "left"), "groups")
+    scratch.close(found)
+    return found.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("root", "doc_id"))).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:

@@ -39,7 +39,7 @@ def docs(spark, rows, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def clashing(docs):
-    names = ["_row", "_source", "_order", "_block", "_plan0", "_epoch", "_lang", "_both", "_gone_id", "_kept_id", "_place", "_merge", "path", "row", "n", "bucket", "hash", "norm", "sha", "a.b"]
+    names = ["_metadata", "_file", "_text", "_training", "_row", "_source", "_order", "_block", "_plan0", "_epoch", "_lang", "_both", "_gone_id", "_kept_id", "_place", "_merge", "path", "row", "n", "bucket", "hash", "norm", "sha", "a.b"]
     return docs.withColumns({n: F.lit(i) for i, n in enumerate(names)})
 
 
@@ -117,6 +117,23 @@ def test_quotation_of_rewrapped_and_partial_passages(spark):
     assert got == {(1, 0): (None, 0), (1, 1): (None, 1), (1, 2): (0, 0), (1, 3): (1, 1), (1, 4): (0, 0), (1, 5): (None, 5), (1, 6): (0, 0), (2, 0): (None, 0)}
 
 
+def test_quotation_of_passages_and_nearest_originals(spark):
+    chat = [
+        (1, 0, "Thanks"),
+        (1, 1, "A long\npassage here"),
+        (1, 2, "Thanks"),
+        (1, 3, "> A long passage\n> here\nYes."),
+        (1, 4, "> Thanks\nWelcome."),
+        (1, 5, "> Yes.\n>> A long\n>> passage\n>> here\nNo."),
+        (1, 2000, "> thanks\nLate."),
+        (1, 2001, "> Nothing of the kind\nOh."),
+        (None, 7, "> Thanks"),
+    ]
+    found = quotation.linked(spark.createDataFrame([(c, t, "user", x) for c, t, x in chat], "conv_id long, turn long, role string, text string"))
+    got = {r.turn: (r.parent_turn, r.thread_turn, r.depth, r.position) for r in found.collect()}
+    assert got == {0: (None, 0, 0, 0), 1: (None, 1, 0, 1), 3: (1, 1, 1, 2), 5: (3, 1, 2, 3), 2: (None, 2, 0, 4), 4: (2, 2, 1, 5), 2000: (2, 2, 1, 6), 2001: (None, 2001, 0, 7), 7: (None, 7, 0, None)}
+
+
 def test_quotation_linking_equals_sql(spark):
     import duckdb
     import pandas as pd
@@ -168,6 +185,28 @@ def test_language_id(spark, small, docs, clashing):
     assert {r._lang_pred for r in language_id.predicted(docs, none).collect()} == {"und"}
 
 
+def test_language_id_against_brute_force(spark):
+    rng = random.Random(3)
+    alphabets = [("aa", "abcde"), ("bb", "cdefg"), ("cc", "Éfghi")]
+    rows = [(i, alphabets[i % 3][0], " ".join("".join(rng.choice(alphabets[i % 3][1]) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 30)))) for i in range(180)]
+    train, asked = rows[:120], [*rows[120:], (998, None, "12"), (999, None, None)]
+    settings = language_id.Settings(bits=10, docs_a_language=1000, length_scale=1e9)
+    schema = "doc_id long, lang string, text string"
+    counts = {x: np.full(1 << 10, settings.alpha) for x in ("aa", "bb", "cc")}
+    for _, lang, text in train:
+        np.add.at(counts[lang], language_id.grams([text], settings)[0], 1)
+    log_p = {x: np.log(c / c.sum()) for x, c in counts.items()}
+    for part in (256, 2, 1):
+        model = language_id.fit(spark.createDataFrame(train, schema), language_id.Settings(bits=10, docs_a_language=1000, length_scale=1e9, languages_a_part=part))
+        got = {r.doc_id: r for r in language_id.predicted(spark.createDataFrame(asked, schema), model).collect()}
+        assert model.languages == ("aa", "bb", "cc") and got[998]._lang_pred == got[999]._lang_pred == "und"
+        for i, _, text in asked[:-2]:
+            total = {x: p[language_id.grams([text], settings)[0]].sum() for x, p in log_p.items()}
+            best = max(total, key=total.get)
+            share = 1 / sum(math.exp(v - total[best]) for v in total.values())
+            assert got[i]._lang_pred == best and abs(got[i]._lang_score - share) < 1e-3
+
+
 def test_sharding(spark, docs, clashing, tmp_path):
     store = sharding.Shards(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, fan=4, rows_a_shard=5)
     for part in (clashing, clashing.limit(7), clashing.filter("doc_id = -1")):
@@ -206,6 +245,39 @@ def test_lattice_likelihood(docs, rows, clashing):
     assert all(abs(tail[k].score - got[k].score) < 1e-6 * abs(got[k].score) and tail[k].n_known == got[k].n_known for k in got)
 
 
+def test_lattice_score_against_brute_force(spark):
+    """Weights by the existing scores and expected counts over all segmentations, then marginals, all by enumeration."""
+    texts = [(0, "the thin man in the inn"), (1, "then they went in"), (2, "thin thin ink"), (3, "ét ink zq"), (4, None)]
+    settings = lattice_lm.Settings(rounds=2, prior=50.0)
+    got = {r.doc_id: r._lm for r in lattice_lm.scored(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") < 3, settings).collect()}
+    vocab = lattice.Vocabulary.load(lattice_lm.MODEL)
+    by_text = {p: i for i, p in enumerate(vocab.pieces) if p}
+    first = np.exp(vocab.log_w)
+    weight, end = first, 0.5
+
+    def ways(s):
+        if not s:
+            yield ()
+        for k in range(1, len(s) + 1):
+            if s[:k] in by_text:
+                yield from ((by_text[s[:k]], *rest) for rest in ways(s[k:]))
+        if s and s[0] not in by_text:
+            yield from ((*(int(vocab.byte_ids[b]) for b in s[0].replace("▁", " ").encode()), *rest) for rest in ways(s[1:]))
+
+    found = {w: list(ways("▁" + w)) for _, t in texts for w in (t or "").split()}
+    train = Counter(w for i, t in texts if i < 3 for w in t.split())
+    for _ in range(settings.rounds):
+        counts = settings.prior * first
+        for w, n in train.items():
+            chances = np.array([np.prod(weight[list(x)]) for x in found[w]])
+            for x, c in zip(found[w], chances / chances.sum(), strict=True):
+                np.add.at(counts, list(x), n * c)
+        weight, end = counts / (counts.sum() + 3), 3 / (counts.sum() + 3)
+    for i, t in texts:
+        want = math.log10(end) + sum(math.log10(sum(np.prod(weight[list(x)]) for x in found[w])) for w in (t or "").split())
+        assert abs(got[i].score - want) < 1e-9 * abs(want), i
+
+
 def test_lattice_sums_all_segmentations():
     vocab = lattice.Vocabulary.load(lattice_lm.MODEL).prepare()
     by_text = {p: i for i, p in enumerate(vocab.pieces) if p}
@@ -240,7 +312,8 @@ def test_exact_dedup(spark, docs, rows, clashing):
 
 def test_fingerprints(docs, rows):
     got = lz_fingerprint.fingerprints(docs, ranges=5).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
     want = Counter()
     for k, (i, t, *_) in enumerate(order):
         own, other = t or "", order[(k + 1) % len(order)][1] or ""
@@ -257,18 +330,46 @@ def test_fingerprints(docs, rows):
     assert one.near_next == 1.0
 
 
+def phrases_of(text):
+    plain, i = {}, 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i:j] in plain:
+            j += 1
+        plain[text[i:j]] = None
+        i = j
+    return list(plain)
+
+
+def estimate(a, b):
+    """The share of common ones among the 128 smallest hashes of both phrase sets."""
+    x, y = (set(sorted(set(lz_fingerprint.hashes(phrases_of(t)).tolist()))[:128]) for t in (a, b))
+    both = sorted(x | y)[:128]
+    return sum(h in x and h in y for h in both) / len(both) if both else 1.0
+
+
+def test_fingerprints_of_large_and_null_ids_against_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [((1 << 62) + i if i % 7 else None, words(rng, rng.randrange(60), 40) if i % 11 else None) for i in range(300)]
+    rows += [(5, words(rng, 12)) for _ in range(200)] + [(-(1 << 63), "low"), ((1 << 63) - 1, "high")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        own, other = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(own) // 2
+        edited = own[: len(own) - half] + other[:half]
+        want[i, len(own), hashlib.sha256(edited.encode()).hexdigest(), round(estimate(own, edited), 9), round(estimate(own, other), 9)] += 1
+    for ranges in (1, 9, None):
+        got = lz_fingerprint.fingerprints(frame, ranges=ranges).collect()
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+
+
 def test_phrases_are_lempel_ziv():
     rng = random.Random(2)
     for text in ["", "a", "aaaaaaaaaa", "abababab", *("".join(rng.choice("ab c") for _ in range(rng.randrange(300))) for _ in range(50))]:
-        plain, i = [], 0
-        while i < len(text):
-            j = i + 1
-            while j < len(text) and text[i:j] in plain:
-                j += 1
-            if text[i:j] not in plain:
-                plain.append(text[i:j])
-            i = j
-        assert lz_fingerprint.Parsed(text).phrases == plain
+        assert lz_fingerprint.Parsed(text).phrases == phrases_of(text)
         other = "".join(rng.choice("ab c") for _ in range(300))
         parsed = lz_fingerprint.Parsed(text)
         edited, signature = parsed.edited(other)
@@ -324,6 +425,32 @@ def test_near_dedup_with_nulls_and_repeated_rows(docs, rows):
     assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
 
 
+def test_near_dedup_defines_repeated_ids(spark):
+    a, b = words(random.Random(1), 40, 9999), words(random.Random(2), 60, 9999)
+    rows = [(7, a), (7, b), (8, b), (9, a), (9, a), (10, a + " more")]
+    for k in (1, 3, 6):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(k)).collect())
+        assert got == Counter([(7, 36, 7), (7, 56, 7), (8, 56, 8), (9, 36, 7), (9, 36, 7), (10, 37, 7)])
+
+
+def test_near_dedup_of_clusters_beyond_whole_comparison(spark, monkeypatch):
+    """Families that share most shingles: many are almost links, and buckets of several groups hang together."""
+    rng = random.Random(6)
+    base = words(rng, 90, 9999).split()
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            copy[rng.randrange(len(copy))] = f"v{rng.random()}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(minhash_dedup, "WHOLE", 1)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    monkeypatch.setattr(minhash_dedup, "SHARE", 16)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_brute(rows)
+
+
 def test_superminhash_equals_the_sequential_form():
     rng = random.Random(8)
     sets = [[rng.getrandbits(64) for _ in range(n)] for n in (1, 2, 7, 150)]
@@ -403,6 +530,17 @@ def test_mixing(docs, clashing):
     assert mixing.mixed(docs.filter("doc_id = -1")).count() == 0
 
 
+def test_mixing_of_many_sources(docs, monkeypatch):
+    """The bisection over a table gives what that over the driver's list gives."""
+    for mix in (mixing.Mix(max_repeats=1.5, blocks=3), mixing.Mix(entropy=0.6, max_repeats=None, blocks=2)):
+        listed = mixing.mixed(docs, mix).collect()
+        monkeypatch.setattr(mixing, "WEIGHED", 0)
+        tabled = mixing.mixed(docs, mix).collect()
+        monkeypatch.undo()
+        assert Counter((r.doc_id, r.n_chars) for r in listed) == Counter((r.doc_id, r.n_chars) for r in tabled)
+        assert abs(listed[0]._mix.exponent - tabled[0]._mix.exponent) < 1e-9
+
+
 def test_exponent():
     shares = [0.6, 0.3, 0.1]
     for target in (0.2, 0.7, 1.0):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm import exact_dedup, language_id, minhash_dedup, mixing, sentencepiece_codec
-from gradus.llm.common import written
+from gradus.llm.common import Scratch
 
 #: A document stays if a language is found whose share is this at least.
 MIN_SCORE = 0.5
@@ -47,9 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what each keeps is written to the shared folder and read again, and what it was made from is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name)
+            docs = scratch.written(docs, name)
+            scratch.close(docs)
     return docs

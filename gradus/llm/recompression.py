@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import Scratch, numbered, pieces
 
 CHARS = 1_000_000
 ROUNDS = 9
@@ -67,8 +67,8 @@ def name_pairs(a: Level, turn: int) -> Level:
 class Parsed:
     """Texts as one row of words with a wall before, between and behind them, and a symbol for each window of `width` words.
 
-    A window's symbol is that of the highest level which the window alone decides, the leftmost if there are several. So equal windows have the same symbol
-    at the same place, wherever they stand; a single word is always decided.
+    A window's symbol is one of the highest level that has symbols which the window alone decides; of several the one whose name has the lowest hash, so that neighbouring windows mostly
+    share theirs. So equal windows have the same symbol at the same place, wherever they stand; a single word is always decided.
     """
 
     def __init__(self, texts: list[str | None], width: int):
@@ -88,26 +88,39 @@ class Parsed:
         windows = np.maximum(self.counts - width + 1, 0)
         self.text = np.repeat(np.arange(len(texts)), windows)
         self.place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = self.begins[self.text] + self.place
+        self.at = self.begins[self.text] + self.place
         level = Level(name, np.arange(total), np.arange(total), np.arange(1, total + 1), wall)
         levels = [level]
-        for turn in range(ROUNDS if len(at) else 0):
-            level = name_pairs(name_runs(level) if turn else level, turn)
+        for turn in range(ROUNDS if len(self.at) else 0):
+            level = name_pairs(name_runs(level), turn)
             levels.append(level)
-        self.symbol, self.anchor = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
-        left = np.arange(len(at))
+        self.symbol, self.anchor = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.int64)
+        left = np.arange(len(self.at))
         for k in range(len(levels) - 1, -1, -1):
-            level = levels[k]
             if not len(left):
                 break
-            first = np.searchsorted(level.low, at[left])
-            inside = np.minimum(first, len(level.name) - 1)
-            fits = (first < len(level.name)) & (level.high[inside] <= at[left] + width)
-            chosen = inside[fits]
-            self.symbol[left[fits]] = mix(level.name[chosen] ^ np.uint64(k + 1))
-            self.anchor[left[fits]] = level.start[chosen] * (ROUNDS + 1) + k
+            fits, chosen = self.lowest(levels[k], self.at[left])
+            self.symbol[left[fits]] = mix(levels[k].name[chosen] ^ np.uint64(k + 1))
+            self.anchor[left[fits]] = levels[k].start[chosen] * (ROUNDS + 1) + k
             left = left[~fits]
 
+    def lowest(self, level: Level, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which windows decide a symbol of the level, and the one of the lowest hash in each of these."""
+        first, last = np.searchsorted(level.low, at), len(level.name) - 1
+        fits = (first <= last) & (level.high[np.minimum(first, last)] <= at + self.width)
+        chosen, end = first[fits], at[fits] + self.width
+        order = mix(level.name ^ ODD)
+        key, further = order[chosen], np.arange(len(chosen))
+        for step in range(1, self.width):
+            place = first[fits][further] + step
+            further = further[(place <= last) & (level.high[np.minimum(place, last)] <= end[further])]
+            if not len(further):
+                break
+            place = first[fits][further] + step
+            lower = order[place] < key[further]
+            chosen[further[lower]], key[further[lower]] = place[lower], order[place[lower]]
+        return fits, chosen
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols, each once where it stands: name, text and place (a number that tells level and first word)."""
         _, first = np.unique(self.anchor, return_index=True)
@@ -129,9 +142,9 @@ class Parsed:
         own = self.text * span + place
         return keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
 
-    def window_hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def contents(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64 and 32 bits of the words of each chosen window, each by differences of sums of powers of its own base: 35 multiplications a window are not needed."""
-        at = (self.begins[self.text] + self.place)[which]
+        at = self.at[which]
         out = []
         for base, names in ((0xD6E8FEB86659FD93, self.names), (0xA0761D6478BD642F, mix(self.names + ODD))):
             power, back = (np.full(len(names) + 1, b, np.uint64) for b in (base, pow(base, -1, 1 << 64)))
@@ -144,7 +157,7 @@ class Parsed:
     def cleaned(self, repeated: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """Words removed from each text, and what is left of it."""
         edge = np.zeros(len(self.names) + self.width + 1, np.int64)
-        at = (self.begins[self.text] + self.place)[repeated]
+        at = self.at[repeated]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + self.width, -1)
         covered = np.cumsum(edge) > 0
@@ -156,31 +169,27 @@ class Parsed:
         return gone, kept
 
 
-def own_places(spots: pa.Array, checks: np.ndarray) -> list[np.ndarray | None]:
-    """The places in each row's list that carry the row's own check: see without_repeats()."""
-    lists = [x.values if x.is_valid else None for x in spots]
-    found = [None if x is None else x.to_numpy() for x in lists]
-    return [None if x is None else (x & 0xFFFFFFFF)[x >> 32 == check] for x, check in zip(found, checks, strict=True)]
+def lists_of(column: pa.Array) -> list[np.ndarray | None]:
+    return [x.values.to_numpy() if x.is_valid else None for x in column]
 
 
 def emitted(width: int, windows: bool):
-    """(row, check, text[, lone]) -> (hash[, hash2], row, spot) of symbols, or of candidate windows."""
-    schema = pa.schema([("hash", pa.int64()), *[("hash2", pa.int32())] * windows, ("row", pa.int64()), ("spot", pa.int64())])
+    """(file, row, text[, lone]) -> (hash[, hash2], file, row, place) of symbols, or of windows that may repeat."""
+    schema = pa.schema([("hash", pa.int64()), *[("hash2", pa.int32())] * windows, ("file", pa.int64()), ("row", pa.int64()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            rows, checks, texts = cols["row"].to_numpy(), cols["check"].to_numpy().astype(np.int64), cols["text"].to_pylist()
+            files, rows, texts = cols["file"].to_numpy(), cols["row"].to_numpy(), cols["text"].to_pylist()
             for i, j in pieces([len(t or "") for t in texts], CHARS):
                 parsed = Parsed(texts[i:j], width)
                 if windows:
-                    which = np.nonzero(parsed.candidates(own_places(cols["lone"].slice(i, j - i), checks[i:j])))[0]
-                    name, second = parsed.window_hashes(which)
+                    which = np.nonzero(parsed.candidates(lists_of(cols["lone"].slice(i, j - i))))[0]
+                    name, second = parsed.contents(which)
                     text, place = parsed.text[which], parsed.place[which]
                 else:
                     name, text, place = parsed.anchors()
-                spot = checks[i:j][text] << 32 | place
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *([pa.array(second)] if windows else []), pa.array(rows[i:j][text]), pa.array(spot)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *([pa.array(second)] if windows else []), pa.array(files[i:j][text]), pa.array(rows[i:j][text]), pa.array(place)], schema=schema)
 
     return run
 
@@ -191,10 +200,10 @@ def finished(width: int, texts_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            texts, checks = cols["text"].to_pylist(), cols["check"].to_numpy().astype(np.int64)
+            texts = cols["text"].to_pylist()
             for i, j in pieces([len(t or "") for t in texts], CHARS):
                 parsed = Parsed(texts[i:j], width)
-                lone, once = (own_places(cols[c].slice(i, j - i), checks[i:j]) for c in ("lone", "once"))
+                lone, once = (lists_of(cols[c].slice(i, j - i)) for c in ("lone", "once"))
                 repeated = np.nonzero(parsed.candidates(lone) & ~parsed.listed(parsed.place, once))[0]
                 gone, kept = parsed.cleaned(repeated)
                 out = [cols["doc_id"].slice(i, j - i), pa.array(parsed.counts), pa.array(gone), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
@@ -207,28 +216,26 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Removes each word of a text that lies in a window of `width` words whose word sequence also starts anywhere else, in the same text or another.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. Recompression names runs and pairs of symbols, round after round. A name is a hash of
-    what it names, so that all tasks give equal names to equal passages without asking each other. Each window has one symbol (see
-    Parsed), of several words on average. Spark counts symbols over all texts; windows of symbols that stand once can't repeat. The rest are verified by the content of
-    their words, as 96 bits of two hashes, again by a count over all texts: of 1e13 windows, two different ones are taken for equal with a chance of
-    one in 1,500. Both counts combine within tasks first and return what was counted once, so a passage in a third of all texts costs its task one row.
+    what it names, so that all tasks give equal names to equal passages without asking each other. Each window has one symbol of several words on average (see Parsed).
+    Spark counts symbols over all texts; windows of symbols that stand once can't repeat. The rest are verified by the content of their words, as 96 bits of two hashes, by another
+    count over all texts: of 1e13 windows, two different ones are taken for equal with a chance of one in 1,500. Both counts combine within tasks first and return what was
+    counted once, so a passage in a third of all texts costs its task one row. Rows are told apart by their file and their place in it; rows that don't come from files are written first.
 
-    What was counted once comes back to its text by a hash of id and text, with 32 bits of another one in each place; rows of one id and text have
-    nothing that stands once, so no numbers of rows are needed and any table that reads alike each time will do. Null text has no words; repeated rows
-    repeat each other, and with 35 words or more both lose them. A text of any length is parsed whole, by one task; longer ones than CHARS make a batch of their
-    own. Other columns are ignored; an empty table gives an empty one.
+    Null text has no words; repeated rows repeat each other, and with `width` words or more both lose them. A text of any length is parsed whole, by one task; longer ones
+    than CHARS make a batch of their own. Other columns are ignored; an empty table gives an empty one.
 
     Returns (id, n_words, n_removed, kept_sha256 of the rest joined by single spaces), and the rest itself as kept_text on demand.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("row"), F.hash("text").alias("check"), "doc_id", "text")
-    counted = [F.count("*").alias("n"), F.max("row").alias("row"), F.max("spot").alias("spot")]
+    rows, (file, row) = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), Scratch(docs.sparkSession))
+    rows = rows.select(F.col(file).alias("file"), F.col(row).alias("row"), "doc_id", "text")
+    counted = [F.count("*").alias("n"), *(F.max(c).alias(c) for c in ("file", "row", "place"))]
 
     def once(found: DataFrame, keys: list[str], name: str) -> DataFrame:
         alone = found.groupBy(*keys).agg(*counted).filter("n = 1")
-        return alone.groupBy("row").agg(F.collect_list("spot").alias(name))
+        return alone.groupBy("file", "row").agg(F.collect_list("place").alias(name))
 
-    lone = once(rows.select("row", "check", "text").mapInArrow(emitted(width, False), "hash long, row long, spot long"), ["hash"], "lone")
-    known = rows.join(lone, "row", "left")
-    single = once(known.mapInArrow(emitted(width, True), "hash long, hash2 int, row long, spot long"), ["hash", "hash2"], "once")
+    lone = once(rows.select("file", "row", "text").mapInArrow(emitted(width, False), "hash long, file long, row long, place long"), ["hash"], "lone")
+    known = rows.join(lone, ["file", "row"], "left")
+    single = once(known.mapInArrow(emitted(width, True), "hash long, hash2 int, file long, row long, place long"), ["hash", "hash2"], "once")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts_too
-    return known.join(single, "row", "left").mapInArrow(finished(width, texts_too), out).withColumnRenamed("doc_id", id_col)
+    return known.join(single, ["file", "row"], "left").mapInArrow(finished(width, texts_too), out).withColumnRenamed("doc_id", id_col)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, numbered, pieces
 
 CHARS = 1_000_000
-ROUNDS = 9
+ROUNDS = 8
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,12 +32,16 @@ class Level:
         self.name, self.start, self.low, self.high, self.wall = name, start, low, high, wall
 
 
-def name_runs(a: Level) -> Level:
-    """Names each maximal run of one symbol by the symbol and the run's length. What a symbol is depends on both neighbours then."""
+def name_runs(a: Level, words: np.ndarray) -> Level:
+    """Names each maximal run of one symbol by the symbol and the run's length. What a symbol is depends on both neighbours then: on the one word next to it if that
+    isn't what another such symbol would have there, else on all of the neighbour."""
     same = (a.name[1:] == a.name[:-1]) & ~a.wall[1:] & ~a.wall[:-1]
+    first_word, last_word = words[a.start], words[np.append(a.start[1:], len(words)) - 1]
     low, high = a.low.copy(), a.high.copy()
-    low[1:] = np.where(a.wall[1:], low[1:], a.low[:-1])
-    high[:-1] = np.where(a.wall[:-1], high[:-1], a.high[1:])
+    before = np.where(last_word[:-1] != last_word[1:], a.start[1:] - 1, a.low[:-1])
+    after = np.where(first_word[1:] != first_word[:-1], a.start[1:] + 1, a.high[1:])
+    low[1:] = np.where(a.wall[1:], low[1:], np.minimum(low[1:], before))
+    high[:-1] = np.where(a.wall[:-1], high[:-1], np.maximum(high[:-1], after))
     first = np.nonzero(np.concatenate([[True], ~same]))[0]
     last = np.append(first[1:], len(a.name)) - 1
     length = last - first + 1
@@ -92,7 +96,7 @@ class Parsed:
         level = Level(name, np.arange(total), np.arange(total), np.arange(1, total + 1), wall)
         levels = [level]
         for turn in range(ROUNDS if len(self.at) else 0):
-            level = name_pairs(name_runs(level), turn)
+            level = name_pairs(name_runs(level, name), turn)
             levels.append(level)
         self.symbol, self.anchor = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.int64)
         left = np.arange(len(self.at))

@@ -178,13 +178,13 @@ def lists_of(column: pa.Array) -> list[np.ndarray | None]:
 
 
 def emitted(width: int, windows: bool):
-    """(file, row, text[, lone]) -> (hash[, hash2], file, row, place) of symbols, or of windows that may repeat."""
-    schema = pa.schema([("hash", pa.int64()), *[("hash2", pa.int32())] * windows, ("file", pa.int64()), ("row", pa.int64()), ("place", pa.int64())])
+    """(row, text[, lone]) -> (hash[, hash2], row, place) of symbols, or of windows that may repeat."""
+    schema = pa.schema([("hash", pa.int64()), *[("hash2", pa.int32())] * windows, ("row", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            files, rows, texts = cols["file"].to_numpy(), cols["row"].to_numpy(), cols["text"].to_pylist()
+            rows, texts = cols["row"].to_numpy(), cols["text"].to_pylist()
             for i, j in pieces([len(t or "") for t in texts], CHARS):
                 parsed = Parsed(texts[i:j], width)
                 if windows:
@@ -193,7 +193,7 @@ def emitted(width: int, windows: bool):
                     text, place = parsed.text[which], parsed.place[which]
                 else:
                     name, text, place = parsed.anchors()
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *([pa.array(second)] if windows else []), pa.array(files[i:j][text]), pa.array(rows[i:j][text]), pa.array(place)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *([pa.array(second)] if windows else []), pa.array(rows[i:j][text]), pa.array(place.astype(np.int32))], schema=schema)
 
     return run
 
@@ -223,7 +223,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     what it names, so that all tasks give equal names to equal passages without asking each other. Each window has one symbol of several words on average (see Parsed).
     Spark counts symbols over all texts; windows of symbols that stand once can't repeat. The rest are verified by the content of their words, as 96 bits of two hashes, by another
     count over all texts: of 1e13 windows, two different ones are taken for equal with a chance of one in 1,500. Both counts combine within tasks first and return what was
-    counted once, so a passage in a third of all texts costs its task one row. Rows are told apart by their file and their place in it; rows that don't come from files are written first.
+    counted once, so a passage in a third of all texts costs its task one row. Rows are told apart by
+    a hash of their file with their place in it (64 bits; of 100,000 files of a million rows, two share numbers with a chance of one in 2,000); rows that don't come from files are written first.
 
     Null text has no words; repeated rows repeat each other, and with `width` words or more both lose them. A text of any length is parsed whole, by one task; longer ones
     than CHARS make a batch of their own. Other columns are ignored; an empty table gives an empty one.
@@ -231,15 +232,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns (id, n_words, n_removed, kept_sha256 of the rest joined by single spaces), and the rest itself as kept_text on demand.
     """
     rows, (file, row) = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), Scratch(docs.sparkSession))
-    rows = rows.select(F.col(file).alias("file"), F.col(row).alias("row"), "doc_id", "text")
-    counted = [F.count("*").alias("n"), *(F.max(c).alias(c) for c in ("file", "row", "place"))]
+    rows = rows.select(F.col(file).bitwiseXOR(F.col(row)).alias("row"), "doc_id", "text")
+    counted = [F.count("*").alias("n"), F.max("row").alias("row"), F.max("place").alias("place")]
 
     def once(found: DataFrame, keys: list[str], name: str) -> DataFrame:
         alone = found.groupBy(*keys).agg(*counted).filter("n = 1")
-        return alone.groupBy("file", "row").agg(F.collect_list("place").alias(name))
+        return alone.groupBy("row").agg(F.collect_list("place").alias(name))
 
-    lone = once(rows.select("file", "row", "text").mapInArrow(emitted(width, False), "hash long, file long, row long, place long"), ["hash"], "lone")
-    known = rows.join(lone, ["file", "row"], "left")
-    single = once(known.mapInArrow(emitted(width, True), "hash long, hash2 int, file long, row long, place long"), ["hash", "hash2"], "once")
+    lone = once(rows.select("row", "text").mapInArrow(emitted(width, False), "hash long, row long, place int"), ["hash"], "lone")
+    known = rows.join(lone, "row", "left")
+    single = once(known.mapInArrow(emitted(width, True), "hash long, hash2 int, row long, place int"), ["hash", "hash2"], "once")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts_too
-    return known.join(single, ["file", "row"], "left").mapInArrow(finished(width, texts_too), out).withColumnRenamed("doc_id", id_col)
+    return known.join(single, "row", "left").mapInArrow(finished(width, texts_too), out).withColumnRenamed("doc_id", id_col)

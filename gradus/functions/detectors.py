@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .similarity import overlap_first, overlap_smaller, ratio
-from .text import content_words, hits, let, paragraphs, sentences, strip, type_token_ratio, words
+from .text import content_words, hits, let, paragraphs, sentences, strip, type_token_ratio, without_stop_words, words
 
 
 def steps(value: Column, *cuts: tuple[float, float]) -> Column:
@@ -38,11 +38,15 @@ def intro(sents: Column) -> Column:
 
 
 def body(text: Column, sents: Column) -> Column:
-    n = F.size(sents)
-    elaborate = ratio(F.size(F.filter(sents, lambda s: F.size(words(s)) >= 10)), n)
-    average = ratio(F.size(words(text)), n)
-    score = steps(n, (6, 0.25), (3, 0.15)) + steps(F.size(paragraphs(text)), (3, 0.20), (2, 0.10)) + steps(elaborate, (0.6, 0.25), (0.3, 0.15))
-    score = score + steps(type_token_ratio(F.slice(words(text), 1, 200)), (0.65, 0.15), (0.50, 0.08)) + F.when(average.between(12, 25), 0.15).otherwise(0.0)
+    return body_of(F.transform(sents, words), words(text), F.size(paragraphs(text)))
+
+
+def body_of(sent_words: Column, ws: Column, n_paragraphs: Column) -> Column:
+    n = F.size(sent_words)
+    elaborate = ratio(F.size(F.filter(sent_words, lambda s: F.size(s) >= 10)), n)
+    average = ratio(F.size(ws), n)
+    score = steps(n, (6, 0.25), (3, 0.15)) + steps(n_paragraphs, (3, 0.20), (2, 0.10)) + steps(elaborate, (0.6, 0.25), (0.3, 0.15))
+    score = score + steps(type_token_ratio(F.slice(ws, 1, 200)), (0.65, 0.15), (0.50, 0.08)) + F.when(average.between(12, 25), 0.15).otherwise(0.0)
     return F.when(n == 0, 0.0).otherwise(capped(score))
 
 
@@ -77,6 +81,10 @@ def examples(text: Column) -> Column:
 
 
 def coherence(text: Column, sents: Column) -> Column:
+    return coherence_of(text, F.transform(sents, content_words))
+
+
+def coherence_of(text: Column, sets: Column) -> Column:
     counts = [hits(text, p) for p in (L.ADDITIVE, L.ADVERSATIVE, L.CAUSAL, L.SEQUENTIAL)]
     total, kinds = counts[0], (counts[0] > 0).cast("int")
     for c in counts[1:]:
@@ -91,11 +99,27 @@ def coherence(text: Column, sents: Column) -> Column:
         return F.when(n < 2, -1.0).otherwise(steps(flow, (0.15, 0.25), (0.08, 0.12)) + F.when(topic >= 0.15, 0.2).otherwise(0.0))
 
     cue = steps(total, (4, 0.3), (2, 0.15)) + steps(kinds, (3, 0.25), (2, 0.15))
-    return let(let(F.transform(sents, content_words), shared), lambda x: F.when(x < 0, 0.0).otherwise(capped(cue + x)))
+    return let(shared(sets), lambda x: F.when(x < 0, 0.0).otherwise(capped(cue + x)))
+
+
+def structured(df: DataFrame, text: Column) -> DataFrame:
+    """df with the seven scores, their weighted sum (structural_score) and the bonus (structure_bonus); all 0 for texts of fewer than ten characters.
+
+    What several scores need is a column of its own, so it is computed once: sentences, their words and content words, words, paragraphs.
+    """
+    x = df.withColumn("_t", F.coalesce(text, F.lit("")))
+    t = F.col("_t")
+    x = x.withColumns({"_ss": sentences(t), "_ws": words(t), "_np": F.size(paragraphs(t))}).withColumn("_sw", F.transform("_ss", words)).withColumn("_cs", F.transform("_sw", without_stop_words))
+    scores = {"intro": intro(F.col("_ss")), "body": body_of(F.col("_sw"), F.col("_ws"), F.col("_np")), "conclusion": conclusion(F.col("_ss")), "lists": lists(t), "definitions": definitions(t), "examples": examples(t), "coherence": coherence_of(t, F.col("_cs"))}
+    long = F.char_length(F.trim(t)) >= 10
+    x = x.withColumns({k: F.when(long, v).otherwise(0.0) for k, v in scores.items()})
+    total = sum((F.col(k) * w for k, w in list(L.STRUCTURE_WEIGHTS.items())[1:]), F.col("intro") * L.STRUCTURE_WEIGHTS["intro"])
+    x = x.withColumn("structural_score", capped(total)).withColumn("structure_bonus", F.col("structural_score") * L.STRUCTURE_BONUS)
+    return x.drop("_t", "_ss", "_ws", "_np", "_sw", "_cs")
 
 
 def structure(text: Column) -> dict[str, Column]:
-    """The seven scores, their weighted sum and the bonus; all 0 for texts of fewer than ten characters."""
+    """structured() as expressions, for texts that are no column yet."""
     text = F.coalesce(text, F.lit(""))
     sents = sentences(text)
     scores = {"intro": let(sents, intro), "body": let(sents, lambda x: body(text, x)), "conclusion": let(sents, conclusion), "lists": lists(text), "definitions": definitions(text), "examples": examples(text), "coherence": coherence(text, sents)}
@@ -144,18 +168,20 @@ def twins(sets: list[list[str]], like: float = 0.85) -> int:
 
 def repetition_of_many(text: Column) -> Column:
     """repetition() for texts of any number of sentences, without comparing all pairs."""
+    return repetition_of(F.transform(sentences(text, 3), content_words))
+
+
+def repetition_of(sets: Column) -> Column:
 
     @F.pandas_udf("int")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([0 if t is None else twins(t) for t in texts], dtype="int32")
 
-    sets = F.transform(sentences(text, 3), content_words)
     return F.when(F.size(sets) < 2, 0.0).otherwise(F.least(ratio(run(sets), F.size(sets)) * 0.35, F.lit(0.20)))
 
 
-def irrelevant(student: Column, model: Column) -> Column:
-    """Places of sentences, from 0, that share less than a tenth of their words with any sentence of the model."""
-    own, other = F.transform(sentences(student, 3), content_words), F.transform(sentences(model, 3), content_words)
+def irrelevant(own: Column, other: Column) -> Column:
+    """Places of sentences, from 0, that share less than a tenth of their words with any sentence of the model; both as content words."""
 
     def places(others: Column) -> Column:
         best = lambda s: F.coalesce(F.array_max(F.transform(others, lambda m: overlap_first(s, m))), F.lit(0.0))
@@ -166,19 +192,25 @@ def irrelevant(student: Column, model: Column) -> Column:
 
 
 def irrelevance(student: Column, model: Column) -> Column:
-    own, other = sentences(student, 3), sentences(model, 3)
+    return irrelevance_of(F.transform(sentences(student, 3), content_words), F.transform(sentences(model, 3), content_words))
+
+
+def irrelevance_of(own: Column, other: Column) -> Column:
 
     def penalty(off: Column) -> Column:
         n = F.size(off)
         neighbours = F.size(F.filter(F.zip_with(F.slice(off, 1, F.greatest(n - 1, F.lit(0))), F.slice(off, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: b - a), lambda d: d == 1))
         return F.when(n > 0, F.least(ratio(n, F.size(own)) * 0.30 + neighbours * 0.03, F.lit(0.25))).otherwise(0.0)
 
-    return F.when((F.size(own) == 0) | (F.size(other) == 0), 0.0).otherwise(let(irrelevant(student, model), penalty))
+    return F.when((F.size(own) == 0) | (F.size(other) == 0), 0.0).otherwise(let(irrelevant(own, other), penalty))
 
 
 def copy_shuffle(student: Column, model: Column) -> Column:
     """Half or more of the sentences share three quarters of their words with one of the model's."""
-    own, other = F.transform(sentences(student, 3), content_words), F.transform(sentences(model, 3), content_words)
+    return copy_shuffle_of(F.transform(sentences(student, 3), content_words), F.transform(sentences(model, 3), content_words))
+
+
+def copy_shuffle_of(own: Column, other: Column) -> Column:
     copied = let(other, lambda others: F.transform(own, lambda s: (F.size(s) > 0) & F.exists(others, lambda m: overlap_first(s, m) >= 0.75)))
 
     def penalty(flags: Column) -> Column:
@@ -192,21 +224,26 @@ def copy_shuffle(student: Column, model: Column) -> Column:
 
 def stuffing(student: Column, model: Column, keyword: Column, semantic: Column, found: Column) -> Column:
     """Keywords far above meaning, far denser than in the model, or in very short sentences."""
-    own, other = words(student), words(model)
+    return stuffing_of(words(student), words(model), F.size(sentences(student, 3)), keyword, semantic, found)
+
+
+def stuffing_of(own: Column, other: Column, n_sentences: Column, keyword: Column, semantic: Column, found: Column) -> Column:
     gap = keyword - semantic
     gap_penalty = F.when(gap > 0.30, F.least((gap - 0.30) * 0.5, F.lit(0.10))).otherwise(0.0)
     density = lambda ws: ratio(F.size(F.filter(ws, lambda w: F.array_contains(found, w))), F.size(ws))
     a, b = density(own), density(other)
     dense = F.when((b > 0) & (a > b * 2.5), F.least((a / F.greatest(b, F.lit(0.001)) - 2.5) * 0.04, F.lit(0.08))).otherwise(0.0)
-    short = F.when((F.size(own) / F.greatest(F.size(sentences(student, 3)), F.lit(1)) < 4) & (F.size(found) >= 3), 0.06).otherwise(0.0)
+    short = F.when((F.size(own) / F.greatest(n_sentences, F.lit(1)) < 4) & (F.size(found) >= 3), 0.06).otherwise(0.0)
     penalty = gap_penalty + F.when(F.size(found) > 0, dense + short).otherwise(0.0)
     return F.when(F.size(own) < 5, 0.0).otherwise(F.least(penalty, F.lit(0.20)))
 
 
 def gibberish(text: Column, entropy: Column, vocabulary: list[str] | None = None) -> Column:
     """Entropy of letters, known words, vowels, odd characters and variety. vocabulary: words that count as known, stop words and more."""
-    text = F.coalesce(text, F.lit(""))
-    ws = words(text)
+    return gibberish_of(F.coalesce(text, F.lit("")), words(text), entropy, vocabulary)
+
+
+def gibberish_of(text: Column, ws: Column, entropy: Column, vocabulary: list[str] | None = None) -> Column:
     known = vocabulary or L.STOP_WORDS
     letters = F.filter(ws, lambda w: w.rlike(r"^\p{L}+$"))
     real = ratio(F.size(F.filter(letters, lambda w: w.isin(known))), F.size(letters))
@@ -235,13 +272,16 @@ def entropy(text: Column) -> Column:
 
 def padding(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
-    sents = sentences(text, 3)
+    sents = F.transform(sentences(text, 3), words)
+    return padding_of(sents, F.transform(sents, without_stop_words), hits(text, L.FILLERS), hits(text, L.HEDGES))
+
+
+def padding_of(sents: Column, sets: Column, fillers: Column, hedges: Column) -> Column:
+    """sents: words of each sentence; sets: its content words."""
     n = F.size(sents)
-    fillers, hedges = hits(text, L.FILLERS), hits(text, L.HEDGES)
     empty = F.array().cast("array<string>")
-    first, last = content_words(F.coalesce(F.get(sents, 0), F.lit(""))), content_words(F.coalesce(F.get(sents, n - 1), F.lit("")))
-    stop = F.array(*[F.lit(w) for w in L.STOP_WORDS])
-    content = F.aggregate(F.transform(sents, lambda s: F.size(F.filter(words(s), lambda w: w.rlike(r"^\p{L}+$") & ~F.array_contains(stop, w)))), F.lit(0), lambda s, x: s + x)
+    first, last = F.get(sets, 0), F.get(sets, n - 1)
+    content = F.aggregate(F.transform(sents, lambda s: F.size(F.filter(s, lambda w: ~w.isin(L.STOP_WORDS) & w.rlike(r"^\p{L}+$")))), F.lit(0), lambda s, x: s + x)
     penalty = F.when(fillers >= 3, F.least(fillers * 0.02, F.lit(0.08))).when(fillers >= 2, 0.03).otherwise(0.0)
     penalty = penalty + F.when(ratio(hedges, n) > 0.8, 0.05).otherwise(0.0)
     penalty = penalty + F.when((n >= 4) & (overlap_smaller(F.coalesce(first, empty), F.coalesce(last, empty)) > 0.7), 0.05).otherwise(0.0)
@@ -249,21 +289,25 @@ def padding(text: Column) -> Column:
     return F.when(n < 2, 0.0).otherwise(F.least(penalty, F.lit(0.15)))
 
 
-def gaming(student: Column, model: Column, keyword: Column, semantic: Column, found: Column) -> dict[str, Column]:
-    """The penalties of all six detectors; 0 where the answer or the model has fewer than ten characters.
+def gamed(df: DataFrame, student: Column, model: Column, keyword: Column, semantic: Column, found: Column) -> DataFrame:
+    """df with the penalties of all six detectors; 0 where the answer or the model has fewer than ten characters.
 
-    keyword: coverage; semantic: likeness of meaning; found: the model's keywords that the answer has.
+    keyword: coverage; semantic: likeness of meaning; found: the model's keywords that the answer has. Sentences and words of both texts are computed once.
     """
+    x = df.withColumns({"_t": F.coalesce(student, F.lit("")), "_ws": words(student), "_vs": words(model), "_sw": F.transform(sentences(student, 3), words), "_mw": F.transform(sentences(model, 3), words)})
+    x = x.withColumns({"_cs": F.transform("_sw", without_stop_words), "_ms": F.transform("_mw", without_stop_words), "_e": entropy(F.col("_t")), "_f": hits(F.col("_t"), L.FILLERS), "_h": hits(F.col("_t"), L.HEDGES)})
+    own, other = F.col("_cs"), F.col("_ms")
     penalties = {
-        "repetition": repetition_of_many(student),
-        "irrelevance": irrelevance(student, model),
-        "stuffing": stuffing(student, model, keyword, semantic, found),
-        "gibberish": gibberish(student, entropy(student), L.STOP_WORDS + L.COMMON_WORDS),
-        "padding": padding(student),
-        "copy_shuffle": copy_shuffle(student, model),
+        "repetition": repetition_of(own),
+        "irrelevance": irrelevance_of(own, other),
+        "stuffing": stuffing_of(F.col("_ws"), F.col("_vs"), F.size("_sw"), keyword, semantic, found),
+        "gibberish": gibberish_of(F.col("_t"), F.col("_ws"), F.col("_e"), L.STOP_WORDS + L.COMMON_WORDS),
+        "padding": padding_of(F.col("_sw"), own, F.col("_f"), F.col("_h")),
+        "copy_shuffle": copy_shuffle_of(own, other),
     }
     long = (F.char_length(strip(student)) >= 10) & (F.char_length(strip(model)) >= 10)
-    return {n: F.when(long, p).otherwise(0.0) for n, p in penalties.items()}
+    x = x.withColumns({n: F.when(long, p).otherwise(0.0) for n, p in penalties.items()})
+    return x.drop("_t", "_ws", "_vs", "_sw", "_mw", "_cs", "_ms", "_e", "_f", "_h")
 
 
 def level(text: Column, cues: list[list[str]]) -> Column:

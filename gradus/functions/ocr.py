@@ -28,15 +28,18 @@ def char_certainty(text: Column) -> Column:
 
 def valid_word(word: Column) -> Column:
     """Whether letters could be an English word: vowels, no long run of consonants at the start, no letter three times, a common pair."""
-    w = F.lower(F.regexp_replace(word, "[^a-zA-Z]", ""))
+    return valid_letters(F.lower(F.regexp_replace(word, "[^a-zA-Z]", "")))
+
+
+def valid_letters(w: Column) -> Column:
     pairs = "(" + "|".join(L.BIGRAMS) + ")"
     fair = ~((F.char_length(w) > 3) & ~w.rlike("[aeiouy]")) & ~w.rlike("^[^aeiouy]{4}") & ~w.rlike(r"(.)\1\1") & ((F.char_length(w) < 4) | w.rlike(pairs))
     return F.when(F.char_length(w) < 2, w.isin("a", "i")).otherwise(fair)
 
 
 def valid_ratio(text: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([a-zA-Z']+)"), F.lit(1))
-    return ratio(F.size(F.filter(found, valid_word)), F.size(found))
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return let(F.regexp_extract_all(low, F.lit("([a-z']+)"), F.lit(1)), lambda found: ratio(F.size(F.filter(found, lambda w: valid_letters(F.replace(w, F.lit("'"), F.lit(""))))), F.size(found)))
 
 
 def most_common(tokens: Column) -> Column:

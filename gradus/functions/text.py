@@ -40,7 +40,12 @@ def paragraphs(text: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct words without stop words."""
-    return F.array_except(words(text), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    return without_stop_words(words(text))
+
+
+def without_stop_words(ws: Column) -> Column:
+    """The distinct ones of these words that are no stop words."""
+    return F.array_except(ws, F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -86,8 +86,12 @@ def score_trend(spark, d):
 @query("""SELECT s_suppkey, count(l_orderkey) AS n_items, count(DISTINCT l_orderkey) AS n_orders, count(DISTINCT l_partkey) AS n_subjects, round(avg(l_extendedprice), 4) AS mean
  FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1""")
 def teacher_rollup(spark, d):
-    s, li = table(spark, d, "supplier").select("s_suppkey"), table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_extendedprice")
-    return s.join(li, s["s_suppkey"] == li["l_suppkey"], "left").groupBy("s_suppkey").agg(F.count("l_orderkey").alias("n_items"), F.countDistinct("l_orderkey").alias("n_orders"), F.countDistinct("l_partkey").alias("n_subjects"), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+    """Aggregated by teacher before the join; each distinct count combines within tasks, so a teacher with many rows is no one task's."""
+    li = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "s_suppkey")
+    sums = li.groupBy("s_suppkey").agg(F.count("l_orderkey").alias("n_items"), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+    kinds = lambda key, name: li.select("s_suppkey", key).distinct().groupBy("s_suppkey").agg(F.count(key).alias(name))
+    found = table(spark, d, "supplier").select("s_suppkey").join(sums, "s_suppkey", "left").join(kinds("l_orderkey", "n_orders"), "s_suppkey", "left").join(kinds("l_partkey", "n_subjects"), "s_suppkey", "left")
+    return found.fillna(0, ["n_items", "n_orders", "n_subjects"]).select("s_suppkey", "n_items", "n_orders", "n_subjects", "mean")
 
 
 @query("""SELECT r_name, count(DISTINCT n_nationkey) AS n_classes, count(c_custkey) AS n_students FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
@@ -116,12 +120,17 @@ def unknown_filter_ignored(spark, d):
     return R.filtered(table(spark, d, "orders"), {"o_orderstatus": "no such status", "o_orderpriority": "1-URGENT"}, domains).select("o_orderkey")
 
 
-@query("""SELECT o_orderkey, 'teacher' AS role FROM orders WHERE o_custkey = 7 OR o_orderkey % 100 = 7 UNION ALL SELECT o_orderkey, 'student' FROM orders WHERE o_custkey = 7
- UNION ALL SELECT o_orderkey, 'admin' FROM orders WHERE o_orderpriority = '2-HIGH'""")
+@query("""SELECT o_orderkey, 'teacher' AS role, o_custkey AS viewer FROM orders UNION ALL SELECT o_orderkey, 'teacher', o_orderkey % 100 FROM orders WHERE o_custkey <> o_orderkey % 100 AND o_orderkey % 100 IN (SELECT o_custkey FROM orders)
+ UNION ALL SELECT o_orderkey, 'student', o_custkey FROM orders UNION ALL SELECT o_orderkey, 'admin', NULL FROM orders WHERE o_orderpriority = '2-HIGH'""")
 def role_scoped_list(spark, d):
+    """What each user sees in each role: every customer as student and as teacher, who also sees the assigned cases; an admin the urgent page."""
     cases = table(spark, d, "orders").withColumn("assigned", F.col("o_orderkey") % 100)
-    scoped = lambda role, df: df.filter(R.visible(role, 7, "o_custkey", "assigned")).select("o_orderkey", F.lit(role).alias("role"))
-    return scoped("teacher", cases).unionByName(scoped("student", cases)).unionByName(scoped("admin", cases.filter("o_orderpriority = '2-HIGH'")))
+    users = cases.select(F.col("o_custkey").alias("viewer")).distinct()
+    own = cases.select("o_orderkey", F.col("o_custkey").alias("viewer"))
+    assigned = cases.filter("assigned <> o_custkey").select("o_orderkey", F.col("assigned").alias("viewer")).join(users, "viewer", "left_semi").select("o_orderkey", "viewer")
+    admin = cases.filter("o_orderpriority = '2-HIGH'").filter(R.visible("admin", 0, "o_custkey")).select("o_orderkey", F.lit(None).cast("long").alias("viewer"))
+    named = lambda df, role: df.select("o_orderkey", F.lit(role).alias("role"), "viewer")
+    return named(own.unionByName(assigned), "teacher").unionByName(named(own, "student")).unionByName(named(admin, "admin"))
 
 
 @query("""SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) FILTER (o_orderstatus = 'F') AS n_resolved, count(*) FILTER (o_orderstatus = 'P') AS n_escalated,
@@ -144,10 +153,12 @@ def available_members(spark, d):
     return table(spark, d, "customer").filter("c_mktsegment = 'AUTOMOBILE'").join(members, "c_custkey", "left_anti").orderBy("c_custkey").limit(50).select("c_custkey", "c_name")
 
 
-@query("""SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey = 3) AS is_teaching FROM part""")
+@query("""SELECT s_suppkey, p_partkey, (s_suppkey, p_partkey) IN (SELECT l_suppkey, l_partkey FROM lineitem) AS is_teaching FROM supplier JOIN part ON s_nationkey = p_size % 25""")
 def subjects_mark(spark, d):
-    taught = table(spark, d, "lineitem").filter("l_suppkey = 3").select(F.col("l_partkey").alias("p_partkey"))
-    return R.marked(table(spark, d, "part").select("p_partkey"), taught, ["p_partkey"], "is_teaching")
+    """The subjects of each teacher's school, with a mark on those that the teacher teaches."""
+    listed = table(spark, d, "supplier").join(table(spark, d, "part"), F.col("s_nationkey") == F.col("p_size") % 25).select("s_suppkey", "p_partkey")
+    taught = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"))
+    return R.marked(listed, taught, ["s_suppkey", "p_partkey"], "is_teaching")
 
 
 @query("""SELECT conv_id, turn, role, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS preview FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) = 1""")
@@ -162,10 +173,14 @@ def latest_by_aggregate(spark, d):
     return R.latest(m, ["conv_id"], ["turn"]).select("conv_id", "turn", "role")
 
 
-@query("""SELECT event_id, event_type FROM (SELECT event_id, event_type FROM events WHERE event_id < 900 AND event_type <> 'error' ORDER BY event_id DESC LIMIT 30) ORDER BY event_id""")
+@query("""WITH c AS (SELECT user_id, max(event_id) AS cursor FROM events WHERE event_type = 'error' GROUP BY 1)
+ SELECT user_id, event_id, event_type FROM events JOIN c USING (user_id) WHERE event_id < cursor AND event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 30""")
 def cursor_page(spark, d):
-    e = table(spark, d, "events").filter("event_id < 900 AND event_type <> 'error'").select("event_id", "event_type")
-    return e.orderBy(F.col("event_id").desc()).limit(30).orderBy("event_id")
+    """The page of each user's log before their cursor: the last error."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    cursor = e.filter("event_type = 'error'").groupBy("user_id").agg(F.max("event_id").alias("cursor"))
+    before = e.filter("event_type <> 'error'").join(cursor, "user_id").filter("event_id < cursor")
+    return R.top_per_group(before, ["user_id"], [F.col("event_id").desc()], 30).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

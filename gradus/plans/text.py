@@ -18,6 +18,7 @@ from gradus.functions import text as T
 from gradus.operators import alignment as N
 from gradus.operators import answers as A
 from gradus.operators import spelling as Z
+from gradus.operators import vectors as V
 from gradus.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,17 +123,11 @@ def text_stats(spark, d):
     return x.select("doc_id", F.char_length("text").alias("n_chars"), n.alias("n_words"), F.size(F.array_distinct("ws")).alias("n_distinct"), m.alias("n_sentences"), r6(T.type_token_ratio(F.col("ws"))).alias("ttr"), r6(S.ratio(n, m)).alias("words_a_sentence"), r6(S.ratio(letters, n)).alias("chars_a_word"))
 
 
-def entropies(docs: DataFrame) -> DataFrame:
-    """Entropy in bits of each text's characters, in lower case; a character's counts combine within tasks."""
-    chars = docs.select("doc_id", F.explode(F.split(F.lower("text"), "")).alias("c")).filter("c <> ''").groupBy("doc_id", "c").agg(F.count("*").alias("n"))
-    sums = chars.groupBy("doc_id").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return sums.select("doc_id", (F.log2("total") - F.col("s") / F.col("total")).alias("entropy"))
-
-
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(lower(text), '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS total, sum(n * log2(n)) AS s FROM n GROUP BY 1)
  SELECT doc_id, round(log2(total) - s / total, 6) AS entropy FROM t""")
 def char_entropy(spark, d):
-    return entropies(table(spark, d, "documents")).select("doc_id", r6(F.col("entropy")).alias("entropy"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).filter("text <> ''")
+    return docs.select("doc_id", r6(D.entropy(F.col("text"))).alias("entropy"))
 
 
 def _structure_sql() -> str:
@@ -165,7 +160,8 @@ def _structure_sql() -> str:
 
 @query(_structure_sql())
 def structure_scores(spark, d):
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", *[r6(c).alias(n) for n, c in D.structure(F.col("text")).items()])
+    x = D.structured(spread(table(spark, d, "documents").select("doc_id", "text")), F.col("text"))
+    return x.select("doc_id", *[r6(F.col(n)).alias(n) for n in (*L.STRUCTURE_WEIGHTS, "structural_score", "structure_bonus")])
 
 
 @query(f"""WITH a AS ({PAIRS}), k AS (SELECT doc_id, {', '.join(f"list_filter(list_transform({w(c)}, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: length(x) >= 3 AND NOT list_contains({STOP}, x)) AS {c[0]}k" for c in ('student', 'model'))} FROM a),
@@ -209,8 +205,9 @@ def sentence_gaming(spark, d):
   + CASE WHEN length(plain) >= 20 AND (v / greatest(length(plain) - v, 1) < 0.2 OR v / greatest(length(plain) - v, 1) > 1.5) THEN 0.08 ELSE 0 END + CASE WHEN odd > 0.15 THEN least(odd * 0.3, 0.08) ELSE 0 END
   + CASE WHEN len(ws) BETWEEN 5 AND 50 AND {div('len(list_distinct(ws))', 'len(ws)')} < 0.30 THEN 0.06 ELSE 0 END, 0.30) END, 6) AS gibberish FROM y""")
 def gibberish_penalty(spark, d):
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    return docs.join(entropies(docs), "doc_id").select("doc_id", r6(D.gibberish(F.col("text"), F.col("entropy"))).alias("gibberish"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).filter("text <> ''")
+    x = docs.withColumns({"ws": T.words(F.col("text")), "entropy": D.entropy(F.col("text"))})
+    return x.select("doc_id", r6(D.gibberish_of(F.col("text"), F.col("ws"), F.col("entropy"))).alias("gibberish"))
 
 
 @query(f"""WITH x AS (SELECT doc_id, text, {sents('text', 3)} AS ss FROM documents), y AS (SELECT *, {content("coalesce(ss[1], '')")} AS a, {content("coalesce(ss[-1], '')")} AS z, {hits('text', L.FILLERS)} AS f, {hits('text', L.HEDGES)} AS h,
@@ -234,11 +231,11 @@ def _vote_sql(name: str) -> str:
     return f"CASE WHEN {total} = 0 THEN 2 {vote} END AS {name}_level, CASE WHEN {total} = 0 THEN 0.3 ELSE least(1.0, greatest({', '.join(score)}) / greatest({' + '.join(score)}, 1.0) + 0.2 * least({total}, 5) / 5) END AS {name}_sure"
 
 
-@query(f"""WITH a AS ({TURNS}), h AS (SELECT conv_id, turn, {_level_sql('substr(model, 1, 300)', L.QUESTION_CUES, 'q')}, {_level_sql('student', L.ANSWER_CUES, 's')} FROM a), v AS (SELECT conv_id, turn, {_vote_sql('q')}, {_vote_sql('s')} FROM h)
+@query(f"""WITH a AS ({TURNS}), h AS (SELECT conv_id, turn, {_level_sql('substr(model, 1, 200)', L.QUESTION_CUES, 'q')}, {_level_sql('student', L.ANSWER_CUES, 's')} FROM a), v AS (SELECT conv_id, turn, {_vote_sql('q')}, {_vote_sql('s')} FROM h)
  SELECT conv_id, turn, q_level, s_level, round(q_sure, 6) AS q_sure, round(s_sure, 6) AS s_sure, round(greatest(0.0, least(1.0, 1.0 + (s_level - q_level) * 0.2)), 6) AS alignment,
  round(CASE WHEN s_level < q_level THEN -least((q_level - s_level) * 0.05 * least(q_sure, 0.9), 0.15) WHEN s_level > q_level THEN least(least(s_level - q_level, 2) * 0.025 * s_sure, 0.05) ELSE 0.0 END, 6) AS modifier FROM v""")
 def cognitive_levels(spark, d):
-    x = turns(spark, d).select("conv_id", "turn", D.level(F.substring("model", 1, 300), L.QUESTION_CUES).alias("asked"), D.level(F.col("student"), L.ANSWER_CUES).alias("given"))
+    x = turns(spark, d).select("conv_id", "turn", D.level(F.substring("model", 1, 200), L.QUESTION_CUES).alias("asked"), D.level(F.col("student"), L.ANSWER_CUES).alias("given"))
     x = x.select("conv_id", "turn", F.col("asked.level").alias("q_level"), F.col("given.level").alias("s_level"), F.col("asked.confidence").alias("q_sure"), F.col("given.confidence").alias("s_sure"))
     ql, sl, qs, ss = (F.col(c) for c in ("q_level", "s_level", "q_sure", "s_sure"))
     return x.select("conv_id", "turn", "q_level", "s_level", r6(qs).alias("q_sure"), r6(ss).alias("s_sure"), r6(D.level_alignment(ql, sl)).alias("alignment"), r6(D.level_modifier(ql, sl, qs, ss)).alias("modifier"))
@@ -295,19 +292,14 @@ def ocr_quality(spark, d):
 @query("""SELECT qid, vec_id, round(sim, 6) AS sim FROM (SELECT a.vec_id AS qid, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) <= 5""")
 def cosine_topk(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", S.unit(F.col("embedding")).alias("v"))
-    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
-    sims = e.join(asked, F.col("vec_id") != F.col("qid")).select("qid", "vec_id", S.dot(F.col("v"), F.col("qv")).alias("sim"))
-    w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), "vec_id")
-    return sims.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("qid", "vec_id", r6(F.col("sim")).alias("sim"))
+    return V.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, 5).select("qid", "vec_id", r6(F.col("sim")).alias("sim"))
 
 
 @query("""WITH s AS (SELECT a.vec_id AS qid, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
  SELECT qid, CASE WHEN sim >= 0.70 THEN 'strong' WHEN sim >= 0.45 THEN 'partial' WHEN sim >= 0.30 THEN 'weak' ELSE 'missing' END AS tier, count(*) AS n FROM s GROUP BY ALL""")
 def similarity_tiers(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", S.unit(F.col("embedding")).alias("v"))
-    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
-    return e.join(asked, F.col("vec_id") != F.col("qid")).select("qid", A.tier(S.dot(F.col("v"), F.col("qv"))).alias("tier")).groupBy("qid", "tier").agg(F.count("*").alias("n"))
+    """Tiers of the stated query set (every 20th id) against all rows."""
+    return V.tier_counts(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, [(0.70, "strong"), (0.45, "partial"), (0.30, "weak"), (-2.0, "missing")])
 
 
 @query("""WITH x AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n FROM x WHERE length(w) >= 4 AND regexp_matches(w, '^\\p{L}+$') GROUP BY ALL HAVING count(*) >= 2)
@@ -329,10 +321,10 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     s, m = F.col("student"), F.col("model")
     x = pairs(spark, d).withColumns({"sw": F.array_distinct(T.words(s)), "mw": F.array_distinct(T.words(m)), "sk": T.keywords(s), "mk": T.keywords(m)})
     x = x.withColumns({"semantic": S.overlap_smaller(F.col("sw"), F.col("mw")), "matched": S.matched(F.col("mk"), F.col("sk"))}).withColumn("keyword", covered("mk", "matched"))
-    x = x.withColumns(D.gaming(s, m, F.col("keyword"), F.col("semantic"), F.col("matched")))
-    structure, gaming = D.structure(s), B.gaming({n: F.col(n) for n in B.GAMING_CAPS})
+    x = D.structured(D.gamed(x, s, m, F.col("keyword"), F.col("semantic"), F.col("matched")), s)
+    gaming = B.gaming({n: F.col(n) for n in B.GAMING_CAPS})
     kind = F.array(*[F.lit(k) for k in L.QUESTION_WEIGHTS])
-    return x.select("doc_id", F.array_except("mk", "matched").alias("missing"), F.char_length("student").alias("chars"), F.char_length("model").alias("model_chars"), F.get(kind, (F.col("doc_id") % 4).cast("int")).alias("kind"), "semantic", "keyword", S.jaccard(F.col("sw"), F.col("mw")).alias("graph"), structure["structural_score"].alias("structural"), structure["structure_bonus"].alias("bonus"), S.length_penalty(s, m).alias("length_penalty"), gaming["gaming_penalty"].alias("gaming"))
+    return x.select("doc_id", "student", "model", "matched", F.array_except("mk", "matched").alias("missing"), F.char_length("student").alias("chars"), F.char_length("model").alias("model_chars"), F.get(kind, (F.col("doc_id") % 4).cast("int")).alias("kind"), "semantic", "keyword", S.jaccard(F.col("sw"), F.col("mw")).alias("graph"), F.col("structural_score").alias("structural"), F.col("structure_bonus").alias("bonus"), S.length_penalty(s, m).alias("length_penalty"), gaming["gaming_penalty"].alias("gaming"))
 
 
 #: A dictionary word stands this often in a million words, twice at least.
@@ -354,7 +346,7 @@ def vocabularies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def word_candidates(spark, d):
-    """Dictionary words within two edits of each unknown word; spelling_candidates has those within one, of runs of 4 to 12 letters."""
+    """Dictionary words within two edits of each unknown word; spelling_candidates has those within one."""
     return Z.candidates(*vocabularies(spark, d))
 
 
@@ -487,15 +479,16 @@ def gaming_report_all(spark, d):
     s, m = F.col("student"), F.col("model")
     x = turns(spark, d).withColumns({"mk": T.keywords(m), "sk": T.keywords(s), "semantic": S.overlap_smaller(F.array_distinct(T.words(s)), F.array_distinct(T.words(m)))})
     x = x.withColumn("matched", S.matched(F.col("mk"), F.col("sk"))).withColumn("keyword", covered("mk", "matched"))
-    x = x.select("conv_id", "turn", *[p.alias(n) for n, p in D.gaming(s, m, F.col("keyword"), F.col("semantic"), F.col("matched")).items()])
+    x = D.gamed(x, s, m, F.col("keyword"), F.col("semantic"), F.col("matched"))
     report = B.gaming({n: F.col(n) for n in B.GAMING_CAPS})
     return x.select("conv_id", "turn", *[r6(F.col(n)).alias(n) for n in B.GAMING_CAPS], r6(report["gaming_penalty"]).alias("gaming_penalty"), report["flags"].alias("flags"), report["warnings"].alias("warnings"))
 
 
-@query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,12}')) AS word FROM documents), k AS (SELECT word, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 20), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,12}')) AS word FROM benchmark),
- u AS (SELECT word FROM b WHERE word NOT IN (SELECT word FROM k)) SELECT u.word, k.word AS candidate, n, levenshtein(u.word, k.word) AS edits FROM u JOIN k ON abs(length(u.word) - length(k.word)) <= 1 AND levenshtein(u.word, k.word) <= 1""")
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents), k AS (SELECT word, count(*) AS n FROM t WHERE regexp_full_match(word, '[a-z]{4,}') GROUP BY 1 HAVING count(*) >= 20), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM benchmark),
+ u AS (SELECT word FROM b WHERE regexp_full_match(word, '[a-z]{4,}') AND word NOT IN (SELECT word FROM k)) SELECT u.word, k.word AS candidate, n, levenshtein(u.word, k.word) AS edits FROM u JOIN k ON abs(length(u.word) - length(k.word)) <= 1 AND levenshtein(u.word, k.word) <= 1""")
 def spelling_candidates(spark, d):
-    found = lambda t: table(spark, d, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,12})"), F.lit(1))).alias("word"))
+    """The dictionary: whole words of four letters at least, all of them a-z, that occur twenty times; one edit. These are parameters here: word_candidates scales with the text, takes all letters and two edits."""
+    found = lambda t: table(spark, d, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).filter(F.col("word").rlike("^[a-z]{4,}$"))
     known = found("documents").groupBy("word").agg(F.count("*").alias("n")).filter("n >= 20")
     unknown = found("benchmark").distinct().join(known, "word", "left_anti")
     return Z.candidates(unknown, known, 1)

@@ -121,3 +121,35 @@ RUBRICS = {
 CONFIDENCE_WEIGHTS = {"embedding_stability": 0.30, "keyword_consistency": 0.25, "score_agreement": 0.20, "structure_clarity": 0.15, "answer_adequacy": 0.10}
 CONFIDENCE_LABELS = [(0.85, "High"), (0.70, "Medium"), (0.50, "Low"), (0.0, "Very Low")]
 REVIEW_BELOW = 0.70
+
+# Words that carry no terminology, and cues of structure, examples and application in rubrics.
+FILLER = """
+the a an is are was were be been being have has had do does did will would shall should may might can could
+this that these those it its i we you he she they me us him her them my our your his their not no nor
+and but or so if then else also very just only even still yet too
+for of in on at to from by with about as into through during before after
+""".split()
+LIST_MARK = r"(?m)^\s*[\-•*\d]+[.)]\s"
+HEADING = r"(?m)^[A-Z][^.!?]{3,40}$"
+TRANSITIONS = r"\b(?:firstly|secondly|thirdly|moreover|furthermore|however|therefore|thus|hence|in\s+conclusion|finally|additionally|on\s+the\s+other\s+hand|for\s+example|in\s+summary)\b"
+EXAMPLE_CUES = [
+    r"\bfor\s+example\b",
+    r"\bfor\s+instance\b",
+    r"\bsuch\s+as\b",
+    r"\be\.?g\.?\b",
+    r"\bi\.?e\.?\b",
+    r"\blike\s+(?:the|a|an)\b",
+    r"\bincluding\b",
+    r"\billustrat(?:e[sd]?|ion|ing)\b",
+    r"\bnamely\b",
+    r"\bspecifically\b",
+]
+APPLICATION_CUES = [
+    r"\bin\s+(?:real\s+(?:life|world)|practice|daily\s+life|everyday)\b",
+    r"\bapplicat(?:ion|ions|ed)\b",
+    r"\bused?\s+(?:in|for|to)\b",
+    r"\bpractical(?:ly)?\b",
+]
+DIAGRAM_CUES = r"\b(?:as\s+shown|diagram|figure|fig\.?|illustration|chart|table|graph)\b"
+QUANTITY = r"\b\d+(?:\.\d+)?(?:\s*%|\s*°[CF]?)?\b"
+INNER_NAME = r"[.!?]\s[a-z][^.]*?\b[A-Z][a-z]{2,}\b"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .similarity import ratio
-from .text import let
+from .text import hits, let, strip, words
 
 
 def clipped(x: Column) -> Column:
@@ -60,6 +60,54 @@ def concept_coverage(keyword: Column, graph_coverage: Column, graph: Column) ->
     return F.when(graph_coverage.isNotNull(), 0.35 * keyword + 0.65 * graph_coverage).when(graph.isNotNull(), 0.4 * keyword + 0.6 * graph).otherwise(keyword)
 
 
+def terminology(matched: Column, missing: Column, student: Column, model: Column) -> Column:
+    """Share of keywords that are there, and how dense words of four letters at least that are no filler stand beside the model; 0.5 without keywords."""
+    hit = ratio(F.size(matched), F.size(matched) + F.size(missing))
+    technical = lambda ws: ratio(F.size(F.filter(ws, lambda w: (F.char_length(w) >= 4) & ~w.isin(L.FILLER))), F.size(ws))
+    there = let(words(model), lambda ws: F.when(F.size(ws) > 0, technical(ws)).otherwise(0.3))
+    own = let(words(student), technical)
+    density = F.when(there > 0, F.least(own / there, F.lit(1.5))).otherwise(1.0)
+    bonus = F.least(F.size(F.filter(matched, lambda k: F.contains(k, F.lit(" ")))) * 0.03, F.lit(0.10))
+    score = 0.55 * hit + 0.30 * F.least(density / 1.5, F.lit(1.0)) + 0.15 * F.least(hit + bonus, F.lit(1.0))
+    return F.when(F.size(matched) + F.size(missing) == 0, 0.5).otherwise(clipped(score))
+
+
+def heuristic_structure(text: Column) -> Column:
+    """Structure by sentences, paragraphs, list marks, transitions and headings, where no structural score is known."""
+    text = F.coalesce(text, F.lit(""))
+    n = F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: strip(s) != ""))
+    blocks = F.size(F.filter(F.split(text, "\n\n"), lambda p: strip(p) != ""))
+    score = 0.30 + F.when(blocks >= 2, 0.15).otherwise(0.0) + F.when(text.rlike(L.LIST_MARK), 0.10).otherwise(0.0)
+    score = score + F.when(n >= 6, 0.20).when(n >= 3, 0.10).otherwise(0.0) + F.least(hits(text, L.TRANSITIONS) * 0.05, F.lit(0.15))
+    return F.least(score + F.when(text.rlike(L.HEADING), 0.05).otherwise(0.0), F.lit(1.0))
+
+
+def examples(student: Column, model: Column, diagram: Column | None = None) -> Column:
+    """Examples and applications beside the model's, numbers and names, and diagrams; 0 for fewer than ten characters."""
+    student, model = F.coalesce(student, F.lit("")), F.coalesce(model, F.lit(""))
+    count = lambda text, cues: sum((hits(text, p) for p in cues[1:]), hits(text, cues[0]))
+    own, other = count(student, L.EXAMPLE_CUES), count(model, L.EXAMPLE_CUES)
+    given = F.when(own > 0, F.when(other > 0, 0.40 * F.least(own / other, F.lit(1.0))).otherwise(0.40)).when(other == 0, 0.30).otherwise(0.0)
+    applied = 0.25 * F.least(count(student, L.APPLICATION_CUES) / F.greatest(count(model, L.APPLICATION_CUES), F.lit(1)), F.lit(1.0))
+    specific = let(F.regexp_count(student, F.lit(L.QUANTITY)) + F.regexp_count(student, F.lit(L.INNER_NAME)), lambda k: F.when(k >= 3, 0.15).when(k >= 1, 0.08).otherwise(0.0))
+    drawn = F.when(hits(student, L.DIAGRAM_CUES) > 0, 0.08).otherwise(0.0)
+    if diagram is not None:
+        drawn = F.when(diagram > 0, 0.20 * diagram).otherwise(drawn)
+    return F.when(F.char_length(strip(student)) < 10, 0.0).otherwise(clipped(given + applied + specific + drawn))
+
+
+def merged_rubric(custom: dict[str, float], base: dict[str, float] | None = None) -> dict[str, float]:
+    """The base rubric with a teacher's own weights in place of its; dimensions that no rubric has are dropped, then all are normalised."""
+    base = base or L.RUBRICS["default"]
+    return normalised(base | {k: v for k, v in custom.items() if k in base})
+
+
+def simple_score(kind: Column, semantic: Column, keyword: Column, diagram: Column, length_penalty: Column) -> Column:
+    """The score of meaning, keywords and diagram alone, each by its weight for the kind of question; without a diagram its weight goes to the others. Clipped after the length penalty."""
+    parts = {"semantic": semantic, "keyword": keyword, "diagram": F.nullif(diagram, F.lit(0.0))}
+    return clipped(redistributed(kind, parts) - length_penalty)
+
+
 def rubric(dimensions: dict[str, Column], weights: dict[str, float] | None = None) -> dict[str, Column]:
     """The weighted score, its band, and the best and worst dimension (the first in order of equals)."""
     weights = normalised(weights or L.RUBRICS["default"])

@@ -130,7 +130,7 @@ def char_entropy(spark, d):
     return docs.select("doc_id", r6(D.entropy(F.col("text"))).alias("entropy"))
 
 
-def _structure_sql() -> str:
+def _structure_cte() -> str:
     first, last = "coalesce(ss[1], '')", "coalesce(ss[-1], '')"
     two = "array_to_string(ss[-2:], ' ')"
     trans = [hits("text", p) for p in (L.ADDITIVE, L.ADVERSATIVE, L.CAUSAL, L.SEQUENTIAL)]
@@ -154,8 +154,15 @@ def _structure_sql() -> str:
   least(1.0, least(0.5, 0.2 * {hits('text', L.EXAMPLES)}) + CASE WHEN {has('text', L.ANALOGIES)} THEN 0.2 ELSE 0 END + CASE WHEN {has('text', L.NUMBERS)} THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(text, '\\b(like|such as|e\\.g\\.)\\s+[A-Z][a-z]+') THEN 0.15 ELSE 0 END) AS examples,
   CASE WHEN len(ss) < 2 THEN 0 ELSE least(1.0, CASE WHEN total >= 4 THEN 0.3 WHEN total >= 2 THEN 0.15 ELSE 0 END + CASE WHEN kinds >= 3 THEN 0.25 WHEN kinds >= 2 THEN 0.15 ELSE 0 END + CASE WHEN flow >= 0.15 THEN 0.25 WHEN flow >= 0.08 THEN 0.12 ELSE 0 END
    + CASE WHEN len(ss) >= 3 AND {div('len(list_intersect(cs[1], cs[-1]))', 'len(cs[1])')} >= 0.15 THEN 0.2 ELSE 0 END) END AS coherence FROM c),
- f AS (SELECT doc_id, {', '.join(f'CASE WHEN length(trim(text)) >= 10 THEN {k}::DOUBLE ELSE 0.0 END AS {k}' for k in weights)} FROM e)
- SELECT doc_id, {', '.join(f'round({k}, 6) AS {k}' for k in weights)}, round(least(1.0, {' + '.join(f'{v} * {k}' for k, v in weights.items())}), 6) AS structural_score, round(least(1.0, {' + '.join(f'{v} * {k}' for k, v in weights.items())}) * {L.STRUCTURE_BONUS}, 6) AS structure_bonus FROM f"""
+ f AS (SELECT doc_id, {', '.join(f'CASE WHEN length(trim(text)) >= 10 THEN {k}::DOUBLE ELSE 0.0 END AS {k}' for k in weights)} FROM e)"""
+
+
+STRUCTURAL = f"least(1.0, {' + '.join(f'{v} * {k}' for k, v in L.STRUCTURE_WEIGHTS.items())})"
+
+
+def _structure_sql() -> str:
+    return f"""{_structure_cte()}
+ SELECT doc_id, {', '.join(f'round({k}, 6) AS {k}' for k in L.STRUCTURE_WEIGHTS)}, round({STRUCTURAL}, 6) AS structural_score, round({STRUCTURAL} * {L.STRUCTURE_BONUS}, 6) AS structure_bonus FROM f"""
 
 
 @query(_structure_sql())
@@ -183,8 +190,9 @@ def similarity_pairs(spark, d):
     return x.select("doc_id", r6(S.jaccard(s, m)).alias("jaccard"), r6(S.overlap_smaller(s, m)).alias("overlap_smaller"), r6(S.overlap_first(s, m)).alias("overlap_student"), r6(S.length_penalty(F.col("student"), F.col("model"))).alias("length_penalty"))
 
 
+TWINS = "list_filter(range(1, len(ss) + 1), lambda i: len(list_filter(range(1, len(ss) + 1), lambda j: i <> j AND len(ss[i]) > 0 AND len(ss[j]) > 0 AND len(list_intersect(ss[i], ss[j]))::DOUBLE / least(len(ss[i]), len(ss[j])) >= 0.85)) > 0)"
 _GAMING = f"""a AS ({TURNS}), x AS (SELECT conv_id, turn, student, model, list_transform({sents('student', 3)}, lambda s: {content('s')}) AS ss, list_transform({sents('model', 3)}, lambda s: {content('s')}) AS ms FROM a),
- y AS (SELECT *, list_filter(range(1, len(ss) + 1), lambda i: len(list_filter(range(1, len(ss) + 1), lambda j: i <> j AND len(ss[i]) > 0 AND len(ss[j]) > 0 AND len(list_intersect(ss[i], ss[j]))::DOUBLE / least(len(ss[i]), len(ss[j])) >= 0.85)) > 0) AS twins,
+ y AS (SELECT *, {TWINS} AS twins,
   list_filter(range(0, len(ss)), lambda i: len(ss[i + 1]) = 0 OR coalesce(list_max(list_transform(ms, lambda m: len(list_intersect(ss[i + 1], m))::DOUBLE / len(ss[i + 1]))), 0) < 0.10) AS off,
   len(list_filter(ss, lambda s: len(s) > 0 AND len(list_filter(ms, lambda m: len(list_intersect(s, m))::DOUBLE / len(s) >= 0.75)) > 0)) AS copies FROM x),
  z AS (SELECT conv_id, turn, student, model, CASE WHEN len(ss) < 2 THEN 0.0 ELSE least(len(twins)::DOUBLE / len(ss) * 0.35, 0.20) END AS repetition,
@@ -311,6 +319,97 @@ def frequent_concepts(spark, d):
     return n.withColumn("place", F.row_number().over(w)).filter("place <= 40")
 
 
+def _gaming_all_cte() -> str:
+    known = "[" + ", ".join(q(x) for x in L.STOP_WORDS + L.COMMON_WORDS) + "]"
+    keys = lambda c: f"list_filter(list_transform({w(c)}, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: length(x) >= 3 AND NOT list_contains({STOP}, x))"
+    six = list(B.GAMING_CAPS)
+    return f"""WITH {_GAMING}, p AS (SELECT *, {sents('student', 3)} AS s3, {hits('student', L.FILLERS)} AS f, {hits('student', L.HEDGES)} AS h, {w('student')} AS sw, {w('model')} AS mw, {keys('student')} AS sk, {keys('model')} AS mk,
+ regexp_replace(lower(student), '[^a-z]', '', 'g') AS plain, list_filter({w('student')}, lambda x: regexp_matches(x, '^\\p{{L}}+$')) AS ls, map_values(list_histogram(list_filter(string_split(lower(student), ''), lambda c: c <> ''))) AS hist FROM z),
+ k AS (SELECT *, list_filter(sk, lambda x, i: list_position(sk, x) = i)[1:10] AS s, list_filter(mk, lambda x, i: list_position(mk, x) = i)[1:10] AS m, {content("coalesce(s3[1], '')")} AS a1, {content("coalesce(s3[-1], '')")} AS z1,
+  list_sum(list_transform(s3, lambda t: len(list_filter({w('t')}, lambda x: regexp_matches(x, '^\\p{{L}}+$') AND NOT list_contains({STOP}, x))))) AS content, log2(list_sum(hist)) - list_sum(list_transform(hist, lambda n: n * log2(n))) / list_sum(hist) AS entropy,
+  {div(f'len(list_filter(ls, lambda x: list_contains({known}, x)))', 'len(ls)')} AS real, len(regexp_extract_all(plain, '[aeiou]')) AS v, {div("len(regexp_extract_all(student, '[^\\p{L}\\p{N}\\s]'))", 'length(student)')} AS odd, {div('len(list_intersect(sw, mw))', 'least(len(list_distinct(sw)), len(list_distinct(mw)))')} AS semantic FROM p),
+ r AS (SELECT *, list_filter(m, lambda a: len(list_filter(s, lambda b: a = b OR contains(a, b) OR contains(b, a) OR 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.8)) > 0) AS found FROM k),
+ t AS (SELECT *, CASE WHEN len(m) = 0 THEN 1.0 ELSE len(found)::DOUBLE / len(m) END - semantic AS gap, {div('len(list_filter(sw, lambda x: list_contains(found, x)))', 'len(sw)')} AS da, {div('len(list_filter(mw, lambda x: list_contains(found, x)))', 'len(mw)')} AS db FROM r),
+ g AS (SELECT conv_id, turn, repetition, irrelevance, copy_shuffle, length({strip('student')}) >= 10 AND length({strip('model')}) >= 10 AS long,
+  (CASE WHEN len(sw) < 5 THEN 0.0 ELSE least(CASE WHEN gap > 0.30 THEN least((gap - 0.30) * 0.5, 0.10) ELSE 0 END + CASE WHEN len(found) = 0 THEN 0 ELSE CASE WHEN db > 0 AND da > db * 2.5 THEN least((da / greatest(db, 0.001) - 2.5) * 0.04, 0.08) ELSE 0 END
+   + CASE WHEN len(sw) / greatest(len(s3), 1) < 4 AND len(found) >= 3 THEN 0.06 ELSE 0 END END, 0.20) END)::DOUBLE AS stuffing,
+  (CASE WHEN length(trim(student)) < 15 THEN 0.0 ELSE least(CASE WHEN entropy > 4.8 THEN least((entropy - 4.8) * 0.15, 0.10) ELSE 0 END + CASE WHEN len(ls) >= 8 AND real < 0.40 THEN least((0.40 - real) * 0.5, 0.12) ELSE 0 END
+   + CASE WHEN length(plain) >= 20 AND (v / greatest(length(plain) - v, 1) < 0.2 OR v / greatest(length(plain) - v, 1) > 1.5) THEN 0.08 ELSE 0 END + CASE WHEN odd > 0.15 THEN least(odd * 0.3, 0.08) ELSE 0 END
+   + CASE WHEN len(sw) BETWEEN 5 AND 50 AND {div('len(list_distinct(sw))', 'len(sw)')} < 0.30 THEN 0.06 ELSE 0 END, 0.30) END)::DOUBLE AS gibberish,
+  (CASE WHEN len(s3) < 2 THEN 0.0 ELSE least(CASE WHEN f >= 3 THEN least(f * 0.02, 0.08) WHEN f >= 2 THEN 0.03 ELSE 0 END + CASE WHEN h / len(s3) > 0.8 THEN 0.05 ELSE 0 END
+   + CASE WHEN len(s3) >= 4 AND {div('len(list_intersect(a1, z1))', 'least(len(a1), len(z1))')} > 0.7 THEN 0.05 ELSE 0 END + CASE WHEN len(s3) >= 3 AND content / len(s3) < 2 THEN 0.04 ELSE 0 END, 0.15) END)::DOUBLE AS padding FROM t),
+ e AS (SELECT conv_id, turn, {', '.join(f'CASE WHEN long THEN {n} ELSE 0.0 END AS {n}' for n in six)} FROM g)"""
+
+
+def _gaming_all_sql() -> str:
+    six = list(B.GAMING_CAPS)
+    high = ", ".join(f"CASE WHEN {n} >= {B.SEVERITY[n][1]} THEN '{n}' END" for n in six)
+    medium = ", ".join(f"CASE WHEN {n} >= {B.SEVERITY[n][0]} AND {n} < {B.SEVERITY[n][1]} THEN '{n}' END" for n in six)
+    return f"""{_gaming_all_cte()}
+ SELECT conv_id, turn, {', '.join(f'round({n}, 6) AS {n}' for n in six)}, round(least({' + '.join(six)}, {B.GAMING_CAP}), 6) AS gaming_penalty, list_filter([{high}], lambda x: x IS NOT NULL) AS flags, list_filter([{medium}], lambda x: x IS NOT NULL) AS warnings FROM e"""
+
+
+#: Fixed order of the question kinds that documents are dealt to.
+KINDS = list(L.QUESTION_WEIGHTS)
+
+
+def _scores_sql() -> str:
+    """scores() as a table: structure and gaming are those of their own queries, over documents dealt to items."""
+    gaming = _gaming_all_cte().replace(TURNS, PAIRS).replace("conv_id, turn", "doc_id")
+    # Documents may have thousands of sentences: those that share a word are joined, instead of comparing all pairs of a list.
+    twins = """ sw AS (SELECT doc_id, i, len(s) AS n, unnest(s) AS word FROM (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM x)),
+ st AS (SELECT a.doc_id, a.i, b.i AS j FROM sw a JOIN sw b ON a.doc_id = b.doc_id AND a.word = b.word AND a.i < b.i GROUP BY a.doc_id, a.i, b.i, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.85),
+ tw AS (SELECT doc_id, count(*) AS n_twins FROM (SELECT doc_id, i FROM st UNION SELECT doc_id, j FROM st) GROUP BY 1),"""
+    gaming = gaming.replace(TWINS, "range(0, coalesce(n_twins, 0))").replace("AS copies FROM x)", "AS copies FROM x LEFT JOIN tw USING (doc_id))").replace("\n y AS (", twins + "\n y AS (", 1)
+    words = f"SELECT doc_id, student, model, list_distinct({w('student')}) AS sw, list_distinct({w('model')}) AS mw, {', '.join(f"list_filter(list_transform({w(c)}, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: length(x) >= 3 AND NOT list_contains({STOP}, x)) AS {c[0]}k" for c in ('student', 'model'))} FROM ({PAIRS})"
+    keys = f"SELECT *, list_filter(sk, lambda x, i: list_position(sk, x) = i)[1:10] AS s, list_filter(mk, lambda x, i: list_position(mk, x) = i)[1:10] AS m FROM ({words})"
+    found = f"SELECT *, list_sort(list_filter(m, lambda a: len(list_filter(s, lambda b: a = b OR contains(a, b) OR contains(b, a) OR 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.8)) > 0)) AS matched FROM ({keys})"
+    kinds = "[" + ", ".join(q(k) for k in KINDS) + "]"
+    return f"""SELECT doc_id, student, model, matched, list_filter(m, lambda x: NOT list_contains(matched, x)) AS missing, length(student) AS chars, length(model) AS model_chars, {kinds}[doc_id % 4 + 1] AS kind,
+ {div('len(list_intersect(sw, mw))', 'least(len(sw), len(mw))')} AS semantic, CASE WHEN len(m) = 0 THEN 1.0 ELSE len(matched)::DOUBLE / len(m) END AS keyword, {div('len(list_intersect(sw, mw))', 'len(list_distinct(list_concat(sw, mw)))')} AS graph,
+ structural, structural * {L.STRUCTURE_BONUS} AS bonus, CASE WHEN {div('length(student)', 'length(model)')} < 0.5 THEN (0.5 - {div('length(student)', 'length(model)')}) * 0.1 ELSE 0 END AS length_penalty, gaming
+ FROM ({found}) JOIN ({_structure_cte()} SELECT doc_id, {STRUCTURAL} AS structural FROM f) USING (doc_id) JOIN ({gaming} SELECT doc_id, least({' + '.join(B.GAMING_CAPS)}, {B.GAMING_CAP}) AS gaming FROM e) USING (doc_id)"""
+
+
+def _kind(column: str) -> str:
+    return "CASE kind " + " ".join(f"WHEN {q(k)} THEN {t[column]}" for k, t in L.QUESTION_WEIGHTS.items()) + " END"
+
+
+def _label(x: str, cuts: list[tuple[float, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {x} >= {at} THEN {q(n)}" for at, n in cuts[:-1]) + f" ELSE {q(cuts[-1][1])} END"
+
+
+def _graded_sql() -> str:
+    weights = {"semantic": _kind("semantic"), "graph": _kind("concept_graph"), "keyword": _kind("keyword")}
+    mean = f"({' + '.join(f'{v} * {k}' for k, v in weights.items())}) / ({' + '.join(weights.values())})"
+    return f"SELECT *, greatest(0.0, least(1.0, weighted - length_penalty + bonus - gaming)) AS score FROM (SELECT *, {mean} AS weighted FROM ({_scores_sql()}))"
+
+
+def _rubric_sql() -> str:
+    letters = lambda x: f"regexp_replace({x}, '[À-ÖØ-öø-ɏ]', 'z', 'g')"  # noqa: E731  RE2 takes them for no part of a word
+    both = lambda cues, x: " + ".join(hits(letters(x), p) for p in cues)
+    dense = lambda x: div(f"len(list_filter({w(x)}, lambda x: length(x) >= 4 AND NOT list_contains([{', '.join(map(q, L.FILLER))}], x)))", f"len({w(x)})")
+    one = f"""SELECT *, {both(L.EXAMPLE_CUES, 'student')} AS ex, {both(L.EXAMPLE_CUES, 'model')} AS mex, {both(L.APPLICATION_CUES, 'student')} AS app, {both(L.APPLICATION_CUES, 'model')} AS mapp, len(regexp_extract_all({letters('student')}, {q(L.QUANTITY)})) + len(regexp_extract_all(student, {q(L.INNER_NAME)})) AS spec,
+ {hits(letters('student'), L.DIAGRAM_CUES)} AS dia, {div('len(matched)', 'len(matched) + len(missing)')} AS hit, {dense('student')} AS da, CASE WHEN len({w('model')}) = 0 THEN 0.3 ELSE {dense('model')} END AS db FROM ({_scores_sql()})"""
+    two = f"""SELECT *, 0.6 * semantic + 0.4 * graph AS understanding, 0.35 * keyword + 0.65 * graph AS concept_coverage, structural AS structure,
+ CASE WHEN len(matched) + len(missing) = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, 0.55 * hit + 0.30 * least(CASE WHEN db > 0 THEN least(da / db, 1.5) ELSE 1.0 END / 1.5, 1.0) + 0.15 * least(hit, 1.0))) END AS terminology,
+ CASE WHEN length({strip('student')}) < 10 THEN 0.0 ELSE greatest(0.0, least(1.0, CASE WHEN ex > 0 AND mex > 0 THEN 0.40 * least(ex / mex, 1.0) WHEN ex > 0 THEN 0.40 WHEN mex = 0 THEN 0.30 ELSE 0 END + 0.25 * least(app / greatest(mapp, 1), 1.0)
+  + CASE WHEN spec >= 3 THEN 0.15 WHEN spec >= 1 THEN 0.08 ELSE 0 END + CASE WHEN dia > 0 THEN 0.08 ELSE 0 END)) END::DOUBLE AS examples FROM ({one})"""
+    dims = L.RUBRICS["default"]
+    clip = lambda x: f"greatest(0.0, least(1.0, {x}))"
+    three = f"SELECT *, {' + '.join(f'{clip(k)} * {v}' for k, v in dims.items())} AS rubric FROM ({two})"
+    most, least_ = (f"{f}({', '.join(clip(k) for k in dims)})" for f in ("greatest", "least"))
+    four = f"""SELECT *, CASE {' '.join(f'WHEN {clip(k)} = {most} THEN {q(k)}' for k in dims)} END AS best, CASE {' '.join(f'WHEN {clip(k)} = {least_} THEN {q(k)}' for k in dims)} END AS worst, (semantic + keyword + graph + structural + rubric) / 5 AS mid,
+ {div('chars', 'model_chars')} AS longer FROM ({three})"""
+    five = f"""SELECT *, greatest(0.0, 1 - abs(semantic - graph) / 2 / 0.25) AS embedding_stability, greatest(0.0, 1 - abs(keyword - (semantic + graph) / 2) / 0.40) AS keyword_consistency,
+ least(1.0, greatest(0.0, 1 - greatest(abs(semantic - mid), abs(keyword - mid), abs(graph - mid), abs(structural - mid), abs(rubric - mid)) / 0.30) * 0.8 + 5.0 / 6 * 0.2) AS score_agreement,
+ {clip("structural * CASE WHEN longer < 0.2 THEN 0.3 WHEN longer < 0.5 THEN 0.7 WHEN longer > 3.0 THEN 0.8 ELSE 1.0 END * CASE WHEN chars < 20 THEN 0.2 ELSE 1.0 END")} AS structure_clarity,
+ CASE WHEN chars < 5 THEN 0.0 ELSE least(1.0, least(1.0, least(2.0, chars / greatest(model_chars, 1)) / 0.4) * 0.4 + least(1.0, keyword / 0.3) * 0.3 + least(1.0, graph * 100 / 30.0) * 0.3) END AS answer_adequacy FROM ({four})"""
+    sure = clip(f"({' + '.join(f'{k} * {v}' for k, v in L.CONFIDENCE_WEIGHTS.items())}) * CASE WHEN gaming > 0.05 THEN greatest(0.5, 1 - gaming) ELSE 1.0 END")
+    return f"""SELECT doc_id, round(rubric, 6) AS rubric_score, {_label('rubric', [(0.85, 'Excellent'), (0.70, 'Good'), (0.50, 'Average'), (0.0, 'Poor')])} AS band, best, worst, round(sure, 6) AS confidence, {_label('sure', L.CONFIDENCE_LABELS)} AS label, sure < {L.REVIEW_BELOW} AS needs_review,
+ round(terminology, 6) AS terminology, round(examples, 6) AS examples FROM (SELECT *, {sure} AS sure FROM ({five}))"""
+
+
 def covered(model: str, matched: str) -> Column:
     """S.coverage of distinct keywords whose matched ones are known."""
     return F.when(F.size(model) == 0, 1.0).otherwise(S.ratio(F.size(matched), F.size(model)))
@@ -364,21 +463,24 @@ def graded(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("grade", G.grade(F.col("score")))
 
 
-@query()
+@query(f"""SELECT doc_id, kind, round(weighted, 6) AS weighted, round(score, 6) AS score, round(score * 10, 2) AS marks, {_label('score', L.GRADES)} AS grade FROM ({_graded_sql()})""")
 def final_grade(spark, d):
     x = graded(spark, d)
     return x.select("doc_id", "kind", r6(F.col("weighted")).alias("weighted"), r6(F.col("score")).alias("score"), F.round(F.col("score") * 10, 2).alias("marks"), "grade")
 
 
-@query()
+@query(_rubric_sql())
 def rubric_confidence(spark, d):
     x = scores(spark, d)
+    x = x.withColumns({"terminology": G.terminology(F.col("matched"), F.col("missing"), F.col("student"), F.col("model")), "examples": G.examples(F.col("student"), F.col("model"))})
     sem, kw, graph, st = (F.col(c) for c in ("semantic", "keyword", "graph", "structural"))
     none = F.lit(None).cast("double")
-    rubric = G.rubric({"understanding": G.understanding(sem, none, graph), "concept_coverage": G.concept_coverage(kw, graph, graph), "terminology": kw, "structure": st, "examples": st})
-    factors = {"embedding_stability": G.embedding_stability(sem, graph, none), "keyword_consistency": G.keyword_consistency(kw, sem, graph), "score_agreement": G.score_agreement(sem, kw, graph, st, rubric["rubric_score"]), "structure_clarity": G.structure_clarity(st, S.ratio(F.col("chars"), F.col("model_chars")), F.col("chars")), "answer_adequacy": G.answer_adequacy(F.col("chars"), F.col("model_chars"), kw, graph * 100)}
-    sure = G.confidence(factors, F.col("gaming"))
-    return x.select("doc_id", r6(rubric["rubric_score"]).alias("rubric_score"), rubric["band"].alias("band"), rubric["best"].alias("best"), rubric["worst"].alias("worst"), r6(sure).alias("confidence"), G.labelled(sure, L.CONFIDENCE_LABELS).alias("label"), (sure < L.REVIEW_BELOW).alias("needs_review"))
+    rubric = G.rubric({"understanding": G.understanding(sem, none, graph), "concept_coverage": G.concept_coverage(kw, graph, graph), "terminology": F.col("terminology"), "structure": st, "examples": F.col("examples")})
+    x = x.withColumns(rubric)
+    factors = {"embedding_stability": G.embedding_stability(sem, graph, none), "keyword_consistency": G.keyword_consistency(kw, sem, graph), "score_agreement": G.score_agreement(sem, kw, graph, st, F.col("rubric_score")), "structure_clarity": G.structure_clarity(st, S.ratio(F.col("chars"), F.col("model_chars")), F.col("chars")), "answer_adequacy": G.answer_adequacy(F.col("chars"), F.col("model_chars"), kw, graph * 100)}
+    x = x.withColumn("sure", G.confidence(factors, F.col("gaming")))
+    sure = F.col("sure")
+    return x.select("doc_id", r6(F.col("rubric_score")).alias("rubric_score"), "band", "best", "worst", r6(sure).alias("confidence"), G.labelled(sure, L.CONFIDENCE_LABELS).alias("label"), (sure < L.REVIEW_BELOW).alias("needs_review"), r6(F.col("terminology")).alias("terminology"), r6(F.col("examples")).alias("examples"))
 
 
 @query()
@@ -448,31 +550,6 @@ def gaming_report(spark, d):
     return x.select("conv_id", "turn", r6(report["gaming_penalty"]).alias("gaming_penalty"), report["flags"].alias("flags"))
 
 
-def _gaming_all_sql() -> str:
-    known = "[" + ", ".join(q(x) for x in L.STOP_WORDS + L.COMMON_WORDS) + "]"
-    keys = lambda c: f"list_filter(list_transform({w(c)}, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: length(x) >= 3 AND NOT list_contains({STOP}, x))"
-    six = list(B.GAMING_CAPS)
-    high = ", ".join(f"CASE WHEN {n} >= {B.SEVERITY[n][1]} THEN '{n}' END" for n in six)
-    medium = ", ".join(f"CASE WHEN {n} >= {B.SEVERITY[n][0]} AND {n} < {B.SEVERITY[n][1]} THEN '{n}' END" for n in six)
-    return f"""WITH {_GAMING}, p AS (SELECT *, {sents('student', 3)} AS s3, {hits('student', L.FILLERS)} AS f, {hits('student', L.HEDGES)} AS h, {w('student')} AS sw, {w('model')} AS mw, {keys('student')} AS sk, {keys('model')} AS mk,
- regexp_replace(lower(student), '[^a-z]', '', 'g') AS plain, list_filter({w('student')}, lambda x: regexp_matches(x, '^\\p{{L}}+$')) AS ls, map_values(list_histogram(list_filter(string_split(lower(student), ''), lambda c: c <> ''))) AS hist FROM z),
- k AS (SELECT *, list_filter(sk, lambda x, i: list_position(sk, x) = i)[1:10] AS s, list_filter(mk, lambda x, i: list_position(mk, x) = i)[1:10] AS m, {content("coalesce(s3[1], '')")} AS a1, {content("coalesce(s3[-1], '')")} AS z1,
-  list_sum(list_transform(s3, lambda t: len(list_filter({w('t')}, lambda x: regexp_matches(x, '^\\p{{L}}+$') AND NOT list_contains({STOP}, x))))) AS content, log2(list_sum(hist)) - list_sum(list_transform(hist, lambda n: n * log2(n))) / list_sum(hist) AS entropy,
-  {div(f'len(list_filter(ls, lambda x: list_contains({known}, x)))', 'len(ls)')} AS real, len(regexp_extract_all(plain, '[aeiou]')) AS v, {div("len(regexp_extract_all(student, '[^\\p{L}\\p{N}\\s]'))", 'length(student)')} AS odd, {div('len(list_intersect(sw, mw))', 'least(len(list_distinct(sw)), len(list_distinct(mw)))')} AS semantic FROM p),
- r AS (SELECT *, list_filter(m, lambda a: len(list_filter(s, lambda b: a = b OR contains(a, b) OR contains(b, a) OR 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.8)) > 0) AS found FROM k),
- t AS (SELECT *, CASE WHEN len(m) = 0 THEN 1.0 ELSE len(found)::DOUBLE / len(m) END - semantic AS gap, {div('len(list_filter(sw, lambda x: list_contains(found, x)))', 'len(sw)')} AS da, {div('len(list_filter(mw, lambda x: list_contains(found, x)))', 'len(mw)')} AS db FROM r),
- g AS (SELECT conv_id, turn, repetition, irrelevance, copy_shuffle, length({strip('student')}) >= 10 AND length({strip('model')}) >= 10 AS long,
-  (CASE WHEN len(sw) < 5 THEN 0.0 ELSE least(CASE WHEN gap > 0.30 THEN least((gap - 0.30) * 0.5, 0.10) ELSE 0 END + CASE WHEN len(found) = 0 THEN 0 ELSE CASE WHEN db > 0 AND da > db * 2.5 THEN least((da / greatest(db, 0.001) - 2.5) * 0.04, 0.08) ELSE 0 END
-   + CASE WHEN len(sw) / greatest(len(s3), 1) < 4 AND len(found) >= 3 THEN 0.06 ELSE 0 END END, 0.20) END)::DOUBLE AS stuffing,
-  (CASE WHEN length(trim(student)) < 15 THEN 0.0 ELSE least(CASE WHEN entropy > 4.8 THEN least((entropy - 4.8) * 0.15, 0.10) ELSE 0 END + CASE WHEN len(ls) >= 8 AND real < 0.40 THEN least((0.40 - real) * 0.5, 0.12) ELSE 0 END
-   + CASE WHEN length(plain) >= 20 AND (v / greatest(length(plain) - v, 1) < 0.2 OR v / greatest(length(plain) - v, 1) > 1.5) THEN 0.08 ELSE 0 END + CASE WHEN odd > 0.15 THEN least(odd * 0.3, 0.08) ELSE 0 END
-   + CASE WHEN len(sw) BETWEEN 5 AND 50 AND {div('len(list_distinct(sw))', 'len(sw)')} < 0.30 THEN 0.06 ELSE 0 END, 0.30) END)::DOUBLE AS gibberish,
-  (CASE WHEN len(s3) < 2 THEN 0.0 ELSE least(CASE WHEN f >= 3 THEN least(f * 0.02, 0.08) WHEN f >= 2 THEN 0.03 ELSE 0 END + CASE WHEN h / len(s3) > 0.8 THEN 0.05 ELSE 0 END
-   + CASE WHEN len(s3) >= 4 AND {div('len(list_intersect(a1, z1))', 'least(len(a1), len(z1))')} > 0.7 THEN 0.05 ELSE 0 END + CASE WHEN len(s3) >= 3 AND content / len(s3) < 2 THEN 0.04 ELSE 0 END, 0.15) END)::DOUBLE AS padding FROM t),
- e AS (SELECT conv_id, turn, {', '.join(f'CASE WHEN long THEN {n} ELSE 0.0 END AS {n}' for n in six)} FROM g)
- SELECT conv_id, turn, {', '.join(f'round({n}, 6) AS {n}' for n in six)}, round(least({' + '.join(six)}, {B.GAMING_CAP}), 6) AS gaming_penalty, list_filter([{high}], lambda x: x IS NOT NULL) AS flags, list_filter([{medium}], lambda x: x IS NOT NULL) AS warnings FROM e"""
-
-
 @query(_gaming_all_sql())
 def gaming_report_all(spark, d):
     """All six detectors, as final_grade takes them; gaming_report has the four that look at sentences."""
@@ -494,7 +571,18 @@ def spelling_candidates(spark, d):
     return Z.candidates(unknown, known, 1)
 
 
-@query()
+def _feedback_sql() -> str:
+    ratio, grade = div("chars", "model_chars"), _label("score", L.GRADES)
+    tips = [
+        f"CASE WHEN {ratio} < 0.5 THEN 'Write more: the answer is less than half as long as expected.' END",
+        f"CASE WHEN {ratio} > 2.0 THEN 'Be brief: the answer is more than twice as long as expected.' END",
+        "CASE WHEN len(missing) > 0 THEN 'Mention ' || array_to_string(missing[1:5], ', ') || '.' END",
+        f"CASE WHEN {grade} IN ('poor', 'average') THEN 'Go over the topic again.' END",
+    ]
+    return f"SELECT doc_id, {grade} AS grade, list_filter([{', '.join(tips)}], lambda x: x IS NOT NULL) AS suggestions FROM ({_graded_sql()})"
+
+
+@query(_feedback_sql())
 def feedback(spark, d):
     x = graded(spark, d)
     return x.select("doc_id", "grade", B.suggestions(F.col("grade"), S.ratio(F.col("chars"), F.col("model_chars")), F.col("missing")).alias("suggestions"))

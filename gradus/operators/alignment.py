@@ -17,6 +17,7 @@ from gradus.functions.similarity import cosine, copy_penalty, overlap_smaller, r
 from gradus.functions.text import content_words, let, ngrams, sentences, words
 
 from .answers import optimal_alignment, tier
+from .terms import terms
 
 Similarity = Callable[[Column, Column], Column]
 
@@ -164,10 +165,6 @@ def concept_scores(pairs: DataFrame, model: str = "model", student: str = "stude
 def tfidf_cosine(pairs: DataFrame, key: str, model: str = "model", student: str = "student") -> DataFrame:
     """(key, similarity): cosine of the two texts' tf-idf weights over single words and pairs, with document frequencies within the pair and smoothing."""
 
-    def terms(text: Column) -> Column:
-        kept = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\b\w\w+\b)"), F.lit(1)), lambda w: ~F.array_contains(F.array(*[F.lit(x) for x in L.STOP_WORDS]), w))
-        return let(kept, lambda ws: F.concat(ws, F.when(F.size(ws) > 1, F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))))
-
     side = lambda c, n: pairs.select(key, F.explode(terms(F.col(c))).alias("term"), F.lit(n).alias("side"))
     tf = side(model, 0).unionByName(side(student, 1)).groupBy(key, "term").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     idf = F.log(F.lit(3.0) / (1 + (F.col("a") > 0).cast("int") + (F.col("b") > 0).cast("int"))) + 1

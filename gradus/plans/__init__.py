@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, text
+from . import records, relational, terms, text
 
-MODULES = [relational, text]
+MODULES = [relational, records, text, terms]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

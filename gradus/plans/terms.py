@@ -97,13 +97,13 @@ def level_breakdown(spark, d):
 _TERM = f"list_filter(regexp_extract_all(lower(coalesce({{x}}, '')), '[\\p{{{{L}}}}\\p{{{{N}}}}_]{{{{2,}}}}'), lambda t: NOT list_contains({STOP}, t))"
 
 
-def _terms(x: str, longest: int = 2) -> str:
-    ws = _TERM.format(x=x)
-    runs = [f"list_transform(range(1, len({ws}) - {n - 2}), lambda i: array_to_string({ws}[i:i + {n - 1}], ' '))" for n in range(2, longest + 1)]
-    return f"flatten([{', '.join([ws, *runs])}])"
+def _terms(rows: str, x: str, longest: int = 2) -> str:
+    """rows with the terms of the text x as `terms`; its words are computed once."""
+    runs = [f"list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))" for n in range(2, longest + 1)]
+    return f"SELECT *, flatten([{', '.join(['ws', *runs])}]) AS terms FROM (SELECT *, {_TERM.format(x=x)} AS ws FROM ({rows}))"
 
 
-_TFIDF = f"""t AS (SELECT doc_id, unnest(terms) AS term, side FROM (SELECT doc_id, {_terms('model')} AS terms, 0 AS side FROM ({PAIRS}) UNION ALL SELECT doc_id, {_terms('student')}, 1 FROM ({PAIRS}))),
+_TFIDF = f"""t AS (SELECT doc_id, unnest(terms) AS term, side FROM (SELECT doc_id, terms, 0 AS side FROM ({_terms(PAIRS, 'model')}) UNION ALL SELECT doc_id, terms, 1 FROM ({_terms(PAIRS, 'student')}))),
  n AS (SELECT doc_id, term, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM t GROUP BY ALL), i AS (SELECT *, pow(ln(3.0 / (1 + CAST(a > 0 AS INTEGER) + CAST(b > 0 AS INTEGER))) + 1, 2) AS w FROM n),
  c AS (SELECT doc_id, sum(w * a * b) / nullif(sqrt(sum(w * a * a)) * sqrt(sum(w * b * b)), 0) AS tfidf FROM i GROUP BY 1)"""
 
@@ -121,14 +121,14 @@ def hybrid_similarity(spark, d):
 SQL["tfidf_pairs"] = f"WITH {_TFIDF} SELECT doc_id, round(coalesce(tfidf, 0), 6) AS similarity FROM documents LEFT JOIN c USING (doc_id)"
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest({_terms('text')}) AS term FROM documents), n AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM n GROUP BY 1)
+@query(f"""WITH t AS (SELECT doc_id, unnest(terms) AS term FROM ({_terms('SELECT doc_id, text FROM documents', 'text')})), n AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM n GROUP BY 1)
  SELECT doc_id, term, round(n / norm, 6) AS weight, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS place FROM n) JOIN l USING (doc_id) WHERE place <= 10""")
 def important_terms(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return W.important_terms(docs, "doc_id", F.col("text")).withColumn("weight", r6(F.col("weight")))
 
 
-@query(f"""WITH s AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS place FROM (SELECT doc_id, {sents('text', 2)} AS ss FROM documents)), z AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1), t AS (SELECT doc_id, place, unnest({_terms('s')}) AS term FROM s),
+@query(f"""WITH s AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS place FROM (SELECT doc_id, {sents('text', 2)} AS ss FROM documents)), z AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1), t AS (SELECT doc_id, place, unnest(terms) AS term FROM ({_terms('SELECT * FROM s', 's')})),
  n AS (SELECT doc_id, place, term, count(*) AS n FROM t GROUP BY ALL), f AS (SELECT doc_id, term, count(*) AS df FROM n GROUP BY ALL), v AS (SELECT doc_id, place, n * (ln((1 + k) / (1 + df)) + 1) AS w FROM n JOIN f USING (doc_id, term) JOIN z USING (doc_id)),
  o AS (SELECT doc_id, place, sum(w) / sqrt(sum(w * w)) AS mean FROM v GROUP BY ALL), m AS (SELECT doc_id, max(mean) AS top FROM o GROUP BY 1)
  SELECT doc_id, place, round(CASE WHEN k < 2 OR top IS NULL THEN 1.0 ELSE coalesce(mean, 0) / top * 2 END::DOUBLE, 6) AS salience FROM s JOIN z USING (doc_id) LEFT JOIN o USING (doc_id, place) LEFT JOIN m USING (doc_id)""")
@@ -144,7 +144,7 @@ def _runs_of(n: int) -> str:
     return f"SELECT doc_id, concept, array_to_string(ws[i:i + {n - 1}], ' ') AS term, 1.5 AS times FROM (SELECT doc_id, concept, string_split(concept, ' ') AS ws, unnest(range(1, len(string_split(concept, ' ')) - {n - 2})) AS i FROM p)"
 
 
-@query(f"""WITH p AS ({_CAPS}), t AS (SELECT doc_id, unnest({_terms('text', 3)}) AS term FROM documents), n AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM n GROUP BY 1),
+@query(f"""WITH p AS ({_CAPS}), t AS (SELECT doc_id, unnest(terms) AS term FROM ({_terms('SELECT doc_id, text FROM documents', 'text', 3)})), n AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM n GROUP BY 1),
  h AS (SELECT doc_id, concept, unnest(string_split(concept, ' ')) AS term, 1.0 AS times FROM p UNION ALL {_runs_of(2)} UNION ALL {_runs_of(3)}), s AS (SELECT doc_id, concept, sum(times * n / norm) AS s FROM h JOIN n USING (doc_id, term) JOIN l USING (doc_id) GROUP BY ALL),
  g AS (SELECT doc_id, concept, greatest(coalesce(s, 0), 0.1) AS s FROM p LEFT JOIN s USING (doc_id, concept)), k AS (SELECT doc_id, concept, greatest(0.1, s / max(s) OVER (PARTITION BY doc_id)) AS importance FROM g)
  SELECT doc_id, count(*) AS nodes, round(sum(importance), 4) AS importance, round(min(importance), 4) AS least FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, concept) AS place FROM k) WHERE place <= 80 GROUP BY 1""")

@@ -73,3 +73,32 @@ def test_pipeline_drops_texts_without_language(spark, small, tmp_path):
     odd = spark.createDataFrame([(-1, None, "en", "x", 0), (-2, "123 456", None, None, None)], docs.schema)
     left = corpus_pipeline.identify(spark, docs.unionByName(odd), small)
     assert left.count() == docs.count()
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _mix string, _lang_pred string, _ids int, `a.b` int"
+
+
+def staged(spark, docs, tmp_path):
+    """What each stage of the pipeline keeps of docs."""
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept.append(docs)
+    return kept
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    assert [d.count() for d in staged(spark, spark.createDataFrame([], ODD), tmp_path)] == [0] * 5
+
+
+def test_pipeline_without_labels_with_nulls_repeated_rows_and_clashing_names(spark, tmp_path):
+    rows = [(i, t, None, s, None, "mine", "own", 7, i) for i, t, s in [(1, "one two three four five six", "a"), (1, "one two three four five six", "a"), (2, "one  two three four five six ", None), (3, None, "a"), (4, "", "a"), (5, "12 34", "b"), (None, "seven words of a text that stays", "b"), (6, "long " * 60_000, "b")]]
+    docs = spark.createDataFrame(rows, ODD)
+    kept = staged(spark, docs, tmp_path)
+    assert all(d.columns == docs.columns for d in kept[:4])
+    assert sorted(kept[0].toPandas().doc_id.fillna(0)) == [0, 1, 1, 2, 6]
+    assert sorted(kept[1].toPandas().doc_id.fillna(0)) == [0, 2, 6]
+    assert {(r["_mix"], r["_lang_pred"], r["_ids"]) for r in kept[3].collect()} == {("mine", "own", 7)}
+    assert kept[4].filter("NOT lossless").count() == 0

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records, relational, terms, text
+from . import records, relational, scans, terms, text
 
-MODULES = [relational, records, text, terms]
+MODULES = [relational, records, text, terms, scans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lattice_lm, lz_fingerprint, minhash_dedup, mixing, quotation, recompression, sentencepiece_codec, sharding
+from . import exact_dedup, language_id, lattice_lm, lz_fingerprint, merkle, minhash_dedup, mixing, quotation, recompression, sentencepiece_codec, sharding
 from .common import crc_mod, shared_dir
 
 
@@ -78,10 +78,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), mixing.Mix()).select("doc_id", "source", "_mix.*")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op2_chat_formatting, chat_quotes, op3_sentencepiece, op4_language_id, op5_sharding, op6_lm_scoring, op7_exact_dedup, op8_lz_fingerprint, op9_near_dedup, op10_mixing]
+    found = [op1_substring_dedup, op2_chat_formatting, chat_quotes, op3_sentencepiece, op4_language_id, op5_sharding, op6_lm_scoring, op7_exact_dedup, op8_lz_fingerprint, op9_near_dedup, op10_mixing, op11_merkle_manifest]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": quotation.SQL, "chat_quotes": quotation.SQL_OF_QUOTES, "op7_exact_dedup": exact_dedup.SQL}
+    return {"op2_chat_formatting": quotation.SQL, "chat_quotes": quotation.SQL_OF_QUOTES, "op7_exact_dedup": exact_dedup.SQL, "op11_merkle_manifest": merkle.SQL}

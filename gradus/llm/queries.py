@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lattice_lm, lz_fingerprint, merkle, minhash_dedup, mixing, quotation, recompression, sentencepiece_codec, sharding
+from . import bpe_codec, exact_dedup, language_id, lattice_lm, lz_fingerprint, merkle, minhash_dedup, mixing, quotation, recompression, sentencepiece_codec, sharding
 from .common import crc_mod, shared_dir
 
 
@@ -82,8 +82,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe_codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = found.select("doc_id", "_ids", bpe_codec.decode(spark, F.coalesce("_ids", F.array().cast("array<int>"))).alias("decoded"))  # not straight from encoding, which would run twice
+    ids = F.array_join(F.col("_ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op2_chat_formatting, chat_quotes, op3_sentencepiece, op4_language_id, op5_sharding, op6_lm_scoring, op7_exact_dedup, op8_lz_fingerprint, op9_near_dedup, op10_mixing, op11_merkle_manifest]
+    found = [op1_substring_dedup, op2_chat_formatting, chat_quotes, op3_sentencepiece, op4_language_id, op5_sharding, op6_lm_scoring, op7_exact_dedup, op8_lz_fingerprint, op9_near_dedup, op10_mixing, op11_merkle_manifest, op12_bpe]
     return {f.__name__: f for f in found}
 
 

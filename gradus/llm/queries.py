@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, language_id, lattice_lm, lz_fingerprint, merkle, minhash_dedup, mixing, quotation, recompression, sentencepiece_codec, sharding
+from . import bpe_codec, exact_dedup, hard_negatives, language_id, lattice_lm, lz_fingerprint, merkle, minhash_dedup, mixing, quotation, recompression, sentencepiece_codec, sharding
 from .common import crc_mod, shared_dir
 
 
@@ -89,10 +89,14 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op2_chat_formatting, chat_quotes, op3_sentencepiece, op4_language_id, op5_sharding, op6_lm_scoring, op7_exact_dedup, op8_lz_fingerprint, op9_near_dedup, op10_mixing, op11_merkle_manifest, op12_bpe]
+    found = [op1_substring_dedup, op2_chat_formatting, chat_quotes, op3_sentencepiece, op4_language_id, op5_sharding, op6_lm_scoring, op7_exact_dedup, op8_lz_fingerprint, op9_near_dedup, op10_mixing, op11_merkle_manifest, op12_bpe, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": quotation.SQL, "chat_quotes": quotation.SQL_OF_QUOTES, "op7_exact_dedup": exact_dedup.SQL, "op11_merkle_manifest": merkle.SQL}
+    return {"op2_chat_formatting": quotation.SQL, "chat_quotes": quotation.SQL_OF_QUOTES, "op7_exact_dedup": exact_dedup.SQL, "op11_merkle_manifest": merkle.SQL, "op13_hard_negatives": hard_negatives.SQL}

@@ -21,7 +21,7 @@ from .common import SPACE, Scratch, fresh, numbered, pieces
 MODEL = "/opt/tokenizers/word_bpe_49k.json"
 #: Characters of an unsplit word that are encoded as they are; beyond, the word is dealt out. Characters of a batch; distinct words that a worker remembers; words that are
 #: encoded in one text, and the mark between them there (a text that has it itself is encoded word by word).
-UNSPLIT, CHARS, WORDS, TOGETHER, MARK = 50_000, 16_000_000, 1_000_000, 256, "\x01"
+UNSPLIT, CHARS, WORDS, TOGETHER, MARK = 50_000, 2_000_000, 300_000, 256, "\x01"
 
 #: Fixed value: the pattern of the word vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -227,7 +227,7 @@ def parts(text: str, codec: Codec) -> Iterator[tuple[str, str]]:
                 if piece in codec.added or len(piece) <= codec.long:
                     held.append(piece)
                     size += len(piece)
-                    if size > CHARS // 8:
+                    if size > CHARS:
                         yield "text", " ".join(held)
                         held, size = [], 0
                     continue
@@ -249,7 +249,7 @@ def parts(text: str, codec: Codec) -> Iterator[tuple[str, str]]:
                         yield "text", " ".join(held)
                         held, size = [], 0
                     yield "plain", clean[begin:]
-        if size > CHARS // 8:
+        if size > CHARS:
             yield "text", " ".join(held)
             held, size = [], 0
     if held:

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE, Scratch, fresh, numbered, pieces
 
@@ -368,54 +369,63 @@ def of_long(rows: DataFrame, sent) -> DataFrame:
     return dealt.groupBy("_f", "_p").applyInArrow(together, "_f long, _p long, ids array<int>")
 
 
+def spelled(ids: pa.ListArray, codec: Codec) -> pa.Array:
+    """What the tokenizer decodes of each row's ids, special tokens included. Without a decoder of its own it puts a space between tokens."""
+    if codec.tokenizer.decoder is not None:
+        return pa.array([None if r is None else codec.tokenizer.decode(r, skip_special_tokens=False) for r in ids.to_pylist()], pa.string())
+    n = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), codec.spelled().take(ids.flatten()))
+    return pc.if_else(ids.is_null(), None, pc.binary_join(words, " "))
+
+
 def decode(spark, ids: Column, model: str = MODEL, codec: Codec | None = None) -> Column:
     """The text of token ids as the tokenizer decodes them, special tokens included; null gives null."""
     sent = spark.sparkContext.broadcast(codec or Codec.load(model))
 
     @F.arrow_udf("string")
     def run(rows: pa.Array) -> pa.Array:
-        codec = sent.value
-        if codec.tokenizer.decoder is not None:
-            return pa.array([None if r is None else codec.tokenizer.decode(r, skip_special_tokens=False) for r in rows.to_pylist()], pa.string())
-        out = []
-        for i, j in pieces(pc.fill_null(pc.list_value_length(rows), 0).to_pylist(), CHARS):
-            part = rows.slice(i, j - i)
-            words = codec.spelled().take(part.flatten())
-            upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(upto), words), " ")
-            out.append(pc.if_else(part.is_null(), None, text))
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_pylist()
+        out = [spelled(rows.slice(i, j - i), sent.value) for i, j in pieces(sizes, CHARS)]
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return run(ids)
 
 
-def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, codec: Codec | None = None) -> DataFrame:
-    """docs with _ids, the token ids of each whole text as the tokenizer gives them without special tokens of its own making.
+def encoded(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, model: str = MODEL, codec: Codec | None = None) -> DataFrame:
+    """docs (or the columns `keep` of it) with _ids, the token ids of each whole text as the tokenizer gives them without special tokens of its own making, and _decoded, what they spell.
 
-    A null or empty text, or one of white space alone, has no ids. The tokenizer drops white space, so words are encoded apart, each distinct one once a batch. A text with a word of
+    A null or empty text, or one of white space alone, has no ids. The tokenizer drops white space, so words are encoded apart, each distinct one once. A text with a word of
     over `long` characters (UNSPLIT) goes another way: what the tokenizer itself doesn't split is halved until no part is longer, the parts are encoded in tasks of
-    their own, and halves are joined as joined() states. Repeated rows get equal ids, an empty table gives an empty one; a column _ids of the table's own is replaced.
+    their own, and halves are joined as joined() states. Repeated rows get equal ids, an empty table gives an empty one; columns _ids and _decoded of the table's own are replaced.
 
-    The vocabulary (some MB) is read on the driver and broadcast. Only texts with long words are shuffled.
+    The vocabulary (some MB) is read on the driver and broadcast. A task holds CHARS characters at a time, or one text. Only texts with long words are shuffled.
     """
     spark = docs.sparkSession
     codec = codec or Codec.load(model)
     sent = spark.sparkContext.broadcast(codec)
-    docs = docs.drop("_ids")
+    docs = docs.drop("_ids", "_decoded")
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     sizes = F.transform(F.split(text, r"[\x20\x09-\x0D]+"), F.char_length)
     long = F.when(F.char_length(text) > codec.long, F.array_max(sizes) > codec.long).otherwise(F.lit(False))
 
-    @F.arrow_udf("array<int>")
-    def run(texts: pa.Array) -> pa.Array:
-        return encoded_batch(texts, sent.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = sent.value
+        for batch in batches:
+            for i, j in pieces(pc.utf8_length(batch.column(0)).to_pylist(), CHARS):
+                part = batch.slice(i, j - i)
+                ids = encoded_batch(part.column(0), codec)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], ids, spelled(ids, codec)], [*batch.schema.names[1:], "_ids", "_decoded"])
+
+    def plain(rows: DataFrame) -> DataFrame:
+        schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_decoded", T.StringType())])
+        return rows.select(text.alias(fresh(rows, "_body")), *kept).mapInArrow(run, schema)
 
-    short = docs.filter(~long).withColumn("_ids", run(text))
     if docs.filter(long).isEmpty():
-        return docs.withColumn("_ids", run(text))
+        return plain(docs)
     rows, (file, place) = numbered(docs, Scratch(spark))
     found = of_long(rows.filter(long).select(F.col(file).alias("_f"), F.col(place).alias("_p"), text.alias("text")), sent)
     ids = fresh(rows, "_found")
     found = found.select(F.col("_f").alias(file), F.col("_p").alias(place), F.col("ids").alias(ids))
-    back = rows.filter(long).join(found, [file, place]).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(ids).alias("_ids"))
-    return short.unionByName(back)
+    back = rows.filter(long).join(found, [file, place]).select(*kept, F.col(ids).alias("_ids"), decode(spark, F.col(ids), codec=codec).alias("_decoded"))
+    return plain(docs.filter(~long)).unionByName(back)

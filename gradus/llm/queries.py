@@ -83,10 +83,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe_codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = found.select("doc_id", "_ids", bpe_codec.decode(spark, F.coalesce("_ids", F.array().cast("array<int>"))).alias("decoded"))  # not straight from encoding, which would run twice
+    found = bpe_codec.encoded(table(spark, sf_dir, "documents"), keep=["doc_id"])
     ids = F.array_join(F.col("_ids").cast("array<string>"), " ")
-    return found.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("_decoded", 256).alias("decoded_sha256"))
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

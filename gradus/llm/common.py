@@ -58,10 +58,22 @@ class Scratch:
         self.tables = [(p, t) for p, t in self.tables if any(t is k for k in kept)]
 
 
+#: Plan nodes that leave rows as they are.
+PLAIN = {"Project", "Filter", "LogicalRelation"}
+
+
 def stored_rows(df: DataFrame) -> list[Column] | None:
-    """Two columns that tell rows of stored files apart, the same at each reading: the file's hash and the row's place in it. None where df isn't rows of files as they are."""
-    if re.search(r"\b(Generate|Expand|Join|Union)\b", df._jdf.queryExecution().analyzed().toString()):
-        return None
+    """Two columns that tell rows of stored files apart, the same at each reading: the file's hash and the row's place in it.
+
+    None where df isn't rows of files as they are: its plan has other nodes than filters and projections over one file relation, or a condition that may change from reading to reading.
+    """
+    node = df._jdf.queryExecution().analyzed()
+    while True:
+        if node.getClass().getSimpleName() not in PLAIN or not node.deterministic():
+            return None
+        if node.children().isEmpty():
+            break
+        node = node.children().head()
     try:
         meta = df.metadataColumn("_metadata")
         found = [F.xxhash64(meta.getField("file_path")), meta.getField("row_index")]

@@ -13,7 +13,7 @@ def _grouped(rows: DataFrame, salts: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = rows.select("file", "place", F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).alias("n"), F.translate(text, SPACE, "").alias("norm"))
     rows = rows.withColumns({"sha": F.sha2("norm", 256), "check": F.xxhash64("norm"), "norm_n": F.char_length("norm")})
-    best = F.max(F.struct("n", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus_id"), (-F.col("place")).alias("minus_place"), "file"))
+    best = F.max(F.struct("n", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("place").alias("not_place"), "file"))
     salted = (
         rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         .groupBy("sha", "check", "norm_n", "norm", "salt")
@@ -22,7 +22,7 @@ def _grouped(rows: DataFrame, salts: int) -> DataFrame:
     winners = (
         salted.groupBy("sha", "check", "norm_n", "norm")
         .agg(F.max("best").alias("best"), F.sum("size").alias("group_size"))
-        .select("sha", "check", "norm_n", (-F.col("best.minus_id")).alias("keep_id"), (-F.col("best.minus_place")).alias("keep_place"), F.col("best.file").alias("keep_file"), "group_size")
+        .select("sha", "check", "norm_n", F.bitwise_not("best.not_id").alias("keep_id"), F.bitwise_not("best.not_place").alias("keep_place"), F.col("best.file").alias("keep_file"), "group_size")
     )
     found = rows.select("file", "place", "doc_id", "sha", "check", "norm_n").join(winners, ["sha", "check", "norm_n"])
     kept = (F.col("place") == F.col("keep_place")) & (F.col("file") == F.col("keep_file"))

@@ -415,10 +415,10 @@ def covered(model: str, matched: str) -> Column:
     return F.when(F.size(model) == 0, 1.0).otherwise(S.ratio(F.size(matched), F.size(model)))
 
 
-def scores(spark: SparkSession, d: str) -> DataFrame:
-    """Component scores of each document against its item: word overlap stands for meaning, keywords and structure as they are, gaming is the capped sum of all six detectors."""
+def scores(x: DataFrame) -> DataFrame:
+    """Component scores of pairs (doc_id, student, model): word overlap stands for meaning, keywords and structure as they are, gaming is the capped sum of all six detectors."""
     s, m = F.col("student"), F.col("model")
-    x = pairs(spark, d).withColumns({"sw": F.array_distinct(T.words(s)), "mw": F.array_distinct(T.words(m)), "sk": T.keywords(s), "mk": T.keywords(m)})
+    x = x.withColumns({"sw": F.array_distinct(T.words(s)), "mw": F.array_distinct(T.words(m)), "sk": T.keywords(s), "mk": T.keywords(m)})
     x = x.withColumns({"semantic": S.overlap_smaller(F.col("sw"), F.col("mw")), "matched": S.matched(F.col("mk"), F.col("sk"))}).withColumn("keyword", covered("mk", "matched"))
     x = D.structured(D.gamed(x, s, m, F.col("keyword"), F.col("semantic"), F.col("matched")), s)
     gaming = B.gaming({n: F.col(n) for n in B.GAMING_CAPS})
@@ -454,9 +454,9 @@ def word_corrections(spark, d):
     return Z.corrected(*vocabularies(spark, d))
 
 
-def graded(spark: SparkSession, d: str) -> DataFrame:
-    """scores() with the weighted mean, the final score and its grade."""
-    x = scores(spark, d)
+def graded(x: DataFrame) -> DataFrame:
+    """scores() of pairs with the weighted mean, the final score and its grade."""
+    x = scores(x)
     none = F.lit(None).cast("double")
     weighted = G.redistributed(F.col("kind"), {"semantic": F.col("semantic"), "concept_graph": F.col("graph"), "sentence_alignment": none, "keyword": F.col("keyword"), "diagram": none})
     x = x.withColumn("weighted", weighted).withColumn("score", G.final(F.col("weighted"), F.col("length_penalty"), F.col("bonus"), F.col("gaming")))
@@ -465,13 +465,21 @@ def graded(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, kind, round(weighted, 6) AS weighted, round(score, 6) AS score, round(score * 10, 2) AS marks, {_label('score', L.GRADES)} AS grade FROM ({_graded_sql()})""")
 def final_grade(spark, d):
-    x = graded(spark, d)
+    return grades_of(pairs(spark, d))
+
+
+def grades_of(x: DataFrame) -> DataFrame:
+    x = graded(x)
     return x.select("doc_id", "kind", r6(F.col("weighted")).alias("weighted"), r6(F.col("score")).alias("score"), F.round(F.col("score") * 10, 2).alias("marks"), "grade")
 
 
 @query(_rubric_sql())
 def rubric_confidence(spark, d):
-    x = scores(spark, d)
+    return rubrics_of(pairs(spark, d))
+
+
+def rubrics_of(x: DataFrame) -> DataFrame:
+    x = scores(x)
     x = x.withColumns({"terminology": G.terminology(F.col("matched"), F.col("missing"), F.col("student"), F.col("model")), "examples": G.examples(F.col("student"), F.col("model"))})
     sem, kw, graph, st = (F.col(c) for c in ("semantic", "keyword", "graph", "structural"))
     none = F.lit(None).cast("double")
@@ -584,5 +592,9 @@ def _feedback_sql() -> str:
 
 @query(_feedback_sql())
 def feedback(spark, d):
-    x = graded(spark, d)
+    return feedback_of(pairs(spark, d))
+
+
+def feedback_of(x: DataFrame) -> DataFrame:
+    x = graded(x)
     return x.select("doc_id", "grade", B.suggestions(F.col("grade"), S.ratio(F.col("chars"), F.col("model_chars")), F.col("missing")).alias("suggestions"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, records, relational, scans, terms, text
+from . import answers, matching, records, relational, scans, terms, text
 
-MODULES = [relational, records, text, terms, scans, answers]
+MODULES = [relational, records, text, terms, scans, answers, matching]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions import text as T
+from gradus.operators import alignment as N
+from gradus.operators import concepts as C
 from gradus.operators import set_join as J
+from gradus.operators import terms as W
 from gradus.operators import vector_index as I
 from gradus.sources.scratch import folder, written
 from gradus.sources.tables import table
 
 from .answers import answers, over_answers
-from .text import PAIRS, content, r6, sents
+from .terms import _terms
+from .text import PAIRS, STOP, content, q, r6, sents, strip, w
 from .text import SQL as TEXT_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +91,77 @@ def vector_index_probed(spark, d):
     found = written(index.search(asked, BEST, index.probe_for(vectors, BEST, RECALL)), "found")
     share = I.recall(found, index.search(asked, BEST))
     return found.join(share, "qid").select("qid", "vec_id", r6(F.col("sim")).alias("sim"), r6(F.col("recall")).alias("recall"))
+
+
+#: Verbs of the clauses that are made of a text's keywords, as the tables' invented prose has none.
+JOINING = ["provides", "uses", "contains", "defines", "supports"]
+
+
+def with_clauses(text):
+    """The text and a clause for each two of its first ten keywords: the first, a verb, the second."""
+    made = lambda ks: F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.when(F.size(ks) >= i * 2, F.concat_ws(" ", F.get(ks, i * 2 - 2), F.get(F.array(*[F.lit(v) for v in JOINING]), i - 1), F.get(ks, i * 2 - 1))))
+    return F.concat(F.coalesce(text, F.lit("")), F.lit(". "), F.array_join(T.let(F.slice(T.keywords(text), 1, 10), made), ". "))
+
+
+def graphs(spark: SparkSession, d: str) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Concept graphs of the answers' items and of the answers themselves: capitalised words with up to two words after them, ranked, and statements."""
+    x = written(answers(spark, d).select("doc_id", with_clauses(F.col("model")).alias("model"), with_clauses(F.col("student")).alias("student")), "clauses")  # what is used several times is written once
+
+    def one(side: str) -> tuple[DataFrame, DataFrame]:
+        found = x.select("doc_id", F.explode(F.regexp_extract_all(side, F.lit("([A-Z][a-z]{3,}(?: [a-z]{4,}){0,2})"), F.lit(1))).alias("c")).select("doc_id", F.lower("c").alias("concept")).distinct()
+        stated = written(C.statements(x, ["doc_id"], F.col(side)), "stated")
+        nodes, edges = C.graph(W.ranked_concepts(found, x, "doc_id", "concept", F.col(side)), stated, ["doc_id"])
+        return written(nodes, "nodes"), edges
+
+    return one("model"), one("student")
+
+
+def _clauses_sql(x: str) -> str:
+    """The text x with the clauses of its keywords, of which all are in the column x_ks."""
+    ks = f"list_filter({x}_ks, lambda t, i: list_position({x}_ks, t) = i)[1:10]"
+    return f"(SELECT doc_id, coalesce({x}, '') || '. ' || array_to_string(list_filter(list_transform(range(1, 6), lambda i: CASE WHEN len(k) >= i * 2 THEN concat_ws(' ', k[i * 2 - 1], [{', '.join(map(q, JOINING))}][i], k[i * 2]) END), lambda x: x IS NOT NULL), '. ') AS {x} FROM (SELECT doc_id, {x}, {ks} AS k FROM ks))"
+
+
+def _keywords_sql(x: str) -> str:
+    return f"list_filter(list_transform({w(x)}, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: length(x) >= 3 AND NOT list_contains({STOP}, x))"
+
+
+def _one_sql(side: str) -> str:
+    a = side[0]
+    runs = lambda n: f"SELECT doc_id, concept, array_to_string(ws[i:i + {n - 1}], ' ') AS term, 1.5 AS times FROM (SELECT doc_id, concept, string_split(concept, ' ') AS ws, unnest(range(1, len(string_split(concept, ' ')) - {n - 2})) AS i FROM {a}p)"
+    verb = lambda v: f"SELECT DISTINCT doc_id, lower({strip('src')}) AS source, '{v}' AS predicate, lower({strip('dst')}) AS target FROM (SELECT doc_id, unnest(regexp_extract_all(s, {q(C.clause(v))}, 1)) AS src, unnest(regexp_extract_all(s, {q(C.clause(v))}, 2)) AS dst FROM {a}s WHERE list_contains(string_split_regex(lower(s), '\\s+'), '{v}'))"
+    return f"""{a}p AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all({side}, '[A-Z][a-z]{{3,}}(?: [a-z]{{4,}}){{0,2}}'))) AS concept FROM a), {a}n AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(terms) AS term FROM ({_terms(f'SELECT doc_id, {side} FROM a', side, 3)})) GROUP BY ALL),
+ {a}l AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM {a}n GROUP BY 1), {a}h AS (SELECT doc_id, concept, unnest(string_split(concept, ' ')) AS term, 1.0 AS times FROM {a}p UNION ALL {runs(2)} UNION ALL {runs(3)}), {a}z AS (SELECT doc_id, concept, sum(times * n / norm) AS s FROM {a}h JOIN {a}n USING (doc_id, term) JOIN {a}l USING (doc_id) GROUP BY ALL),
+ {a}k AS (SELECT doc_id, concept, greatest(0.1, s / max(s) OVER (PARTITION BY doc_id)) AS importance FROM (SELECT doc_id, concept, greatest(coalesce(s, 0), 0.1) AS s FROM {a}p LEFT JOIN {a}z USING (doc_id, concept))),
+ {a}c AS (SELECT * FROM {a}k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, concept) <= 80), {a}s AS (SELECT * FROM (SELECT doc_id, unnest(list_transform(string_split_regex({side}, '[.!?]+'), lambda s: {strip('s')})) AS s FROM a) WHERE length(s) >= 10),
+ {a}edges AS ({' UNION ALL '.join(verb(v) for v in N.VERBS)}), {a}nodes AS (SELECT doc_id, node, coalesce(max(importance), {C.ORDINARY}) AS importance, sum(own) AS statements, string_split_regex(node, '\\s+') AS ws
+ FROM (SELECT doc_id, {strip('concept')} AS node, importance, 0 AS own FROM {a}c UNION ALL SELECT doc_id, source, NULL, 1 FROM {a}edges UNION ALL SELECT doc_id, target, NULL, 0 FROM {a}edges) GROUP BY doc_id, node)"""
+
+
+_GRAPHS = f"""WITH ks AS MATERIALIZED (SELECT *, {_keywords_sql('model')} AS model_ks, {_keywords_sql('student')} AS student_ks FROM ({PAIRS})), a AS MATERIALIZED (SELECT * FROM {_clauses_sql('model')} JOIN {_clauses_sql('student')} USING (doc_id)), {_one_sql('model')}, {_one_sql('student')},
+ met AS (SELECT * FROM (SELECT m.doc_id, m.node, s.node AS other, len(list_intersect(m.ws, s.ws)) / least(len(list_distinct(m.ws)), len(list_distinct(s.ws))) AS score FROM mnodes m JOIN snodes s USING (doc_id)) WHERE score >= {C.PARTIAL}),
+ nodes AS (SELECT doc_id, node, importance, statements, coalesce(max(score), 0.0) AS score FROM mnodes LEFT JOIN met USING (doc_id, node) GROUP BY ALL),
+ told AS (SELECT DISTINCT e.doc_id, x.node AS source, predicate, y.node AS target FROM sedges e JOIN met x ON x.doc_id = e.doc_id AND x.other = e.source AND x.score >= {C.COVERED} JOIN met y ON y.doc_id = e.doc_id AND y.other = e.target AND y.score >= {C.COVERED}),
+ edges AS (SELECT e.doc_id, e.source, e.predicate, e.target, x.importance AS source_importance, y.importance AS target_importance, least(x.score, y.score) AS score, t.source IS NOT NULL AS stated
+ FROM medges e JOIN nodes x ON x.doc_id = e.doc_id AND x.node = e.source JOIN nodes y ON y.doc_id = e.doc_id AND y.node = e.target LEFT JOIN told t ON t.doc_id = e.doc_id AND t.source = e.source AND t.predicate = e.predicate AND t.target = e.target)"""
+
+
+@query(over_answers(f"{_GRAPHS} SELECT doc_id, node, round(importance, 6) AS importance, statements::BIGINT AS statements, round(score, 6) AS score FROM nodes"))
+def graph_nodes(spark, d):
+    """Nodes of each item's concept graph and how well the answer's nodes match them."""
+    nodes, _ = C.covered_graph(*graphs(spark, d), ["doc_id"])
+    return nodes.select("doc_id", "node", r6(F.col("importance")).alias("importance"), "statements", r6(F.col("score")).alias("score"))
+
+
+@query(over_answers(f"{_GRAPHS} SELECT doc_id, source, predicate, target, round(source_importance, 6) AS source_importance, round(target_importance, 6) AS target_importance, round(score, 6) AS score, stated FROM edges"))
+def graph_edges(spark, d):
+    """Edges of each item's concept graph, with the scores of their ends and whether the answer states them."""
+    _, edges = C.covered_graph(*graphs(spark, d), ["doc_id"])
+    return edges.select("doc_id", "source", "predicate", "target", *[r6(F.col(c)).alias(c) for c in ("source_importance", "target_importance", "score")], "stated")
+
+
+@query(over_answers(f"""{_GRAPHS} SELECT doc_id, count(*) AS nodes, count(*) FILTER (score >= {C.COVERED}) AS covered, count(*) FILTER (score >= {C.PARTIAL} AND score < {C.COVERED}) AS partial, count(*) FILTER (score < {C.PARTIAL}) AS missing, round(sum(importance * score), 4) AS covered_importance,
+ coalesce(any_value(e), 0) AS edges, coalesce(any_value(ce), 0) AS covered_edges, coalesce(any_value(se), 0) AS stated_edges FROM nodes LEFT JOIN (SELECT doc_id, count(*) AS e, count(*) FILTER (score >= {C.COVERED}) AS ce, count(*) FILTER (stated) AS se FROM edges GROUP BY 1) USING (doc_id) GROUP BY doc_id"""))
+def graph_coverage(spark, d):
+    """The summary of each item's concept graph against its answer's."""
+    return C.summary(*C.covered_graph(*graphs(spark, d), ["doc_id"]), ["doc_id"]).withColumn("covered_importance", F.round("covered_importance", 4))

@@ -32,7 +32,7 @@ def capped(score: Column) -> Column:
 def intro(sents: Column) -> Column:
     first = F.coalesce(F.get(sents, 0), F.lit(""))
     own = F.filter(F.split(first, r"\s+"), lambda w: w != "")
-    capitals = F.exists(F.slice(own, 2, 100000), lambda w: w.rlike(r"^\p{Lu}\p{L}*$"))
+    capitals = F.exists(F.slice(own, 2, F.size(own)), lambda w: w.rlike(r"^\p{Lu}\p{L}*$"))
     opening = F.when(first.rlike("(?i)" + L.INTRO), 0.5).when(first.rlike("(?i)" + L.CONTEXT), 0.3).otherwise(0.0)
     return F.when(F.size(sents) == 0, 0.0).otherwise(capped(steps(F.size(own), (12, 0.3), (8, 0.15)) + opening + F.when((F.size(own) > 2) & capitals, 0.2).otherwise(0.0)))
 

@@ -74,19 +74,19 @@ LEVELS = ["Remember", "Understand", "Apply", "Analyse", "Evaluate", "Create"]
 LEVEL_WEIGHTS = [1.0, 1.2, 1.4, 1.8, 2.0, 2.2]
 QUESTION_CUES = [
     [r"\bdefine\b", r"\blist\b", r"\bstate\b", r"\brecall\b", r"\bname\b", r"\bidentify\b", r"\benumerate\b", r"\blabel\b", r"\brecite\b", r"\brecognize\b", r"\bmatch\b", r"\bwhat\s+is\b", r"\bwhat\s+are\b", r"\bwho\b"],
-    [r"\bexplain\b", r"\bdescribe\b", r"\bsummar(ize|ise)\b", r"\binterpret\b", r"\bparaphrase\b", r"\billustrate\b", r"\bdiscuss\b", r"\belaborate\b", r"\bclarify\b", r"\bin\s+your\s+own\s+words\b", r"\bgive\s+(an?\s+)?example", r"\bwhy\b", r"\bhow\s+does\b"],
+    [r"\bexplain\b", r"\bdescribe\b", r"\bsummar(?:ize|ise)\b", r"\binterpret\b", r"\bparaphrase\b", r"\billustrate\b", r"\bdiscuss\b", r"\belaborate\b", r"\bclarify\b", r"\bin\s+your\s+own\s+words\b", r"\bgive\s+(?:an?\s+)?example", r"\bwhy\b", r"\bhow\s+does\b"],
     [r"\bapply\b", r"\bdemonstrate\b", r"\bcalculate\b", r"\bsolve\b", r"\buse\b", r"\bimplement\b", r"\bshow\s+how\b", r"\bcompute\b", r"\bexecute\b", r"\bconstruct\b", r"\bperform\b", r"\boperate\b", r"\bpractice\b", r"\bexercise\b"],
-    [r"\banalyse\b", r"\banalyze\b", r"\bcompare\b", r"\bcontrast\b", r"\bdifferentiat\w*\b", r"\bdistinguish\b", r"\bexamine\b", r"\binvestigat\w*\b", r"\bcategoriz\w*\b", r"\bclassify\b", r"\bdeconstruct\b", r"\bbreak\s+down\b", r"\brelate\b", r"\borganiz\w*\b", r"\bdifference\s+between\b", r"\bsimilarit(y|ies)\b"],
-    [r"\bevaluat\w*\b", r"\bjustify\b", r"\bjudge\b", r"\bcritiqu\w*\b", r"\bcritical(ly)?\b", r"\bassess\b", r"\bappraise\b", r"\bargue\b", r"\bdefend\b", r"\bsupport\b", r"\bvalidate\b", r"\bprioritiz\w*\b", r"\brecommend\b", r"\brate\b", r"\bto\s+what\s+extent\b", r"\bdo\s+you\s+agree\b"],
+    [r"\banalyse\b", r"\banalyze\b", r"\bcompare\b", r"\bcontrast\b", r"\bdifferentiat\w*\b", r"\bdistinguish\b", r"\bexamine\b", r"\binvestigat\w*\b", r"\bcategoriz\w*\b", r"\bclassify\b", r"\bdeconstruct\b", r"\bbreak\s+down\b", r"\brelate\b", r"\borganiz\w*\b", r"\bdifference\s+between\b", r"\bsimilarit(?:y|ies)\b"],
+    [r"\bevaluat\w*\b", r"\bjustify\b", r"\bjudge\b", r"\bcritiqu\w*\b", r"\bcritical(?:ly)?\b", r"\bassess\b", r"\bappraise\b", r"\bargue\b", r"\bdefend\b", r"\bsupport\b", r"\bvalidate\b", r"\bprioritiz\w*\b", r"\brecommend\b", r"\brate\b", r"\bto\s+what\s+extent\b", r"\bdo\s+you\s+agree\b"],
     [r"\bcreate\b", r"\bdesign\b", r"\bpropose\b", r"\bformulat\w*\b", r"\binvent\b", r"\bcompose\b", r"\bplan\b", r"\bdevelop\b", r"\bgenerate\b", r"\bbuild\b", r"\bsynthesize\b", r"\bsynth[ei]s[ei]\w*\b", r"\bconstruct\s+a\b", r"\boriginal\b"],
 ]
 ANSWER_CUES = [
     [r"\bis\s+defined\s+as\b", r"\bis\s+called\b", r"\brefers?\s+to\b", r"\bstands?\s+for\b", r"\bknown\s+as\b", r"\babbreviation\b"],
     [r"\bthis\s+means\b", r"\bin\s+other\s+words\b", r"\bfor\s+example\b", r"\bfor\s+instance\b", r"\bsuch\s+as\b", r"\bi\.e\.?\b", r"\be\.g\.?\b", r"\bin\s+simple\s+terms\b", r"\bto\s+put\s+it\b", r"\bbecause\b", r"\bsince\b", r"\btherefore\b", r"\bthus\b", r"\bhence\b"],
-    [r"\bstep\s*\d?\b", r"\bfirst(ly)?\b.*\bthen\b", r"\bwe\s+(can|could)\s+use\b", r"\bapplying\s+this\b", r"\bsubstitut(e|ing)\b", r"\baccording\s+to\s+the\s+formula\b", r"\busing\s+(the\s+)?(method|technique|approach)\b"],
-    [r"\bwhereas\b", r"\bunlike\b", r"\bin\s+contrast\b", r"\bon\s+the\s+other\s+hand\b", r"\bwhile\b", r"\bsimilar(ly)?\b", r"\bdiffers?\s+(from|in)\b", r"\bcompared?\s+(to|with)\b", r"\bdistinct(ion|ly)?\b", r"\brelationship\s+between\b", r"\bcorrelation\b", r"\bfactor\b", r"\bcomponent\b", r"\baspect\b", r"\badvantage\b", r"\bdisadvantage\b", r"\bstrength\b", r"\bweakness\b", r"\bpro(s)?\b.*\bcon(s)?\b", r"\bmore\s+(than|efficient|effective)\b", r"\bless\s+(than|efficient|effective)\b"],
-    [r"\bin\s+my\s+opinion\b", r"\bi\s+(think|believe|argue)\b", r"\bit\s+(can\s+be|is)\s+argued\b", r"\boverall\b", r"\bin\s+conclusion\b", r"\bsuperi(or|ority)\b", r"\binferi(or|ority)\b", r"\bmost\s+(important|effective|significant)\b", r"\bshould\b", r"\bprefer(able|red)?\b", r"\bbest\s+(approach|method|solution)\b", r"\bcritical(ly)?\b", r"\bsignificant(ly)?\b", r"\beffective(ness)?\b", r"\bjustif(y|ied|ication)\b", r"\bvalid(ity)?\b", r"\breliab(le|ility)\b"],
-    [r"\bi\s+(would\s+)?propose\b", r"\bmy\s+(design|approach|solution)\b", r"\ba\s+(new|novel|original)\s+(method|approach|solution|system)\b", r"\bcombining\b", r"\bintegrat(e|ing)\b", r"\bhypothes[ie]s\b", r"\bmodel\s+(that|which)\b", r"\bframework\b", r"\bblueprint\b"],
+    [r"\bstep\s*\d?\b", r"\bfirst(?:ly)?\b.*\bthen\b", r"\bwe\s+(?:can|could)\s+use\b", r"\bapplying\s+this\b", r"\bsubstitut(?:e|ing)\b", r"\baccording\s+to\s+the\s+formula\b", r"\busing\s+(?:the\s+)?(?:method|technique|approach)\b"],
+    [r"\bwhereas\b", r"\bunlike\b", r"\bin\s+contrast\b", r"\bon\s+the\s+other\s+hand\b", r"\bwhile\b", r"\bsimilar(?:ly)?\b", r"\bdiffers?\s+(?:from|in)\b", r"\bcompared?\s+(?:to|with)\b", r"\bdistinct(?:ion|ly)?\b", r"\brelationship\s+between\b", r"\bcorrelation\b", r"\bfactor\b", r"\bcomponent\b", r"\baspect\b", r"\badvantage\b", r"\bdisadvantage\b", r"\bstrength\b", r"\bweakness\b", r"\bpro(?:s)?\b.*\bcon(?:s)?\b", r"\bmore\s+(?:than|efficient|effective)\b", r"\bless\s+(?:than|efficient|effective)\b"],
+    [r"\bin\s+my\s+opinion\b", r"\bi\s+(?:think|believe|argue)\b", r"\bit\s+(?:can\s+be|is)\s+argued\b", r"\boverall\b", r"\bin\s+conclusion\b", r"\bsuperi(?:or|ority)\b", r"\binferi(?:or|ority)\b", r"\bmost\s+(?:important|effective|significant)\b", r"\bshould\b", r"\bprefer(?:able|red)?\b", r"\bbest\s+(?:approach|method|solution)\b", r"\bcritical(?:ly)?\b", r"\bsignificant(?:ly)?\b", r"\beffective(?:ness)?\b", r"\bjustif(?:y|ied|ication)\b", r"\bvalid(?:ity)?\b", r"\breliab(?:le|ility)\b"],
+    [r"\bi\s+(?:would\s+)?propose\b", r"\bmy\s+(?:design|approach|solution)\b", r"\ba\s+(?:new|novel|original)\s+(?:method|approach|solution|system)\b", r"\bcombining\b", r"\bintegrat(?:e|ing)\b", r"\bhypothes[ie]s\b", r"\bmodel\s+(?:that|which)\b", r"\bframework\b", r"\bblueprint\b"],
 ]
 
 # Frequencies of the most common letter pairs of English.

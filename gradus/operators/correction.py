@@ -5,10 +5,6 @@ Words are corrected as distinct words, by joins with the dictionary, and put bac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +15,7 @@ from . import spelling
 #: Digits that stand between letters, and the letters that they are.
 DIGITS = {"0": "o", "1": "l", "5": "s"}
 #: Letters that are read for one other, likeliest first.
-LIGATURES = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("nn", "m"), ("ij", "u")]
+LIGATURES = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("nn", "m")]
 #: Letters that are taken for another, likeliest first.
 SWAPS = [("l", "i"), ("l", "t"), ("i", "l"), ("t", "l"), ("o", "a"), ("a", "o"), ("n", "u"), ("u", "n"), ("e", "c"), ("c", "e"), ("h", "b"), ("b", "h"), ("s", "e"), ("r", "v"), ("v", "r"), ("d", "a"), ("g", "q"), ("f", "l"), ("l", "f"), ("w", "vv")]
 #: Endings that are joined to the word before them; the second group only to words of two letters at least.
@@ -27,8 +23,8 @@ ENDINGS = ["tion", "ment", "ness", "ing", "ity", "able", "ible", "ous", "ally",
 SHORT_ENDINGS = ["ed", "er", "ly", "al"]
 #: Kinds of swaps that are tried at several places of a word at once, and the most places.
 SEVERAL, PLACES = 12, 4
-#: Longer runs of letters are no words whose letters were confused, and are left as they are.
-LONGEST = 40
+#: Kinds of swaps that are tried after a ligature, and how frequent the word that they give must be.
+AFTER_LIGATURE, FREQUENT = 8, 5
 
 
 def letters_for_digits(text: Column) -> Column:
@@ -59,32 +55,48 @@ def spaced_punctuation(text: Column) -> Column:
     return F.regexp_replace(text, r"([.!?]){2,}", "$1")
 
 
-def _swapped(core: str, at: tuple[int, ...], right: str) -> str:
-    return "".join((right.upper() if c.isupper() else right) if i in at else c for i, c in enumerate(core))
-
-
-def swaps(core: str) -> Iterator[tuple[str, int, int]]:
-    """(word, kind, places) with one confusion undone at one place, kind 0; then with one undone at up to four places, kinds from 1 in their order."""
-    low = core.lower()
+def _classes() -> tuple[str, str]:
+    """Letters that are taken for each other, directly or by others, and the one that stands for them."""
+    owner = {}
     for wrong, right in SWAPS:
-        for i, c in enumerate(low):
-            if c == wrong:
-                yield _swapped(core, (i,), right), 0, 1
-    for kind, (wrong, right) in enumerate(SWAPS[:SEVERAL], 1):
-        at = [i for i, c in enumerate(low) if c == wrong]
-        for n in range(min(len(at), PLACES), 1, -1):
-            for places in combinations(at, n):
-                yield _swapped(core, places, right), kind, n
+        if len(wrong) == len(right) == 1:
+            a, b = owner.setdefault(wrong, wrong), owner.setdefault(right, right)
+            owner = {k: min(a, b) if v in (a, b) else v for k, v in owner.items()}
+    return "".join(owner), "".join(owner.values())
 
 
-def swaps_of(core: Column) -> Column:
-    """swaps() of each word, with their rank."""
+def skeleton(word: Column) -> Column:
+    """The word with each letter replaced by what stands for its class: equal for words that differ in swaps alone."""
+    return F.translate(word, *_classes())
 
-    @F.pandas_udf("array<struct<word:string,kind:int,places:int,rank:int>>")
-    def run(cores: pd.Series) -> pd.Series:
-        return pd.Series([[(w, k, n, i) for i, (w, k, n) in enumerate(swaps(c))] for c in cores], dtype=object)
 
-    return run(core)
+def swapped(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(token, core, word, n, kind, at): dictionary words that a token's core becomes when one kind of confusion is undone, at the places `at`; kind is its number in SWAPS.
+
+    tokens: (token, core); dictionary: (word, n). Words that differ in swaps have one skeleton, so an equi-join finds all of them, whatever their length; then the letters are compared. What changes the length is tried at each of its places.
+    """
+    x = tokens.withColumn("low", F.lower("core")).filter(F.char_length("low") == F.char_length("core"))
+    known = dictionary.select("word", "n")
+    met = x.withColumn("key", skeleton(F.col("low"))).join(known.withColumn("key", skeleton(F.col("word"))), "key").filter((F.col("word") != F.col("low")) & (F.char_length("word") == F.char_length("low")))
+    letters = lambda c: F.split(c, "")
+    pairs = F.zip_with(letters("low"), letters("word"), lambda a, b: F.when(a != b, F.concat(a, F.lit(">"), b)))
+    places = F.filter(F.transform(F.col("pairs"), lambda p, i: F.when(p.isNotNull(), i)), lambda i: i.isNotNull())
+    kinds = F.array(*[F.lit(f"{a}>{b}") for a, b in SWAPS])
+    met = met.withColumn("pairs", pairs).withColumn("own", F.array_distinct(F.filter("pairs", lambda p: p.isNotNull()))).filter(F.size("own") == 1)
+    same = met.withColumn("kind", (F.array_position(kinds, F.get("own", 0)) - 1).cast("int")).filter("kind >= 0").select("token", "core", "word", "n", "kind", places.alias("at"))
+    for kind, (a, b) in enumerate(SWAPS):
+        if len(a) != len(b):
+            where = F.filter(F.transform(letters("low"), lambda c, i: F.when(c == a, i)), lambda i: i.isNotNull())  # noqa: B023
+            each = x.select("token", "core", "low", F.explode(where).alias("i")).withColumn("word", F.concat(F.substr("low", F.lit(1), F.col("i")), F.lit(b), F.substr("low", F.col("i") + 2)))
+            same = same.unionByName(each.join(known, "word").select("token", "core", "word", "n", F.lit(kind).alias("kind"), F.array("i").alias("at")))
+    return same
+
+
+def in_case(core: Column, word: Column, at: Column) -> Column:
+    """The core with the word's letters at these places, in the case of those that they replace."""
+    more = F.char_length(word) - F.char_length(core)
+    new = lambda c, i: F.substr(word, i + 1, more + 1)
+    return F.array_join(F.transform(F.split(core, ""), lambda c, i: F.when(F.array_contains(at, i), F.when(F.upper(c) == c, F.upper(new(c, i))).otherwise(new(c, i))).otherwise(c)), "")
 
 
 def _pick(found: DataFrame, order: Column) -> DataFrame:
@@ -92,31 +104,41 @@ def _pick(found: DataFrame, order: Column) -> DataFrame:
 
 
 def ligatures_undone(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(token, new) of those tokens that become a dictionary word when a ligature is undone wherever it stands: the first kind that does."""
+    """(token, new) of those tokens that become a dictionary word when a ligature is undone wherever it stands, or a frequent one when a confused letter is undone besides: the first ligature that does; of its words the most frequent."""
     bare = lambda w: F.lower(F.regexp_replace(w, "[^a-zA-Z]", ""))
     tries = F.array(*[F.struct(F.lit(-i).alias("rank"), F.regexp_replace("token", f"(?i){a}", b).alias("new")) for i, (a, b) in enumerate(LIGATURES)])
     unknown = tokens.select("token", bare(F.col("token")).alias("word")).filter(F.char_length("word") >= 3).join(dictionary, "word", "left_anti")
     trial = unknown.select("token", F.explode(tries).alias("t")).select("token", "t.*").filter(F.col("new") != F.col("token")).withColumn("word", bare(F.col("new")))
-    return _pick(trial.join(dictionary, "word"), F.col("rank"))
+    whole = trial.join(dictionary, "word", "left")
+    direct = whole.filter("n IS NOT NULL").select("token", "new", "rank", F.lit(1).alias("direct"), "n", F.lit(0).alias("before"))
+    left = whole.filter("n IS NULL").select("token", "new", "rank", "word")
+    more = swapped(left.select(F.col("word").alias("token"), F.col("word").alias("core")).distinct(), dictionary).filter((F.col("kind") < AFTER_LIGATURE) & (F.size("at") == 1) & (F.col("n") >= FREQUENT))
+    more = more.select(F.col("token").alias("word"), F.col("word").alias("right"), "n", "kind", F.get("at", 0).alias("i"))
+    # The i-th of the letters a-z of the token is replaced, in its case.
+    letters = F.transform(F.split("new", ""), lambda c, i: F.struct(c.alias("c"), F.size(F.filter(F.slice(F.split("new", ""), 1, i), lambda x: x.rlike("[a-zA-Z]"))).alias("k")))
+    put = F.array_join(F.transform(letters, lambda x: F.when(x["c"].rlike("[a-zA-Z]") & (x["k"] == F.col("i")), F.when(F.upper(x["c"]) == x["c"], F.upper(F.substr("right", F.col("i") + 1, F.lit(1)))).otherwise(F.substr("right", F.col("i") + 1, F.lit(1)))).otherwise(x["c"])), "")
+    combined = left.join(more, "word").select("token", put.alias("new"), "rank", F.lit(0).alias("direct"), "n", (-F.col("kind") * 1000 - F.col("i")).alias("before"))
+    return _pick(direct.unionByName(combined), F.struct("rank", "direct", "n", "before"))
 
 
 def swaps_undone(tokens: DataFrame, dictionary: DataFrame, common: int) -> DataFrame:
     """(token, new) of tokens that become a dictionary word when confused letters are undone.
 
     Of words with one letter undone, the most frequent; without any, of those with several, the kind's most places first, then the most frequent. A token that the dictionary
-    has changes only if it is rare (under `common`) and the new word, one letter away, is over three times as frequent. Tokens of over LONGEST letters stay.
+    has changes only if it is rare (under `common`) and the new word, one letter away, is over three times as frequent. Of equally frequent words the first kind's, then that with the first places. Words may have any length.
     """
     parts = lambda g: F.regexp_extract("token", r"(?s)^(\P{L}*)(.*?)(\P{L}*)$", g)
     own = dictionary.select(F.col("word").alias("low"), F.col("n").alias("own"))
-    x = tokens.select("token", parts(1).alias("head"), parts(2).alias("core"), parts(3).alias("tail")).filter(F.char_length("core").between(2, LONGEST)).withColumn("low", F.lower("core"))
+    x = tokens.select("token", parts(1).alias("head"), parts(2).alias("core"), parts(3).alias("tail")).filter(F.char_length("core") >= 2).withColumn("low", F.lower("core"))
     x = x.join(own, "low", "left").filter("own IS NULL OR own < %d" % common)
-    trial = x.select("token", "head", "tail", "own", F.explode(swaps_of("core")).alias("s")).select("token", "head", "tail", "own", F.col("s.word").alias("as"), "s.kind", "s.places", "s.rank", F.lower("s.word").alias("word"))
-    met = trial.join(dictionary, "word").withColumn("new", F.concat("head", "as", "tail"))
-    kinds = met.groupBy("token", "kind", "places").agg(F.max_by("new", F.struct("n", F.negative("rank"))).alias("new"), F.max("n").alias("n"), F.first("own").alias("own"))
-    most = kinds.groupBy("token", "kind").agg(F.max_by(F.struct("new", "n", "own"), "places").alias("b")).select("token", "kind", "b.*")
-    fair = F.col("own").isNull() | ((F.col("kind") == 0) & (F.col("n") > F.col("own") * 3))
-    best = most.groupBy("token").agg(F.max_by(F.struct("new", "n", "own", "kind"), F.struct(F.col("kind") == 0, "n", F.negative("kind"))).alias("b")).select("token", "b.*")
-    return best.filter(fair).select("token", "new")
+    met = swapped(x.select("token", "core"), dictionary).withColumn("places", F.size("at")).filter((F.col("places") == 1) | ((F.col("kind") < SEVERAL) & (F.col("places") <= PLACES)))
+    order = F.struct("n", F.negative("kind"), F.transform("at", lambda i: -i))
+    kinds = met.groupBy("token", (F.when(F.col("places") == 1, -1).otherwise(F.col("kind"))).alias("group"), "places").agg(F.max_by(F.struct("core", "word", "at", "n"), order).alias("b"))
+    most = kinds.groupBy("token", "group").agg(F.max_by("b", "places").alias("b"))
+    best = most.groupBy("token").agg(F.max_by(F.struct("b", "group"), F.struct(F.col("group") == -1, F.col("b.n"), -F.col("group"))).alias("x")).select("token", "x.b.*", "x.group")
+    fair = F.col("own").isNull() | ((F.col("group") == -1) & (F.col("n") > F.col("own") * 3))
+    found = best.join(x.select("token", "head", "tail", "own"), "token").filter(fair)
+    return found.select("token", F.concat("head", in_case(F.col("core"), F.col("word"), F.col("at")), "tail").alias("new"))
 
 
 def spelled(tokens: DataFrame, dictionary: DataFrame, distance: int = 2) -> DataFrame:

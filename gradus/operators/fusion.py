@@ -58,8 +58,18 @@ def fused(readings: DataFrame, page: str = "page", engine: str = "engine", text:
 
 
 #: How a paragraph begins that begins a question, and one that begins a part of it.
-QUESTIONS = [r"^[Qq][\s.]*([0-9]{1,3})[\s.:)]*", r"^(?i:que(?:stion|s)?)[\s.]*([0-9]{1,3})[\s.:)]*", r"^([0-9]{1,3})\s*[.):]", r"^\(([0-9]{1,3})\)", r"^[Aa]ns(?:wer)?[\s.]*([0-9]{1,3})[\s.:)]*"]
-PARTS = [r"^[(\s]*([A-Za-z])\s*[).:]", r"^[(\s]*(?i:(i{1,4}|iv|vi{0,3}|ix|x))\s*[).:]", r"^([0-9]{1,3})\s*[.]\s*[(\s]*[A-Za-z]\s*[).:]?"]
+QUESTIONS = [
+    r"^[Qq][\s.]*(\d{1,3})[\s.:)]*",
+    r"(?i)^[Qq]ue(?:stion|s)?[\s.]*(\d{1,3})[\s.:)]*",
+    r"^(\d{1,3})\s*[.):]",
+    r"^\((\d{1,3})\)",
+    r"^[Aa]ns(?:wer)?[\s.]*(\d{1,3})[\s.:)]*",
+]
+PARTS = [
+    r"(?i)^[(\s]*([a-z])\s*[).:]",
+    r"(?i)^[(\s]*(i{1,4}|iv|vi{0,3}|ix|x)\s*[).:]",
+    r"(?i)^(\d{1,3})\s*[.]\s*[(\s]*([a-z])\s*[).:]?",
+]
 
 
 def first_of(text: Column, patterns: list[str], group: int = 1) -> Column:

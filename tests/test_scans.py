@@ -115,3 +115,57 @@ def test_segment_pairs_and_summary(spark):
     assert got[1] == ("alpha beta", None) and got[2] == ("gamma delta", "mine is") and got[3][0] is None
     last = fusion.segment_summary(segmented(x, "id", "s")).filter("number = 3").first()
     assert last.preview == ("long " * 24) + "..." and last.length == 199 and last.n_parts == 0
+
+
+def swaps(core):
+    """(word, kind, places) with one confusion undone at one place, kind 0; then with one undone at two to four places, kinds from 1 in their order: by loops."""
+    from itertools import combinations
+
+    def put(at, right):
+        return "".join((right.upper() if c.isupper() else right) if i in at else c for i, c in enumerate(core))
+
+    low = core.lower()
+    for wrong, right in correction.SWAPS:
+        for i, c in enumerate(low):
+            if c == wrong:
+                yield put((i,), right), 0, 1
+    for kind, (wrong, right) in enumerate(correction.SWAPS[: correction.SEVERAL], 1):
+        at = [i for i, c in enumerate(low) if c == wrong]
+        for n in range(min(len(at), correction.PLACES), 1, -1):
+            for places in combinations(at, n):
+                yield put(places, right), kind, n
+
+
+def test_swaps_against_enumeration(spark):
+    rng = random.Random(7)
+    words = {"".join(rng.choices("litoanuecs", k=rng.randrange(2, 7))): rng.randrange(1, 40) for _ in range(1500)} | {"awvvake": 9}
+    tokens = sorted({"".join(rng.choices("litoanuecsLT", k=rng.randrange(2, 7))) for _ in range(400)} | {"awwake", "(Awwake)"})
+    want = {}
+    for token in tokens:
+        core = token.strip("()")
+        own = words.get(core.lower())
+        if len(core) < 2 or (own is not None and own >= 5):
+            continue
+        found = [(k, p, words[w.lower()], -i, w) for i, (w, k, p) in enumerate(swaps(core)) if w.lower() in words and w.lower() != core.lower()]
+        single = [f for f in found if f[0] == 0]
+        if single:
+            best = max(single, key=lambda f: (f[2], f[3]))
+            if own is not None and best[2] <= own * 3:
+                continue
+        elif found and own is None:
+            kinds = {k: max(p for kk, p, *_ in found if kk == k) for k, *_ in found}
+            best = max((max((f for f in found if f[0] == k and f[1] == p), key=lambda f: (f[2], f[3])) for k, p in kinds.items()), key=lambda f: (f[2], -f[0]))
+        else:
+            continue
+        want[token] = token.replace(core, best[4])
+    df = spark.createDataFrame([(t,) for t in tokens], "token string")
+    known = spark.createDataFrame(list(words.items()), "word string, n long")
+    assert {r.token: r.new for r in correction.swaps_undone(df, known, 5).collect()} == want
+
+
+def test_words_of_any_length_and_ligatures_with_a_swap(spark):
+    long = "internationalisation" * 3
+    known = spark.createDataFrame([(long, 9), ("system", 30), ("modern", 4)], "word string, n long")
+    tokens = spark.createDataFrame([(long.replace("a", "o", 1),), ("Syslern,",), ("rnoclern",), ("moclenn",)], "token string")
+    assert {r.token: r.new for r in correction.swaps_undone(tokens, known, 5).collect()} == {long.replace("a", "o", 1): long}
+    assert {r.token: r.new for r in correction.ligatures_undone(tokens, known).collect()} == {"Syslern,": "System,"}

@@ -17,7 +17,7 @@ from gradus.functions.similarity import cosine, copy_penalty, overlap_smaller, r
 from gradus.functions.text import content_words, let, ngrams, sentences, words
 
 from .answers import optimal_alignment, tier
-from .terms import terms
+from .terms import entity_density, salience, terms
 
 Similarity = Callable[[Column, Column], Column]
 
@@ -31,15 +31,23 @@ def role(sentence: Column) -> Column:
     return out.when(F.size(words(sentence)) >= 8, "explanation").otherwise("general")
 
 
-def importance(sentence: Column, place: Column, count: Column, keywords: Column | None = None) -> Column:
-    """From 0.3 to 2: role, place in the text and keywords; salience and density of names count as average."""
+def importance(sentence: Column, place: Column, count: Column, keywords: Column | None = None, salience: Column | float = 1.0, density: Column | float = 0.5) -> Column:
+    """From 0.3 to 2: role, salience, place in the text, density of names and keywords. Salience and density count as average where they aren't given; important_sentences() gives them."""
     weight = F.lit(1.0)
     kind = role(sentence)
     for name, value in L.ROLE_WEIGHTS.items():
         weight = F.when(kind == name, value).otherwise(weight)
     position = F.when(place == 0, 1.4).when(place == count - 1, 1.2).when(place <= 2, 1.1).otherwise(1.0)
     boost = F.lit(0.0) if keywords is None else F.least(F.size(F.array_intersect(words(sentence), keywords)) * 0.2, F.lit(1.0))
-    return F.greatest(F.lit(0.3), F.least(F.lit(2.0), 0.35 * weight + 0.25 * 1.0 + 0.15 * position + 0.15 * 0.5 + 0.10 * boost))
+    return F.greatest(F.lit(0.3), F.least(F.lit(2.0), 0.35 * weight + 0.25 * salience + 0.15 * position + 0.15 * density + 0.10 * boost))
+
+
+def important_sentences(texts: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, place, sentence, role, salience, density, importance) of each sentence of over two characters: salience is tf-idf within its text. Keys are distinct; null and blank texts have no sentences."""
+    x = texts.select(key, sentences(text, 2).alias("ss")).select(key, F.size("ss").alias("_n"), F.posexplode("ss").alias("place", "sentence"))
+    x = x.join(salience(x, key, "place", F.col("sentence")), [key, "place"]).withColumns({"role": role(F.col("sentence")), "density": entity_density(F.col("sentence"))})
+    value = importance(F.col("sentence"), F.col("place"), F.col("_n"), salience=F.col("salience"), density=F.col("density"))
+    return x.select(key, "place", "sentence", "role", "salience", "density", value.alias("importance"))
 
 
 def _total(xs: Column) -> Column:

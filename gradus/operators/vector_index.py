@@ -194,10 +194,10 @@ class Index:
         rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("sim").desc(), "vec_id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
-    def probe_for(self, vectors: DataFrame, k: int, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
-        """The fewest lists whose search finds so large a share of the k best of TRIALS vectors (those of the smallest hashed ids), measured against the exact search."""
-        trials = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col)).limit(TRIALS)
-        spark = vectors.sparkSession
+    def probe_for(self, queries: DataFrame, k: int, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
+        """The fewest lists whose search finds so large a share of the k best of TRIALS of these queries (those of the smallest hashed ids), measured against the exact search. Queries of another kind may need more."""
+        trials = queries.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col)).limit(TRIALS)
+        spark = queries.sparkSession
         exact = self.search(trials, k, None, id_col, vector_col)
         centers = spark.sparkContext.broadcast(self.centers(spark))
         order = self._nearest(centers, self.size, self.lists)

@@ -1,4 +1,4 @@
-"""Queries of sentence matrices, soft alignment, vector indexes, concept graphs with edges and context spelling."""
+"""Queries of sentence matrices, soft alignment, vector indexes, concept graphs with edges, importance of sentences and scores of lines."""
 
 from __future__ import annotations
 
@@ -7,19 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradus.functions import lexicons as L
+from gradus.functions import ocr as O
 from gradus.functions import text as T
 from gradus.operators import alignment as N
 from gradus.operators import concepts as C
+from gradus.operators import context as K
 from gradus.operators import set_join as J
 from gradus.operators import terms as W
 from gradus.operators import vector_index as I
 from gradus.sources.scratch import folder, written
-from gradus.sources.tables import table
+from gradus.sources.tables import spread, table
 
 from .answers import answers, over_answers
+from .terms import SQL as TERMS_SQL
 from .terms import _terms
-from .text import PAIRS, STOP, content, q, r6, sents, strip, w
+from .text import PAIRS, STOP, _role_sql, content, q, r6, sents, strip, w
 from .text import SQL as TEXT_SQL
+from .text import vocabularies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,24 +76,24 @@ def soft_alignment(spark, d):
 BEST, RECALL = 5, 0.95
 
 
-def indexed(spark: SparkSession, d: str) -> tuple[I.Index, DataFrame, DataFrame]:
-    """An index over all embeddings, all of them, and the stated queries: every 20th id."""
+def indexed(spark: SparkSession, d: str) -> tuple[I.Index, DataFrame]:
+    """An index over all embeddings, and the stated queries: every 20th id."""
     vectors = table(spark, d, "embeddings")
-    return I.Index.build(vectors, folder(spark, "index")), vectors, vectors.filter("vec_id % 20 = 0")
+    return I.Index.build(vectors, folder(spark, "index")), vectors.filter("vec_id % 20 = 0")
 
 
 @query(TEXT_SQL["cosine_topk"])
 def vector_index_exact(spark, d):
     """cosine_topk by the index: lists that can't reach the bar are left out."""
-    index, _, asked = indexed(spark, d)
+    index, asked = indexed(spark, d)
     return index.search(asked, BEST).withColumn("sim", r6(F.col("sim")))
 
 
 @query()
 def vector_index_probed(spark, d):
     """The same from as few lists as hold 95 in 100 of what some trial queries look for, with each query's recall against the exact result."""
-    index, vectors, asked = indexed(spark, d)
-    found = written(index.search(asked, BEST, index.probe_for(vectors, BEST, RECALL)), "found")
+    index, asked = indexed(spark, d)
+    found = written(index.search(asked, BEST, index.probe_for(asked, BEST, RECALL)), "found")
     share = I.recall(found, index.search(asked, BEST))
     return found.join(share, "qid").select("qid", "vec_id", r6(F.col("sim")).alias("sim"), r6(F.col("recall")).alias("recall"))
 
@@ -165,3 +170,40 @@ def graph_edges(spark, d):
 def graph_coverage(spark, d):
     """The summary of each item's concept graph against its answer's."""
     return C.summary(*C.covered_graph(*graphs(spark, d), ["doc_id"]), ["doc_id"]).withColumn("covered_importance", F.round("covered_importance", 4))
+
+
+_DENSITY = """least(2.0, (len(list_filter(ws[2:], lambda x: regexp_matches(x, '^\\P{L}*\\p{Lu}'))) + 0.5 * len(list_filter(ws, lambda x: regexp_matches(x, '\\p{Nd}|\\p{Ll}\\p{Lu}')))) / greatest(len(ws), 1) * 2.0)"""
+
+
+@query(f"""WITH y AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS s, unnest(range(0, len(ss))) AS place FROM (SELECT doc_id, {sents('text', 2)} AS ss FROM documents)),
+ z AS (SELECT *, {_role_sql('s')} AS role, {_DENSITY} AS density, CASE WHEN place = 0 THEN 1.4 WHEN place = n - 1 THEN 1.2 WHEN place <= 2 THEN 1.1 ELSE 1.0 END AS position FROM (SELECT *, list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '') AS ws FROM y))
+ SELECT doc_id, place, role, round(salience, 6) AS salience, round(density, 6) AS density, round(greatest(0.3, least(2.0, 0.35 * CASE role {' '.join(f'WHEN {q(k)} THEN {v}' for k, v in L.ROLE_WEIGHTS.items())} ELSE 1.0 END + 0.25 * salience + 0.15 * position + 0.15 * density))::DOUBLE, 4) AS importance
+ FROM z JOIN ({TERMS_SQL['sentence_salience'].replace(', 6) AS', ', 15) AS')}) USING (doc_id, place)""")
+def sentence_importance(spark, d):
+    """Importance of each sentence, with its tf-idf salience and density of names."""
+    x = N.important_sentences(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", F.col("text"))
+    return x.select("doc_id", "place", "role", r6(F.col("salience")).alias("salience"), r6(F.col("density")).alias("density"), F.round("importance", 4).alias("importance"))
+
+
+#: The engine's confidence that lines_scored takes, and the length of a full line, as the reference's defaults.
+CONFIDENCE, FULL = 0.8, 500
+
+
+@query(f"""WITH lines AS (SELECT conv_id || ':' || turn || ':' || line AS doc_id, t AS text FROM (SELECT conv_id, turn, unnest(ls) AS t, generate_subscripts(ls, 1) AS line FROM (SELECT conv_id, turn, list_transform(string_split({strip('text')}, chr(10)), lambda l: {strip('l')}) AS ls FROM conversations)))
+ SELECT doc_id AS line_id, text = '' AS empty, round(bigram, 6) AS bigram, round(certainty, 6) AS certainty, round(valid, 6) AS valid, round(repeated, 6) AS repeated, round(length(text) / {FULL}, 6)::DOUBLE AS length, round(CASE WHEN text = '' THEN 0.0 ELSE greatest(0.0, least(1.0, 0.30 * {CONFIDENCE} + 0.25 * valid + 0.20 * bigram + 0.10 * certainty + 0.10 * least(1.0, length(text) / {FULL}) - 0.05 * repeated)) END::DOUBLE, 5) AS quality
+ FROM lines JOIN ({TEXT_SQL['ocr_quality'].replace('documents', 'lines').replace(', 6) AS', ', 15) AS')}) USING (doc_id)""")
+def line_scores(spark, d):
+    """The quality scores of each line of a scanned text, as conversations have lines."""
+    bare = F.transform(F.split(T.strip(F.coalesce("text", F.lit(""))), "\n"), T.strip)
+    x = spread(table(spark, d, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", F.posexplode(bare).alias("line", "text"))
+    t = F.col("text")
+    parts = {"bigram": O.bigram_score(t), "certainty": O.char_certainty(t), "valid": O.valid_ratio(t), "repeated": O.repetition(t), "length": F.char_length(t) / FULL, "quality": O.quality(t, F.lit(CONFIDENCE), FULL)}
+    return x.select(F.concat_ws(":", "conv_id", "turn", F.col("line") + 1).alias("line_id"), (t == "").alias("empty"), *[F.round(v, 5 if k == "quality" else 6).alias(k) for k, v in parts.items()])
+
+
+@query()
+def context_corrections(spark, d):
+    """Unknown words of the items, corrected by the documents' words and word pairs together."""
+    _, known = vocabularies(spark, d)
+    docs = spread(table(spark, d, "documents").select("text"))
+    return K.corrected(table(spark, d, "benchmark").select("item_id", "text"), written(known, "dictionary"), written(K.pairs_of(docs, F.col("text")), "pairs"), ["item_id"])

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradus.operators import records as C
+from gradus.sources.scratch import folder
 from gradus.sources.tables import RESULT, table
+from gradus.streaming import cases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,7 +36,10 @@ _REQUESTS = f"SELECT user_id, event_id, ts, value, {_STATUS} AS status, CASE eve
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Requests of those who may make them: admins, and teachers for the cases assigned to them (even ones)."""
-    e = table(spark, d, "events")
+    return asked(table(spark, d, "events"))
+
+
+def asked(e: DataFrame) -> DataFrame:
     status = F.col("event_type")
     for name, to in STATUS.items():
         status = F.when(F.col("event_type") == name, to).otherwise(status)
@@ -50,6 +55,21 @@ def case_transitions(spark, d):
     return C.transitions(requests(spark, d), "user_id", "event_id", STATUSES)
 
 
+@query(SQL["case_transitions"])
+def case_stream(spark, d):
+    """case_transitions by a stream over the events, whose state is kept by case; what the stream wrote last of each case."""
+    place, name = folder(spark, "cases"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, cases.PROVIDER)
+    try:
+        events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # as a pattern, so that one file is a folder of its own
+        changed = cases.stream_transitions(asked(events), "user_id", "event_id", STATUSES)
+        cases.kept(changed, f"{place}/rows", f"{place}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return cases.latest_cases(spark, f"{place}/rows", "user_id", changed.schema).drop("closed").withColumn("resolution", F.col("resolution").cast("double"))
+
+
 @query(f"""WITH r AS (SELECT * FROM ({_REQUESTS}) WHERE (role = 'admin' OR (role = 'teacher' AND user_id % 2 = 0)) AND status <> 'view')
  SELECT user_id, event_id, 'Status changed from ''' || coalesce(lag(status) OVER (PARTITION BY user_id ORDER BY event_id), 'open') || ''' to ''' || status || '''' AS content FROM r""")
 def case_messages(spark, d):

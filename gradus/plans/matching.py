@@ -177,12 +177,12 @@ _DENSITY = """least(2.0, (len(list_filter(ws[2:], lambda x: regexp_matches(x, '^
 
 @query(f"""WITH y AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS s, unnest(range(0, len(ss))) AS place FROM (SELECT doc_id, {sents('text', 2)} AS ss FROM documents)),
  z AS (SELECT *, {_role_sql('s')} AS role, {_DENSITY} AS density, CASE WHEN place = 0 THEN 1.4 WHEN place = n - 1 THEN 1.2 WHEN place <= 2 THEN 1.1 ELSE 1.0 END AS position FROM (SELECT *, list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '') AS ws FROM y))
- SELECT doc_id, place, role, round(salience, 6) AS salience, round(density, 6) AS density, round(greatest(0.3, least(2.0, 0.35 * CASE role {' '.join(f'WHEN {q(k)} THEN {v}' for k, v in L.ROLE_WEIGHTS.items())} ELSE 1.0 END + 0.25 * salience + 0.15 * position + 0.15 * density))::DOUBLE, 4) AS importance
+ SELECT doc_id, place, role, round(salience, 6) AS salience, round(density, 6) AS density, round(greatest(0.3, least(2.0, 0.35 * CASE role {' '.join(f'WHEN {q(k)} THEN {v}' for k, v in L.ROLE_WEIGHTS.items())} ELSE 1.0 END + 0.25 * salience + 0.15 * position + 0.15 * density))::DOUBLE, 8) AS importance
  FROM z JOIN ({TERMS_SQL['sentence_salience'].replace(', 6) AS', ', 15) AS')}) USING (doc_id, place)""")
 def sentence_importance(spark, d):
     """Importance of each sentence, with its tf-idf salience and density of names."""
     x = N.important_sentences(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", F.col("text"))
-    return x.select("doc_id", "place", "role", r6(F.col("salience")).alias("salience"), r6(F.col("density")).alias("density"), F.round("importance", 4).alias("importance"))
+    return x.select("doc_id", "place", "role", r6(F.col("salience")).alias("salience"), r6(F.col("density")).alias("density"), F.round("importance", 8).alias("importance"))
 
 
 #: The engine's confidence that lines_scored takes, and the length of a full line, as the reference's defaults.

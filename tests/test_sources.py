@@ -74,3 +74,29 @@ def test_stream_equals_batch(spark, small, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, daily.counts(events).collect()))
+
+
+def test_documents_by_id_open_one_file(spark, tmp_path):
+    from gradus.sources import documents as D
+    from pyspark.sql.datasource import EqualTo, In
+
+    rows = spark.createDataFrame([(f"id{i}", i / 10, ["a"], (["x"], None, float("nan"))) for i in range(200)] + [("inf", float("inf"), None, None)], "evaluation_id string, final_score double, suggestions array<string>, concepts struct<matched:array<string>,missing:array<string>,coverage_percentage:double>")
+    D.saved(rows, str(tmp_path))
+    (tmp_path / "broken.json").write_text("{")
+    (tmp_path / "other.txt").write_text("no document")
+    assert D.documents(spark, str(tmp_path)).count() == 202
+    reader = D.Lookup(str(tmp_path), S.RESULT)
+    assert list(reader.pushFilters([EqualTo(("evaluation_id",), "id7")])) and [p.names for p in reader.partitions()] == [[f"{tmp_path}/id7.json"]]
+    both = D.Lookup(str(tmp_path), S.RESULT)
+    list(both.pushFilters([In(("evaluation_id",), ("id1", "id2", "none", "../x")), EqualTo(("final_score",), 0.1)]))
+    assert sum(len(p.names) for p in both.partitions()) == 2 and sum(len(p.names) for p in D.Reader(str(tmp_path), S.RESULT).partitions()) == 202
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    try:
+        found = D.documents(spark, f"file://{tmp_path}").filter("evaluation_id = 'id7'")
+        one = found.first()
+        assert (one.final_score, one.suggestions, one.concepts.matched, one.concepts.coverage_percentage, one.grade) == (0.7, ["a"], ["x"], None, None)
+        assert found.rdd.getNumPartitions() == 1
+        assert D.documents(spark, str(tmp_path)).filter("evaluation_id = 'broken'").count() == 0
+        assert D.documents(spark, str(tmp_path)).filter("evaluation_id = 'inf'").first().final_score is None
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")

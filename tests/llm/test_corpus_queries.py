@@ -43,6 +43,9 @@ def test_lm_scores_beside_the_base(spark, small):
     mean = lambda c: F.avg(F.col(c) / F.col("n_tokens"))
     lm = queries.op6_lm_scoring(spark, "/root/testdata/sf0.1").filter("held_out").agg(mean("word_score"), mean("base_score"), mean("score")).first()
     assert 1.15 * lm[1] < lm[0] < 0 and lm[2] < 0
+    # What a model that spells may lose against the base, in digits a token: at most these margins at both sizes.
+    least = queries.op6_lm_scoring(spark, small).filter("held_out").agg(mean("score"), mean("base_score")).first()
+    assert lm[2] > lm[1] - 1.25 and least[0] > least[1] - 1.7
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
     docs = queries.table(spark, small, "documents").select("doc_id", "text")
     scores = [lattice_lm.scored(docs, ~held_out, lattice_lm.Settings(rounds=n)).filter(held_out).select("_lm.*").agg(mean("score")).first()[0] for n in (0, 3)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def test_queries_equal_their_sql(spark, small):
     con = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
     for name, sql in queries.oracle_sql().items():
         want = con.sql(sql)

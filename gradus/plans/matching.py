@@ -13,6 +13,7 @@ from gradus.functions import text as T
 from gradus.operators import alignment as N
 from gradus.operators import concepts as C
 from gradus.operators import context as K
+from gradus.operators import ranking as R
 from gradus.operators import set_join as J
 from gradus.operators import terms as W
 from gradus.operators import vector_index as I
@@ -20,6 +21,7 @@ from gradus.sources.scratch import folder, written
 from gradus.sources.tables import spread, table
 
 from .answers import answers, over_answers
+from .relational import SQL as REL_SQL
 from .terms import SQL as TERMS_SQL
 from .terms import _terms
 from .text import PAIRS, STOP, _role_sql, content, q, r6, sents, strip, w
@@ -207,3 +209,10 @@ def context_corrections(spark, d):
     _, known = vocabularies(spark, d)
     docs = spread(table(spark, d, "documents").select("text"))
     return K.corrected(table(spark, d, "benchmark").select("item_id", "text"), written(known, "dictionary"), written(K.pairs_of(docs, F.col("text")), "pairs"), ["item_id"])
+
+
+@query(REL_SQL["kendall_order"])
+def order_agreement(spark, d):
+    """kendall_order by inversions, for keys of any number of rows."""
+    found = R.order_scores(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    return found.select("l_orderkey", r6(F.col("score")).alias("order_score"))

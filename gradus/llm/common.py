@@ -29,6 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def until_end(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the application ends. An application that is killed leaves it: names end in a random part, so whatever is older than the longest run may be swept."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)  # only of what is there
+    return path
+
+
 class Scratch:
     """Tables that an operator writes into the shared folder on its way. A table that is written ends the lineage: a lost executor takes nothing along."""
 

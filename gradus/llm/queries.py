@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_codec, exact_dedup, hard_negatives, language_id, lattice_lm, lz_fingerprint, merkle, minhash_dedup, mixing, quotation, recompression, sentencepiece_codec, sharding
-from .common import crc_mod, shared_dir
+from .common import crc_mod, until_end
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +42,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four arrivals of documents, by a hash of the id: a half, a quarter, and an eighth twice; then compaction. One row for each document: its shard."""
+    """Four arrivals of documents, by a hash of the id: a half, a quarter, and an eighth twice; then compaction. One row for each document: its shard. The store goes when the application ends."""
     docs = table(spark, sf_dir, "documents")
-    shards = sharding.Shards(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    shards = sharding.Shards(spark, until_end(spark, "shards"))
     part = F.coalesce(crc_mod(F.col("doc_id"), 8), F.lit(7))
     for low, high in ((0, 4), (4, 6), (6, 7), (7, 8)):
         shards.append(docs.filter((part >= low) & (part < high)))

@@ -23,15 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path there, deleted when the application ends."""
+    """A new folder there, deleted when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)  # only of what is there
     return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back, which ends its lineage."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(f"{path}/t")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/t")

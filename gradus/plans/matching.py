@@ -14,6 +14,7 @@ from gradus.operators import alignment as N
 from gradus.operators import concepts as C
 from gradus.operators import context as K
 from gradus.operators import ranking as R
+from gradus.operators import rollups as U
 from gradus.operators import set_join as J
 from gradus.operators import terms as W
 from gradus.operators import vector_index as I
@@ -216,3 +217,20 @@ def order_agreement(spark, d):
     """kendall_order by inversions, for keys of any number of rows."""
     found = R.order_scores(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
     return found.select("l_orderkey", r6(F.col("score")).alias("order_score"))
+
+
+@query("""SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(CASE WHEN event_id % 7 = 0 THEN 2 ELSE 1 END * value), 4) AS total, count(DISTINCT user_id) AS users FROM events WHERE event_id % 11 <> 0 GROUP BY ALL""")
+def rollup_after_changes(spark, d):
+    """Daily activity from four batches of changes: events come in two, then every seventh is corrected to twice its value, and every eleventh goes."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.to_date("ts").alias("day"), "value", "user_id")
+    store = U.Rollups(spark, folder(spark, "rollups"), ["event_type", "day"])
+    seventh, eleventh = F.col("event_id") % 7 == 0, F.col("event_id") % 11 == 0
+    doubled = e.filter(seventh).withColumn("value", F.col("value") * 2)
+    comes, goes = F.lit(1).alias("times"), F.lit(-1).alias("times")
+    gone = e.filter(eleventh & ~seventh).unionByName(doubled.filter(eleventh))
+    batches = [e.filter(F.col("event_id") % 2 == 0).select("*", comes), e.filter(F.col("event_id") % 2 != 0).select("*", comes), e.filter(seventh).select("*", goes).unionByName(doubled.select("*", comes)), gone.select("*", goes)]
+    for number, batch in enumerate(batches, 1):
+        store.apply(number, batch, "value", "user_id")
+    store.compact(2)
+    found = U.dashboard(store.read(), store.keys)
+    return found.select("event_type", "day", "n", F.round("total", 4).alias("total"), F.col("members").alias("users"))

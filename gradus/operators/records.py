@@ -10,11 +10,34 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+def _floating(kind: T.DataType) -> bool:
+    """Whether values of this type have floating numbers at any depth."""
+    if isinstance(kind, T.ArrayType):
+        return _floating(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _floating(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(_floating(f.dataType) for f in kind)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def safe_value(value: Column, kind: T.DataType) -> Column:
+    """The value with null for NaN and infinities, inside structs, arrays and the values of maps too."""
+    if not _floating(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: safe_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: safe_value(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[safe_value(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """df with null for NaN and infinities in its floating columns, which JSON has no numbers for."""
-    floating = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    safe = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-    return df.withColumns({n: safe(F.col(f"`{n}`")) for n in floating}) if floating else df
+    """df with null for NaN and infinities, at any depth, which JSON has no numbers for."""
+    found = [f for f in df.schema if _floating(f.dataType)]
+    return df.withColumns({f.name: safe_value(F.col(f"`{f.name}`"), f.dataType) for f in found}) if found else df
 
 
 def may_view(role: Column, user: Column, owner: Column, assigned: Column) -> Column:

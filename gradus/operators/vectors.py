@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .vector_index import matrix
+
 #: Query vectors and other vectors of a block at most, on average.
 QUERIES, VECTORS = 1024, 4096
 
@@ -17,21 +19,14 @@ QUERIES, VECTORS = 1024, 4096
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
 
-def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = rows.column("id").to_numpy()
-    flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = flat.reshape(len(ids), -1)
-    norm = np.sqrt((matrix * matrix).sum(axis=1))
-    return ids, matrix / np.where(norm > 0, norm, 1.0)[:, None]
-
-
 def in_blocks(vectors: DataFrame, asked: Column, kernel: Kernel, schema: str, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """kernel over each block of queries (rows for which `asked` holds) and each block of all rows. Vectors have one length; null vectors are left out.
+    """kernel over each block of queries (rows for which `asked` holds) and each block of all rows. Null vectors and ids are left out. Of vectors of several lengths the shorter ones count as if zeros followed; a null inside a vector counts as 0.
 
     Queries are copied once for each block of vectors and vectors once for each block of queries, as any exact search needs; a task holds one block of each.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.coalesce(asked, F.lit(False)).alias("q")).filter("v IS NOT NULL AND id IS NOT NULL")
-    n, n_asked = rows.agg(F.count("*"), F.count_if("q")).first()
+    n, n_asked, size = rows.agg(F.count("*"), F.count_if("q"), F.max(F.size("v"))).first()
+    size = max(size or 1, 1)
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     across, down = -(-n_asked // QUERIES), max(-(-n // VECTORS), min(cores, n // 64 + 1))
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1)))
@@ -44,8 +39,8 @@ def in_blocks(vectors: DataFrame, asked: Column, kernel: Kernel, schema: str, id
         left, right = table.filter(mask), table.filter(pa.compute.invert(mask))
         if not left.num_rows or not right.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in pa_schema})
-        qid, q = _matrix(left)
-        vid, v = _matrix(right)
+        qid, q = left.column("id").to_numpy(), matrix(left.column("v").combine_chunks(), size)
+        vid, v = right.column("id").to_numpy(), matrix(right.column("v").combine_chunks(), size)
         found = kernel(qid, vid, np.round(q @ v.T, 12))
         return pa.table([pa.array(found[f.name], f.type) for f in pa_schema], schema=pa_schema)
 

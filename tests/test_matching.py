@@ -182,3 +182,12 @@ def test_a_capital_after_many_words_counts(spark):
     long = spark.createDataFrame([("the " * 100_001 + "Kernel now.",), ("the " * 100_001 + "kernel now.",)], "t string")
     scores = [r[0] for r in long.select(detectors.intro(F.array("t"))).collect()]
     assert scores[0] == pytest.approx(scores[1] + 0.2)
+
+
+def test_blocks_of_vectors_of_several_lengths(spark):
+    from gradus.operators import vectors
+
+    rows = [(i, [1.0, float(i)]) for i in range(30)] + [(40, [1.0]), (41, [None, 2.0]), (42, []), (43, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.qid, r.vec_id): round(r.sim, 9) for r in vectors.nearest(df, F.col("vec_id") % 20 == 0, 40).collect()}
+    assert got[0, 40] == 1.0 and got[20, 41] == round(20 / math.sqrt(401), 9) and got[40, 42] == 0.0 and (0, 43) not in got

@@ -83,3 +83,11 @@ def test_salience_and_terms(spark):
     assert got[2, 0] == 1.0 and got[1, 2] == 0.0 and abs(got[1, 0] - 2.0) < 1e-9 and abs(got[1, 1] - 2.0) < 1e-9
     top = W.important_terms(spark.createDataFrame([(1, "root root leaf")], "d int, t string"), "d", F.col("t"), 2).orderBy("place").collect()
     assert [r.term for r in top] == ["root", "leaf"] and abs(top[0].weight - 2 / math.sqrt(4 + 1 + 1 + 1)) < 1e-9
+
+
+def test_json_safe_at_any_depth(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, ([nan, 1.5, None], {"a": inf, "b": 2.0}), [[-inf, 0.5]], "x"), (2, None, None, None)], "id int, s struct<xs:array<double>,m:map<string,float>>, deep array<array<double>>, t string")
+    first, second = C.json_safe(df).orderBy("id").collect()
+    assert (list(first.s.xs), first.s.m, first.deep, first.t) == ([None, 1.5, None], {"a": None, "b": 2.0}, [[None, 0.5]], "x")
+    assert second.s is None and second.deep is None

@@ -51,7 +51,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
-    """The rows that stay, one of each group as in exact_groups, with all their columns, whatever their names."""
+    """The rows that stay, one of each group as in exact_groups, with all their columns, whatever their names.
+
+    Null and empty texts are one group; of repeated rows one stays; ties, null ids and ids at both ends of their range are decided as in exact_groups. Texts of any length are compared whole; an empty table gives an empty one.
+    """
     rows, (file, place) = numbered(docs, Scratch(docs.sparkSession))
     narrow = rows.select(F.col(file).alias("file"), F.col(place).alias("place"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kept = _grouped(narrow, salts).filter("kept").select(F.col("file").alias(file), F.col("place").alias(place))

@@ -289,6 +289,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """The documents of which none stays in their stead, with all their columns: one of each group."""
+    """The documents of which none stays in their stead, with all their columns, whatever their names: of each group of near_groups() the one of the smallest id.
+
+    Null, empty and blank texts are linked with nothing and stay, and so do rows with a null id. Rows of one id stay or go together. Texts of any length count whole; an empty table gives an empty one.
+    """
     gone = near_groups(docs, id_col, text_col, width, percent).filter("NOT kept").select(F.col(id_col).alias("_gone_id")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")

@@ -140,7 +140,8 @@ def mixed(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_
     A row that is drawn k times comes k times, with epochs from 0; sorted by (epoch, block_key, row_key) of _mix, the
     sources' blocks are permuted anew. Token shares are words of the text (null: none). A null source is a source of its
     own; one without tokens has weight 0 and isn't drawn. Repeated rows with one id and text are drawn together. Within the
-    budget, a source may fall short by less than one document. Texts of any length count whole. An empty table gives an empty one.
+    budget, a source may fall short by less than one document. Texts of any length count whole. An empty table gives an empty one. A column _mix of the table's own is
+    replaced; other columns, of any name, are kept.
     """
     mix = mix or Mix()
     laid = plan(docs, mix, id_col, text_col, source_col)

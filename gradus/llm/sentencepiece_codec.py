@@ -122,7 +122,11 @@ def decode(spark, ids: Column, model: str = MODEL, vocab: Vocabulary | None = No
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """docs with _ids, _n_pieces and _lossless (whether the decoded ids are the text; null for null), from one pass. An empty table gives an empty one; repeated rows get equal ids."""
+    """docs with _ids, _n_pieces and _lossless (whether the decoded ids are the text; null for null), from one pass.
+
+    A null text has null ids, an empty one none. Texts of any length are encoded whole, CHARS characters or one text at a time. A null id seeds as any id does, so rows of one id and text, repeated ones too, get equal
+    ids. Columns _ids, _n_pieces and _lossless of the table's own are replaced; other columns are kept. An empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")

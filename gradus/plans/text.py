@@ -415,7 +415,12 @@ def covered(model: str, matched: str) -> Column:
     return F.when(F.size(model) == 0, 1.0).otherwise(S.ratio(F.size(matched), F.size(model)))
 
 
-def scores(x: DataFrame) -> DataFrame:
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    """Component scores of each document against its item."""
+    return scores_of(pairs(spark, d))
+
+
+def scores_of(x: DataFrame) -> DataFrame:
     """Component scores of pairs (doc_id, student, model): word overlap stands for meaning, keywords and structure as they are, gaming is the capped sum of all six detectors."""
     s, m = F.col("student"), F.col("model")
     x = x.withColumns({"sw": F.array_distinct(T.words(s)), "mw": F.array_distinct(T.words(m)), "sk": T.keywords(s), "mk": T.keywords(m)})
@@ -455,8 +460,8 @@ def word_corrections(spark, d):
 
 
 def graded(x: DataFrame) -> DataFrame:
-    """scores() of pairs with the weighted mean, the final score and its grade."""
-    x = scores(x)
+    """scores_of() pairs with the weighted mean, the final score and its grade."""
+    x = scores_of(x)
     none = F.lit(None).cast("double")
     weighted = G.redistributed(F.col("kind"), {"semantic": F.col("semantic"), "concept_graph": F.col("graph"), "sentence_alignment": none, "keyword": F.col("keyword"), "diagram": none})
     x = x.withColumn("weighted", weighted).withColumn("score", G.final(F.col("weighted"), F.col("length_penalty"), F.col("bonus"), F.col("gaming")))
@@ -479,7 +484,7 @@ def rubric_confidence(spark, d):
 
 
 def rubrics_of(x: DataFrame) -> DataFrame:
-    x = scores(x)
+    x = scores_of(x)
     x = x.withColumns({"terminology": G.terminology(F.col("matched"), F.col("missing"), F.col("student"), F.col("model")), "examples": G.examples(F.col("student"), F.col("model"))})
     sem, kw, graph, st = (F.col(c) for c in ("semantic", "keyword", "graph", "structural"))
     none = F.lit(None).cast("double")

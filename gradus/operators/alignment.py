@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gradus.functions import lexicons as L
 from gradus.functions.similarity import cosine, copy_penalty, overlap_smaller, ratio, word_similarity
 from gradus.functions.text import content_words, let, ngrams, sentences, words
+from gradus.sources.scratch import written
 
 from .answers import optimal_alignment, tier
 from .terms import entity_density, salience, terms
@@ -45,6 +46,7 @@ def importance(sentence: Column, place: Column, count: Column, keywords: Column
 def important_sentences(texts: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, place, sentence, role, salience, density, importance) of each sentence of over two characters: salience is tf-idf within its text. Keys are distinct; null and blank texts have no sentences."""
     x = texts.select(key, sentences(text, 2).alias("ss")).select(key, F.size("ss").alias("_n"), F.posexplode("ss").alias("place", "sentence"))
+    x = written(x, "sentences")  # salience reads them several times
     x = x.join(salience(x, key, "place", F.col("sentence")), [key, "place"]).withColumns({"role": role(F.col("sentence")), "density": entity_density(F.col("sentence"))})
     value = importance(F.col("sentence"), F.col("place"), F.col("_n"), salience=F.col("salience"), density=F.col("density"))
     return x.select(key, "place", "sentence", "role", "salience", "density", value.alias("importance"))

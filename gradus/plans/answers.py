@@ -130,7 +130,7 @@ def answer_structure(spark, d):
 def answer_gaming(spark, d):
     s, m = F.col("student"), F.col("model")
     x = answers(spark, d).withColumns({"mk": T.keywords(m), "sk": T.keywords(s), "semantic": S.overlap_smaller(F.array_distinct(T.words(s)), F.array_distinct(T.words(m)))})
-    x = x.withColumn("matched", S.matched(F.col("mk"), F.col("sk"))).withColumn("keyword", X.covered("mk", "matched"))
+    x = x.withColumn("matched", S.matched(F.col("mk"), F.col("sk"), form=S.byte_form)).withColumn("keyword", X.covered("mk", "matched"))
     x = D.gamed(x, s, m, F.col("keyword"), F.col("semantic"), F.col("matched"))
     report = B.gaming({n: F.col(n) for n in B.GAMING_CAPS})
     return x.select("doc_id", *[r6(F.col(n)).alias(n) for n in B.GAMING_CAPS], r6(report["gaming_penalty"]).alias("gaming_penalty"), report["flags"].alias("flags"), report["warnings"].alias("warnings"))
@@ -141,6 +141,6 @@ _COUNTS = ", ".join(f"({' + '.join(hits('text', p) for p in group)})" for group
 
 @query(f"""SELECT doc_id, level, [{', '.join(q(n) for n in L.LEVELS)}][level] AS name, cs[level] AS hits, round({X.div('cs[level]', 'list_sum(cs)')}, 3) AS confidence FROM (SELECT doc_id, [{_COUNTS}] AS cs FROM documents), (SELECT unnest(range(1, 7)) AS level)""")
 def answer_levels(spark, d):
-    counts = F.array(*[sum((T.hits(F.col("student"), p) for p in group[1:]), T.hits(F.col("student"), group[0])) for group in L.ANSWER_CUES])
-    x = answers(spark, d).select("doc_id", F.explode(Q.level_breakdown(counts, L.LEVELS)).alias("l"))
+    counts = D.cue_counts(F.col("cue"), L.ANSWER_CUES)
+    x = answers(spark, d).withColumn("cue", T.edged(F.col("student"))).select("doc_id", F.explode(Q.level_breakdown(counts, L.LEVELS)).alias("l"))
     return x.select("doc_id", "l.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .similarity import overlap_first, overlap_smaller, ratio
-from .text import content_words, hits, let, paragraphs, sentences, strip, type_token_ratio, without_stop_words, words
+from .text import content_words, edged, hits, let, paragraphs, sentences, strip, type_token_ratio, without_stop_words, words
 
 
 def steps(value: Column, *cuts: tuple[float, float]) -> Column:
@@ -25,6 +25,11 @@ def steps(value: Column, *cuts: tuple[float, float]) -> Column:
     return let(value, first)
 
 
+def tenths(score: Column) -> Column:
+    """A sum of decimal steps as the double that is nearest to it, whatever the order of adding: decimals of the queries' SQL are exact."""
+    return F.round(score, 10)
+
+
 def capped(score: Column) -> Column:
     return F.least(F.lit(1.0), score)
 
@@ -33,7 +38,7 @@ def intro(sents: Column) -> Column:
     first = F.coalesce(F.get(sents, 0), F.lit(""))
     own = F.filter(F.split(first, r"\s+"), lambda w: w != "")
     capitals = F.exists(F.slice(own, 2, F.size(own)), lambda w: w.rlike(r"^\p{Lu}\p{L}*$"))
-    opening = F.when(first.rlike("(?i)" + L.INTRO), 0.5).when(first.rlike("(?i)" + L.CONTEXT), 0.3).otherwise(0.0)
+    opening = let(edged(first), lambda cue: F.when(cue.rlike("(?i)" + L.INTRO), 0.5).when(cue.rlike("(?i)" + L.CONTEXT), 0.3).otherwise(0.0))
     return F.when(F.size(sents) == 0, 0.0).otherwise(capped(steps(F.size(own), (12, 0.3), (8, 0.15)) + opening + F.when((F.size(own) > 2) & capitals, 0.2).otherwise(0.0)))
 
 
@@ -53,7 +58,7 @@ def body_of(sent_words: Column, ws: Column, n_paragraphs: Column) -> Column:
 def conclusion(sents: Column) -> Column:
     n = F.size(sents)
     last = F.coalesce(F.get(sents, n - 1), F.lit(""))
-    two = F.concat_ws(" ", F.get(sents, n - 2), last)
+    two = edged(F.concat_ws(" ", F.get(sents, n - 2), last))
     count = F.size(words(last))
     score = F.when(two.rlike("(?i)" + L.CONCLUSION), 0.5).otherwise(0.0) + F.when(two.rlike("(?i)" + L.SUMMARY), 0.2).otherwise(0.0)
     score = score + F.when(count >= 10, 0.2).otherwise(0.0) + F.when((count >= 6) & ~F.endswith(last, F.lit("?")), 0.1).otherwise(0.0)
@@ -108,23 +113,24 @@ def structured(df: DataFrame, text: Column) -> DataFrame:
     What several scores need is a column of its own, so it is computed once: sentences, their words and content words, words, paragraphs.
     """
     x = df.withColumn("_t", F.coalesce(text, F.lit("")))
-    t = F.col("_t")
-    x = x.withColumns({"_ss": sentences(t), "_ws": words(t), "_np": F.size(paragraphs(t))}).withColumn("_sw", F.transform("_ss", words)).withColumn("_cs", F.transform("_sw", without_stop_words))
-    scores = {"intro": intro(F.col("_ss")), "body": body_of(F.col("_sw"), F.col("_ws"), F.col("_np")), "conclusion": conclusion(F.col("_ss")), "lists": lists(t), "definitions": definitions(t), "examples": examples(t), "coherence": coherence_of(t, F.col("_cs"))}
+    t, cue = F.col("_t"), F.col("_cue")
+    x = x.withColumns({"_cue": edged(t), "_ss": sentences(t), "_ws": words(t), "_np": F.size(paragraphs(t))}).withColumn("_sw", F.transform("_ss", words)).withColumn("_cs", F.transform("_sw", without_stop_words))
+    scores = {"intro": intro(F.col("_ss")), "body": body_of(F.col("_sw"), F.col("_ws"), F.col("_np")), "conclusion": conclusion(F.col("_ss")), "lists": lists(cue), "definitions": definitions(cue), "examples": examples(cue), "coherence": coherence_of(cue, F.col("_cs"))}
     long = F.char_length(F.trim(t)) >= 10
-    x = x.withColumns({k: F.when(long, v).otherwise(0.0) for k, v in scores.items()})
+    x = x.withColumns({k: F.when(long, tenths(v)).otherwise(0.0) for k, v in scores.items()})
     total = sum((F.col(k) * w for k, w in list(L.STRUCTURE_WEIGHTS.items())[1:]), F.col("intro") * L.STRUCTURE_WEIGHTS["intro"])
     x = x.withColumn("structural_score", capped(total)).withColumn("structure_bonus", F.col("structural_score") * L.STRUCTURE_BONUS)
-    return x.drop("_t", "_ss", "_ws", "_np", "_sw", "_cs")
+    return x.drop("_t", "_cue", "_ss", "_ws", "_np", "_sw", "_cs")
 
 
 def structure(text: Column) -> dict[str, Column]:
     """structured() as expressions, for texts that are no column yet."""
     text = F.coalesce(text, F.lit(""))
     sents = sentences(text)
-    scores = {"intro": let(sents, intro), "body": let(sents, lambda x: body(text, x)), "conclusion": let(sents, conclusion), "lists": lists(text), "definitions": definitions(text), "examples": examples(text), "coherence": coherence(text, sents)}
+    of = lambda score: let(edged(text), score)
+    scores = {"intro": let(sents, intro), "body": let(sents, lambda x: body(text, x)), "conclusion": let(sents, conclusion), "lists": of(lists), "definitions": of(definitions), "examples": of(examples), "coherence": of(lambda cue: coherence(cue, sents))}
     long = F.char_length(F.trim(text)) >= 10
-    scores = {k: F.when(long, v).otherwise(0.0) for k, v in scores.items()}
+    scores = {k: F.when(long, tenths(v)).otherwise(0.0) for k, v in scores.items()}
     total = capped(sum((scores[k] * w for k, w in list(L.STRUCTURE_WEIGHTS.items())[1:]), scores["intro"] * L.STRUCTURE_WEIGHTS["intro"]))
     return scores | {"structural_score": total, "structure_bonus": total * L.STRUCTURE_BONUS}
 
@@ -200,7 +206,7 @@ def irrelevance_of(own: Column, other: Column) -> Column:
     def penalty(off: Column) -> Column:
         n = F.size(off)
         neighbours = F.size(F.filter(F.zip_with(F.slice(off, 1, F.greatest(n - 1, F.lit(0))), F.slice(off, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: b - a), lambda d: d == 1))
-        return F.when(n > 0, F.least(ratio(n, F.size(own)) * 0.30 + neighbours * 0.03, F.lit(0.25))).otherwise(0.0)
+        return F.when(n > 0, F.least(ratio(n, F.size(own)) * 0.30 + tenths(neighbours * 0.03), F.lit(0.25))).otherwise(0.0)
 
     return F.when((F.size(own) == 0) | (F.size(other) == 0), 0.0).otherwise(let(irrelevant(own, other), penalty))
 
@@ -273,7 +279,7 @@ def entropy(text: Column) -> Column:
 def padding(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     sents = F.transform(sentences(text, 3), words)
-    return padding_of(sents, F.transform(sents, without_stop_words), hits(text, L.FILLERS), hits(text, L.HEDGES))
+    return padding_of(sents, F.transform(sents, without_stop_words), hits(edged(text), L.FILLERS), hits(edged(text), L.HEDGES))
 
 
 def padding_of(sents: Column, sets: Column, fillers: Column, hedges: Column) -> Column:
@@ -286,7 +292,7 @@ def padding_of(sents: Column, sets: Column, fillers: Column, hedges: Column) ->
     penalty = penalty + F.when(ratio(hedges, n) > 0.8, 0.05).otherwise(0.0)
     penalty = penalty + F.when((n >= 4) & (overlap_smaller(F.coalesce(first, empty), F.coalesce(last, empty)) > 0.7), 0.05).otherwise(0.0)
     penalty = penalty + F.when((n >= 3) & (ratio(content, n) < 2.0), 0.04).otherwise(0.0)
-    return F.when(n < 2, 0.0).otherwise(F.least(penalty, F.lit(0.15)))
+    return F.when(n < 2, 0.0).otherwise(F.least(tenths(penalty), F.lit(0.15)))
 
 
 def gamed(df: DataFrame, student: Column, model: Column, keyword: Column, semantic: Column, found: Column) -> DataFrame:
@@ -295,7 +301,8 @@ def gamed(df: DataFrame, student: Column, model: Column, keyword: Column, semant
     keyword: coverage; semantic: likeness of meaning; found: the model's keywords that the answer has. Sentences and words of both texts are computed once.
     """
     x = df.withColumns({"_t": F.coalesce(student, F.lit("")), "_ws": words(student), "_vs": words(model), "_sw": F.transform(sentences(student, 3), words), "_mw": F.transform(sentences(model, 3), words)})
-    x = x.withColumns({"_cs": F.transform("_sw", without_stop_words), "_ms": F.transform("_mw", without_stop_words), "_e": entropy(F.col("_t")), "_f": hits(F.col("_t"), L.FILLERS), "_h": hits(F.col("_t"), L.HEDGES)})
+    x = x.withColumns({"_cs": F.transform("_sw", without_stop_words), "_ms": F.transform("_mw", without_stop_words), "_e": entropy(F.col("_t")), "_cue": edged(F.col("_t"))})
+    x = x.withColumns({"_f": hits(F.col("_cue"), L.FILLERS), "_h": hits(F.col("_cue"), L.HEDGES)})
     own, other = F.col("_cs"), F.col("_ms")
     penalties = {
         "repetition": repetition_of(own),
@@ -307,12 +314,17 @@ def gamed(df: DataFrame, student: Column, model: Column, keyword: Column, semant
     }
     long = (F.char_length(strip(student)) >= 10) & (F.char_length(strip(model)) >= 10)
     x = x.withColumns({n: F.when(long, p).otherwise(0.0) for n, p in penalties.items()})
-    return x.drop("_t", "_ws", "_vs", "_sw", "_mw", "_cs", "_ms", "_e", "_f", "_h")
+    return x.drop("_t", "_ws", "_vs", "_sw", "_mw", "_cs", "_ms", "_e", "_cue", "_f", "_h")
+
+
+def cue_counts(text: Column, cues: list[list[str]]) -> Column:
+    """How many cues of each group an edged() text has."""
+    return F.array(*[sum((hits(text, p) for p in group[1:]), hits(text, group[0])) for group in cues])
 
 
 def level(text: Column, cues: list[list[str]]) -> Column:
     """(level, confidence, hits): the cognitive level with the greatest weighted number of cues, the lowest of equals, and how sure that is; (2, 0.3) without a cue."""
-    counts = F.array(*[sum((hits(text, p) for p in group[1:]), hits(text, group[0])) for group in cues])
+    counts = let(edged(text), lambda cue: cue_counts(cue, cues))
     weights = F.array(*[F.lit(w) for w in L.LEVEL_WEIGHTS])
 
     def vote(cs: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .similarity import ratio
-from .text import hits, let, strip, words
+from .text import edged, hits, let, strip, words
 
 
 def clipped(x: Column) -> Column:
@@ -35,7 +35,7 @@ def redistributed(kind: Column, scores: dict[str, Column]) -> Column:
         weight = F.when(kind.isin(list(L.QUESTION_WEIGHTS)), weight).otherwise(L.QUESTION_WEIGHTS["mixed"][name])
         used = used + F.when(score.isNotNull(), weight * score).otherwise(0.0)
         weights = weights + F.when(score.isNotNull(), weight).otherwise(0.0)
-    return F.coalesce(F.try_divide(used, weights), F.lit(0.0))
+    return F.coalesce(F.try_divide(used, F.round(weights, 10)), F.lit(0.0))
 
 
 def final(weighted: Column, length_penalty: Column, structure_bonus: Column, gaming_penalty: Column, modifier: Column | None = None) -> Column:
@@ -89,7 +89,7 @@ def examples(student: Column, model: Column, diagram: Column | None = None) -> C
     own, other = count(student, L.EXAMPLE_CUES), count(model, L.EXAMPLE_CUES)
     given = F.when(own > 0, F.when(other > 0, 0.40 * F.least(own / other, F.lit(1.0))).otherwise(0.40)).when(other == 0, 0.30).otherwise(0.0)
     applied = 0.25 * F.least(count(student, L.APPLICATION_CUES) / F.greatest(count(model, L.APPLICATION_CUES), F.lit(1)), F.lit(1.0))
-    specific = let(F.regexp_count(student, F.lit(L.QUANTITY)) + F.regexp_count(student, F.lit(L.INNER_NAME)), lambda k: F.when(k >= 3, 0.15).when(k >= 1, 0.08).otherwise(0.0))
+    specific = let(F.regexp_count(student, F.lit(L.QUANTITY)) + F.regexp_count(edged(student), F.lit(L.INNER_NAME)), lambda k: F.when(k >= 3, 0.15).when(k >= 1, 0.08).otherwise(0.0))
     drawn = F.when(hits(student, L.DIAGRAM_CUES) > 0, 0.08).otherwise(0.0)
     if diagram is not None:
         drawn = F.when(diagram > 0, 0.20 * diagram).otherwise(drawn)

@@ -365,3 +365,22 @@ def test_feedback_equals_brute_force(spark, tmp_path):
         tips += [f"Mention {', '.join(missing)}."] * bool(missing) + ["Go over the topic again."] * (grades[i] in ("poor", "average"))
         assert (got[i].grade, got[i].suggestions) == (grades[i], tips)
     assert value(spark, feedback.suggestions(F.lit("good"), F.lit(2.5), F.array().cast("array<string>"))) == ["Be brief: the answer is more than twice as long as expected."]
+
+
+def test_edits_of_the_queries_count_bytes(spark):
+    x = spark.createDataFrame([(["abcde"], ["abcdé"]), (["naïve"], ["naïve"]), (["rivers"], ["river"]), (["memory"], ["mmeory"])], "m array<string>, s array<string>")
+    got = x.select(similarity.matched(F.col("m"), F.col("s")).alias("chars"), similarity.matched(F.col("m"), F.col("s"), form=similarity.byte_form).alias("bytes")).collect()
+    assert [r.chars for r in got] == [["abcde"], ["naïve"], ["rivers"], []] and [r.bytes for r in got] == [[], ["naïve"], ["rivers"], []]
+
+
+def test_cues_end_at_letters_beyond_ascii(spark):
+    x = spark.createDataFrame([("An éa is here and so on. Butö no.",), ("An ea is here and so on. But no.",)], "t string")
+    got = D.structured(x, F.col("t")).withColumn("k", text.hits(text.edged(F.col("t")), L.ADVERSATIVE)).collect()
+    assert [round(r.intro, 2) for r in got] == [0.0, 0.3] and [r.k for r in got] == [1, 1]
+
+
+def test_names_inside_sentences_end_at_letters_beyond_ascii(spark):
+    x = spark.createDataFrame([("Well. so it is with Rétier Ölten and Marie and Bonnèt.", "none")], "s string, m string")
+    assert x.select(scoring.examples(F.col("s"), F.col("m")).alias("v")).first().v == pytest.approx(0.30 + 0.08)
+    y = spark.createDataFrame([("Well. so it is with Bonnèt here too.", "none")], "s string, m string")
+    assert y.select(scoring.examples(F.col("s"), F.col("m")).alias("v")).first().v == pytest.approx(0.30 + 0.08)

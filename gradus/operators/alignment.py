@@ -14,22 +14,25 @@ from pyspark.sql import functions as F
 
 from gradus.functions import lexicons as L
 from gradus.functions.similarity import cosine, copy_penalty, overlap_smaller, ratio, word_similarity
-from gradus.functions.text import content_words, let, ngrams, sentences, words
-from gradus.sources.scratch import written
+from gradus.functions.text import content_words, edged, let, ngrams, sentences, words
 
 from .answers import optimal_alignment, tier
-from .terms import entity_density, salience, terms
+from .terms import entity_density, terms, with_cosine, with_salience
 
 Similarity = Callable[[Column, Column], Column]
 
 
 def role(sentence: Column) -> Column:
     """What a sentence does: the first kind of cue that it has."""
-    out = None
-    for name, pattern in L.ROLE_CUES:
-        found = sentence.rlike("(?i)" + pattern)
-        out = F.when(found, name) if out is None else out.when(found, name)
-    return out.when(F.size(words(sentence)) >= 8, "explanation").otherwise("general")
+
+    def kind(cue: Column) -> Column:
+        out = None
+        for name, pattern in L.ROLE_CUES:
+            found = cue.rlike("(?i)" + pattern)
+            out = F.when(found, name) if out is None else out.when(found, name)
+        return out.when(F.size(words(sentence)) >= 8, "explanation").otherwise("general")
+
+    return let(edged(sentence), kind)
 
 
 def importance(sentence: Column, place: Column, count: Column, keywords: Column | None = None, salience: Column | float = 1.0, density: Column | float = 0.5) -> Column:
@@ -45,9 +48,10 @@ def importance(sentence: Column, place: Column, count: Column, keywords: Column
 
 def important_sentences(texts: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, place, sentence, role, salience, density, importance) of each sentence of over two characters: salience is tf-idf within its text. Keys are distinct; null and blank texts have no sentences."""
-    x = texts.select(key, sentences(text, 2).alias("ss")).select(key, F.size("ss").alias("_n"), F.posexplode("ss").alias("place", "sentence"))
-    x = written(x, "sentences")  # salience reads them several times
-    x = x.join(salience(x, key, "place", F.col("sentence")), [key, "place"]).withColumns({"role": role(F.col("sentence")), "density": entity_density(F.col("sentence"))})
+    x = texts.select(key, sentences(text, 2).alias("ss"))
+    x = with_salience(x.withColumn("_ts", F.transform("ss", lambda s: terms(s))), "salience", "_ts")
+    x = x.select(key, F.size("ss").alias("_n"), F.posexplode(F.arrays_zip("ss", "salience")).alias("place", "_z"))
+    x = x.select(key, "_n", "place", F.col("_z.ss").alias("sentence"), "_z.salience").withColumns({"role": role(F.col("sentence")), "density": entity_density(F.col("sentence"))})
     value = importance(F.col("sentence"), F.col("place"), F.col("_n"), salience=F.col("salience"), density=F.col("density"))
     return x.select(key, "place", "sentence", "role", "salience", "density", value.alias("importance"))
 
@@ -174,9 +178,4 @@ def concept_scores(pairs: DataFrame, model: str = "model", student: str = "stude
 
 def tfidf_cosine(pairs: DataFrame, key: str, model: str = "model", student: str = "student") -> DataFrame:
     """(key, similarity): cosine of the two texts' tf-idf weights over single words and pairs, with document frequencies within the pair and smoothing."""
-
-    side = lambda c, n: pairs.select(key, F.explode(terms(F.col(c))).alias("term"), F.lit(n).alias("side"))
-    tf = side(model, 0).unionByName(side(student, 1)).groupBy(key, "term").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    idf = F.log(F.lit(3.0) / (1 + (F.col("a") > 0).cast("int") + (F.col("b") > 0).cast("int"))) + 1
-    sums = tf.withColumn("i", idf * idf).groupBy(key).agg(F.sum(F.col("i") * F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("i") * F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("i") * F.col("b") * F.col("b")).alias("bb"))
-    return pairs.select(key).join(sums, key, "left").select(key, F.coalesce(F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")), F.lit(0.0)).alias("similarity"))
+    return with_cosine(pairs.select(key, terms(F.col(model)).alias("_a"), terms(F.col(student)).alias("_b")), "similarity", "_a", "_b").select(key, "similarity")

@@ -116,9 +116,9 @@ def graphs(spark: SparkSession, d: str) -> tuple[tuple[DataFrame, DataFrame], tu
     x = written(answers(spark, d).select("doc_id", with_clauses(F.col("model")).alias("model"), with_clauses(F.col("student")).alias("student")), "clauses")  # what is used several times is written once
 
     def one(side: str) -> tuple[DataFrame, DataFrame]:
-        found = x.select("doc_id", F.explode(F.regexp_extract_all(side, F.lit("([A-Z][a-z]{3,}(?: [a-z]{4,}){0,2})"), F.lit(1))).alias("c")).select("doc_id", F.lower("c").alias("concept")).distinct()
+        found = F.regexp_extract_all(side, F.lit("([A-Z][a-z]{3,}(?: [a-z]{4,}){0,2})"), F.lit(1))
         stated = written(C.statements(x, ["doc_id"], F.col(side)), "stated")
-        nodes, edges = C.graph(W.ranked_concepts(found, x, "doc_id", "concept", F.col(side)), stated, ["doc_id"])
+        nodes, edges = C.graph(W.ranked_concepts(x, "doc_id", found, F.col(side)), stated, ["doc_id"])
         return written(nodes, "nodes"), edges
 
     return one("model"), one("student")

@@ -5,6 +5,7 @@ import math
 from gradus.functions import lexicons as L
 from gradus.functions import quality as Q
 from gradus.functions import scoring as G
+from gradus.operators import alignment as N
 from gradus.operators import records as C
 from gradus.operators import terms as W
 from gradus.sources.tables import language_of_path
@@ -91,3 +92,14 @@ def test_json_safe_at_any_depth(spark):
     first, second = C.json_safe(df).orderBy("id").collect()
     assert (list(first.s.xs), first.s.m, first.deep, first.t) == ([None, 1.5, None], {"a": None, "b": 2.0}, [[None, 0.5]], "x")
     assert second.s is None and second.deep is None
+
+
+def test_terms_of_a_text_are_counted_in_its_row(spark):
+    """Each of these once shuffled every term of every text; a plan without an exchange can't."""
+    docs = spark.createDataFrame([(1, "Root leaf. Root root stem"), (2, None), (3, "leaf")], "d int, t string")
+    ranked = W.ranked_concepts(docs, "d", F.array(F.lit("Root leaf"), F.lit("Leaf"), F.lit("none")), F.col("t"))
+    plans = [W.important_terms(docs, "d", F.col("t")), ranked, N.important_sentences(docs, "d", F.col("t")), N.tfidf_cosine(docs, "d", "t", "t")]
+    assert not any("Exchange" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    got = {(r.d, r.concept): (round(r.importance, 6), r.place) for r in ranked.collect()}
+    assert got[1, "root leaf"] == (1.0, 1) and got[1, "leaf"] == (round(1 / 5.5, 6), 2) and got[1, "none"] == (0.1, 3)  # root 3, leaf 1, their run 1 at 1.5
+    assert {r.d: round(r.similarity, 9) for r in plans[3].collect()} == {1: 1.0, 2: 0.0, 3: 1.0}

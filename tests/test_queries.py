@@ -46,3 +46,17 @@ def test_filters_reach_the_scan(spark, small):
 
 def test_top_per_group_limits_before_the_shuffle(spark, small):
     assert "WindowGroupLimit" in plans.queries()["latest_message"](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_subjects_and_members_are_marked_without_a_shuffle_of_pairs(spark):
+    from gradus.operators import relational as R
+
+    subjects = spark.createDataFrame([(1, 10), (1, 10), (2, 20), (None, 30), (1, None)], "g int, s int")
+    members = spark.createDataFrame([(1, 5), (1, 6), (1, 6), (2, 7), (1, None), (None, 8)], "g int, m int")
+    other = spark.createDataFrame([(10, 6), (10, 6), (20, 5), (None, 5), (10, None)], "s int, m int")
+    x = R.marked_pairs(subjects, members, other, "g", "s", "m", "here")
+    got = sorted((tuple(r) for r in x.collect()), key=repr)
+    want = [(m, s, s == 10 and m == 6) for g, s in [(1, 10), (1, 10), (2, 20), (1, None)] for h, m in [(1, 5), (1, 6), (1, 6), (2, 7), (1, None)] if g == h]
+    assert got == sorted(want, key=repr)
+    marked = [line for line in x._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode(_members" in line or "array_contains" in line]
+    assert marked and "Join" not in "".join(marked)

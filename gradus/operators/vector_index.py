@@ -37,12 +37,14 @@ def fitted(sample: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
     """Unit centroids by spherical k-means. It begins with rows spread over the sample; an empty list takes the row that is farthest from its centroid."""
     centers = sample[np.linspace(0, len(sample) - 1, lists).astype(int)].copy()
     for _ in range(rounds):
-        sim = sample @ centers.T
-        own = sim.argmax(axis=1)
+        own, best = np.empty(len(sample), np.int64), np.empty(len(sample))
+        for i in range(0, len(sample), BLOCK):  # similarities of a block at a time: all of them are rows by lists
+            sim = sample[i : i + BLOCK] @ centers.T
+            own[i : i + BLOCK], best[i : i + BLOCK] = sim.argmax(axis=1), sim.max(axis=1)
         sums = np.zeros_like(centers)
         np.add.at(sums, own, sample)
         empty = np.flatnonzero(np.bincount(own, minlength=lists) == 0)
-        sums[empty] = sample[np.argsort(sim.max(axis=1), kind="stable")[: len(empty)]]
+        sums[empty] = sample[np.argsort(best, kind="stable")[: len(empty)]]
         centers = units(sums)
     return centers
 

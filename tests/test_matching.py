@@ -191,3 +191,17 @@ def test_blocks_of_vectors_of_several_lengths(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {(r.qid, r.vec_id): round(r.sim, 9) for r in vectors.nearest(df, F.col("vec_id") % 20 == 0, 40).collect()}
     assert got[0, 40] == 1.0 and got[20, 41] == round(20 / math.sqrt(401), 9) and got[40, 42] == 0.0 and (0, 43) not in got
+
+
+def test_fitting_holds_no_matrix_of_all_similarities():
+    import tracemalloc
+
+    import numpy as np
+    from gradus.operators import vector_index
+
+    sample = vector_index.units(np.random.default_rng(1).normal(size=(6000, 8)))
+    tracemalloc.start()
+    centers = vector_index.fitted(sample, 600, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert centers.shape == (600, 8) and most < 12e6  # all similarities would take 28.8 MB

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +20,112 @@ from .answers import segmented
 LIKE = 0.25
 
 
+#: From this length on difflib leaves out the frequent characters of a line. Lines with more pairs of places of equal characters than CELLS are left to difflib.
+POPULAR, CELLS = 200, 1 << 22
+
+
+def longest_common(masks: dict[str, int], n: int, other: str) -> int:
+    """The length of the longest common subsequence of `other` and a line of n characters, by the bits of each character's places in that line."""
+    whole = (1 << n) - 1
+    left = whole
+    for mask in map(masks.get, other):
+        if mask:
+            both = left & mask
+            left = (left + both) | (left - both)
+    return n - (left & whole).bit_count()
+
+
+def blocks(a: str, b: str) -> Callable[[int, int, int, int], tuple[int, int, int]]:
+    """What finds the longest block of equal characters within a part of both lines, as difflib does: its start in each and its size.
+
+    For each pair of places with equal characters, frequent ones left out, the run that ends there is counted once; a part's longest block is the longest run there, cut at the part's
+    start, and then reaches over frequent characters on both sides.
+    """
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    by_char = np.argsort(y, kind="stable")
+    chars = y[by_char]
+    popular = np.zeros(len(b), bool)
+    if len(b) >= POPULAR:
+        popular = np.searchsorted(chars, chars, "right") - np.searchsorted(chars, chars) > len(b) // 100 + 1
+        by_char, chars = by_char[~popular], chars[~popular]
+    begin = np.searchsorted(chars, x)
+    n = np.searchsorted(chars, x, "right") - begin
+    if n.sum() > CELLS:
+        return difflib.SequenceMatcher(None, a, b).find_longest_match
+    at = np.repeat(np.arange(len(a)), n)
+    to = by_char[np.arange(len(at)) + np.repeat(begin - np.cumsum(n) + n, n)]
+    reach = bool(popular.any())
+    order = np.argsort((at - to) * (len(a) + 1) + at)
+    i, j = at[order], to[order]
+    first = np.ones(len(i), bool)
+    first[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
+    places = np.arange(len(i))
+    runs = np.empty(len(i), int)
+    runs[order] = places - np.maximum.accumulate(np.where(first, places, 0)) + 1
+
+    def longest(lo: int, hi: int, left: int, right: int) -> tuple[int, int, int]:
+        begin, end = np.searchsorted(at, (lo, hi))
+        i, j, size = lo, left, 0
+        if begin < end:
+            js = to[begin:end]
+            own = np.minimum(np.minimum(runs[begin:end], at[begin:end] - (lo - 1)), js - (left - 1))
+            own[js >= right] = 0
+            best = int(own.argmax())
+            if own[best] > 0:
+                size = int(own[best])
+                i, j = int(at[begin + best]) + 1 - size, int(js[best]) + 1 - size
+        if reach:
+            while i > lo and j > left and a[i - 1] == b[j - 1]:
+                i, j, size = i - 1, j - 1, size + 1
+            while i + size < hi and j + size < right and a[i + size] == b[j + size]:
+                size += 1
+        return i, j, size
+
+    return longest
+
+
+def matching(a: str, b: str, enough: float) -> int:
+    """How many characters difflib matches between a and b, by longest blocks; as soon as `enough` are found, those found by then."""
+    found, parts, longest = 0, [(0, len(a), 0, len(b))] if a and b else [], blocks(a, b)
+    while parts and found < enough:
+        lo, hi, left, right = parts.pop()
+        i, j, size = longest(lo, hi, left, right)
+        if size:
+            found += size
+            parts += [p for p in ((lo, i, left, j), (i + size, hi, j + size, right)) if p[0] < p[1] and p[2] < p[3]]
+            parts.sort(key=lambda p: min(p[1] - p[0], p[3] - p[2]))
+    return found
+
+
+def nearest(own: str, lines: list[str]) -> str | None:
+    """The first of difflib.get_close_matches(own, lines, 1, LIKE), None if there is none.
+
+    Matched characters are a common subsequence, so its greatest length bounds the likeness: lines are compared from the greatest bound down, until no bound reaches the best.
+    """
+    if own in lines:
+        return own
+    masks: dict[str, int] = {}
+    for i, c in enumerate(own):
+        masks[c] = masks.get(c, 0) | 1 << i
+    share = lambda n, x: 2.0 * n / (len(own) + len(x))
+    bounds = sorted(((share(longest_common(masks, len(own), x), x), x) for x in set(lines)), reverse=True)
+    best: tuple[float, str] | None = None
+    for k, (bound, x) in enumerate(bounds):
+        if bound < LIKE or (best and bound < best[0]):
+            break
+        rest = max([LIKE, *[b for b, _ in bounds[k + 1 : k + 2]], *([best[0]] if best else [])])
+        found = (share(matching(x, own, rest * (len(own) + len(x)) / 2 + 1), x), x)
+        if found[0] >= LIKE and (best is None or found > best):
+            best = found
+    return best[1] if best else None
+
+
 def nearest_lines(own: Column, lines: Column) -> Column:
     """array<string>: for each of the first lines the one of the others that is most like it, null if none is like enough or the line is blank."""
 
     @F.pandas_udf("array<string>")
     def run(own: pd.Series, lines: pd.Series) -> pd.Series:
-        return pd.Series([[next(iter(difflib.get_close_matches(a, list(bs), 1, LIKE)), None) if a.strip() else None for a in xs] for xs, bs in zip(own, lines, strict=True)], dtype=object)
+        return pd.Series([[nearest(a, list(bs)) if a.strip() else None for a in xs] for xs, bs in zip(own, lines, strict=True)], dtype=object)
 
     return run(own, lines)
 
@@ -33,25 +135,25 @@ def fused(readings: DataFrame, page: str = "page", engine: str = "engine", text:
 
     One row for an engine and a page; a reading that is blank or null doesn't count, a page without another gives no row. Of equal quality, the first engine by name is the best.
     A word gets the sum of its engines' qualities, whatever its case; words that could be English go first, then the greatest sum, then the most letters, then the best engine's.
-    Its spelling is that with the most letters. A line that no other engine has stays as it is. A page's engines meet by rows: none of them is gathered in one task.
+    Its spelling is that with the most letters. A line that no other engine has stays as it is. Readings are shuffled by page, words are not: they are counted where their page is.
     """
     r = readings.select(F.col(page).alias("page"), F.col(engine).alias("engine"), F.split(strip(F.col(text)), r"\r?\n").alias("lines"), F.col(quality).cast("double").alias("weight")).filter(strip(F.col(text)) != "")
     by_page = Window.partitionBy("page").orderBy(F.desc_nulls_last("weight"), "engine")
-    ranked = r.withColumn("rank", F.row_number().over(by_page))
-    anchor = ranked.filter("rank = 1").select("page", F.col("lines").alias("own"))
-    others = ranked.filter("rank > 1").join(anchor, "page").select("page", "weight", "rank", nearest_lines("own", "lines").alias("lines"))
-    votes = ranked.filter("rank = 1").select("page", "weight", "rank", "lines").unionByName(others)
+    ranked = r.withColumns({"rank": F.row_number().over(by_page), "own": F.first("lines").over(by_page)})
+    votes = ranked.select("page", "weight", "rank", "own", nearest_lines("own", "lines").alias("near")).withColumn("lines", F.when(F.col("rank") == 1, F.col("own")).otherwise(F.col("near")))
+    votes = votes.repartition("page")  # where Python ran, Spark no longer knows that rows lie by page
     lines = votes.select("page", "weight", "rank", F.posexplode("lines").alias("line", "said")).filter("said IS NOT NULL")
-    said = lines.select("page", "line", "weight", "rank", F.posexplode(F.filter(F.split("said", r"\s+"), lambda w: w != "")).alias("place", "word"))
+    said = lines.select("*", F.posexplode_outer(F.filter(F.split("said", r"\s+"), lambda w: w != "")).alias("place", "word"))
     letters = F.regexp_count("word", F.lit(r"\p{L}"))
+    once = F.coalesce("place", F.lit(0)) == 0
     sums = said.groupBy("page", "line", "place", F.lower("word").alias("low")).agg(
-        F.round(F.sum("weight"), 9).alias("sum"), F.max(letters).alias("letters"), F.min("rank").alias("rank"), F.max_by("word", F.struct(letters, F.negative("rank"))).alias("word")
-    )
+        F.round(F.sum("weight"), 9).alias("sum"), F.max(letters).alias("letters"), F.min("rank").alias("rank"), F.max_by("word", F.struct(letters, F.negative("rank"))).alias("word"),
+        F.count_if(once).alias("n"), F.max(F.when(once & (F.col("rank") == 1), F.col("said"))).alias("own"),
+    )
     order = F.struct(F.coalesce(valid_word(F.col("low")), F.lit(False)), "sum", "letters", F.negative("rank"))
-    words = sums.groupBy("page", "line", "place").agg(F.max_by("word", order).alias("word"))
-    voted = words.groupBy("page", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda w: w["word"]), " ").alias("voted"))
-    count = lines.groupBy("page", "line").agg(F.count("*").alias("n"))
-    whole = anchor.select("page", F.posexplode("own").alias("line", "own")).join(count, ["page", "line"], "left").join(voted, ["page", "line"], "left")
+    words = sums.groupBy("page", "line", "place").agg(F.max_by("word", order).alias("word"), F.sum("n").alias("n"), F.max("own").alias("own"))
+    listed = F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("place", "word"))))
+    whole = words.groupBy("page", "line").agg(F.array_join(F.transform(listed, lambda w: w["word"]), " ").alias("voted"), F.sum("n").alias("n"), F.max("own").alias("own"))
     line = F.when(strip(F.col("own")) == "", "").when(F.col("n") > 1, F.col("voted")).otherwise(F.col("own"))
     out = whole.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("line", line.alias("said")))).alias("ls"))
     return out.select(F.col("page").alias(page), strip(F.array_join(F.transform("ls", lambda x: x["said"]), "\n")).alias(text))

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import re
 
 import pytest
 from gradus.operators import correction, fusion
@@ -100,6 +101,33 @@ def test_fusion_against_brute_force(spark):
     assert got == {p: t for p, t in want.items() if t is not None}
 
 
+def test_nearest_lines_are_those_of_difflib(monkeypatch):
+    rng = random.Random(11)
+    compared = []
+    for case in range(400):
+        letters = "ab c" if case % 2 else "etaoin shrdlu\U0001f600\ud800"
+        lines = ["".join(rng.choices(letters, k=rng.choice([0, 1, 5, 40, 190, 230, 500]))) for _ in range(rng.randrange(0, 5))]
+        own = "".join(rng.choice("01x") if rng.random() < 0.2 else c for c in rng.choice(lines)) if lines and case % 3 else "".join(rng.choices(letters, k=30))
+        assert fusion.nearest(own, lines) == next(iter(difflib.get_close_matches(own, lines, 1, fusion.LIKE)), None), (own, lines)
+        for x in lines:
+            assert fusion.matching(x, own, float("inf")) == sum(m.size for m in difflib.SequenceMatcher(None, x, own).get_matching_blocks()), (x, own)
+    own = "the quick brown fox jumps over the lazy dog and runs away from it all"
+    true = fusion.matching
+    monkeypatch.setattr(fusion, "matching", lambda a, b, n: compared.append(a) or true(a, b, n))
+    near = own.replace("o", "0")
+    assert fusion.nearest(own, [w[::-1] for w in own.split()] + [near]) == near and compared == [near]
+
+
+def test_fusion_shuffles_no_words(spark):
+    rows = spark.createDataFrame([(1, "a", "One line\n\nand more", 0.9), (1, "b", "0ne line\nand m0re", 0.8)], "page long, engine string, text string, quality double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = fusion.fused(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning(page") == plan.count("Exchange ") == 2 and not re.search(r"Exchange hashpartitioning\(page[^)]*(line|place)", plan)
+
+
 def test_question_regions(spark):
     rows = [(1, 0, "before"), (1, 1, "Q1. what"), (1, 2, "(a) this"), (1, 3, "3) more"), (1, 4, "Question 1: again"), (1, 5, None), (1, 6, "(2) and"), (1, 7, "Ans 3: so"), (2, 0, "no number"), (2, 1, "ii) part"), (3, 0, None), (4, 0, "Q999 too great"), (4, 1, "7: seven")]
     got = fusion.question_regions(spark.createDataFrame(rows, "page long, place int, text string"), "page", "place").collect()

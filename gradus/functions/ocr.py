@@ -2,28 +2,53 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .similarity import ratio
-from .text import let, strip, words
+from .text import let, strip
 
 
 def bigram_score(text: Column) -> Column:
     """Mean frequency of the letter pairs, by the greatest one; 0 for fewer than four letters and spaces, or no pair."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z ]", "")
-    runs = F.filter(F.split(plain, " "), lambda w: F.char_length(w) >= 2)
-    table = F.create_map(*[F.lit(x) for pair in L.BIGRAMS.items() for x in pair])
-    pairs = F.flatten(F.transform(runs, lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))))
-    total = lambda ps: F.aggregate(ps, F.lit(0.0), lambda s, p: s + F.coalesce(F.try_element_at(table, p), F.lit(0.0)))
-    mean = let(pairs, lambda ps: ratio(total(ps), F.size(ps)))
-    return F.when(F.char_length(plain) < 4, 0.0).otherwise(F.least(F.lit(1.0), mean / max(L.BIGRAMS.values())))
+    return F.least(F.lit(1.0), pair_mean(plain) / max(L.BIGRAMS.values()))
+
+
+def pair_mean(plain: Column) -> Column:
+    """Mean frequency of the pairs of letters in texts of a-z and spaces; 0 for fewer than four characters, or no pair. Frequencies are summed as whole hundredths."""
+    value = np.zeros(1 << 16, np.int64)
+    for pair, n in L.BIGRAMS.items():
+        value[ord(pair[0]) << 8 | ord(pair[1])] = round(n * 100)
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.large_string())
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        chars = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].astype(np.uint16) if data and ends[-1] > ends[0] else np.zeros(0, np.uint16)
+        ends = ends - ends[0]
+        sums, counts = np.zeros(len(chars) + 1, np.int64), np.zeros(len(chars) + 1, np.int64)
+        np.cumsum(value[chars[:-1] << 8 | chars[1:]], out=sums[2:])
+        np.cumsum((chars[:-1] != 32) & (chars[1:] != 32), out=counts[2:])
+        lo, hi = np.minimum(ends[:-1] + 1, ends[1:]), ends[1:]
+        n = counts[hi] - counts[lo]
+        return pa.array(np.where((n > 0) & (np.diff(ends) >= 4), (sums[hi] - sums[lo]) / 100 / np.maximum(n, 1), 0.0))
+
+    return run(plain)
 
 
 def char_certainty(text: Column) -> Column:
     """Share of letters, digits and plain punctuation."""
-    return ratio(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N} .,;:!?'\"()\n-]")), F.char_length(text))
+    odd = F.char_length(F.regexp_replace(text, r"[\p{L}\p{N} .,;:!?'\"()\n-]+", ""))
+    return ratio(F.char_length(text) - odd, F.char_length(text))
 
 
 def valid_word(word: Column) -> Column:
@@ -32,41 +57,45 @@ def valid_word(word: Column) -> Column:
 
 
 def valid_letters(w: Column) -> Column:
-    pairs = "(" + "|".join(L.BIGRAMS) + ")"
+    pairs = "|".join(f"{a}[{''.join(p[1] for p in L.BIGRAMS if p[0] == a)}]" for a in dict.fromkeys(p[0] for p in L.BIGRAMS))
     fair = ~((F.char_length(w) > 3) & ~w.rlike("[aeiouy]")) & ~w.rlike("^[^aeiouy]{4}") & ~w.rlike(r"(.)\1\1") & ((F.char_length(w) < 4) | w.rlike(pairs))
     return F.when(F.char_length(w) < 2, w.isin("a", "i")).otherwise(fair)
 
 
 def valid_ratio(text: Column) -> Column:
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return let(F.regexp_extract_all(low, F.lit("([a-z']+)"), F.lit(1)), lambda found: ratio(F.size(F.filter(found, lambda w: valid_letters(F.replace(w, F.lit("'"), F.lit(""))))), F.size(found)))
+    return let(F.filter(F.split(low, "[^a-z']+"), lambda w: w != ""), lambda found: ratio(F.size(F.filter(found, lambda w: valid_letters(F.replace(w, F.lit("'"), F.lit(""))))), F.size(found)))
 
 
-def most_common(tokens: Column) -> Column:
-    """How often the most frequent token occurs: the longest run of equal ones when sorted."""
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+WORD = re.compile(r"[^ \t-\r]+")
 
-    def step(acc: Column, t: Column) -> Column:
-        run = F.when(acc["last"] == t, acc["run"] + 1).otherwise(1)
-        return F.struct(t.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(F.array_sort(tokens), start, step, lambda acc: acc["best"])
+def repeats(text: Column) -> Column:
+    """(n, top, pairs, top_pair) of a text's words in lower case: how many there are, how often the most frequent one occurs, how many different neighbours, and how often the most frequent two."""
 
+    @F.arrow_udf("struct<n:int,top:int,pairs:int,top_pair:int>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            own = WORD.findall(t.as_py() or "")
+            once, twice = Counter(own), Counter(pairwise(own))
+            out.append({"n": len(own), "top": max(once.values(), default=0), "pairs": len(twice), "top_pair": max(twice.values(), default=0)})
+        return pa.array(out, pa.struct([(k, pa.int32()) for k in ("n", "top", "pairs", "top_pair")]))
 
-def repetition(text: Column) -> Column:
+    return run(F.lower(text))
 
-    def penalty(ws: Column) -> Column:
-        n = F.size(ws)
-        before = F.greatest(n - 1, F.lit(0))
-        return let(F.zip_with(F.slice(ws, 1, before), F.slice(ws, 2, before), lambda a, b: F.concat_ws(" ", a, b)), lambda pairs: parts(ws, n, pairs))
 
-    def parts(ws: Column, n: Column, pairs: Column) -> Column:
-        word = F.greatest(F.lit(0.0), (ratio(most_common(ws), n) - 0.15) * 2)
-        pair = F.least(F.lit(1.0), F.greatest(F.lit(0.0), most_common(pairs) - F.lit(2.0)) / 4)
-        unique = F.greatest(F.lit(0.0), 1 - ratio(F.size(F.array_distinct(pairs)), F.size(pairs)) * 1.5)
-        return F.when(n < 6, 0.0).otherwise(F.least(F.lit(1.0), (word + pair + unique) / 3))
+def repetition(text: Column) -> Column:
+    """From 0 to 1: how frequent the most frequent word and pair of neighbours are, and how few pairs differ; 0 for fewer than six words."""
+    return repetition_of(repeats(text))
+
 
-    return let(words(text), penalty)
+def repetition_of(found: Column) -> Column:
+    n = found["n"]
+    word = F.greatest(F.lit(0.0), (ratio(found["top"], n) - 0.15) * 2)
+    pair = F.least(F.lit(1.0), F.greatest(F.lit(0.0), found["top_pair"] - F.lit(2.0)) / 4)
+    unique = F.greatest(F.lit(0.0), 1 - ratio(found["pairs"], n - 1) * 1.5)
+    return F.when(n < 6, 0.0).otherwise(F.least(F.lit(1.0), (word + pair + unique) / 3))
 
 
 def quality(text: Column, confidence: Column, expected: int = 500) -> Column:

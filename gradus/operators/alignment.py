@@ -35,12 +35,10 @@ def role(sentence: Column) -> Column:
     return let(edged(sentence), kind)
 
 
-def importance(sentence: Column, place: Column, count: Column, keywords: Column | None = None, salience: Column | float = 1.0, density: Column | float = 0.5) -> Column:
-    """From 0.3 to 2: role, salience, place in the text, density of names and keywords. Salience and density count as average where they aren't given; important_sentences() gives them."""
-    weight = F.lit(1.0)
-    kind = role(sentence)
-    for name, value in L.ROLE_WEIGHTS.items():
-        weight = F.when(kind == name, value).otherwise(weight)
+def importance(sentence: Column, place: Column, count: Column, keywords: Column | None = None, salience: Column | float = 1.0, density: Column | float = 0.5, kind: Column | None = None) -> Column:
+    """From 0.3 to 2: role, salience, place in the text, density of names and keywords. Salience and density count as average where they aren't given; important_sentences() gives them. kind: the sentence's role, where it is known."""
+    weigh = lambda kind: F.coalesce(*[F.when(kind == name, value) for name, value in L.ROLE_WEIGHTS.items()], F.lit(1.0))
+    weight = let(role(sentence) if kind is None else kind, weigh)
     position = F.when(place == 0, 1.4).when(place == count - 1, 1.2).when(place <= 2, 1.1).otherwise(1.0)
     boost = F.lit(0.0) if keywords is None else F.least(F.size(F.array_intersect(words(sentence), keywords)) * 0.2, F.lit(1.0))
     return F.greatest(F.lit(0.3), F.least(F.lit(2.0), 0.35 * weight + 0.25 * salience + 0.15 * position + 0.15 * density + 0.10 * boost))
@@ -52,7 +50,7 @@ def important_sentences(texts: DataFrame, key: str, text: Column) -> DataFrame:
     x = with_salience(x.withColumn("_ts", F.transform("ss", lambda s: terms(s))), "salience", "_ts")
     x = x.select(key, F.size("ss").alias("_n"), F.posexplode(F.arrays_zip("ss", "salience")).alias("place", "_z"))
     x = x.select(key, "_n", "place", F.col("_z.ss").alias("sentence"), "_z.salience").withColumns({"role": role(F.col("sentence")), "density": entity_density(F.col("sentence"))})
-    value = importance(F.col("sentence"), F.col("place"), F.col("_n"), salience=F.col("salience"), density=F.col("density"))
+    value = importance(F.col("sentence"), F.col("place"), F.col("_n"), salience=F.col("salience"), density=F.col("density"), kind=F.col("role"))
     return x.select(key, "place", "sentence", "role", "salience", "density", value.alias("importance"))
 
 

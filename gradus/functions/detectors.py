@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .similarity import overlap_first, overlap_smaller, ratio
-from .text import content_words, edged, hits, let, paragraphs, sentences, strip, type_token_ratio, without_stop_words, words
+from .text import content_words, edged, hits, let, paragraphs, sentences, strip, total_hits, type_token_ratio, without_stop_words, words
 
 
 def steps(value: Column, *cuts: tuple[float, float]) -> Column:
@@ -251,35 +251,69 @@ def gibberish(text: Column, entropy: Column, vocabulary: list[str] | None = None
 
 def gibberish_of(text: Column, ws: Column, entropy: Column, vocabulary: list[str] | None = None) -> Column:
     known = vocabulary or L.STOP_WORDS
-    letters = F.filter(ws, lambda w: w.rlike(r"^\p{L}+$"))
+    parts = F.struct(
+        F.filter(ws, lambda w: w.rlike(r"^\p{L}+$")).alias("letters"),
+        F.regexp_replace(F.lower(text), "[^a-z]+", "").alias("plain"),
+        ratio(F.char_length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", "")), F.char_length(text)).alias("odd"),
+        type_token_ratio(ws).alias("variety"),
+        F.size(ws).alias("n"),
+        entropy.alias("entropy"),
+    )
+    penalty = let(parts, lambda x: let(_vowels(x["plain"]), lambda vowels: _strange(x, vowels, known)))
+    return F.when(F.char_length(F.trim(text)) < 15, 0.0).otherwise(penalty)
+
+
+def _vowels(plain: Column) -> Column:
+    left = plain
+    for v in "aeiou":
+        left = F.replace(left, F.lit(v), F.lit(""))
+    return F.char_length(plain) - F.char_length(left)
+
+
+def _strange(x: Column, vowels: Column, known: list[str]) -> Column:
+    """The penalty by letters (words of letters alone), plain (the letters a-z), odd, variety, n (words) and entropy."""
+    letters, plain, odd, entropy = x["letters"], x["plain"], x["odd"], x["entropy"]
     real = ratio(F.size(F.filter(letters, lambda w: w.isin(known))), F.size(letters))
-    plain = F.regexp_replace(F.lower(text), "[^a-z]", "")
-    vowels = F.regexp_count(plain, F.lit("[aeiou]"))
     balance = ratio(vowels, F.greatest(F.char_length(plain) - vowels, F.lit(1)))
-    odd = ratio(F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]")), F.char_length(text))
     penalty = F.when(entropy > 4.8, F.least((entropy - 4.8) * 0.15, F.lit(0.10))).otherwise(0.0)
-    penalty = penalty + F.when((F.size(letters) >= 8) & (real < 0.40), F.least((0.40 - real) * 0.5, F.lit(0.12))).otherwise(0.0)
-    penalty = penalty + F.when((F.char_length(plain) >= 20) & ((balance < 0.20) | (balance > 1.5)), 0.08).otherwise(0.0)
+    penalty = penalty + let(real, lambda real: F.when((F.size(letters) >= 8) & (real < 0.40), F.least((0.40 - real) * 0.5, F.lit(0.12))).otherwise(0.0))
+    penalty = penalty + let(balance, lambda balance: F.when((F.char_length(plain) >= 20) & ((balance < 0.20) | (balance > 1.5)), 0.08).otherwise(0.0))
     penalty = penalty + F.when(odd > 0.15, F.least(odd * 0.3, F.lit(0.08))).otherwise(0.0)
-    penalty = penalty + F.when(F.size(ws).between(5, 50) & (type_token_ratio(ws) < 0.30), 0.06).otherwise(0.0)
-    return F.when(F.char_length(F.trim(text)) < 15, 0.0).otherwise(F.least(penalty, F.lit(0.30)))
+    penalty = penalty + F.when(x["n"].between(5, 50) & (x["variety"] < 0.30), 0.06).otherwise(0.0)
+    return F.least(penalty, F.lit(0.30))
+
+
+#: Characters that are counted first, as most of a text is made of them; which ones they are changes no result.
+OFTEN = " etaoinshrdlcumwfgypbvk.,"
 
 
 def entropy(text: Column) -> Column:
     """Entropy in bits of a text's characters, in lower case; 0 for none."""
 
+    def without(acc: Column, c: Column) -> Column:
+        """What is left without c, and the sum with its count; the character at hand is replaced in what is left alone, so text shrinks at every step."""
+        return let(F.replace(acc["left"], c, F.lit("")), lambda left: F.struct(left.alias("left"), (acc["sum"] + let((F.char_length(acc["left"]) - F.char_length(left)).cast("double"), lambda k: F.when(k > 0, k * F.log2(k)).otherwise(0.0))).alias("sum")))
+
     def bits(t: Column) -> Column:
         n = F.char_length(t)
-        counts = F.transform(F.filter(F.array_distinct(F.split(t, "")), lambda c: c != ""), lambda c: (n - F.char_length(F.replace(t, c, F.lit("")))).cast("double"))
-        return F.coalesce(F.log2(n) - F.try_divide(F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * F.log2(k)), n), F.lit(0.0))
+        often = F.aggregate(F.array(*[F.lit(c) for c in OFTEN]), F.struct(t.alias("left"), F.lit(0.0).alias("sum")), without)
+        rest = lambda acc: F.aggregate(F.filter(F.array_distinct(F.split(acc["left"], "")), lambda c: c != ""), acc, without)["sum"]
+        return F.coalesce(F.log2(n) - F.try_divide(let(often, rest), n), F.lit(0.0))
 
     return let(F.lower(F.coalesce(text, F.lit(""))), bits)
 
 
 def padding(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
-    sents = F.transform(sentences(text, 3), words)
-    return padding_of(sents, F.transform(sents, without_stop_words), hits(edged(text), L.FILLERS), hits(edged(text), L.HEDGES))
+    of = lambda sents, cue: padding_of(sents, F.transform(sents, without_stop_words), hits(cue, L.FILLERS), hits(cue, L.HEDGES))
+    return let(F.transform(sentences(text, 3), words), lambda sents: let(edged(text), lambda cue: of(sents, cue)))
+
+
+def padded(df: DataFrame, text: Column) -> DataFrame:
+    """df with fillers, hedges and the penalty for them (padding). What is needed several times is a column of its own, so it is computed once."""
+    x = df.withColumns({"_cue": edged(text), "_sw": F.transform(sentences(text, 3), words)})
+    x = x.withColumns({"fillers": hits(F.col("_cue"), L.FILLERS), "hedges": hits(F.col("_cue"), L.HEDGES), "_cs": F.transform("_sw", without_stop_words)})
+    return x.withColumn("padding", padding_of(F.col("_sw"), F.col("_cs"), F.coalesce("fillers", F.lit(0)), F.coalesce("hedges", F.lit(0)))).drop("_cue", "_sw", "_cs")
 
 
 def padding_of(sents: Column, sets: Column, fillers: Column, hedges: Column) -> Column:
@@ -319,7 +353,7 @@ def gamed(df: DataFrame, student: Column, model: Column, keyword: Column, semant
 
 def cue_counts(text: Column, cues: list[list[str]]) -> Column:
     """How many cues of each group an edged() text has."""
-    return F.array(*[sum((hits(text, p) for p in group[1:]), hits(text, group[0])) for group in cues])
+    return let(F.lower(text), lambda low: let(text, lambda cue: F.array(*[total_hits(cue, low, group) for group in cues])))
 
 
 def level(text: Column, cues: list[list[str]]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .similarity import ratio
-from .text import edged, hits, let, strip, words
+from .text import edged, hits, let, strip, total_hits, words
 
 
 def clipped(x: Column) -> Column:
@@ -85,9 +85,9 @@ def heuristic_structure(text: Column) -> Column:
 def examples(student: Column, model: Column, diagram: Column | None = None) -> Column:
     """Examples and applications beside the model's, numbers and names, and diagrams; 0 for fewer than ten characters."""
     student, model = F.coalesce(student, F.lit("")), F.coalesce(model, F.lit(""))
-    count = lambda text, cues: sum((hits(text, p) for p in cues[1:]), hits(text, cues[0]))
-    own, other = count(student, L.EXAMPLE_CUES), count(model, L.EXAMPLE_CUES)
-    given = F.when(own > 0, F.when(other > 0, 0.40 * F.least(own / other, F.lit(1.0))).otherwise(0.40)).when(other == 0, 0.30).otherwise(0.0)
+    count = lambda text, cues: let(F.lower(text), lambda low: total_hits(text, low, cues))
+    share = lambda own, other: F.when(own > 0, F.when(other > 0, 0.40 * F.least(own / other, F.lit(1.0))).otherwise(0.40)).when(other == 0, 0.30).otherwise(0.0)
+    given = let(count(student, L.EXAMPLE_CUES), lambda own: let(count(model, L.EXAMPLE_CUES), lambda other: share(own, other)))
     applied = 0.25 * F.least(count(student, L.APPLICATION_CUES) / F.greatest(count(model, L.APPLICATION_CUES), F.lit(1)), F.lit(1.0))
     specific = let(F.regexp_count(student, F.lit(L.QUANTITY)) + F.regexp_count(edged(student), F.lit(L.INNER_NAME)), lambda k: F.when(k >= 3, 0.15).when(k >= 1, 0.08).otherwise(0.0))
     drawn = F.when(hits(student, L.DIAGRAM_CUES) > 0, 0.08).otherwise(0.0)

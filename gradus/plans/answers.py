@@ -141,6 +141,6 @@ _COUNTS = ", ".join(f"({' + '.join(hits('text', p) for p in group)})" for group
 
 @query(f"""SELECT doc_id, level, [{', '.join(q(n) for n in L.LEVELS)}][level] AS name, cs[level] AS hits, round({X.div('cs[level]', 'list_sum(cs)')}, 3) AS confidence FROM (SELECT doc_id, [{_COUNTS}] AS cs FROM documents), (SELECT unnest(range(1, 7)) AS level)""")
 def answer_levels(spark, d):
-    counts = D.cue_counts(F.col("cue"), L.ANSWER_CUES)
-    x = answers(spark, d).withColumn("cue", T.edged(F.col("student"))).select("doc_id", F.explode(Q.level_breakdown(counts, L.LEVELS)).alias("l"))
+    x = answers(spark, d).withColumn("cue", T.edged(F.col("student"))).withColumn("counts", D.cue_counts(F.col("cue"), L.ANSWER_CUES))
+    x = x.select("doc_id", F.explode(Q.level_breakdown(F.col("counts"), L.LEVELS)).alias("l"))
     return x.select("doc_id", "l.*")

@@ -2,6 +2,9 @@
 
 import itertools
 import random
+import re
+from collections import Counter
+from math import log2
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ from gradus.functions import detectors as D
 from gradus.functions import lexicons as L
 from gradus.functions import feedback, ocr, scoring, similarity, text
 from gradus.operators import alignment, answers, spelling
+from gradus.plans import answers as answer_plans
 from gradus.plans import text as text_plans
 from pyspark.sql import functions as F
 
@@ -384,3 +388,54 @@ def test_names_inside_sentences_end_at_letters_beyond_ascii(spark):
     assert x.select(scoring.examples(F.col("s"), F.col("m")).alias("v")).first().v == pytest.approx(0.30 + 0.08)
     y = spark.createDataFrame([("Well. so it is with Bonnèt here too.", "none")], "s string, m string")
     assert y.select(scoring.examples(F.col("s"), F.col("m")).alias("v")).first().v == pytest.approx(0.30 + 0.08)
+
+
+def test_ocr_scores_against_loops(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("the ssoo\u00e9'A1\n ", k=n)) for n in (0, 1, 3, 4, 9, 80, 400) for _ in range(6)] + [None, "    ", "a b c d", "sss", "THE\x1cthe the the the the the"]
+    got = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3).select("id", ocr.bigram_score(F.col("t")).alias("b"), ocr.char_certainty(F.col("t")).alias("c"), ocr.repetition(F.col("t")).alias("r")).collect()
+    for r in got:
+        t = texts[r.id] or ""
+        plain = "".join(c for c in t.lower() if c in "abcdefghijklmnopqrstuvwxyz ")
+        pairs = [w[i : i + 2] for w in plain.split(" ") for i in range(len(w) - 1)]
+        mean = sum(L.BIGRAMS.get(p, 0) for p in pairs) / len(pairs) if pairs and len(plain) >= 4 else 0.0
+        assert r.b == pytest.approx(min(1.0, mean / 3.56)), t
+        assert r.c == pytest.approx(sum(c.isalpha() or c.isdigit() or c in " .,;:!?'\"()\n-" for c in t) / len(t) if t else 0.0), t
+        ws = [w for w in re.split("[ \\t-\\r]+", t.lower()) if w]
+        grams = list(zip(ws, ws[1:], strict=False))
+        want = 0.0
+        if len(ws) >= 6:
+            top, top2 = max(Counter(ws).values()), max(Counter(grams).values())
+            want = min(1.0, (max(0.0, (top / len(ws) - 0.15) * 2) + min(1.0, max(0.0, top2 - 2) / 4) + max(0.0, 1 - len(set(grams)) / len(grams) * 1.5)) / 3)
+        assert r.r == pytest.approx(want), t
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_texts_are_cut_into_is_computed_once(spark, small):
+    assert optimized(text_plans.ocr_quality(spark, small)).count("array_sort") == 0
+    assert optimized(text_plans.padding_penalty(spark, small)).count("(?<=[.!?])") == 1
+    assert optimized(text_plans.sentence_roles(spark, small)).count("denotes") == 1
+    assert optimized(answer_plans.answer_levels(spark, small)).count("abbreviation\\b") == 1
+    assert optimized(text_plans.gibberish_penalty(spark, small)).count("[^a-z]") == 1
+
+
+def test_cues_that_need_letters(spark):
+    cues = [p for group in [*L.ANSWER_CUES, *L.QUESTION_CUES, L.EXAMPLE_CUES, L.APPLICATION_CUES] for p in group]
+    plain = lambda p: re.sub(r"\\s[+*]", " ", re.sub(r"\\b|\\w\*|\\d\?|\\|\(\?:([^|()]*)[^()]*\)\??|[?*]", lambda m: m[1] or "", p)).replace("[ei]", "e")
+    rng = random.Random(2)
+    texts = [None, ""] + [" ".join(rng.choices([plain(p) for p in cues] + ["First THEN", "E.G. i.e", "\u212anown as"], k=12)) for _ in range(40)]
+    x = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", F.lower("t"))
+    got = x.select("t", text.total_hits(F.col("t"), F.col("low"), cues).alias("n")).collect()
+    assert all(r.n == (None if r.t is None else sum(len(re.findall("(?ia)" + p, r.t)) for p in cues)) for r in got)
+    assert text.needle(r"\bis\s+defined\s+as\b") == "defined" and text.needle(L.FILLERS) == ""
+
+
+def test_entropy_of_frequent_and_rare_characters(spark):
+    texts = ["the end, the end.", "xx\u00e9\u00e9\u00e9 QQ", "\U0001f600a\U0001f600", "%_$ .", "\n\n"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", D.entropy(F.col("t")).alias("e")).collect()
+    for r in got:
+        n = Counter(r.t.lower()).values()
+        assert r.e == pytest.approx(-sum(k / sum(n) * log2(k / sum(n)) for k in n), abs=1e-12)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions import lexicons as L
@@ -44,9 +44,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def sentence_sets(pairs: DataFrame, side: str, place: str) -> DataFrame:
-    """(doc_id, place, words): the sentences of one side of answers and their content words."""
-    return pairs.select("doc_id", F.posexplode(T.sentences(F.col(side), 2)).alias(place, "s")).select("doc_id", place, T.content_words(F.col("s")).alias("words"))
+def sentence_sets(side: str) -> Column:
+    """The content words of each sentence of one side of answers."""
+    return F.transform(T.sentences(F.col(side), 2), T.content_words)
 
 
 _SETS = f"""s AS (SELECT doc_id, unnest(range(len(ss))) AS student, unnest(list_transform(ss, lambda t: {content('t')})) AS sw FROM (SELECT doc_id, {sents('student', 2)} AS ss FROM ({PAIRS}))),
@@ -57,8 +57,9 @@ _SETS = f"""s AS (SELECT doc_id, unnest(range(len(ss))) AS student, unnest(list_
 def matrix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Model sentences of the answers, and their pairs with the student's from 0.40 up."""
     x = answers(spark, d)
-    models = sentence_sets(x, "model", "model")
-    return models, J.overlap_join(models, sentence_sets(x, "student", "student"), ["doc_id"], "model", "student")
+    models = x.select("doc_id", F.posexplode(T.sentences(F.col("model"), 2)).alias("model", "s")).select("doc_id", "model")
+    sets = x.select("doc_id", sentence_sets("model").alias("models"), sentence_sets("student").alias("students"))
+    return models, J.overlap_within(sets, ["doc_id"], "models", "students", "model", "student")
 
 
 @query(over_answers(f"WITH {_SETS} SELECT doc_id, model, student, shared, round(similarity, 6) AS similarity FROM x"))

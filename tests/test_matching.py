@@ -40,6 +40,25 @@ def test_overlap_join_makes_no_pair_without_a_rare_word(spark):
     assert first.isEmpty()
 
 
+def test_overlap_within_rows_is_the_join_without_a_shuffle(spark):
+    rng = random.Random(3)
+    pick = lambda: [[f"w{int(rng.expovariate(0.3))}" for _ in range(rng.randrange(7))] for _ in range(rng.randrange(6))]
+    rows = [(k, pick(), pick()) for k in range(60)] + [(100, None, [["a"]]), (101, [["a"]], None), (102, [], []), (103, [["a", "a"], ["b"]], [["a"], None, ["a", "c", "c"]])]
+    df = spark.createDataFrame(rows, "k int, ls array<array<string>>, rs array<array<string>>")
+    side = lambda sets, name: df.select("k", F.posexplode(sets).alias(name, "words"))
+    for threshold in (0.4, 0.75, 1.0):
+        found = set_join.overlap_within(df, ["k"], "ls", "rs", "a", "b", threshold)
+        want = set_join.overlap_join(side("ls", "a"), side("rs", "b"), ["k"], "a", "b", threshold=threshold)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+        assert {(r.a, r.b): (r.shared, r.similarity) for r in found.filter("k = 103").collect()} == {(0, 0): (1, 1.0), (0, 2): (1, 1.0)}
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentences_of_a_matrix_are_not_shuffled(spark, small):
+    plan = matching.sentence_matrix(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
 def test_soft_alignment_lists(spark):
     models = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "k int, m int")
     matches = spark.createDataFrame([(1, 0, 3, 0.5), (1, 0, 1, 0.5), (1, 0, 2, 0.9)], "k int, m int, s int, similarity double")

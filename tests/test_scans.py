@@ -5,8 +5,10 @@ import random
 import re
 
 import pytest
-from gradus.operators import correction, fusion
+from gradus.operators import correction, fusion, spelling
 from gradus.operators.answers import segmented
+from gradus.plans import scans, text
+from gradus.sources.scratch import written
 from pyspark.sql import functions as F
 
 WORDS = {"the": 90, "system": 30, "that": 50, "thot": 1, "modern": 9, "learning": 8, "operation": 6, "is": 80, "structures": 27, "life": 9, "good": 20}
@@ -49,6 +51,18 @@ def test_layers(spark, known):
     assert correction.corrected(spark.createDataFrame([], "id long, text string"), known, "id").count() == 0
 
 
+def test_the_dictionary_is_counted_once(spark, small):
+    for found in (scans.corrected_scans(spark, small), text.word_corrections(spark, small)):
+        assert not [f for f in found.inputFiles() if "documents.parquet" in f]
+
+
+def test_deletions_of_a_small_dictionary_are_not_broadcast(spark, known):
+    """Their number is a hundred times that of the words, which a file's size doesn't tell."""
+    found = spelling.candidates(spark.createDataFrame([("systm",), ("thot",)], "word string"), written(known, "dictionary"))
+    assert {(r.word, r.candidate) for r in found.collect()} >= {("systm", "system"), ("thot", "that")}
+    assert "SortMergeJoin [key" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def voted(readings):
     """Fusion of (engine, text, quality), by loops."""
     from gradus.functions.lexicons import BIGRAMS

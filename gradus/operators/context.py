@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,18 +10,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradus.sources.scratch import written
+
 from . import spelling
 
 #: What the logarithm of a word's frequency, the context, and each edit weigh, and by what the logarithm is divided.
 FREQUENCY, CONTEXT, EDIT, SCALE = 0.4, 0.6, 0.005, 12.0
 
 
-def pairs_of(texts: DataFrame, text: Column) -> DataFrame:
-    """(left, right, n): how often two words stand next to each other in a line, in lower case."""
+def neighbours(texts: DataFrame, text: Column) -> DataFrame:
+    """(left, right): each two words that stand next to each other in a line, in lower case."""
     words = F.regexp_extract_all(F.lower(F.col("line")), F.lit(r"([\p{L}']+)"), F.lit(1))
     lines = texts.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).select(words.alias("ws"))
-    both = lines.select(F.explode(F.zip_with(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("left"), b.alias("right")))).alias("p"))
-    return both.groupBy("p.left", "p.right").agg(F.count("*").alias("n"))
+    n = F.greatest(F.size("ws") - 1, F.lit(0))
+    return lines.select(F.inline(F.arrays_zip(F.slice("ws", 1, n).alias("left"), F.slice("ws", 2, n).alias("right"))).alias("left", "right"))
+
+
+def pairs_of(texts: DataFrame, text: Column) -> DataFrame:
+    """(left, right, n): how often two words stand next to each other in a line, in lower case."""
+    return neighbours(texts, text).groupBy("left", "right").agg(F.count("*").alias("n"))
+
+
+#: Groups by hash that pairs of other words are counted in, and how many of the fullest are looked into first.
+GROUPS, FULLEST = 65536, 64
+
+
+def pairs_among(texts: DataFrame, text: Column, words: DataFrame) -> DataFrame:
+    """(left, right, n): pairs_of() that are of these words alone, and a most frequent one of all where that is of others.
+
+    words: (word). Most pairs of a large text are of other words and nearly each is distinct, so they are counted by groups, in the same pass. A group bounds the pairs in it: if none is fuller than the most frequent pair
+    found, that is the most frequent of all; if some are, their pairs are counted too. With frequent words among those asked for, one pass is nearly always enough.
+    """
+    asked = written(words.select("word").distinct(), "asked")
+    mark = lambda side: asked.select(F.col("word").alias(side), F.lit(True).alias(f"_{side}"))
+    x = neighbours(texts, text).join(mark("left"), "left", "left").join(mark("right"), "right", "left")
+    hit = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    x = x.select(F.when(hit, F.col("left")).alias("left"), F.when(hit, F.col("right")).alias("right"), F.when(~hit, F.struct("left", "right")).alias("other"))
+    group = F.when(F.col("other").isNotNull(), F.pmod(F.xxhash64("other.left", "other.right"), F.lit(GROUPS)))
+    counted = written(x.groupBy("left", "right", group.alias("group")).agg(F.count("*").alias("n")), "pairs")
+    found, rest = counted.filter("group IS NULL").select("left", "right", "n"), counted.filter("group IS NOT NULL").select("group", "n")
+    for fullest in (FULLEST, GROUPS):
+        most = found.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        over = written(rest.filter(F.col("n") > most).orderBy(F.desc("n")).limit(fullest).select("group"), "groups")
+        if over.isEmpty():
+            break
+        inside = x.select("other.*", group.alias("group")).join(F.broadcast(over), "group", "left_semi").groupBy("left", "right").agg(F.count("*").alias("n"))
+        found = written(found.unionByName(inside.orderBy(F.desc("n")).limit(1)), "pairs")
+        rest = rest.join(F.broadcast(over), "group", "left_anti")
+    return found
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -65,10 +101,10 @@ def best_path(local: list[np.ndarray], joint: list[np.ndarray]) -> list[int]:
     return choice[::-1]
 
 
-def corrected(lines: DataFrame, dictionary: DataFrame, pairs: DataFrame, keys: list[str], text: str = "text", distance: int = 1) -> DataFrame:
+def corrected(lines: DataFrame, dictionary: DataFrame, pairs: DataFrame | Callable[[DataFrame], DataFrame], keys: list[str], text: str = "text", distance: int = 1) -> DataFrame:
     """(keys, place, word, correction) of the words of each line that the dictionary lacks, corrected by frequency, context and distance together.
 
-    lines: keys, distinct, and text; dictionary: (word, n); pairs: (left, right, n). Words are letters with apostrophes in them, in lower case. Known words, single letters and words with an apostrophe stay, as do those without a
+    lines: keys, distinct, and text; dictionary: (word, n); pairs: (left, right, n), or what gives them for the words (word) that may stand next to each other, as pairs_among() does. Words are letters with apostrophes in them, in lower case. Known words, single letters and words with an apostrophe stay, as do those without a
     candidate. A candidate scores FREQUENCY * ln(1 + n) / SCALE less EDIT an edit; two neighbours score CONTEXT / 2 * ln(1 + pairs) / ln(1 + the most frequent pair). Of all
     choices of a line the one of the greatest sum is taken, by dynamic programming, so neighbours that are both unknown help each other. Of equal choices the first in order is taken.
 
@@ -86,10 +122,12 @@ def corrected(lines: DataFrame, dictionary: DataFrame, pairs: DataFrame, keys: l
     options = near(y.filter("NOT fixed").select("word"), dictionary, distance)
     own = options.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("candidate", "n", "edits"))).alias("options"))
     alone = F.array(F.struct(F.col("word").alias("candidate"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("edits")))
-    y = y.join(own, "word", "left").withColumn("options", F.when(F.col("fixed") | F.col("options").isNull(), alone).otherwise(F.col("options")))
+    y = written(y.join(own, "word", "left").withColumn("options", F.when(F.col("fixed") | F.col("options").isNull(), alone).otherwise(F.col("options"))), "words")
     nxt = Window.partitionBy(*keys, "stretch").orderBy("place")
     met = y.withColumn("next", F.lead("options").over(nxt)).filter("next IS NOT NULL")
     met = met.select(*keys, "stretch", "place", F.posexplode(F.transform("options", lambda o: o["candidate"])).alias("_i", "left"), "next").select(*keys, "stretch", "place", "_i", "left", F.posexplode(F.transform("next", lambda o: o["candidate"])).alias("_j", "right"))
+    if callable(pairs):
+        pairs = pairs(y.select(F.explode("options.candidate").alias("word")))
     seen = met.join(pairs.withColumnRenamed("n", "times"), ["left", "right"]).groupBy(*keys, "stretch", "place").agg(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_j").alias("j"), "times")).alias("seen"))
     y = y.join(seen, [*keys, "stretch", "place"], "left").crossJoin(F.broadcast(pairs.agg(F.coalesce(F.max("n"), F.lit(1)).alias("most"))))
     row = F.struct("place", "word", "fixed", "options", "seen", "most")

@@ -205,12 +205,17 @@ def line_scores(spark, d):
     return x.select(F.concat_ws(":", "conv_id", "turn", F.col("line") + 1).alias("line_id"), (t == "").alias("empty"), *[F.round(v, 5 if k == "quality" else 6).alias(k) for k, v in parts.items()])
 
 
+#: Frequent words whose pairs are counted besides, as one of them is likely the most frequent.
+OFTEN = 500
+
+
 @query()
 def context_corrections(spark, d):
     """Unknown words of the items, corrected by the documents' words and word pairs together."""
     _, known = vocabularies(spark, d)
     docs = spread(table(spark, d, "documents").select("text"))
-    return K.corrected(table(spark, d, "benchmark").select("item_id", "text"), written(known, "dictionary"), written(K.pairs_of(docs, F.col("text")), "pairs"), ["item_id"])
+    often = known.orderBy(F.desc("n"), "word").limit(OFTEN).select("word")
+    return K.corrected(table(spark, d, "benchmark").select("item_id", "text"), known, lambda words: K.pairs_among(docs, F.col("text"), words.unionByName(often)), ["item_id"])
 
 
 @query(REL_SQL["kendall_order"])

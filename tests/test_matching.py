@@ -192,6 +192,35 @@ def test_pairs_of_words_stay_in_their_line(spark):
     assert {(r.left, r.right): r.n for r in got.collect()} == {("one", "two"): 2, ("three", "one"): 1}
 
 
+@pytest.mark.parametrize("groups", [1, 3, 65536])
+def test_pairs_of_asked_words_and_the_most_frequent(spark, monkeypatch, groups):
+    """Whatever the groups, no pair of the asked words is lost, and the most frequent of all is there once."""
+    monkeypatch.setattr(context, "GROUPS", groups)
+    monkeypatch.setattr(context, "FULLEST", 1)
+    rng = random.Random(6)
+    texts = spark.createDataFrame([("\n".join(" ".join(f"w{'abcdefghij'[int(rng.expovariate(0.4)) % 10]}" for _ in range(rng.randrange(8))) for _ in range(3)),) for _ in range(60)] + [(None,)], "t string")
+    every = {(r.left, r.right): r.n for r in context.pairs_of(texts, F.col("t")).collect()}
+    most = max(every.values())
+    for asked in ({"wa", "wb"}, {"wd", "wh", "none"}, set()):
+        rows = [tuple(r) for r in context.pairs_among(texts, F.col("t"), spark.createDataFrame([(w,) for w in [*asked, *asked]], "word string")).collect()]
+        got = {(a, b): n for a, b, n in rows}
+        assert len(got) == len(rows) and all(every[p] == n for p, n in got.items()) and max(got.values()) == most
+        assert {p for p in every if set(p) <= asked} <= set(got)
+        assert sum(not set(p) <= asked for p in got) <= 2
+    assert context.pairs_among(texts.limit(0), F.col("t"), spark.createDataFrame([("wa",)], "word string")).count() == 0
+
+
+def test_context_spelling_with_the_pairs_it_asks_for(spark):
+    texts = spark.createDataFrame([("red apple red apple red apple big table big table big big the the the the the the the",)], "t string")
+    known = spark.createDataFrame([("apple", 9), ("ample", 40), ("red", 5), ("big", 5), ("table", 5), ("cable", 20)], "word string, n long")
+    lines = spark.createDataFrame([(1, "red aple"), (2, "big xable"), (3, "aple xable red")], "i int, text string")
+    asked = []
+    among = lambda words: asked.extend(r.word for r in words.distinct().collect()) or context.pairs_among(texts, F.col("t"), words)
+    results = [sorted(map(tuple, context.corrected(lines, known, pairs, ["i"]).collect())) for pairs in (context.pairs_of(texts, F.col("t")), among)]
+    assert results[0] == results[1] and len(results[0]) == 4
+    assert set(asked) == {"red", "big", "apple", "ample", "table", "cable"}
+
+
 def test_density_of_names(spark):
     df = spark.createDataFrame([("The Kernel of Linux uses 64 iPhones",), ("",), (None,), ("plain words only",)], "t string")
     assert [round(r[0], 6) for r in df.select(entity_density(F.col("t"))).collect()] == [round((2 + 1) / 7 * 2, 6), 0.0, 0.0, 0.0]

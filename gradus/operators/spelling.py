@@ -58,7 +58,8 @@ def candidates(unknown: DataFrame, dictionary: DataFrame, distance: int = 2) ->
     keyed = unknown.select("word").distinct().select("word", F.explode(own).alias("key"))
     known = dictionary.select(F.col("word").alias("candidate"), "n")
     known = known.select("candidate", "n", F.explode(F.when(c <= LONG, deletions(F.col("candidate"), distance)).otherwise(pieces(F.col("candidate"), distance))).alias("key"))
-    found = keyed.join(known.hint("merge"), "key")  # Spark takes what deletions make of a dictionary for as small as the dictionary, and would broadcast it.select("word", "candidate", "n").distinct()
+    # Spark takes what deletions make of a dictionary for as small as the dictionary, and would broadcast it.
+    found = keyed.join(known.hint("merge"), "key").select("word", "candidate", "n").distinct()
     return found.withColumn("edits", F.levenshtein("word", "candidate", distance)).filter(F.col("edits") >= 0)
 
 

@@ -15,25 +15,28 @@ from pyspark.sql import functions as F
 KEPT = 128
 
 
-def parse(text: str, start: int, seen: dict[str, None]) -> None:
-    """Adds the LZ78 phrases of text[start:] to the dictionary: each is the longest phrase known so far and one character more.
+def parse(text: str, start: int, seen: dict[str, None], limit: int) -> int:
+    """Adds the LZ78 phrases from start on that end at limit at most, and says where the next one begins: each is the longest phrase known so far and one character more.
 
-    With a phrase its beginnings are known too, so the search for the longest may begin in the middle, at four characters.
+    With a phrase its beginnings are known too, so the search for the longest may begin in the middle, at three characters.
     """
     i, n = start, len(text)
-    while i < n:
-        j = i + 4
-        if text[i:j] in seen:
-            j += 1
-            while j <= n and text[i:j] in seen:
+    while i < limit:
+        found = text[i : i + 3]
+        if found in seen:
+            j = i + 4
+            found = text[i:j]
+            while found in seen and j < n:
                 j += 1
-        else:
-            j -= 1
-            while j > i and text[i:j] not in seen:
-                j -= 1
-            j += 1
-        seen[text[i:j]] = None
+                found = text[i:j]
+        elif (two := text[i : i + 2]) not in seen:
+            found = two if (one := text[i]) in seen else one
+        j = i + len(found)
+        if j > limit:
+            break
+        seen[found] = None
         i = j
+    return i
 
 
 def hashes(phrases: list[str]) -> np.ndarray:
@@ -44,13 +47,18 @@ def lowest(values: np.ndarray) -> np.ndarray:
     """The signature: the smallest distinct hashes, in order."""
     if len(values) > 2 * KEPT:
         values = np.partition(values, 2 * KEPT - 1)[: 2 * KEPT]
-    return np.unique(values)[:KEPT]
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])][:KEPT] if len(values) else values
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """The estimated share of common phrases among all of two phrase sets: that among the smallest hashes of both. Two empty ones are alike."""
-    union = np.unique(np.concatenate([a, b]))[:KEPT]
-    return float(np.isin(union, a, assume_unique=True)[np.isin(union, b, assume_unique=True)].sum() / len(union)) if len(union) else 1.0
+    both = np.sort(np.concatenate([a, b]))
+    if not len(both):
+        return 1.0
+    twice = both[1:] == both[:-1]
+    place = np.arange(2, len(both) + 1) - np.cumsum(twice)  # of the distinct hashes, from 1; the first one is left out
+    return int(np.count_nonzero(twice & (place <= KEPT))) / min(KEPT, len(both) - int(np.count_nonzero(twice)))
 
 
 class Parsed:
@@ -58,21 +66,20 @@ class Parsed:
 
     def __init__(self, text: str):
         seen: dict[str, None] = {}
-        parse(text, 0, seen)
+        self.keep = len(text) - len(text) // 2
+        self.next = parse(text, 0, seen, self.keep)
+        self.same = len(seen)
+        parse(text, self.next, seen, len(text))
         self.text, self.phrases = text, list(seen)
         self.hashes = hashes(self.phrases)
         self.signature = lowest(self.hashes)
 
     def edited(self, other: str) -> tuple[str, np.ndarray]:
         """The text with its last floor(n / 2) characters replaced by the first as many of the other, and its signature. Phrases that end before the edit are the same."""
-        half = len(self.text) // 2
-        keep = len(self.text) - half
-        text = self.text[:keep] + other[:half]
-        ends = np.cumsum(np.fromiter(map(len, self.phrases), np.int64, len(self.phrases)))
-        same = int(np.searchsorted(ends, keep, side="right"))
-        seen = dict.fromkeys(self.phrases[:same])
-        parse(text, int(ends[same - 1]) if same else 0, seen)
-        return text, lowest(np.concatenate([self.hashes[:same], hashes(list(seen)[same:])]))
+        text = self.text[: self.keep] + other[: len(self.text) - self.keep]
+        seen = dict.fromkeys(self.phrases[: self.same])
+        parse(text, self.next, seen, len(text))
+        return text, lowest(np.concatenate([self.hashes[: self.same], hashes(list(seen)[self.same :])]))
 
 
 def printed(signature: np.ndarray) -> str:

@@ -376,6 +376,22 @@ def test_phrases_are_lempel_ziv():
         assert (signature == lz_fingerprint.Parsed(edited).signature).all()
 
 
+def test_phrases_take_few_slices():
+    """A phrase costs less than three slices of prose, the one that it is itself included."""
+
+    class Counted(str):
+        slices = 0
+
+        def __getitem__(self, at):
+            Counted.slices += 1
+            return str.__getitem__(self, at)
+
+    text = words(random.Random(6), 600, 150)
+    parsed = lz_fingerprint.Parsed(Counted(text))
+    assert parsed.phrases == phrases_of(text)
+    assert Counted.slices < 3 * len(parsed.phrases)
+
+
 def near_brute(rows):
     sets = {}
     for i, t, *_ in rows:

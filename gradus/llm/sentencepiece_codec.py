@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .common import fresh, pieces
 from .lattice import SPELLED, Vocabulary, build, chunk_hashes, chunk_starts, codes_of, mix, taken, utf8
 
-CHARS = 1_000_000
+#: Characters whose lattice is held at a time.
+CHARS = 500_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 

@@ -3,9 +3,11 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +209,29 @@ def test_language_id_against_brute_force(spark):
             assert got[i]._lang_pred == best and abs(got[i]._lang_score - share) < 1e-3
 
 
+def test_language_id_holds_few_ngrams_at_a_time(monkeypatch):
+    """Neither a batch of texts nor one long text takes much more memory than CHARS characters."""
+    rng = random.Random(8)
+    long = words(rng, 150_000)
+    batch = pa.record_batch([pa.array(["aa"] * 300 + ["bb"]), pa.array([long[k * 2000 : k * 2000 + 2000] for k in range(300)] + [long])], names=["lang", "text"])
+    settings = language_id.Settings(bits=10)
+    language_id.letters()
+    tracemalloc.start()
+    found = [r for b in language_id.counted(settings)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    want = Counter((lang, int(k)) for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in language_id.grams([text], settings)[0])
+    assert {(r["lang"], r["bucket"]): r["n"] for r in found} == want
+    texts = ["", "12 !?", None, "ΣΑΣ ς", *(words(rng, n) for n in (1, 5, 80, 300)), "a,,b  c" * 9]
+    part = language_id.Part(("aa", "bb", "cc"), np.log(np.random.default_rng(1).random((1 << 10, 3))).astype(np.float32), settings)
+    whole = language_id.evidence(pa.array(texts), part)
+    for chars in (1, 3, 4, 50):
+        monkeypatch.setattr(language_id, "CHARS", chars)
+        cut = language_id.evidence(pa.array(texts), part)
+        assert cut[0] == whole[0] and np.allclose(cut[1], whole[1]) and np.allclose(cut[2], whole[2])
+
+
 def test_sharding(spark, docs, clashing, tmp_path):
     store = sharding.Shards(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, fan=4, rows_a_shard=5)
     for part in (clashing, clashing.limit(7), clashing.filter("doc_id = -1")):

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors from which centroids are fitted at most, rounds of fitting, queries by which `probe` is chosen, vectors of a packed block, queries of a group, similarities of a task at a time.
-SAMPLE, ROUNDS, TRIALS, BLOCK, QUERIES, CELLS = 20_000, 8, 100, 1024, 2048, 1 << 22
+#: Vectors from which centroids are fitted at most, rounds of fitting, queries by which `probe` is chosen, vectors of a packed block, vectors that a task holds, similarities of a task at a time, vectors whose greatest similarity is looked at first.
+SAMPLE, ROUNDS, TRIALS, BLOCK, HELD, CELLS, NEIGHBOURS = 20_000, 8, 100, 1024, 65_536, 1 << 22, 64
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -49,14 +49,104 @@ def fitted(sample: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
     return centers
 
 
-def top(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, id, value) of the k greatest finite values of each row; of equals the smaller ids."""
-    by_id = np.argsort(ids, kind="stable")
-    best = by_id[np.argsort(-sim[:, by_id], axis=1, kind="stable")[:, :k]]
-    row = np.repeat(np.arange(len(sim)), best.shape[1])
-    value = sim[row, best.ravel()]
-    keep = np.isfinite(value)
-    return row[keep], ids[best.ravel()[keep]], value[keep]
+def nearest_center(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The centroid of the greatest cosine with each row."""
+    return np.concatenate([np.zeros(0, np.int64), *[(x[i : i + BLOCK] @ centers.T).argmax(axis=1) for i in range(0, len(x), BLOCK)]])
+
+
+def top(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest finite values of each row; of equals the first columns."""
+    sim = np.where(np.isfinite(sim), sim, -np.inf)
+    least = np.partition(sim, -k, axis=1)[:, -k, None] if sim.shape[1] > k else np.full((len(sim), 1), -np.inf)
+    more, equal = sim > least, (sim == least) & (sim > -np.inf)
+    equal &= np.cumsum(equal, axis=1) <= k - more.sum(axis=1, keepdims=True)
+    return np.nonzero(more | equal)
+
+
+class Held:
+    """Lists of an index, or parts of them, in a task's memory."""
+
+    def __init__(self, size: int, lists: dict[int, list[tuple[bytes, bytes]]]):
+        self.size, self.names = size, sorted(lists)
+        ids, rows = [], []
+        for name in self.names:
+            own, v = (np.concatenate([np.frombuffer(b[i], kind) for b in lists[name]]) for i, kind in enumerate((np.int64, np.float64)))
+            v = v.reshape(len(own), size)
+            use = np.flatnonzero(np.isfinite(v).all(axis=1))
+            use = use[np.argsort(own[use], kind="stable")]
+            ids.append(own[use])
+            rows.append(v[use])
+        self.ends = np.cumsum([0, *map(len, ids)])
+        self.ids, self.rows = np.concatenate(ids), np.concatenate(rows)
+        self.short = self.rows.astype(np.float32)
+        self.slack = (size + 4) * 2.0**-22  # of single precision, for the difference of two similarities of unit vectors
+
+    def best(self, qid: np.ndarray, q: np.ndarray, bar: np.ndarray, asks: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(qid, id, cosine) of each query's k best of the lists that it asks for (queries by lists), without those that are under its bar."""
+        longest = max(1, int(np.diff(self.ends).max()))
+        step = max(1, CELLS // (longest + NEIGHBOURS))
+        for i in range(0, len(qid), step):
+            s = slice(i, i + step)
+            yield self._best(qid[s], q[s], bar[s], asks[s], k)
+
+    def _best(self, qid: np.ndarray, q: np.ndarray, bar: np.ndarray, asks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Single precision shows which similarities can be among the k best: those of at least the k-th greatest of all groups' greatest, less what it may err. Double precision decides."""
+        reach, short, found = bar - 1e-11, q.astype(np.float32), []
+        for n, (a, b) in enumerate(zip(self.ends, self.ends[1:], strict=False)):
+            at = np.flatnonzero(asks[:, n])
+            if not len(at) or a == b:
+                continue
+            lo, hi = (np.searchsorted(self.ids[a:b], qid[at], side) for side in ("left", "right"))
+            own = np.repeat(np.arange(len(at)), hi - lo)
+            same = np.arange(len(own)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[own]
+            groups = -(-(b - a) // NEIGHBOURS)
+            sim = np.full((len(at), groups * NEIGHBOURS), -np.inf, np.float32)
+            np.matmul(short[at], self.short[a:b].T, out=sim[:, : b - a])
+            sim[own, same] = -np.inf
+            each = sim.reshape(len(at), groups, NEIGHBOURS)
+            most = each.max(axis=2)
+            of = most if groups >= k else sim
+            if of.shape[1] >= k:
+                reach[at] = np.fmax(reach[at], np.partition(of, -k, axis=1)[:, -k] - self.slack)
+            row, group = np.nonzero(most >= (reach[at] - self.slack)[:, None])
+            if len(row) > max(4 * k * len(at), CELLS // NEIGHBOURS // 8):  # as with many equal vectors
+                sim = np.round(q[at] @ self.rows[a:b].T, 12)
+                sim[own, same] = -np.inf
+                row, col = top(sim, k)
+            else:
+                kept = each[row, group] >= (reach[at] - self.slack)[row, None]
+                pair, place = np.nonzero(kept)
+                row, col = row[pair], group[pair] * NEIGHBOURS + place
+            found.append((at[row], a + col))
+        row, col = (np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]]) for i in range(2))
+        value = np.concatenate([np.zeros(0), *[np.round(np.einsum("ij,ij->i", q[row[i : i + HELD]], self.rows[col[i : i + HELD]]), 12) for i in range(0, len(row), HELD)]])
+        use = np.isfinite(value) & (value >= bar[row] - 1e-11)
+        row, col, value = row[use], col[use], value[use]
+        order = np.lexsort((self.ids[col], -value, row))
+        row, col, value = row[order], col[order], value[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return qid[row[first]], self.ids[col[first]], value[first]
+
+
+def nearest_order(x: np.ndarray, centers: np.ndarray, probe: int) -> np.ndarray:
+    """The `probe` nearest centroids of each row, the nearest first."""
+    found = [np.argsort(-(x[i : i + BLOCK] @ centers.T), axis=1, kind="stable")[:, :probe] for i in range(0, len(x), BLOCK)]
+    return np.concatenate([np.zeros((0, min(probe, len(centers))), np.int64), *found])
+
+
+def nearest_lists(x: np.ndarray, centers: np.ndarray, probe: int) -> np.ndarray:
+    """Which lists are among the `probe` nearest, rows by lists."""
+    out = np.zeros((len(x), len(centers)), bool)
+    np.put_along_axis(out, nearest_order(x, centers, probe), True, axis=1)
+    return out
+
+
+def reaching(x: np.ndarray, bar: np.ndarray, centers: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which lists may have a vector of at least the bar's cosine, rows by lists. reach: the least cosine of each list's vectors with its centroid, over 1.5 for an empty list."""
+    angle = np.arccos(np.clip(x @ centers.T, -1, 1)) - np.arccos(np.clip(reach, -1, 1))
+    most = np.where(reach > 1.5, -3.0, np.cos(np.maximum(angle, 0.0)) + 1e-9)
+    zero = ~x.any(axis=1)  # such a query is as far from all
+    return (most >= bar[:, None]) | (zero[:, None] & (reach <= 1.5))
 
 
 @dataclass
@@ -81,7 +171,9 @@ class Index:
         drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(SAMPLE) if share < 1 else rows
         table = drawn.toArrow().sort_by("id")
         size = max(size or 1, 1)
-        sample = matrix(table["v"].combine_chunks(), size) if n else np.zeros((1, size))
+        sample = matrix(table["v"].combine_chunks(), size) if n else np.zeros((0, size))
+        sample = sample[np.isfinite(sample).all(axis=1)]
+        sample = sample if len(sample) else np.zeros((1, size))
         lists = max(1, min(lists or int(np.sqrt(n)), max(1, len(sample) // 10)))
         centers = fitted(sample, lists)
         sent = spark.sparkContext.broadcast(centers)
@@ -94,13 +186,13 @@ class Index:
                 return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([float(near.min())]), pa.array([ids.tobytes()]), pa.array([x.tobytes()])], ["list", "near", "ids", "v"])
 
             for batch in batches:
-                ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), size)
-                sim = x @ sent.value.T
-                own = sim.argmax(axis=1)
+                own, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), size)
+                near = np.einsum("ij,ij->i", x, sent.value[own])
+                near = np.where(np.isfinite(near), near, 1.0)  # a vector that isn't finite is near to nothing
                 for k in np.unique(own):
                     at = np.flatnonzero(own == k)
                     parts = held.setdefault(int(k), [])
-                    parts.append((ids[at], x[at], sim[at, k]))
+                    parts.append((ids[at], x[at], near[at]))
                     if sum(len(p[0]) for p in parts) >= BLOCK:
                         yield block(int(k), held.pop(int(k)))
             for k, parts in held.items():
@@ -109,10 +201,10 @@ class Index:
         # Rows come to their lists' blocks through one shuffle by list, salted so that no list is one task's.
         @F.arrow_udf("int")
         def listed(v: pa.Array) -> pa.Array:
-            return pa.array((matrix(v, size) @ sent.value.T).argmax(axis=1).astype(np.int32))
+            return pa.array(nearest_center(matrix(v, size), sent.value).astype(np.int32))
 
         salt = F.pmod(F.xxhash64("id"), F.lit(max(1, n // (lists * BLOCK * 8) + 1)))
-        dealt = rows.withColumn("list", listed("v")).repartition("list", salt.cast("int")).select("id", "v")
+        dealt = rows.withColumn("list", listed("v")).repartition("list", salt.cast("int")).select("list", "id", "v")
         dealt.mapInArrow(packed, "list int, near double, ids binary, v binary").write.parquet(f"{path}/lists")
         spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(centers)], "list int, v array<double>").write.parquet(f"{path}/centers")
         return cls(path, size, lists)
@@ -124,77 +216,113 @@ class Index:
     def search(self, queries: DataFrame, k: int, probe: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
         """(qid, vec_id, sim): the k vectors of the greatest cosine with each query, not those of its own id; of equals the smaller ids.
 
-        With probe, the lists of the `probe` nearest centroids are searched. Without, the search is exact: first the nearest list, whose k-th best is a bar; then every block whose vectors can
-        reach the bar, given their least cosine with the centroid (the angle between query and vector is at least that between query and centroid less the block's widest angle).
-        Queries with a null id or vector have no result. Queries go to lists as rows, in groups; a task holds one block and a group.
+        With probe, the lists of the `probe` nearest centroids are searched. Without, the search is exact: first the nearest list, whose k-th best is a bar; then every list whose vectors can
+        reach the bar, given their least cosine with the centroid (the angle between query and vector is at least that between query and centroid less the list's widest angle).
+        Queries with a null id or vector have no result. Lists are put together, and large ones apart, in shards of about HELD vectors. A query goes once to each shard that has a list for it;
+        a task holds a shard and takes the queries as they come. What is sent grows with queries times shards.
         """
         spark = queries.sparkSession
         centers = spark.sparkContext.broadcast(self.centers(spark))
-        size = self.size
         asked = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vector_col).alias("q")).filter("qid IS NOT NULL AND q IS NOT NULL")
         lists = spark.read.parquet(f"{self.path}/lists")
-        if probe is None:
-            first = self._met(asked, self._nearest(centers, size, 1), lists, k)
-            bar = first.groupBy("qid").agg(F.count("*").alias("n"), F.min("sim").alias("least")).select("qid", F.when(F.col("n") >= k, F.col("least")).otherwise(-2.0).alias("bar"))
-            wide = lists.groupBy("list").agg(F.min("near").alias("near"))
-            asked = asked.join(bar, "qid", "left").withColumn("bar", F.coalesce("bar", F.lit(-2.0)))
-            reach = np.full(self.lists, 2.0)
-            for r in wide.collect():  # a row for each list, as many as centroids
-                reach[r["list"]] = r.near
-            return self._met(asked, self._reaching(centers, size, spark.sparkContext.broadcast(reach)), lists, k)
-        return self._met(asked, self._nearest(centers, size, probe), lists, k)
+        sizes = lists.groupBy("list").agg((F.sum(F.octet_length("ids")) / 8).cast("long").alias("n"), F.min("near").alias("near")).orderBy("list").collect()  # a row for each list, as many as centroids
+        met = self._sharded(lists, sizes, k)
+        if probe is not None:
+            return met(asked.withColumn("bar", F.lit(-2.0)), lambda x, bar: nearest_lists(x, centers.value, probe))
+        first = met(asked.withColumn("bar", F.lit(-2.0)), lambda x, bar: nearest_lists(x, centers.value, 1))
+        bar = first.groupBy("qid").agg(F.count("*").alias("n"), F.min("sim").alias("least")).select("qid", F.when(F.col("n") >= k, F.col("least")).otherwise(-2.0).alias("bar"))
+        reach = np.full(self.lists, 2.0)
+        for r in sizes:
+            reach[r["list"]] = r.near
+        return met(asked.join(bar, "qid", "left").withColumn("bar", F.coalesce("bar", F.lit(-2.0))), lambda x, bar: reaching(x, bar, centers.value, reach))
 
     @staticmethod
     def _nearest(centers, size: int, probe: int):
         @F.arrow_udf("array<int>")
         def run(q: pa.Array) -> pa.Array:
-            sim = matrix(q, size) @ centers.value.T
-            best = np.argsort(-sim, axis=1, kind="stable")[:, :probe].astype(np.int32)
+            best = nearest_order(matrix(q, size), centers.value, probe).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * best.shape[1]), pa.array(best.ravel()))
 
         return run("q")
 
     @staticmethod
     def _reaching(centers, size: int, reach):
+        """reaching() as a column of lists, of the columns q and bar."""
+
         @F.arrow_udf("array<int>")
         def run(q: pa.Array, bar: pa.Array) -> pa.Array:
-            angle = np.arccos(np.clip(matrix(q, size) @ centers.value.T, -1, 1)) - np.arccos(np.clip(reach.value, -1, 1))
-            most = np.where(reach.value > 1.5, -3.0, np.cos(np.maximum(angle, 0.0)) + 1e-9)
-            zero = ~matrix(q, size).any(axis=1)  # such a query is as far from all
-            return pa.array([np.flatnonzero(ok | (z & (reach.value <= 1.5))).astype(np.int32) for ok, z in zip(most >= bar.to_numpy()[:, None], zero, strict=True)], pa.list_(pa.int32()))
+            return pa.array([np.flatnonzero(x).astype(np.int32) for x in reaching(matrix(q, size), bar.to_numpy(), centers.value, reach.value)], pa.list_(pa.int32()))
 
         return run("q", "bar")
 
-    def _met(self, asked: DataFrame, chosen: Column, lists: DataFrame, k: int) -> DataFrame:
-        """Each query's k best in the chosen lists: queries in groups of a list meet its blocks; each block keeps its own k, then these are merged."""
-        size = self.size
-        sent = asked.withColumn("list", F.explode(chosen)).select("list", "qid", "q")
-
-        def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists_, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), size)
-                for k_ in np.unique(lists_):
-                    at = np.flatnonzero(lists_ == k_)
-                    for i in range(0, len(at), QUERIES):
-                        part = at[i : i + QUERIES]
-                        yield pa.RecordBatch.from_arrays([pa.array([int(k_)], pa.int32()), pa.array([ids[part].tobytes()]), pa.array([x[part].tobytes()])], ["list", "qids", "q"])
+    def _sharded(self, lists: DataFrame, sizes: list, k: int) -> Callable[[DataFrame, Callable[[np.ndarray, np.ndarray], np.ndarray]], DataFrame]:
+        """A function of queries (qid, q, bar) and of their choice, which tells (queries by lists) what lists a batch of unit vectors and bars asks for; it gives each query's k best there."""
+        spark, size, lists_ = lists.sparkSession, self.size, self.lists
+        cores = spark.sparkContext.defaultParallelism
+        most = max(BLOCK, min(HELD, -(-sum(r.n for r in sizes) // (2 * cores))))
+        shards: list[list[int]] = []
+        places, room = [], 0
+        for r in sizes:
+            parts = -(-r.n // most)
+            if parts > 1 or r.n > room:
+                places.append((r["list"], len(shards), parts))
+                shards += [[r["list"]] for _ in range(parts)]
+                room = most - r.n if parts == 1 else 0
+            else:
+                places.append((r["list"], len(shards) - 1, 1))
+                shards[-1].append(r["list"])
+                room -= r.n
+        place = spark.createDataFrame(places, "list int, at int, parts int")
+        held = lists.join(F.broadcast(place), "list").select((F.col("at") + F.pmod(F.xxhash64("ids"), F.col("parts"))).cast("int").alias("shard"), "list", "ids", "v")
+
+        def choose(choice):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    x, bar = matrix(batch.column("q"), size), batch.column("bar").to_numpy()
+                    asks = np.concatenate([np.zeros((0, lists_), bool), *[choice(x[i : i + BLOCK], bar[i : i + BLOCK]) for i in range(0, len(x), BLOCK)]])
+                    for n, own in enumerate(shards):
+                        at = np.flatnonzero(asks[:, own].any(axis=1))
+                        if len(at):
+                            part = batch.take(pa.array(at))
+                            which = pa.array([m.tobytes() for m in np.packbits(asks[np.ix_(at, own)], axis=1)], pa.binary())
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), part.column("qid"), part.column("q"), part.column("bar"), which], ["shard", "qid", "q", "bar", "asks"])
+
+            return run
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, blocks, there = None, {}, None
             for batch in batches:
-                for qids, q, ids, v in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    qid, vid = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                    a, b = np.frombuffer(q).reshape(len(qid), size), np.frombuffer(v).reshape(len(vid), size)
-                    step = max(1, CELLS // len(vid))
-                    for i in range(0, len(qid), step):
-                        sim = np.round(a[i : i + step] @ b.T, 12)
-                        row, found, value = top(np.where(qid[i : i + step, None] == vid[None, :], -np.inf, sim), vid, k)
-                        yield pa.RecordBatch.from_arrays([pa.array(qid[i : i + step][row]), pa.array(found), pa.array(value)], ["qid", "vec_id", "sim"])
-
-        groups = sent.repartition("list", F.pmod(F.xxhash64("qid"), F.lit(8)).cast("int")).mapInArrow(group, "list int, qids binary, q binary")
-        met = groups.join(lists.select("list", "ids", "v"), "list").select("qids", "q", "ids", "v")
-        found = met.mapInArrow(score, "qid long, vec_id long, sim double")
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("sim").desc(), "vec_id"))
-        return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+                shard, query = batch.column("shard").to_numpy(), pc.is_valid(batch.column("qid")).to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (query[1:] != query[:-1])) + 1), len(shard)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if a == b:
+                        continue
+                    if shard[a] != now:
+                        now, blocks, there = shard[a], {}, None
+                    part = batch.slice(a, b - a)
+                    if not query[a]:  # a shard's vectors come before its queries
+                        for name, ids, v in zip(*(part.column(c).to_pylist() for c in ("list", "ids", "v")), strict=True):
+                            blocks.setdefault(name, []).append((ids, v))
+                        continue
+                    if there is None:
+                        if not blocks:
+                            continue
+                        there, blocks = Held(size, blocks), {}
+                    own = shards[now]
+                    bits = np.frombuffer(b"".join(part.column("asks").to_pylist()), np.uint8).reshape(b - a, -1)
+                    asks = np.unpackbits(bits, axis=1, count=len(own)).astype(bool)[:, [own.index(n) for n in there.names]]
+                    for found in there.best(part.column("qid").to_numpy(), matrix(part.column("q"), size), part.column("bar").to_numpy(), asks, k):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["qid", "vec_id", "sim"])
+
+        def met(asked: DataFrame, choice: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+            kind = asked.schema["q"].dataType.simpleString()
+            sent = asked.select("qid", "q", "bar").mapInArrow(choose(choice), f"shard int, qid long, q {kind}, bar double, asks binary")
+            both = held.unionByName(sent, allowMissingColumns=True).repartitionById(max(1, len(shards)), "shard").sortWithinPartitions("shard", F.col("qid").isNotNull())
+            found = both.mapInArrow(score, "qid long, vec_id long, sim double")
+            rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("sim").desc(), "vec_id"))
+            return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+
+        return met
 
     def probe_for(self, queries: DataFrame, k: int, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
         """The fewest lists whose search finds so large a share of the k best of TRIALS of these queries (those of the smallest hashed ids), measured against the exact search. Queries of another kind may need more."""

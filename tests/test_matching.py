@@ -253,3 +253,37 @@ def test_fitting_holds_no_matrix_of_all_similarities():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert centers.shape == (600, 8) and most < 12e6  # all similarities would take 28.8 MB
+
+
+def test_index_of_equal_and_broken_vectors(spark, tmp_path, monkeypatch):
+    """A vector that isn't finite once hid its whole list; each pair of a query group and a block of vectors was a row of over a megabyte."""
+    monkeypatch.setattr(vector_index, "BLOCK", 32)
+    monkeypatch.setattr(vector_index, "HELD", 100)
+    monkeypatch.setattr(vector_index, "CELLS", 4096)
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 0.0, 0.0]) for i in range(700)] + [(i, [float(x) for x in rng.normal(size=4)]) for i in range(700, 1400)]
+    df = spark.createDataFrame([*rows, (5000, [float("nan")] * 4), (5001, [1.0, float("inf"), 0.0, 0.0])], "vec_id long, embedding array<double>").repartition(4)
+    index = vector_index.Index.build(df, f"file://{tmp_path}/index")
+    asked = df.filter("vec_id % 40 = 0")
+    found = index.search(asked, 5)
+    assert sorted((r.qid, r.vec_id, round(r.sim, 9)) for r in found.collect()) == exact(rows, {i for i in range(0, 1400, 40)}, 5)
+    assert found.groupBy("qid").count().filter("count <> 5").count() == 0
+    joined = [line for line in index.search(asked, 5, 3)._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert len(joined) == 1 and "Broadcast" in joined[0]  # blocks and the few rows that tell their shards; no queries
+
+
+def test_a_shard_in_memory_gives_what_brute_force_gives():
+    rng = np.random.default_rng(6)
+    v = vector_index.units(np.concatenate([rng.normal(size=(900, 8)), np.repeat(rng.normal(size=(1, 8)), 300, axis=0), np.zeros((3, 8))]))
+    ids, parts = rng.permutation(len(v)).astype(np.int64), {0: slice(0, 200), 1: slice(200, 1000), 4: slice(1000, len(v))}
+    held = vector_index.Held(8, {n: [(ids[s].tobytes(), v[s].tobytes())] for n, s in parts.items()})
+    q = vector_index.units(np.concatenate([rng.normal(size=(40, 8)), v[950:960], np.zeros((1, 8))]))
+    qid, asks = np.concatenate([np.arange(40) + 5000, ids[950:960], [6000]]), rng.random((51, 3)) < 0.7
+    for bar in (-2.0, 0.6):
+        got = [x for part in held.best(qid, q, np.full(51, bar), asks, 7) for x in zip(*part, strict=True)]
+        want = []
+        for i in range(51):
+            use = np.concatenate([np.arange(len(v))[s] for n, s in enumerate(parts.values()) if asks[i, n]] or [np.zeros(0, int)])
+            sims = [(-round(float(q[i] @ v[j]), 12), ids[j]) for j in use if ids[j] != qid[i]]
+            want += [(qid[i], j, -s) for s, j in sorted(sims)[:7] if -s >= bar - 1e-11]
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-11)

@@ -60,3 +60,19 @@ def test_pairs_of_subjects_and_members_are_marked_without_a_shuffle_of_pairs(spa
     assert got == sorted(want, key=repr)
     marked = [line for line in x._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode(_members" in line or "array_contains" in line]
     assert marked and "Join" not in "".join(marked)
+
+
+def test_pairs_of_subjects_and_members_are_stored_in_little_space(spark, tmp_path):
+    """Where a subject met all members in turn, a pair took 1.5 bytes and more, and the result outgrew the disk."""
+    from gradus.operators import relational as R
+    from pyspark.sql import functions as F
+
+    subjects = spark.range(3001).select((F.col("id") % 3).alias("g"), F.col("id").alias("s"))
+    members = spark.range(1111).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919).alias("m"))
+    other = spark.range(20_000).select((F.col("id") * 31 % 3001).alias("s"), (F.col("id") * 17 % 1111 * 7919).alias("m"))
+    R.marked_pairs(subjects, members, other, "g", "s", "m", "here").write.parquet(f"{tmp_path}/pairs")
+    x = spark.read.parquet(f"{tmp_path}/pairs")
+    taught = other.distinct().filter("s % 3 = m DIV 7919 % 3").count()
+    n = sum(sum(1 for j in range(1111) if j % 3 == i % 3) for i in range(3001))
+    assert (x.count(), x.distinct().count(), x.filter("here").count()) == (n, n, taught)
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.7 * n

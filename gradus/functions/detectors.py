@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .similarity import overlap_first, overlap_smaller, ratio
-from .text import content_words, edged, hits, let, paragraphs, sentences, strip, total_hits, type_token_ratio, without_stop_words, words
+from .text import content_words, edged, hits, let, needle, paragraphs, quick, sentences, strip, total_hits, type_token_ratio, without_stop_words, words
 
 
 def steps(value: Column, *cuts: tuple[float, float]) -> Column:
@@ -66,7 +67,7 @@ def conclusion(sents: Column) -> Column:
 
 
 def lists(text: Column) -> Column:
-    found = lambda p: text.rlike("(?i)" + p)
+    found = lambda p: text.rlike("(?i)" + quick(p))
     score = steps(hits(text, L.NUMBERED), (3, 0.4), (2, 0.2)) + F.when(hits(text, L.BULLETS) >= 2, 0.3).otherwise(0.0)
     for pattern, value in ((L.ROMAN, 0.2), (L.LETTERED, 0.2), (L.ENUMERATION, 0.2), (L.COLON_LIST, 0.15)):
         score = score + F.when(found(pattern), value).otherwise(0.0)
@@ -74,15 +75,20 @@ def lists(text: Column) -> Column:
 
 
 def definitions(text: Column) -> Column:
-    kinds = sum((text.rlike("(?i)" + p).cast("int") for p in L.DEFINITIONS[1:]), text.rlike("(?i)" + L.DEFINITIONS[0]).cast("int"))
-    return steps(kinds, (3, 1.0), (2, 0.7), (1, 0.4))
+    return let(F.lower(text), lambda low: definitions_of(text, low))
+
+
+def definitions_of(text: Column, low: Column) -> Column:
+    """low: the text in lower case. A pattern is only tried where the letters that it needs are there."""
+    found = [(F.contains(low, F.lit(needle(p))) & text.rlike("(?i)" + p)).cast("int") for p in L.DEFINITIONS]
+    return steps(sum(found[1:], found[0]), (3, 1.0), (2, 0.7), (1, 0.4))
 
 
 def examples(text: Column) -> Column:
     score = F.least(F.lit(0.5), hits(text, L.EXAMPLES) * 0.2)
     for pattern, value in ((L.ANALOGIES, 0.2), (L.NUMBERS, 0.15)):
-        score = score + F.when(text.rlike("(?i)" + pattern), value).otherwise(0.0)
-    return capped(score + F.when(text.rlike(r"\b(like|such as|e\.g\.)\s+[A-Z][a-z]+"), 0.15).otherwise(0.0))
+        score = score + F.when(text.rlike("(?i)" + quick(pattern)), value).otherwise(0.0)
+    return capped(score + F.when(text.rlike(r"\b(?=[els])(like|such as|e\.g\.)\s+[A-Z][a-z]+"), 0.15).otherwise(0.0))
 
 
 def coherence(text: Column, sents: Column) -> Column:
@@ -107,20 +113,42 @@ def coherence_of(text: Column, sets: Column) -> Column:
     return let(shared(sets), lambda x: F.when(x < 0, 0.0).otherwise(capped(cue + x)))
 
 
-def structured(df: DataFrame, text: Column) -> DataFrame:
+def in_parts(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """df with a text's sentences (name_ss), their words (name_sw), their content words (name_cs) and all words (name_ws), unless it has them.
+
+    A text is split and put in lower case once; sentences end at white space, so their words are all of the text's.
+    """
+    if f"{name}_ss" in df.columns:
+        return df
+    x = df.withColumn(f"{name}_ss", sentences(text)).withColumn(f"{name}_sw", F.transform(f"{name}_ss", words))
+    return x.withColumns({f"{name}_ws": F.flatten(f"{name}_sw"), f"{name}_cs": F.transform(f"{name}_sw", without_stop_words)})
+
+
+def longer(parts: Column, sents: Column, than: int) -> Column:
+    """What belongs to the sentences of more than so many characters."""
+    sizes = F.transform(sents, F.char_length)
+    return F.when(F.coalesce(F.array_min(sizes) > than, F.lit(True)), parts).otherwise(let(sizes, lambda ns: F.filter(parts, lambda x, i: F.get(ns, i) > than)))
+
+
+def structured(df: DataFrame, text: Column, own: str = "_s") -> DataFrame:
     """df with the seven scores, their weighted sum (structural_score) and the bonus (structure_bonus); all 0 for texts of fewer than ten characters.
 
-    What several scores need is a column of its own, so it is computed once: sentences, their words and content words, words, paragraphs.
+    What several scores need is a column of its own, so it is computed once: sentences, their words and content words, words, paragraphs. own: the name of the text's in_parts(), if df has them.
     """
-    x = df.withColumn("_t", F.coalesce(text, F.lit("")))
-    t, cue = F.col("_t"), F.col("_cue")
-    x = x.withColumns({"_cue": edged(t), "_ss": sentences(t), "_ws": words(t), "_np": F.size(paragraphs(t))}).withColumn("_sw", F.transform("_ss", words)).withColumn("_cs", F.transform("_sw", without_stop_words))
-    scores = {"intro": intro(F.col("_ss")), "body": body_of(F.col("_sw"), F.col("_ws"), F.col("_np")), "conclusion": conclusion(F.col("_ss")), "lists": lists(cue), "definitions": definitions(cue), "examples": examples(cue), "coherence": coherence_of(cue, F.col("_cs"))}
+    x = in_parts(df.withColumn("_t", F.coalesce(text, F.lit(""))), text, own)
+    t, cue, ss = F.col("_t"), F.col("_cue"), F.col(f"{own}_ss")
+    x = x.withColumns({"_cue": edged(t), "_np": F.size(paragraphs(t))}).withColumn("_low", F.lower("_cue"))
+    scores = {"intro": intro(ss), "body": body_of(F.col(f"{own}_sw"), F.col(f"{own}_ws"), F.col("_np")), "conclusion": conclusion(ss), "lists": lists(cue), "definitions": definitions_of(cue, F.col("_low")), "examples": examples(cue), "coherence": coherence_of(cue, F.col(f"{own}_cs"))}
     long = F.char_length(F.trim(t)) >= 10
     x = x.withColumns({k: F.when(long, tenths(v)).otherwise(0.0) for k, v in scores.items()})
     total = sum((F.col(k) * w for k, w in list(L.STRUCTURE_WEIGHTS.items())[1:]), F.col("intro") * L.STRUCTURE_WEIGHTS["intro"])
     x = x.withColumn("structural_score", capped(total)).withColumn("structure_bonus", F.col("structural_score") * L.STRUCTURE_BONUS)
-    return x.drop("_t", "_cue", "_ss", "_ws", "_np", "_sw", "_cs")
+    return x.drop("_t", "_cue", "_np", "_low", *_added(df, own))
+
+
+def _added(df: DataFrame, name: str) -> list[str]:
+    """Columns of in_parts() that df doesn't have."""
+    return [f"{name}_{c}" for c in ("ss", "sw", "ws", "cs") if f"{name}_{c}" not in df.columns]
 
 
 def structure(text: Column) -> dict[str, Column]:
@@ -303,6 +331,26 @@ def entropy(text: Column) -> Column:
     return let(F.lower(F.coalesce(text, F.lit(""))), bits)
 
 
+def bits(text: str) -> float:
+    """Entropy in bits of a text's characters; 0 for none."""
+    if not text:
+        return 0.0
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.bincount(codes) if codes.max() < 1024 else np.unique(codes, return_counts=True)[1]
+    n = n[n > 0]
+    return float(max(0.0, np.log2(len(codes)) - (n * np.log2(n)).sum() / len(codes)))
+
+
+def entropy_of_many(text: Column) -> Column:
+    """entropy() for large tables: a pass over a text's characters in Python instead of one for each character that it may have."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if t is None else bits(t) for t in texts], dtype="float64")
+
+    return run(F.lower(F.coalesce(text, F.lit(""))))
+
+
 def padding(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     of = lambda sents, cue: padding_of(sents, F.transform(sents, without_stop_words), hits(cue, L.FILLERS), hits(cue, L.HEDGES))
@@ -329,26 +377,26 @@ def padding_of(sents: Column, sets: Column, fillers: Column, hedges: Column) ->
     return F.when(n < 2, 0.0).otherwise(F.least(tenths(penalty), F.lit(0.15)))
 
 
-def gamed(df: DataFrame, student: Column, model: Column, keyword: Column, semantic: Column, found: Column) -> DataFrame:
+def gamed(df: DataFrame, student: Column, model: Column, keyword: Column, semantic: Column, found: Column, own: str = "_s", other: str = "_m") -> DataFrame:
     """df with the penalties of all six detectors; 0 where the answer or the model has fewer than ten characters.
 
-    keyword: coverage; semantic: likeness of meaning; found: the model's keywords that the answer has. Sentences and words of both texts are computed once.
+    keyword: coverage; semantic: likeness of meaning; found: the model's keywords that the answer has. Sentences and words of both texts are computed once. own, other: the names of their in_parts(), if df has them.
     """
-    x = df.withColumns({"_t": F.coalesce(student, F.lit("")), "_ws": words(student), "_vs": words(model), "_sw": F.transform(sentences(student, 3), words), "_mw": F.transform(sentences(model, 3), words)})
-    x = x.withColumns({"_cs": F.transform("_sw", without_stop_words), "_ms": F.transform("_mw", without_stop_words), "_e": entropy(F.col("_t")), "_cue": edged(F.col("_t"))})
+    x = in_parts(in_parts(df.withColumn("_t", F.coalesce(student, F.lit(""))), student, own), model, other)
+    x = x.withColumns({f"_{k}": longer(F.col(f"{own}_{k}"), F.col(f"{own}_ss"), 3) for k in ("sw", "cs")} | {"_ms": longer(F.col(f"{other}_cs"), F.col(f"{other}_ss"), 3), "_e": entropy_of_many(F.col("_t")), "_cue": edged(F.col("_t"))})
     x = x.withColumns({"_f": hits(F.col("_cue"), L.FILLERS), "_h": hits(F.col("_cue"), L.HEDGES)})
-    own, other = F.col("_cs"), F.col("_ms")
+    sets, models, ws = F.col("_cs"), F.col("_ms"), F.col(f"{own}_ws")
     penalties = {
-        "repetition": repetition_of(own),
-        "irrelevance": irrelevance_of(own, other),
-        "stuffing": stuffing_of(F.col("_ws"), F.col("_vs"), F.size("_sw"), keyword, semantic, found),
-        "gibberish": gibberish_of(F.col("_t"), F.col("_ws"), F.col("_e"), L.STOP_WORDS + L.COMMON_WORDS),
-        "padding": padding_of(F.col("_sw"), own, F.col("_f"), F.col("_h")),
-        "copy_shuffle": copy_shuffle_of(own, other),
+        "repetition": repetition_of(sets),
+        "irrelevance": irrelevance_of(sets, models),
+        "stuffing": stuffing_of(ws, F.col(f"{other}_ws"), F.size("_sw"), keyword, semantic, found),
+        "gibberish": gibberish_of(F.col("_t"), ws, F.col("_e"), L.STOP_WORDS + L.COMMON_WORDS),
+        "padding": padding_of(F.col("_sw"), sets, F.col("_f"), F.col("_h")),
+        "copy_shuffle": copy_shuffle_of(sets, models),
     }
     long = (F.char_length(strip(student)) >= 10) & (F.char_length(strip(model)) >= 10)
     x = x.withColumns({n: F.when(long, p).otherwise(0.0) for n, p in penalties.items()})
-    return x.drop("_t", "_ws", "_vs", "_sw", "_mw", "_cs", "_ms", "_e", "_cue", "_f", "_h")
+    return x.drop("_t", "_sw", "_cs", "_ms", "_e", "_cue", "_f", "_h", *_added(df, own), *_added(df, other))
 
 
 def cue_counts(text: Column, cues: list[list[str]]) -> Column:

@@ -439,3 +439,34 @@ def test_entropy_of_frequent_and_rare_characters(spark):
     for r in got:
         n = Counter(r.t.lower()).values()
         assert r.e == pytest.approx(-sum(k / sum(n) * log2(k / sum(n)) for k in n), abs=1e-12)
+
+
+def test_a_quick_pattern_counts_what_the_pattern_counts(spark):
+    patterns = [L.CONCLUSION, L.SUMMARY, L.ENUMERATION, L.EXAMPLES, L.ANALOGIES, L.NUMBERS, L.ADDITIVE, L.CAUSAL, L.FILLERS, L.HEDGES, L.TRANSITIONS, L.DIAGRAM_CUES, r"\b(ab?|c?d)\b", r"\b(a(b|c)|de)\b", r"\b(ab)?c"]
+    assert text.quick(r"\b(ab)?c") == r"\b(ab)?c" and text.quick(L.FILLERS) != L.FILLERS
+    texts = ["Therefore MOREOVER thus hence.", "such as a, b, c; e.g. one, two", "for example In Summary, Fig. 3 and figure 4", "ab ac de d cd abc c", "it seems perhaps\tlike this, that", "as a result, akin  to 3.5 % of 20 years", "", "xtherefore therefored"]
+    x = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = x.select(*[F.regexp_count("t", F.lit("(?i)" + q)) for p in patterns for q in (p, text.quick(p))]).collect()
+    assert all(r[i] == r[i + 1] for r in got for i in range(0, len(r), 2)) and sum(map(sum, got)) > 40
+
+
+def test_sentences_and_keywords_of_long_texts(spark):
+    texts = [" One.  Two words!\n\n Three ΟΔΟΣ. Ünï? ok\t", None, "", "   ", "the of " * 60 + "alpha beta " + "the " * 80 + "gamma Alpha, delta", "a. b. cdef ghij. K", "x" * 3 + ". " + "word."]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    x = D.in_parts(df, F.col("t"), "p")
+    stripped = F.filter(F.transform(F.split(text.strip(F.coalesce("t", F.lit(""))), r"(?<=[.!?])\s+"), text.strip), lambda s: F.char_length(s) > 0)
+    for r in x.select("*", text.words(F.col("t")).alias("ws"), stripped.alias("ss"), text.keywords(F.col("t")).alias("ks"), D.longer(F.col("p_sw"), F.col("p_ss"), 3).alias("long"), F.transform(text.sentences(F.col("t"), 3), text.words).alias("want")).collect():
+        assert (r.p_ws, r.p_ss, r.long) == (r.ws, r.ss, r.want)
+        assert r.i != 4 or r.ks == ["alpha", "beta", "gamma", "delta"]
+
+
+def test_entropy_of_many_texts(spark):
+    texts = ["", None, "a", "aabb", "Hello World", "ΟΔΟΣ Ünï \U0001f600 " * 5, "x" * 1000]
+    x = spark.createDataFrame([(t,) for t in texts], "t string").select(D.entropy(F.col("t")).alias("a"), D.entropy_of_many(F.col("t")).alias("b")).collect()
+    assert all(abs(r.a - r.b) < 1e-9 for r in x)
+
+
+def test_an_answer_is_split_once_for_all_its_scores(spark, small):
+    """Its words were found six times over."""
+    plan = plans.queries()["final_grade"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(") <= 5
